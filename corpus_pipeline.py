@@ -1,8 +1,62 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality classifier, line dedup, SimHash near-dedup, secret scans, packing.
 
-ORACLE_SQL = None
-STAGES = []
+Each stage takes the documents that the one before kept and, but for the last, returns the columns of documents. Stages
+read sf_dir only for the labels that the classifier learns from.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tierlab.llm import line_dedup, packing, quality, secrets, simhash
+from tierlab.llm.common import documents, stage
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: No single SQL statement expresses training, SimHash or the packing program; the stages are tested against brute force.
+ORACLE_SQL: str | None = None
+
+
+def _as_documents(df: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier accepts (grade 2 at least as likely as not); toxic and poor ones go."""
+    model = quality.train(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.rate(docs.select(*COLUMNS), model, keep=list(COLUMNS)).where("accepted").select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that at least ten documents share go, in all of them; a document that loses every line stays, empty."""
+    return _as_documents(line_dedup.drop_frequent_lines(docs.select(*COLUMNS), min_docs=10, min_chars=1))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest id stays; of rows that share it, one."""
+    found = simhash.near_components(docs.select("doc_id", "text"), budget=4, words=4)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "fp").distinct()
+    kept = docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span the scan finds is replaced by a mark; all documents stay."""
+    return _as_documents(secrets.redact(docs.select(*COLUMNS)))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", keep_good), ("line_dedup", drop_lines), ("simhash", drop_near_copies), ("secrets", redact_secrets), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage_of in STAGES[:-1]:
+        docs = stage(stage_of(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, secrets, sharding, simhash
+from . import bpe, language_id, line_dedup, minhash, packing, quality, secrets, sharding, simhash, topk
 from .common import documents
 
 
@@ -21,6 +21,23 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1)
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints_with_next(documents(spark, sf_dir, "doc_id", "text"), permutations=128, words=5)
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, query_step=20, scale=64)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return quality.rate(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(documents(spark, sf_dir, "doc_id", "text"), budget=4, words=4)
     return found.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
@@ -39,5 +56,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op7_simhash, op8_secrets, op9_sharding)}
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language_id.train(docs.where("doc_id is not null").where(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_packing, op4_fingerprints, op5_topk, op6_quality, op7_simhash, op8_secrets, op9_sharding, op10_language_id)
+}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op5_topk": topk.SQL}

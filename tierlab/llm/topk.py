@@ -119,9 +119,9 @@ def top_k(df: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64, piv
 
 SQL = """
 with v as (
-    select vec_id, list_transform(embedding, x -> floor(64 * cast(x as double))) as v from embeddings
+    select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
     where embedding is not null and vec_id is not null
-      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
     select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
     from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
