@@ -1 +1 @@
-
+"""Column functions: built-in expressions only, so they stay inside the JVM."""
