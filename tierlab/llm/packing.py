@@ -27,30 +27,45 @@ from .common import global_rank, stage, text_slices
 WHITE = re.compile("[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 SEPARATORS = re.compile("[\\x1c-\\x1f]")
 LONGEST_CACHED = 48
+#: Bytes of text that a task holds as Python strings at once.
+SLICE = 4 << 20
 
 
 class WordIds:
     """Ids by the tokenizer, kept for each run of text between white space (no token crosses it); a bounded memo."""
 
-    def __init__(self, path: str, end_id: int, cache_entries: int = 600_000):
-        self.tokenizer, self.end_id, self.cache_entries = Tokenizer.from_file(path), end_id, cache_entries
-        self.known: dict[str, tuple[int, ...]] = {}
+    def __init__(self, path: str, end_id: int, cache_entries: int = 400_000):
+        self.tokenizer, self.cache_entries = Tokenizer.from_file(path), cache_entries
+        self.end = np.array([end_id], "<u4").tobytes()
+        self.known: dict[str, bytes] = {"": b""}
+        self.mark_id, self.mark = min((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        self.between = f" {self.mark} "
+
+    def fresh(self, words: list[str]) -> dict[str, bytes]:
+        """The packed ids of some words by one call: joined by a special token, whose id then parts them."""
+        plain = [w for w in words if self.mark not in w]
+        out = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words if self.mark in w}
+        for i in range(0, len(plain), 1024):
+            part = plain[i : i + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            packed = ids.tobytes()
+            out.update(zip(part, (packed[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(packed)]))))
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(WHITE.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text and end_id, 64 texts at a time. A full memo keeps what it has: common words come early."""
         known = self.known
-        missing = list({w for words in split for w in words if w not in known})
-        if len(known) + len(missing) > self.cache_entries:
-            known.clear()
-            missing = list({w for words in split for w in words})
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            known.update((w, tuple(e.ids)) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-        out = [np.fromiter(chain(chain.from_iterable(map(known.__getitem__, words)), (self.end_id,)), np.uint32) for words in split]
-        for w in missing:
-            if len(w) > LONGEST_CACHED:
-                del known[w]
-        return out
+        for i in range(0, len(texts), 64):
+            split = [(WHITE.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts[i : i + 64]]
+            missing = {w for words in split for w in words if w not in known}
+            known.update(self.fresh(list(missing)))
+            for words in split:
+                yield np.frombuffer(b"".join(map(known.__getitem__, words)) + self.end, "<u4")
+            full = len(known) > self.cache_entries
+            for w in missing:
+                if full or len(w) > LONGEST_CACHED:
+                    del known[w]
 
 
 _LOADED: dict[tuple[str, int], WordIds] = {}
@@ -158,7 +173,7 @@ def pack(df: DataFrame, path: str | None = None, length: int = 2048, end_id: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load(path, end_id)
-        for batch in chain.from_iterable(map(text_slices, batches)):
+        for batch in chain.from_iterable(text_slices(b, SLICE) for b in batches):
             ids = words.encode(batch.column(1).to_pylist())
             rows = [(i, s, min(length, len(x) - s), crc(x[s : s + length]), len(x)) for i, x in enumerate(ids) for s in range(0, len(x), length)]
             at = pa.array([r[0] for r in rows], pa.int64())
@@ -203,7 +218,7 @@ def pack(df: DataFrame, path: str | None = None, length: int = 2048, end_id: int
 
     def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load(path, end_id)
-        for batch in chain.from_iterable(map(text_slices, batches)):
+        for batch in chain.from_iterable(text_slices(b, SLICE) for b in batches):
             rows = []
             for i, (ids, start, n, doc_tokens, at) in enumerate(zip(words.encode(batch.column(1).to_pylist()), *(batch.column(k).to_pylist() for k in range(2, 6)))):
                 a = at
