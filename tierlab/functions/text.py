@@ -19,9 +19,13 @@ def problem_hash(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct code-point trigrams of the normalised text; fewer than three code points: none."""
-    x = normalize(text)
-    return F.when(F.length(x) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """Distinct code-point trigrams of the normalised text, in linear time; fewer than three code points: none."""
+    chars = F.split(normalize(text), "", -1)
+    chars = F.filter(chars, lambda c: c != "")
+    n = F.size(chars)
+    shifted = lambda k: F.slice(chars, F.lit(k + 1), F.greatest(n - 2, F.lit(0)))
+    joined = F.zip_with(F.zip_with(shifted(0), shifted(1), lambda a, b: F.concat(a, b)), shifted(2), lambda a, b: F.concat(a, b))
+    return F.when(F.length(text) >= 3, F.array_distinct(joined)).otherwise(F.array().cast("array<string>"))
 
 
 def behaviour_key(ok: Column, failed_at: Column, tests: Column) -> Column:

@@ -1 +1,246 @@
-"""Queries (follow)."""
+"""Queries of the statistics, over parameter tables and over aggregates of the data."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import stats as T
+from ..operators import policy as P
+from ..sources import bindings as B
+from . import sql as S
+from .registry import query
+
+
+def _pairs(spark, most: int):
+    """All (k, n) with 0 <= k <= n, 1 <= n <= most."""
+    n = spark.range(1, most + 1).select(F.col("id").alias("n"))
+    return n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("k"))
+
+
+PAIRS = "pairs as (select n, unnest(range(0, n + 1)) as k from range(1, {most} + 1) t(n))"
+
+
+@query(f"with {PAIRS.format(most=30)} select k, n, round({S.wilson('k', 'n')}, 9) as lcb from pairs")
+def wilson_lcb(spark, sf):
+    return _pairs(spark, 30).select("k", "n", F.round(T.wilson_lcb(F.col("k"), F.col("n")), 9).alias("lcb"))
+
+
+@query(f"with s as (select n, {S.wilson('n', 'n')} as top from range(1, 2001) t(n)), w as (select unnest([0.27, 0.42, 0.64, 0.78, 0.9, 0.95, 0.99, 1.0]::double[]) as want) select want, cast(coalesce((select min(n) from s where top >= want), 0) as bigint) as n from w")
+def min_samples_for(spark, sf):
+    """The fewest unanimous samples whose score reaches a target; 0 if none does."""
+    want = spark.createDataFrame([(x,) for x in (0.27, 0.42, 0.64, 0.78, 0.9, 0.95, 0.99, 1.0)], "want double")
+    tops = spark.range(1, 2001).select(F.col("id").alias("n"), T.wilson_lcb(F.col("id"), F.col("id")).alias("top"))
+    return want.join(F.broadcast(tops), F.col("top") >= F.col("want"), "left").groupBy("want").agg(F.coalesce(F.min("n"), F.lit(0)).alias("n"))
+
+
+TAIL = "(select sum(exp(lgamma({n} + 1.0) - lgamma(i + 1.0) - lgamma({n} - i + 1.0) + i * ln({p}) + ({n} - i) * ln(1 - {p}))) from range(cast({lo} as bigint), cast({hi} as bigint) + 1) t(i))"
+
+
+def cdf(k: str, n: str, p: str) -> str:
+    """Binomial tail sum as a join-free list expression."""
+    return f"list_sum(list_transform(range(0, cast({k} as bigint) + 1), lambda i: exp(lgamma({n} + 1.0) - lgamma(i + 1.0) - lgamma({n} - i + 1.0) + i * ln({p}) + ({n} - i) * ln(1 - {p}))))"
+
+
+@query(f"with {PAIRS.format(most=40)}, ps as (select unnest([0.07, 0.23, 0.45, 0.88]::double[]) as p) select k, n, p, round(least(1.0, {cdf('k', 'n', 'p')}), 9) as cdf from pairs, ps")
+def binom_cdf(spark, sf):
+    p = _pairs(spark, 40).withColumn("p", F.explode(F.array(*map(F.lit, (0.07, 0.23, 0.45, 0.88)))))
+    return p.select("k", "n", "p", F.round(F.least(F.lit(1.0), T.binom_cdf(F.col("k"), F.col("n"), F.col("p"))), 9).alias("cdf"))
+
+
+@query(f"""with ns as (select unnest([25, 53, 64, 409]) as n), g as (select n, unnest(range(0, n // 5)) as bad, 0.1::double as alpha from ns), r as (select *, cast(bad as double) / n as risk from g)
+select cast(n as bigint) as n, bad, round(case when risk >= alpha then 1.0 else least(1.0, exp(-n * (case when bad = 0 then 0.0 else risk * ln(risk / alpha) end + (1 - risk) * ln((1 - risk) / (1 - alpha)))), 2.718281828459045 * {cdf('ceil(n * risk)', 'n', 'alpha')}) end, 9) as p from r""")
+def hoeffding_bentkus(spark, sf):
+    g = spark.createDataFrame([(n, bad) for n in (25, 53, 64, 409) for bad in range(n // 5)], "n long, bad long")
+    return g.select("n", "bad", F.round(T.hoeffding_bentkus(F.col("bad") / F.col("n"), F.col("n"), F.lit(0.1)), 9).alias("p"))
+
+
+@query("with a as (select unnest([0.01, 0.05, 0.1, 0.15, 0.2, 0.3]::double[]) as alpha), d as (select unnest([0.05, 0.1]::double[]) as delta) select alpha, delta, cast(ceil(ln(delta) / ln(1 - alpha)) as bigint) as n from a, d")
+def min_calibration_size(spark, sf):
+    g = spark.createDataFrame([(a, b) for a in (0.01, 0.05, 0.1, 0.15, 0.2, 0.3) for b in (0.05, 0.1)], "alpha double, delta double")
+    return g.select("alpha", "delta", T.min_calibration_size(F.col("alpha"), F.col("delta")).alias("n"))
+
+
+@query()
+def clopper_pearson(spark, sf):
+    """Upper bounds at 0.95 of wrong tier-0 answers by score (rows only: the twin would need a root finder)."""
+    o = P.observations(B.records(spark, sf)).where("k = 0")
+    g = o.groupBy(F.round("score", 4).alias("score")).agg(F.count_if(~F.col("truth")).alias("k"), F.count(F.lit(1)).alias("n"))
+    return g.select("score", "k", "n", F.round(T.clopper_pearson_upper(F.col("k"), F.col("n"), F.lit(0.05)), 9).alias("upper"))
+
+
+@query(f"with g as (select b, c from range(0, 26) x(b), range(0, 26) y(c)) select b, c, round(case when b + c = 0 then 1.0 else least(1.0, 2 * {cdf('least(b, c)', '(b + c)', '0.5')}) end * (1 + 1e-11), 9) as p from g")
+def mcnemar_exact(spark, sf):
+    g = spark.range(26).select(F.col("id").alias("b")).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(25).cast("long"))).alias("c"))
+    return g.select("b", "c", F.round(T.mcnemar_exact(F.col("b"), F.col("c")) * (1 + 1e-11), 9).alias("p"))  # powers of two are ties of the rounding: both engines lean up
+
+
+TABLES = [(a, b, c, e) for a in (0, 2, 5, 9) for b in (1, 4, 8) for c in (0, 3, 7) for e in (2, 6, 11)]
+_HYPER = "exp(lgamma(a+b+1.0) - lgamma(x+1.0) - lgamma(a+b-x+1.0) + lgamma(c+e+1.0) - lgamma(a+c-x+1.0) - lgamma(e-a+x+1.0) - lgamma(a+b+c+e+1.0) + lgamma(a+c+1.0) + lgamma(b+e+1.0))"
+_T = "with t(a,b,c,e) as (values " + ",".join(map(str, TABLES)) + f"), x as (select a,b,c,e, unnest(range(greatest(0, a-e), least(a+b, a+c) + 1)) as x from t), h as (select a,b,c,e,x, {_HYPER} as p from x)"
+
+
+@query(f"{_T} select cast(a as bigint) a, cast(b as bigint) b, cast(c as bigint) c, cast(e as bigint) e, round(least(1.0, sum(p) filter (x >= a)), 9) as p from h group by a,b,c,e")
+def fisher_one_sided(spark, sf):
+    t = spark.createDataFrame(TABLES, "a long, b long, c long, e long")
+    return t.withColumn("p", F.round(T.fisher_one_sided(*map(F.col, "abce")), 9))
+
+
+@query(f"{_T}, s as (select a,b,c,e,p as seen from h where x = a) select cast(a as bigint) a, cast(b as bigint) b, cast(c as bigint) c, cast(e as bigint) e, round(least(1.0, sum(p) filter (p <= seen * (1 + 1e-7))), 9) as p from h join s using (a,b,c,e) group by a,b,c,e")
+def fisher_two_sided(spark, sf):
+    t = spark.createDataFrame(TABLES, "a long, b long, c long, e long")
+    return t.withColumn("p", F.round(T.fisher_two_sided(*map(F.col, "abce")), 9))
+
+
+@query("""with s as (select customer.c_mktsegment as seg, o_totalprice as x from orders join customer on o_custkey = c_custkey where c_mktsegment in ('BUILDING','MACHINERY')),
+v as (select x, count(*) as n, count(*) filter (seg='BUILDING') as na from s group by x),
+r as (select *, sum(n) over (order by x) - n + (n + 1) / 2.0 as rank from v),
+t as (select sum(na) as n1, sum(n - na) as n2, sum(na * rank) as r1, sum(cast(n as double)*n*n - n) as ties from r)
+select cast(n1 as bigint) as n1, cast(n2 as bigint) as n2, round(r1 - n1*(n1+1)/2.0, 6) as u, round((r1 - n1*(n1+1)/2.0 - n1*n2/2.0) / sqrt(n1*n2/12.0*((n1+n2+1) - ties/((n1+n2)*(n1+n2-1.0)))), 6) as z from t""")
+def mann_whitney(spark, sf):
+    """U and its normal score with tie correction. Ranks come from counts per value: equal values share their mean rank."""
+    o = B.table(spark, sf, "orders").join(B.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    s = o.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select((F.col("c_mktsegment") == "BUILDING").alias("a"), F.col("o_totalprice").alias("x"))
+    return rank_sum(s, "a", "x")
+
+
+def rank_sum(df, group: str, value: str):
+    """Mann-Whitney figures of a boolean group; values are ranked in buckets of their quantiles, so no task sorts all."""
+    v = df.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(group)).alias("na"))
+    cuts = v.agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
+    v = v.crossJoin(F.broadcast(cuts)).withColumn("b", F.size(F.filter("cuts", lambda c: c <= F.col("x")))).drop("cuts")
+    before = v.groupBy("b").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    w = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = v.withColumn("upto", F.sum("n").over(w)).join(F.broadcast(before.select("b", "before")), "b")  # 64 rows
+    rank = F.col("before") + F.col("upto") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)
+    n = F.col("n").cast("double")
+    t = r.agg(F.sum("na").alias("n1"), F.sum(F.col("n") - F.col("na")).alias("n2"), F.sum(F.col("na") * rank).alias("r1"), F.sum(n * n * n - n).alias("ties"))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    u = F.col("r1") - n1 * (n1 + 1) / 2
+    z = (u - n1 * n2 / 2) / F.sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - F.col("ties") / ((n1 + n2) * (n1 + n2 - 1))))
+    return t.select("n1", "n2", F.round(u, 6).alias("u"), F.round(z, 6).alias("z"))
+
+
+@query("""with n as (select unnest(range(3, 31)) as n), k as (select n, unnest(range(0, n + 1)) as k from n),
+p as (select n, k, exp(lgamma(n+1.0)-lgamma(k+1.0)-lgamma(n-k+1.0) + k*ln(0.2::double) + (n-k)*ln(0.8::double)) as p0, exp(lgamma(n+1.0)-lgamma(k+1.0)-lgamma(n-k+1.0) + k*ln(0.6::double) + (n-k)*ln(0.4::double)) as p1 from k),
+t as (select n, k, sum(p0) over (partition by n order by k desc) as tail0, sum(p1) over (partition by n order by k desc) as tail1 from p)
+select n, cast(min(k) as bigint) as critical, round(max(tail1) filter (k = (select min(k) from t u where u.n = t.n and u.tail0 < 0.05)), 9) as power from t where tail0 < 0.05 group by n""")
+def critical_value(spark, sf):
+    """The least count whose upper tail at rate 0.2 is under 0.05, and the power at rate 0.6."""
+    n = spark.range(3, 31).select(F.col("id").alias("n")).select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("k"))
+    tail = lambda p: 1 - T.binom_cdf(F.col("k") - 1, F.col("n"), F.lit(p))
+    t = n.withColumn("t0", tail(0.2)).where("t0 < 0.05").groupBy("n").agg(F.min("k").alias("k"))
+    return t.select("n", F.col("k").alias("critical"), F.round(tail(0.6), 9).alias("power"))
+
+
+@query(f"{S.OBS} select tier, round(exp(sum(ln(1 - least(score, 0.999)))), 9) as p_zero from (select *, row_number() over (partition by tier order by rec_idx) as r from obs) where r <= 20 group by tier")
+def p_zero(spark, sf):
+    """The chance that none of the first twenty observations of a tier fires, each with its score as its rate."""
+    o = P.observations(B.records(spark, sf).where("rec_idx < 20"))
+    return o.groupBy("tier").agg(F.round(F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999))))), 9).alias("p_zero"))
+
+
+@query(f"{S.OBS}, g as (select tier, avg(cast(not truth as int)) as p from obs group by tier), m as (select unnest([47, 53, 64]) as m) select tier, cast(m as bigint) as m, round(pow(1 - p, m), 9) as p_zero, round(p * m, 9) as expected from g, m")
+def zero_prob(spark, sf):
+    g = P.observations(B.records(spark, sf)).groupBy("tier").agg(F.avg((~F.col("truth")).cast("int")).alias("p"))
+    m = g.withColumn("m", F.explode(F.array(*[F.lit(x).cast("long") for x in (47, 53, 64)])))
+    return m.select("tier", "m", F.round(F.pow(1 - F.col("p"), F.col("m")), 9).alias("p_zero"), F.round(F.col("p") * F.col("m"), 9).alias("expected"))
+
+
+_UP = "list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n+1.0)-lgamma(i+1.0)-lgamma(n-i+1.0) + i*ln({p}) + (n-i)*ln(1-{p}))))"
+
+
+@query(f"with g as (select n, unnest(range(0, n + 1)) as k from range(1, 21) t(n)), d as (select n, k, round({_UP.format(p='0.9')} - {_UP.format(p='0.5')}, 9) as gap from g), r as (select *, row_number() over (partition by n order by gap desc, k) as rn from d) select n, k, gap from r where rn = 1")
+def headroom(spark, sf):
+    """For each sample size the count that best tells a rate of 0.9 from one of 0.5 (first of the best)."""
+    g = _pairs(spark, 20)
+    up = lambda p: 1 - T.binom_cdf(F.col("k") - 1, F.col("n"), F.lit(p))
+    d = g.withColumn("gap", F.round(up(0.9) - up(0.5), 9))
+    return d.groupBy("n").agg(F.max_by(F.struct("k", "gap"), F.struct(F.col("gap"), -F.col("k"))).alias("b")).select("n", "b.k", "b.gap")
+
+
+@query(f"with {S.TIERS}, c as (select conv_id, cast(sum(case when role <> 'assistant' then strlen(text) // 4 else 0 end) as bigint) as tin, cast(sum(case when role = 'assistant' then strlen(text) // 4 else 0 end) as bigint) as tout from conversations group by conv_id) select conv_id, tier, round(tin / 1e6 * in_price + tout / 1e6 * out_price, 9) as usd from c, tiers")
+def token_cost(spark, sf):
+    c = _calls(spark, sf).crossJoin(F.broadcast(B.tiers(spark)))  # three rows
+    return c.select("conv_id", "tier", F.round(F.col("tin") / 1e6 * F.col("in_price") + F.col("tout") / 1e6 * F.col("out_price"), 9).alias("usd"))
+
+
+def _calls(spark, sf):
+    c = B.table(spark, sf, "conversations").select("conv_id", "role", F.expr("octet_length(text) div 4").alias("tokens"))
+    out = F.col("role") == "assistant"
+    return c.groupBy("conv_id").agg(F.sum(F.when(out, 0).otherwise(F.col("tokens"))).alias("tin"), F.sum(F.when(out, F.col("tokens")).otherwise(0)).alias("tout"))
+
+
+@query("select conv_id, turn, cast(strlen(text) // 4 as bigint) as tokens from conversations")
+def token_estimate(spark, sf):
+    return B.table(spark, sf, "conversations").select("conv_id", "turn", F.expr("octet_length(text) div 4").alias("tokens"))
+
+
+@query(f"with {S.TIERS}, c as (select k, tier, samples * out_price as cost, lead(samples * out_price) over (order by k) as next from tiers), d as (select unnest([0, 1, 2]) as depth) select cast(k as integer) as k, cast(depth as integer) as depth, case when depth = 0 then false when next is null then true else 0.45 / (out_rep) > 0.35 / next end as repair from (select c.*, d.depth, cost / 2.0 as out_rep from c, d)")
+def prefer_repair(spark, sf):
+    """Whether another repair beats escalating: chance per cost, repair at half the tier's cost; depth 0 never, last tier always."""
+    t = B.tiers(spark).withColumn("cost", F.col("samples") * F.col("out_price"))
+    t = t.withColumn("next", F.lead("cost").over(Window.orderBy("k"))).withColumn("depth", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))  # the tier dimension
+    return t.select("k", "depth", F.when(F.col("depth") == 0, False).when(F.col("next").isNull(), True).otherwise(0.45 / (F.col("cost") / 2.0) > 0.35 / F.col("next")).alias("repair"))
+
+
+@query(f"with {S.TIERS} select cast(k as integer) as k, case k when 0 then 0.7::double when 1 then 0.5::double else 0.5::double end as tau from tiers")
+def effective_tau(spark, sf):
+    """A given vector, else the prior 0.6 at the first tier and 0.5 after it."""
+    given = F.array(F.lit(0.7))
+    prior = F.when(F.col("k") == 0, 0.6).otherwise(0.5)
+    return B.tiers(spark).select("k", F.coalesce(F.get(given, F.col("k")), prior).alias("tau"))
+
+
+@query(f"with {S.TIERS}, w as (select {S.wilson('samples', 'samples')} as top from tiers) select round(max(top), 9) as attainable, round(min(top), 9) as admit, floor(min(top) * 1000) / 1000 as suggested from w")
+def admit_score(spark, sf):
+    t = B.tiers(spark).select(T.wilson_lcb(F.col("samples"), F.col("samples")).alias("top"))
+    return t.agg(F.round(F.max("top"), 9).alias("attainable"), F.round(F.min("top"), 9).alias("admit"), (F.floor(F.min("top") * 1000) / F.lit(1000.0)).alias("suggested"))
+
+
+@query("select o_orderkey as id from orders where cast('0x' || substr(sha256(cast(o_orderkey as varchar)), 1, 6) as bigint) % 1000 < 50")
+def shadow_sample(spark, sf):
+    """A twentieth of the problems bypasses the cache, drawn by a hash of the id, so a retry draws the same."""
+    o = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return o.where(F.conv(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 6), 16, 10).cast("long") % 1000 < 50)
+
+
+@query(f"{S.OBS} select rec_idx, k, round((1 + rec_idx % 7) * 0.5 * 0.0001, 9) as usd from obs")
+def compute_cost(spark, sf):
+    o = P.observations(B.records(spark, sf))
+    return o.select("rec_idx", "k", F.round((1 + F.col("rec_idx") % 7) * F.lit(0.5) * F.lit(0.0001), 9).alias("usd"))
+
+
+@query(f"select valid, realized_risk, alpha, valid and realized_risk > alpha + 1e-9 as nominal_only from ({S.certificate(0.2, 0.1)})")
+def nominal_flag(spark, sf):
+    return P.calibrate(B.records(spark, sf), 0.2, 0.1).select("valid", "realized_risk", "alpha", "nominal_only")
+
+
+@query("select i as stage, ['V0:parse','V1:imports','V2:typecheck','V3:build','V4:vet','V5:visible','V6:race','V7:held-out','VA:accept'][i + 1] as name from range(9) t(i)")
+def stage_names(spark, sf):
+    names = F.array(*map(F.lit, ("V0:parse", "V1:imports", "V2:typecheck", "V3:build", "V4:vet", "V5:visible", "V6:race", "V7:held-out", "VA:accept")))
+    return spark.range(9).select(F.col("id").alias("stage"), F.get(names, F.col("id").cast("int")).alias("name"))
+
+
+@query("""with f as (select o_orderstatus as fam, o_orderpriority as pri, count(*) filter (o_orderkey % 3 = 0 and o_orderkey % 2 = 0) a, count(*) filter (o_orderkey % 3 = 0 and o_orderkey % 2 = 1) b,
+count(*) filter (o_orderkey % 3 <> 0 and o_orderkey % 2 = 0) c, count(*) filter (o_orderkey % 3 <> 0 and o_orderkey % 2 = 1) d from orders group by 1, 2)
+select fam, pri, cast(a as bigint) both_wrong, cast(b as bigint) only_first, cast(c as bigint) only_second, cast(d as bigint) both_right, round((a + b) * (a + c) / cast(a + b + c + d as double), 9) as expected from f""")
+def cross_family_check(spark, sf):
+    o, x, y = B.table(spark, sf, "orders"), F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 2 == 0
+    f = o.groupBy(F.col("o_orderstatus").alias("fam"), F.col("o_orderpriority").alias("pri")).agg(
+        F.count_if(x & y).alias("both_wrong"), F.count_if(x & ~y).alias("only_first"), F.count_if(~x & y).alias("only_second"), F.count_if(~x & ~y).alias("both_right")
+    )
+    a, b, c, e = (F.col(n) for n in ("both_wrong", "only_first", "only_second", "both_right"))
+    return f.withColumn("expected", F.round((a + b) * (a + c) / (a + b + c + e).cast("double"), 9))
+
+
+@query(f"""{S.OBS}, i as (select rec_idx, cast(rec_idx % 10 as bigint) as family, correct from obs where k=0) select a.family as fam_a, b.family as fam_b, cast(count(*) as bigint) as n, cast(count(*) filter (a.correct = b.correct) as bigint) as agree
+from i a join i b on a.rec_idx // 10 = b.rec_idx // 10 and a.family < b.family group by 1, 2 having count(*) >= 15""")
+def cross_family_pairs(spark, sf):
+    """Pairs of families over the ids they share; at least fifteen."""
+    t0 = F.get(F.col("tiers"), F.lit(0))["correct"]
+    i = B.records(spark, sf).select((F.col("rec_idx") % 10).alias("family"), F.expr("rec_idx div 10").alias("id"), t0.alias("correct"))
+    a = i.select("id", F.col("family").alias("fam_a"), F.col("correct").alias("ca"))
+    b = i.select("id", F.col("family").alias("fam_b"), F.col("correct").alias("cb"))
+    j = a.join(b, "id").where("fam_a < fam_b")
+    return j.groupBy("fam_a", "fam_b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("agree")).where("n >= 15")

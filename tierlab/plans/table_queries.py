@@ -1 +1,364 @@
-"""Queries (follow)."""
+"""Queries of scans, lookups, clusters, budgets, sweeps and small table operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import stats as T
+from ..functions import text as X
+from ..operators import clusters as C
+from ..operators import ordering as O
+from ..operators import policy as P
+from ..operators import sweep as W
+from ..sources import bindings as B
+from ..sources import files as L
+from . import sql as S
+from .registry import query
+
+TAU = [0.4, 0.3]
+
+
+@query(f"{S.OBS} select rec_idx, k, tier, round(score, 9) as score, correct, true_correct, cost from obs")
+def scan_records(spark, sf):
+    """Records written as JSON and parsed with the explicit schema: absent labels stay null, numbers keep their type."""
+    text = B.records(spark, sf).select(F.to_json(F.struct("*")).alias("value"))
+    return P.observations(L.parse_records(text)).select("rec_idx", "k", "tier", F.round("score", 9).alias("score"), "correct", "true_correct", "cost")
+
+
+@query("select case when o_orderkey % 5 = 0 then 'p' || lpad(cast(o_orderkey + 1 as varchar), cast(greatest(3, length(cast(o_orderkey + 1 as varchar))) as integer), '0') else 'q' || o_orderkey end as id, o_orderstatus as problem from orders where o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0")
+def scan_problems_jsonl(spark, sf):
+    """JSON lines: blank lines and // comments are skipped, a missing id comes from the physical line number."""
+    k = F.col("o_orderkey")
+    body = F.when(k % 5 == 0, F.to_json(F.struct(F.col("o_orderstatus").alias("problem")))).otherwise(F.to_json(F.struct(F.concat(F.lit("q"), k.cast("string")).alias("id"), F.col("o_orderstatus").alias("problem"))))
+    line = F.when(k % 7 == 0, "  ").when(k % 11 == 0, F.concat(F.lit("// "), body)).otherwise(body)
+    return L.parse_problems(B.table(spark, sf, "orders").select((k + 1).alias("line_no"), line.alias("value")))
+
+
+@query("select o_orderkey as id, 'orders' as source from orders union all select c_custkey, 'customer' from customer")
+def scan_parquet(spark, sf):
+    o = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("orders").alias("source"))
+    return o.unionByName(B.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("source")))
+
+
+@query("select 1 as batch, o_orderkey as id from orders where o_orderstatus = 'F' union all select 2, o_orderkey from orders where o_orderstatus <> 'F' or o_orderkey % 2 = 0")
+def union_all(spark, sf):
+    o = B.table(spark, sf, "orders")
+    one = o.where("o_orderstatus = 'F'").select(F.lit(1).alias("batch"), F.col("o_orderkey").alias("id"))
+    return one.unionByName(o.where("o_orderstatus <> 'F' or o_orderkey % 2 = 0").select(F.lit(2).alias("batch"), F.col("o_orderkey").alias("id")))
+
+
+@query("select o_orderkey as id from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
+def resume_antijoin(spark, sf):
+    done = B.table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    return B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).join(done, "id", "left_anti")
+
+
+@query("select o_orderkey as id from orders where o_orderkey in (select l_orderkey from lineitem where l_linestatus = 'O')")
+def semi_refs(spark, sf):
+    refs = B.table(spark, sf, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("id"))
+    return B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).join(refs, "id", "left_semi")
+
+
+@query("select user_id, event_type, max(event_id) as event_id, arg_max(value, event_id) as value from events group by user_id, event_type")
+def cache_upsert_latest(spark, sf):
+    return B.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
+
+
+@query("select 'solutions' as layer, cast(count(*) as bigint) as n from documents union all select 'specs', count(*) from benchmark union all select 'failures', count(*) from events where event_type = 'error'")
+def cache_stats(spark, sf):
+    d = B.table(spark, sf, "documents").select(F.lit("solutions").alias("layer")).unionAll(B.table(spark, sf, "benchmark").select(F.lit("specs")))
+    return d.unionAll(B.table(spark, sf, "events").where("event_type = 'error'").select(F.lit("failures"))).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select l_orderkey as id, l_linenumber as line, cast(count(*) as bigint) as n from lineitem group by 1, 2 having count(*) > 1")
+def dup_id_check(spark, sf):
+    return B.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("select p_name as name from part where contains(p_name, 'ring') union all select s_name from supplier where contains(s_name, '7')")
+def catalog_union_filter(spark, sf):
+    p = B.table(spark, sf, "part").where(F.col("p_name").contains("ring")).select(F.col("p_name").alias("name"))
+    return p.unionAll(B.table(spark, sf, "supplier").where(F.col("s_name").contains("7")).select("s_name"))
+
+
+@query("select o_orderkey as id, o_custkey % 5 = o_orderkey % 4 or o_custkey % 3 = o_orderkey % 4 or o_custkey % 7 = o_orderkey % 4 as contaminated from orders")
+def contamination(spark, sf):
+    """The oracle's id equals the coder's, the tier planner's or the global planner's."""
+    c, oracle = F.col("o_custkey"), F.col("o_orderkey") % 4
+    return B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), ((c % 5 == oracle) | (c % 3 == oracle) | (c % 7 == oracle)).alias("contaminated"))
+
+
+@query("with t(k, tier, samples, price) as (values (0,'small',5,1),(1,'mid',0,3),(2,'large',1,2)), l as (select *, lag(price) over (order by k) as before from t) select tier, 'samples' as violation from l where samples < 1 union all select tier, 'order' from l where price < before")
+def validate_tiers(spark, sf):
+    """Violations of a configuration: too few samples, prices that fall (the tier dimension is a handful of rows)."""
+    t = spark.createDataFrame([(0, "small", 5, 1), (1, "mid", 0, 3), (2, "large", 1, 2)], "k int, tier string, samples int, price int")
+    before = F.lag("price").over(Window.orderBy("k"))
+    found = F.array_compact(F.array(F.when(F.col("samples") < 1, "samples"), F.when(F.col("price") < before, "order")))
+    return t.select("tier", found.alias("f")).select("tier", F.explode("f").alias("violation"))
+
+
+@query("select o_orderkey as id, l_linenumber as step, cast(l_quantity as bigint) as cost, l_returnflag = 'A' and o_orderstatus = 'F' as correct from orders join lineitem on l_orderkey = o_orderkey where l_linestatus = 'O'")
+def trace_to_record(spark, sf):
+    """Steps of a trace without the untiered ones; right if the step accepted and the run was solved."""
+    t = B.table(spark, sf, "lineitem").where("l_linestatus = 'O'").join(B.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return t.select(F.col("o_orderkey").alias("id"), F.col("l_linenumber").alias("step"), F.col("l_quantity").cast("long").alias("cost"), ((F.col("l_returnflag") == "A") & (F.col("o_orderstatus") == "F")).alias("correct"))
+
+
+@query("select o_orderkey as id, c_acctbal as budget, c_custkey is null as skipped from orders left join customer on o_custkey = c_custkey and c_acctbal > 0")
+def budget_lookup(spark, sf):
+    b = B.table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("budget"))
+    return B.table(spark, sf, "orders").join(b, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), "budget", F.col("budget").isNull().alias("skipped"))
+
+
+@query(f"{S.OBS} select rec_idx, o.k, round(cast(o.cost as double) / samples, 9) as unit from obs o")
+def unit_cost(spark, sf):
+    t = B.tiers(spark).select("tier", "samples")
+    return P.observations(B.records(spark, sf)).join(F.broadcast(t), "tier").select("rec_idx", "k", F.round(F.col("cost").cast("double") / F.col("samples"), 9).alias("unit"))
+
+
+_CL = f"""{S.CANDIDATES}, g as (select problem_id, behaviour, count(*) as size, bool_and(verified) as verified, arg_min(idx, (complexity * 1000 + bytes // 100) * 10000000 + idx) as representative from cand group by 1, 2),
+cl as (select *, sum(size) over (partition by problem_id) as total from g), rk as (select *, row_number() over (partition by problem_id order by verified desc, size desc, behaviour) as place from cl)"""
+
+
+@query(f"{_CL} select problem_id, behaviour, cast(size as bigint) as size, verified, round(cast(size as double) / cast(total as double), 9) as mass from cl")
+def behaviour_clusters(spark, sf):
+    return C.clusters(B.candidates(spark, sf)).select("problem_id", "behaviour", "size", "verified", F.round("mass", 9).alias("mass"))
+
+
+@query(f"{_CL} select problem_id, behaviour, representative from cl")
+def cluster_representative(spark, sf):
+    return C.clusters(B.candidates(spark, sf)).select("problem_id", "behaviour", "representative")
+
+
+@query(f"{_CL} select problem_id, behaviour, place from rk")
+def cluster_rank(spark, sf):
+    return C.ranked(C.clusters(B.candidates(spark, sf))).select("problem_id", "behaviour", "place")
+
+
+@query(f"{_CL} select problem_id, round(case when verified then {S.wilson('size', 'total')} else 0.0 end, 9) as score, case when verified then representative end as representative from rk where place = 1")
+def routing_score(spark, sf):
+    r = C.routing_score(C.clusters(B.candidates(spark, sf)))
+    return r.select("problem_id", F.round("score", 9).alias("score"), "representative")
+
+
+@query(f"""{S.CANDIDATES}, g as (select problem_id, trim(regexp_replace(source, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) as t, count(*) as votes, min(idx) as winner from cand group by 1, 2),
+r as (select *, row_number() over (partition by problem_id order by votes desc, winner) as p, sum(votes) over (partition by problem_id) as total from g)
+select problem_id, winner, cast(votes as bigint) as votes, round(cast(votes as double) / cast(total as double), 9) as mass from r where p = 1""")
+def text_vote(spark, sf):
+    v = C.text_vote(B.candidates(spark, sf), X.raw_text_key(F.col("source")))
+    return v.select("problem_id", "winner", "votes", F.round("mass", 9).alias("mass"))
+
+
+@query("select user_id, event_id, case when event_type = 'signup' then 'nil' when event_type = 'error' then 'refuted:' || (event_id % 9) else 'ok:' || substr(sha256('TestA=' || (event_type = 'view') || ';TestB=' || (event_id % 2 = 0) || ';'), 1, 16) end as key from events")
+def behaviour_key(spark, sf):
+    tests = F.create_map(F.lit("TestB"), F.col("event_id") % 2 == 0, F.lit("TestA"), F.col("event_type") == "view")
+    ok = F.when(F.col("event_type") != "signup", F.col("event_type") != "error")
+    return B.table(spark, sf, "events").select("user_id", "event_id", X.behaviour_key(ok, F.col("event_id") % 9, tests).alias("key"))
+
+
+@query("select user_id as problem_id, arg_max(event_id, (event_id % 9) * 100000000 - event_id) as idx from events where event_type = 'error' group by 1")
+def best_refuted(spark, sf):
+    """The refuted candidate that got furthest; the first on ties."""
+    e = B.table(spark, sf, "events").where("event_type = 'error'")
+    return e.groupBy(F.col("user_id").alias("problem_id")).agg(F.max_by("event_id", F.struct(F.col("event_id") % 9, -F.col("event_id"))).alias("idx"))
+
+
+@query("with f as (select user_id, props as hash, min(event_id) as first from events group by 1, 2), r as (select *, row_number() over (partition by user_id order by first desc) as n from f) select user_id, hash, first from r where n <= 64")
+def bounded_failures(spark, sf):
+    """Distinct failures of a problem, first seen wins; the 64 latest stay (the bound is the feature)."""
+    f = B.table(spark, sf, "events").groupBy("user_id", F.col("props").alias("hash")).agg(F.min("event_id").alias("first"))
+    return f.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("first")))).where("n <= 64").drop("n")
+
+
+@query("with s as (select user_id, count(*) as seeds from events group by 1), l as (select user_id, level, case when level = 'none' then 0 else seeds end as judged, seeds, case level when 'strict' then 0 when 'permissive' then seeds // 3 else 7 end as false_accept from s, (values ('strict'),('permissive'),('none')) v(level)) select level, cast(sum(judged) as bigint) as judged, cast(sum(false_accept) as bigint) as false_accept from l where seeds > 60 and level <> 'none' group by level")
+def seeded_tally(spark, sf):
+    """Judged and falsely accepted by level over nested rows; rows without seeds and unknown levels don't count."""
+    n = F.col("seeds")
+    level = lambda name, judged, wrong: F.struct(F.lit(name).alias("level"), judged.cast("long").alias("judged"), wrong.cast("long").alias("false_accept"))
+    s = B.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("seeds"))
+    nested = s.withColumn("seeds", F.when(n > 60, n).otherwise(0)).withColumn("levels", F.array(level("strict", n, F.lit(0)), level("permissive", n, F.expr("seeds div 3")), level("none", F.lit(0), F.lit(7))))
+    flat = nested.where("seeds > 0").select(F.explode("levels").alias("l")).select("l.*").where(F.col("level").isin("strict", "balanced", "permissive"))
+    return flat.groupBy("level").agg(F.sum("judged").alias("judged"), F.sum("false_accept").alias("false_accept"))
+
+
+@query("with s as (select user_id, count(*) as seeds, count(*) filter (event_type <> 'error') as judged from events group by 1) select user_id, seeds = 0 or judged = seeds or user_id % 2 = 0 and judged >= 0 and seeds = judged as complete from s")
+def seeded_complete(spark, sf):
+    s = B.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("seeds"), F.count_if(F.col("event_type") != "error").alias("judged"))
+    levels = F.array(F.struct(F.col("judged").alias("j")), F.struct(F.col("seeds").alias("j")))
+    return s.select("user_id", ((F.col("seeds") == 0) | F.forall(levels, lambda x: x["j"] == F.col("seeds"))).alias("complete"))
+
+
+_EST = "with e as (select d.doc_id, quality = 1 as canonical, toxic = 0 as ran, case when d.doc_id % 9 = 0 then null else (d.doc_id % 11) / 10.0::double end as m from documents d join labels using (doc_id)), f as (select *, not canonical as fa from e where ran)"
+
+
+@query(f"{_EST} select cast(count(*) as bigint) as n, cast(count(*) filter (fa) as bigint) as false_accepts, cast(count(*) filter (m >= 0.9) as bigint) as n_high, cast(count(*) filter (m >= 0.9 and fa) as bigint) as fa_high, cast(count(*) filter (m < 0.9) as bigint) as n_low, cast(count(*) filter (m < 0.9 and fa) as bigint) as fa_low, cast(count(*) filter (m is null) as bigint) as n_undefined from f")
+def estimator_summary(spark, sf):
+    d = B.table(spark, sf, "documents").select("doc_id").join(B.table(spark, sf, "labels"), "doc_id").where("toxic = 0")
+    m, fa = F.when(F.col("doc_id") % 9 != 0, (F.col("doc_id") % 11) / F.lit(10.0)), F.col("quality") != 1
+    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if(fa).alias("false_accepts"), F.count_if(m >= 0.9).alias("n_high"), F.count_if((m >= 0.9) & fa).alias("fa_high"), F.count_if(m < 0.9).alias("n_low"), F.count_if((m < 0.9) & fa).alias("fa_low"), F.count_if(m.isNull()).alias("n_undefined"))
+
+
+@query(f"""{S.replay(*TAU)}, f as (select o.tier, cast(r.cost as double) as budget, cast(o.cost as double) / o.samples as unit from rep r join obs o on o.rec_idx = r.rec_idx where not r.cache_hit),
+g as (select *, cast(floor(budget / unit) as bigint) as fanout from f), q as (select *, row_number() over (partition by tier order by fanout) as p, count(*) over (partition by tier) as m from g)
+select tier, cast(max(m) as bigint) as n, round(avg(budget), 9) as mean_budget, round(avg(unit), 9) as mean_unit, max(fanout) filter (p = m // 2 + 1) as median, max(fanout) filter (p = m // 10 + 1) as p10, max(fanout) filter (p = 9 * m // 10 + 1) as p90, cast(count(*) filter (fanout < 3) as bigint) as degenerate from q group by tier""")
+def sc_feasibility(spark, sf):
+    """What the cascade's spend buys as samples of one tier; quantiles are positional, from counts per fan-out."""
+    r = B.records(spark, sf).where(~F.col("cache_hit"))
+    tau = F.array(*[F.lit(t) for t in TAU])
+    spent = P.spend(F.col("tiers"), P.accepted_at(F.col("tiers"), tau)).cast("double")
+    o = r.select(spent.alias("budget"), F.explode("tiers").alias("t")).select("budget", "t.tier", "t.cost").join(F.broadcast(B.tiers(spark).select("tier", "samples")), "tier")
+    o = o.withColumn("unit", F.col("cost").cast("double") / F.col("samples")).withColumn("fanout", F.coalesce(F.floor(F.try_divide("budget", "unit")), F.lit(0)))
+    c = o.groupBy("tier", "fanout").agg(F.count(F.lit(1)).alias("c"), F.sum("budget").alias("b"), F.sum("unit").alias("u"))
+    w = Window.partitionBy("tier").orderBy("fanout")
+    c = c.withColumn("upto", F.sum("c").over(w)).withColumn("m", F.sum("c").over(Window.partitionBy("tier")))
+    at = lambda p: F.min(F.when(F.col("upto") > p, F.col("fanout")))
+    n = F.max("m")
+    return c.groupBy("tier").agg(n.alias("n"), F.round(F.sum("b") / n, 9).alias("mean_budget"), F.round(F.sum("u") / n, 9).alias("mean_unit"), at(F.expr("m div 2")).alias("median"), at(F.expr("m div 10")).alias("p10"), at(F.expr("9 * m div 10")).alias("p90"), F.coalesce(F.sum(F.when(F.col("fanout") < 3, F.col("c"))), F.lit(0)).alias("degenerate"))
+
+
+@query(f"{S.replay(*TAU)} select rec_idx as id, cost as budget from rep where not cache_hit")
+def sc_budgets(spark, sf):
+    tau = F.array(*[F.lit(t) for t in TAU])
+    r = B.records(spark, sf).where(~F.col("cache_hit"))
+    return r.select(F.col("rec_idx").alias("id"), P.spend(F.col("tiers"), P.accepted_at(F.col("tiers"), tau)).cast("long").alias("budget"))
+
+
+@query("with s as (select l_quantity as v, row_number() over (order by l_quantity) - 1 as p, count(*) over () as n from lineitem) select cast(max(n) as bigint) as n, max(v) filter (p = n // 2) as median, max(v) filter (p = n // 10) as p10, max(v) filter (p = 9 * n // 10) as p90 from s")
+def positional_quantiles(spark, sf):
+    return O.value_at(B.table(spark, sf, "lineitem"), "l_quantity", {"median": F.expr("n div 2"), "p10": F.expr("n div 10"), "p90": F.expr("9 * n div 10")})
+
+
+@query("with m as (select l_returnflag, quantile_cont(l_extendedprice, 0.5) as med from lineitem group by 1) select l_returnflag, round(med, 6) as median, cast(count(*) filter (l_extendedprice > 2 * med) as bigint) as over from lineitem join m using (l_returnflag) group by 1, 2")
+def median_excess(spark, sf):
+    """The interpolated median of each group and how many exceed twice it."""
+    l = B.table(spark, sf, "lineitem")
+    m = l.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.5).alias("med"))
+    return l.join(F.broadcast(m), "l_returnflag").groupBy("l_returnflag", F.round("med", 6).alias("median")).agg(F.count_if(F.col("l_extendedprice") > 2 * F.col("med")).alias("over"))
+
+
+@query(f"""{_CL}, v as (select problem_id, max(votes) as v from (select problem_id, source, count(*) as votes from cand group by 1, 2) group by 1)
+select cast(count(*) as bigint) as n, cast(count(*) filter (verified) as bigint) as answered, cast(count(*) filter (not verified) as bigint) as abstained, cast(count(*) filter (verified and v >= 2) as bigint) as both, cast(sum(total) as bigint) as fanout from rk join v using (problem_id) where place = 1""")
+def sc_summary(spark, sf):
+    """Paired counts where both selectors answer, abstentions on their own denominator."""
+    c = B.candidates(spark, sf)
+    top = C.ranked(C.clusters(c)).where("place = 1")
+    votes = c.groupBy("problem_id", "source").agg(F.count(F.lit(1)).alias("votes")).groupBy("problem_id").agg(F.max("votes").alias("v"))
+    j = top.join(votes, "problem_id")
+    return j.agg(F.count(F.lit(1)).alias("n"), F.count_if("verified").alias("answered"), F.count_if(~F.col("verified")).alias("abstained"), F.count_if(F.col("verified") & (F.col("v") >= 2)).alias("both"), F.sum("total").alias("fanout"))
+
+
+@query("select user_id, cast(count(*) filter (event_type <> 'signup') as bigint) as valid, cast(count(*) filter (event_type = 'error') as bigint) as killed, round(cast(count(*) filter (event_type = 'error') as double) / nullif(count(*) filter (event_type <> 'signup'), 0), 9) as score from events group by user_id")
+def mutation_score(spark, sf):
+    e = B.table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "signup").alias("valid"), F.count_if(F.col("event_type") == "error").alias("killed"))
+    return e.withColumn("score", F.round(F.try_divide(F.col("killed").cast("double"), F.col("valid")), 9))
+
+
+@query("with d as (select l_orderkey as id, avg(l_quantity) as mean, avg(cast(l_returnflag = 'A' as int)) as a from lineitem group by 1) select id, round(mean, 9) as mean, a >= 0.5 as majority from d")
+def dedupe_draws(spark, sf):
+    """One row an id before testing: the mean and the majority of its draws."""
+    l = B.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"))
+    return l.agg(F.round(F.avg("l_quantity"), 9).alias("mean"), (F.avg((F.col("l_returnflag") == "A").cast("int")) >= 0.5).alias("majority"))
+
+
+@query("with s as (select p_brand || '/' || p_size as sig, count(*) as n from part group by 1) select sig, cast(n as bigint) as n, cast(n * (n - 1) as bigint) as transfers from s where n > 1")
+def sig_groups(spark, sf):
+    s = B.table(spark, sf, "part").groupBy(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("sig")).agg(F.count(F.lit(1)).alias("n"))
+    return s.where("n > 1").withColumn("transfers", F.col("n") * (F.col("n") - 1))
+
+
+@query("select a.p_partkey as donor, b.p_partkey as recipient from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_type = b.p_type and a.p_partkey <> b.p_partkey")
+def same_sig_transfers(spark, sf):
+    """Donor and recipient of equal signature: the pairs are the result, so signatures must be narrow."""
+    p = B.table(spark, sf, "part").select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), "p_type").alias("sig"))
+    a, b = p.select("sig", F.col("p_partkey").alias("donor")), p.select("sig", F.col("p_partkey").alias("recipient"))
+    return a.join(b, "sig").where("donor <> recipient").select("donor", "recipient")
+
+
+@query("select distinct least(l_partkey % 50, l_suppkey % 50) as a, greatest(l_partkey % 50, l_suppkey % 50) as b from lineitem")
+def unordered_pairs(spark, sf):
+    x, y = F.col("l_partkey") % 50, F.col("l_suppkey") % 50
+    return B.table(spark, sf, "lineitem").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+@query("with n as (select count(*) as n from orders), w as (select distinct cast(i * n // 100 as bigint) as p from range(100) t(i), n), r as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as p from orders) select o_orderkey as id from r join w using (p)")
+def even_sample(spark, sf):
+    """A hundred rows, evenly spaced by place (a sampling operator)."""
+    o = B.table(spark, sf, "orders").select("o_orderkey")
+    n = o.count()
+    placed = O.stable_rank(o, {}, "o_orderkey", "p")
+    wanted = spark.range(100).select(F.expr(f"id * {n} div 100").alias("p")).distinct()
+    return placed.join(F.broadcast(wanted), "p").select(F.col("o_orderkey").alias("id"))
+
+
+_USE = f"{S.OBS}, base as (select *, score >= 0.4 as served, cast('0x' || substr(sha256('draw-' || rec_idx), 1, 3) as bigint) as draw from obs where k = 0 and not contaminated and not oracle_unsound), n as (select count(*) as n from base)"
+
+
+def _absorbed(order: str, rho: float) -> str:
+    return f"{_USE}, r as (select rec_idx, row_number() over (order by {order}, rec_idx) - 1 as p from base) select rec_idx from r, n where p >= least(round({rho} * n), n - 1)"
+
+
+@query(_absorbed("truth desc, score desc", 0.4))
+def absorb_easy_first(spark, sf):
+    return W.residuals(W.with_places(P.usable(B.records(spark, sf)), TAU[0]), ["easy-first"], [0.4]).select("rec_idx")
+
+
+@query(_absorbed("served desc, score desc", 0.4))
+def absorb_cheap_accept(spark, sf):
+    return W.residuals(W.with_places(P.usable(B.records(spark, sf)), TAU[0]), ["cheap-accept"], [0.4]).select("rec_idx")
+
+
+@query(_absorbed("draw", 0.4))
+def absorb_uniform(spark, sf):
+    return W.residuals(W.with_places(P.usable(B.records(spark, sf)), TAU[0]), ["uniform"], [0.4]).select("rec_idx")
+
+
+@query(f"{_USE}, r as (select rec_idx, row_number() over (order by draw, rec_idx) - 1 as p from base) select rec_idx from r, n where p < greatest(1, round(0.2 * n))")
+def shadow_draw(spark, sf):
+    """A fifth of the records, at least one, drawn by a hash."""
+    placed = W.with_places(P.usable(B.records(spark, sf)), TAU[0])
+    n = placed.count()
+    return placed.where(F.col("uniform") < max(1, int(0.2 * n + 0.5))).select("rec_idx")
+
+
+PATTERNS, RHOS = ["easy-first", "cheap-accept", "uniform"], [0.0, 0.2, 0.4, 0.6]
+_SWEEP = S.grid_points("rec_idx in (select rec_idx from cells c where c.cell = g.cell)")
+
+
+@query()
+def absorption_sweep(spark, sf):
+    """All patterns and shares in one plan (rows only: its parts, ranks, risks and certificates, have twins of their own)."""
+    return W.absorption_sweep(B.records(spark, sf), PATTERNS, RHOS, 0.2, 0.1, TAU)
+
+
+@query()
+def absorption_sig(spark, sf):
+    """Selective cells whose gap exceeds the largest gap of the uniform cells."""
+    s = W.absorption_sweep(B.records(spark, sf), PATTERNS, RHOS, 0.2, 0.1, TAU)
+    top = s.where("pattern = 'uniform' and certified").agg(F.max(F.abs("risk_gap")).alias("envelope"))
+    return s.where("pattern <> 'uniform'").crossJoin(F.broadcast(top)).select("pattern", "rho", "risk_gap", "envelope", (F.col("certified") & (F.abs("risk_gap") > F.col("envelope"))).alias("significant"))
+
+
+@query()
+def null_envelope(spark, sf):
+    """Largest and mean absolute gap over the certified uniform cells, and where the largest is."""
+    s = W.absorption_sweep(B.records(spark, sf), ["uniform"], RHOS[1:], 0.2, 0.1, TAU).where("certified")
+    return s.agg(F.count(F.lit(1)).alias("n_draws"), F.max(F.abs("risk_gap")).alias("max_abs_gap"), F.round(F.avg(F.abs("risk_gap")), 9).alias("mean_abs_gap"), F.max_by("rho", F.abs("risk_gap")).alias("max_at_rho"))
+
+
+@query(f"{S.OBS}, w as (select bool_or(truth) filter (k = 0) as first_right, max(score) filter (k = 0) as score from obs group by rec_idx), v as (select score as x, count(*) as n, count(*) filter (first_right) as na from w group by score), r as (select *, sum(n) over (order by x) - n + (n + 1) / 2.0 as rank from v) select cast(sum(na) as bigint) as n1, cast(sum(n - na) as bigint) as n2, round(sum(na * rank) - sum(na) * (sum(na) + 1) / 2.0, 6) as u from r")
+def stopping_signal(spark, sf):
+    """Does the tier-0 score tell right from wrong: Mann-Whitney U over records."""
+    from .stat_queries import rank_sum
+
+    r = W.tier0(B.records(spark, sf)).select(F.col("t0_right").alias("g"), F.col("t0_score").alias("x"))
+    return rank_sum(r, "g", "x").select("n1", "n2", "u")
+
+
+@query("select o_orderkey as id, case when o_orderkey % 4 = 0 then 'inconclusive' when o_orderkey % 3 = 0 then 'unsound' when o_orderkey % 5 = 0 then 'inconclusive' else 'sound' end as verdict from orders")
+def oracle_verdict(spark, sf):
+    """From stage outcomes: no build or a timeout is inconclusive, a reference that fails its own tests is unsound."""
+    k = F.col("o_orderkey")
+    s = B.table(spark, sf, "orders").select(k.alias("id"), F.struct((k % 4 != 0).alias("built"), (k % 3 != 0).alias("passed"), (k % 5 == 0).alias("timed_out")).alias("r"))
+    v = F.when(~F.col("r.built"), "inconclusive").when(~F.col("r.passed"), "unsound").when(F.col("r.timed_out"), "inconclusive").otherwise("sound")
+    return s.select("id", v.alias("verdict"))

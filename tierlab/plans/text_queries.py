@@ -1 +1,210 @@
-"""Queries (follow)."""
+"""Queries of the text functions and of similarity retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import similarity as M
+from ..sources import bindings as B
+from . import sql as S
+from .registry import query
+
+NORM = r"lower(trim(regexp_replace({0}, '[ \t\n\r\f\x0B]+', ' ', 'g')))"
+N = NORM.format("text")
+
+
+@query(f"select doc_id, sha256({N}) as normalized from documents")
+def normalize_text(spark, sf):
+    return B.table(spark, sf, "documents").select("doc_id", F.sha2(X.normalize(F.col("text")), 256).alias("normalized"))
+
+
+@query(f"select doc_id, substr(sha256({N}), 1, 32) as hash from documents")
+def problem_hash(spark, sf):
+    return B.table(spark, sf, "documents").select("doc_id", X.problem_hash(F.col("text")).alias("hash"))
+
+
+def _grams(table: str, key: str) -> str:
+    return f"(select id, len(gs) as size, unnest(gs) as g from {_gram_lists(table, key)})"
+
+
+def _gram_lists(table: str, key: str) -> str:
+    return f"(select id, list_filter(list_distinct(list_transform(list_zip(c, c[2:], c[3:]), lambda z: z[1] || z[2] || z[3])), lambda g: g is not null) as gs from (select {key} as id, string_split({NORM.format('text')}, '') as c from {table}))"
+
+
+@query(f"select item_id, cast(count(*) as bigint) as n from (select id as item_id, g from {_grams('benchmark', 'item_id')}) group by item_id")
+def trigrams(spark, sf):
+    return M.grams(B.table(spark, sf, "benchmark"), "item_id", "text").groupBy(F.col("id").alias("item_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SIM = """x as (select a.id as a, b.id as b, a.size as na, b.size as nb, count(*) as common from {l} a join {r} b on a.g = b.g {on} group by 1, 2, 3, 4),
+sims as (select a, b, cast(common as double) / (na + nb - common) as sim from x)"""
+_BB = f"with bench as materialized (select * from {_grams('benchmark', 'item_id')}), " + _SIM
+
+
+@query(_BB.format(l="bench", r="bench", on="and a.id < b.id") + " select a, b, round(sim, 9) as sim from sims")
+def trigram_jaccard(spark, sf):
+    g = M.grams(B.table(spark, sf, "benchmark"), "item_id", "text")
+    return M.jaccard(g, g).where("a < b").select("a", "b", F.round("sim", 9).alias("sim"))
+
+
+@query(_BB.format(l="bench", r="bench", on="and a.id > b.id") + ", m as (select item_id, coalesce(max(sim), 0.0) as best from benchmark left join sims on a = item_id group by item_id) select item_id, round(best, 9) as best, best >= 0.35 as candidate from m")
+def warm_candidacy(spark, sf):
+    """Each item against all earlier ones: the best similarity a cache filled in order could offer."""
+    bench = B.table(spark, sf, "benchmark")
+    g = M.grams(bench, "item_id", "text")
+    best = M.jaccard(g, g).where("a > b").groupBy(F.col("a").alias("item_id")).agg(F.max("sim").alias("best"))
+    out = bench.select("item_id").join(best, "item_id", "left").na.fill(0.0)
+    return out.select("item_id", F.round("best", 9).alias("best"), (F.col("best") >= 0.35).alias("candidate"))
+
+
+@query(_BB.format(l="bench", r="bench", on="and a.id < b.id") + " select a, b, round(sim, 9) as sim from sims order by sims.sim desc, a desc, b desc limit 20")
+def top_pairs(spark, sf):
+    g = M.grams(B.table(spark, sf, "benchmark"), "item_id", "text")
+    return M.jaccard(g, g).where("a < b").orderBy(F.desc("sim"), F.desc("a"), F.desc("b")).limit(20).select("a", "b", F.round("sim", 9).alias("sim"))
+
+
+@query(f"""with dg as materialized (select * from {_grams('documents', 'doc_id')}), bench as materialized (select * from {_grams('benchmark', 'item_id')}),
+x as (select a.id as a, b.id as b, a.size as na, b.size as nb, count(*) as common from bench a join dg b on a.g = b.g group by 1, 2, 3, 4),
+s as (select a, b, cast(common as double) / (na + nb - common) as sim from x where cast(common as double) / (na + nb - common) >= 0.35
+      union all select q.item_id, d.doc_id, 1.0 from benchmark q join documents d on {NORM.format('q.text')} = {NORM.format('d.text')}),
+m as (select a, b, max(sim) as sim from s group by a, b),
+r as (select a, b, sim, row_number() over (partition by a order by sim desc, b % 10 desc, b) as place from m)
+select a as item_id, b as doc_id, round(sim, 9) as sim, place from r where place <= 5""")
+def cache_retrieve(spark, sf):
+    """The five stored texts most like each benchmark item (score: doc_id % 10), floor 0.35."""
+    q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    s = B.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 10).cast("double").alias("score"))
+    return M.retrieve(q, s).select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"), F.round("sim", 9).alias("sim"), F.col("place").cast("long").alias("place"))
+
+
+_KEY = f"substr(sha256({N} || chr(1) || 'pin' || chr(1) || 'api'), 1, 32)"
+
+
+@query(f"with k as (select doc_id, {_KEY} as h from documents), s as (select h, min(doc_id) as spec from k group by h) select doc_id, spec from k join s using (h)")
+def spec_lookup(spark, sf):
+    """Point lookup of each problem's spec by a salted hash of problem, pin and API; one spec a key."""
+    h = F.substring(F.sha2(F.concat_ws("\x01", X.normalize(F.col("text")), F.lit("pin"), F.lit("api")), 256), 1, 32)
+    k = B.table(spark, sf, "documents").select("doc_id", h.alias("h"))
+    return k.join(k.groupBy("h").agg(F.min("doc_id").alias("spec")), "h").select("doc_id", "spec")
+
+
+@query("select conv_id, turn, case when regexp_matches(r, '(?i)VERDICT:\\s*(PASS|FAIL)') then upper(regexp_extract(r, '(?i)VERDICT:\\s*(PASS|FAIL)', 1)) = 'PASS' end as pass from (select conv_id, turn, case (conv_id + turn) % 4 when 0 then text || ' Verdict: pass' when 1 then 'VERDICT: FAIL then verdict: PASS ' || text when 2 then text else 'verdict:' || chr(10) || 'fail' end as r from conversations)")
+def parse_verdict(spark, sf):
+    n = (F.col("conv_id") + F.col("turn")) % 4
+    r = F.when(n == 0, F.concat("text", F.lit(" Verdict: pass"))).when(n == 1, F.concat(F.lit("VERDICT: FAIL then verdict: PASS "), "text")).when(n == 2, F.col("text")).otherwise(F.lit("verdict:\nfail"))
+    return B.table(spark, sf, "conversations").select("conv_id", "turn", X.parse_verdict(r).alias("pass"))
+
+
+@query("with l as (select doc_id, split_part(regexp_replace(text, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'), chr(10), 1) as line from documents) select doc_id, case when length(line) > 60 then substr(line, 1, 60) || '...' else line end as line from (select doc_id, trim(line) as line from l)")
+def first_line(spark, sf):
+    return B.table(spark, sf, "documents").select("doc_id", X.first_line(F.col("text"), 60).alias("line"))
+
+
+@query("select doc_id, 'raw:' || substr(sha256(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))), 1, 16) as key from documents")
+def text_key_raw(spark, sf):
+    return B.table(spark, sf, "documents").select("doc_id", X.raw_text_key(F.col("text")).alias("key"))
+
+
+@query("select page_id, case when length(s) <= 64 then s else substr(s, 1, 55) || '-' || substr(sha256(url), 1, 8) end as slug from (select page_id, url, regexp_replace(url, '[^A-Za-z0-9]+', '-', 'g') as s from pages)")
+def slug(spark, sf):
+    return B.table(spark, sf, "pages").select("page_id", X.slug(F.col("url")).alias("slug"))
+
+
+@query("select p_partkey, regexp_replace(split_part(m, '/', -1), '^(us-gov|us|eu|apac|global)\\.', '') as identity from (select p_partkey, 'arn:x/' || case p_partkey % 3 when 0 then 'us.' when 1 then 'eu.' else '' end || replace(p_name, ' ', '-') as m from part)")
+def model_identity(spark, sf):
+    n = F.col("p_partkey") % 3
+    m = F.concat(F.lit("arn:x/"), F.when(n == 0, "us.").when(n == 1, "eu.").otherwise(""), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")))
+    return B.table(spark, sf, "part").select("p_partkey", X.model_identity(m).alias("identity"))
+
+
+@query("select page_id, position('.' in split_part(regexp_replace(url, '^https?://', ''), '/', 1)) = 0 as stdlib, position('.' in split_part('net/http/' || page_id, '/', 1)) = 0 as std2 from pages")
+def is_stdlib(spark, sf):
+    return B.table(spark, sf, "pages").select("page_id", X.is_stdlib(F.regexp_replace("url", "^https?://", "")).alias("stdlib"), X.is_stdlib(F.concat(F.lit("net/http/"), F.col("page_id").cast("string"))).alias("std2"))
+
+
+@query("select o_orderkey as id, cast(o_orderkey % 5 + 1 as integer) as small, cast(o_orderkey % 3 as integer) as mid from orders")
+def parse_kv(spark, sf):
+    kv = F.format_string("small=%d,mid= %d", F.col("o_orderkey") % 5 + 1, F.col("o_orderkey") % 3)
+    return B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), X.parse_pairs(kv).alias("m")).select("id", F.col("m")["small"].alias("small"), F.col("m")["mid"].alias("mid"))
+
+
+@query("select page_id, regexp_replace(url, '(\\.[^./]*)?$', '') as stem, case when regexp_matches(url, '\\.[^./]*$') then regexp_extract(url, '^(.*?)(\\.[^./]*)?$', 1) || '.judge' || regexp_extract(url, '(\\.[^./]*)$', 1) else url || '.judge' end as path from pages")
+def arm_path(spark, sf):
+    return B.table(spark, sf, "pages").select("page_id", F.regexp_replace("url", r"(\.[^./]*)?$", "").alias("stem"), X.arm_path(F.col("url"), F.lit("judge")).alias("path"))
+
+
+@query(f"{S.OBS}, f as (select tier, cast(count(*) as bigint) as n, cast(count(*) filter (not truth) as bigint) as bad from obs group by tier) select tier, case when bad = 0 then tier || ': no errors in ' || n else tier || ': ' || bad || ' of ' || n || ' wrong' end as verdict from f")
+def verdict_text(spark, sf):
+    from ..operators import policy as P
+
+    f = P.observations(B.records(spark, sf)).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("truth")).alias("bad"))
+    return f.select("tier", F.when(F.col("bad") == 0, F.format_string("%s: no errors in %d", "tier", "n")).otherwise(F.format_string("%s: %d of %d wrong", "tier", "bad", "n")).alias("verdict"))
+
+
+@query("""with r as (select conv_id, turn, case (conv_id + turn) % 3 when 0 then 'see ```go' || chr(10) || 'package a' || conv_id || chr(10) || '``` and ```' || chr(10) || 'x```' when 1 then ' package b' || turn || ' ' else text end as r from conversations)
+select conv_id, turn, case when r like '%```%' then 'package a' || conv_id when r like '%package %' then trim(r) end as code from r""")
+def extract_code(spark, sf):
+    n = (F.col("conv_id") + F.col("turn")) % 3
+    r = F.when(n == 0, F.concat(F.lit("see ```go\npackage a"), F.col("conv_id").cast("string"), F.lit("\n``` and ```\nx```"))).when(n == 1, F.concat(F.lit(" package b"), F.col("turn").cast("string"), F.lit(" "))).otherwise(F.col("text"))
+    return B.table(spark, sf, "conversations").select("conv_id", "turn", X.extract_code(r).alias("code"))
+
+
+@query("select conv_id, case when conv_id % 4 <> 3 then 'api' || conv_id end as api, case when conv_id % 4 <> 3 then 'v' end as visible, case when conv_id % 4 <> 3 then 'h2' end as hidden from (select distinct conv_id from conversations)")
+def parse_spec(spark, sf):
+    body = F.concat(F.lit("## API\n```go\napi"), F.col("conv_id").cast("string"), F.lit("```\n# visible tests\n\n```\nv```\n## Hidden Tests\n```\nh1```\n"), F.when(F.col("conv_id") % 4 == 3, "").otherwise("### HIDDEN TESTS\n```\nh2```"))
+    body = F.when(F.col("conv_id") % 4 == 3, F.replace(body, F.lit("## API"), F.lit("API"))).otherwise(body)
+    c = B.table(spark, sf, "conversations").select("conv_id").distinct().select("conv_id", X.parse_spec(body).alias("s"))
+    return c.select("conv_id", "s.api", "s.visible", "s.hidden")
+
+
+@query("""with e as (select user_id, event_id, event_type, event_id % 3 as test from events where event_type in ('click','error','view')), a as (select user_id, test, case event_type when 'click' then 'pass' when 'error' then 'fail' else 'output' end as action, event_id from e)
+select user_id, test, arg_max(action, event_id) as outcome from a where action <> 'output' group by user_id, test""")
+def parse_test_events(spark, sf):
+    """NDJSON test events: the last pass or fail of each test."""
+    e = B.table(spark, sf, "events").where(F.col("event_type").isin("click", "error", "view"))
+    action = F.when(F.col("event_type") == "click", "pass").when(F.col("event_type") == "error", "fail").otherwise("output")
+    lines = e.select("user_id", "event_id", F.to_json(F.struct(action.alias("Action"), (F.col("event_id") % 3).alias("Test"))).alias("line"))
+    parsed = lines.select("user_id", "event_id", F.from_json("line", "Action string, Test long").alias("x")).where(F.col("x.Action").isin("pass", "fail"))
+    return parsed.groupBy("user_id", F.col("x.Test").alias("test")).agg(F.max_by("x.Action", "event_id").alias("outcome"))
+
+
+@query("select user_id, max(cast(regexp_extract(props, '([0-9]+)', 1) as bigint)) as worst from events group by user_id")
+def parse_allocs(spark, sf):
+    n = F.array_max(F.transform(F.regexp_extract_all("props", F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("long")))
+    return B.table(spark, sf, "events").groupBy("user_id").agg(F.max(n).alias("worst"))
+
+
+@query("select user_id, string_agg(case when event_type = 'view' then 'note ' || props else 'out ' || event_type end, chr(10) order by event_id) as summary from events where event_type in ('view','error') and event_id % 5 <> 0 group by user_id")
+def summarise_output(spark, sf):
+    """Plain lines stay, output events give their text, noise prefixes go; in order of the lines."""
+    e = B.table(spark, sf, "events").where(F.col("event_type").isin("view", "error"))
+    line = F.when(F.col("event_type") == "view", F.concat(F.lit("note "), F.col("props"))).otherwise(F.to_json(F.struct(F.lit("output").alias("Action"), F.concat(F.lit("out "), F.col("event_type")).alias("Output"))))
+    line = F.when(F.col("event_id") % 5 == 0, F.lit("=== RUN x")).otherwise(line)
+    parsed = F.when(line.startswith("{"), F.get_json_object(line, "$.Output")).otherwise(line)
+    kept = e.select("user_id", "event_id", parsed.alias("x")).where(~F.col("x").startswith("=== "))
+    lines = kept.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("l"))
+    return lines.select("user_id", F.array_join(F.transform("l", lambda s: s["x"]), "\n").alias("summary"))
+
+
+@query("select p_partkey, upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) as camel, regexp_replace(p_name, '\\bring\\b', 'hoop', 'g') as renamed, 'part_' || p_partkey as id from part")
+def ingest_strings(spark, sf):
+    camel = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), "")
+    return B.table(spark, sf, "part").select("p_partkey", camel.alias("camel"), F.regexp_replace("p_name", r"\bring\b", "hoop").alias("renamed"), F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("id"))
+
+
+@query("select o_custkey, cast(trunc(o_totalprice) as bigint) % 40 as arg, cast(count(distinct o_orderstatus) as bigint) as n from orders group by 1, 2 having count(distinct o_orderstatus) > 1")
+def contradiction(spark, sf):
+    """Equal arguments (numbers by value, white space folded) with different expectations."""
+    arg = F.col("o_totalprice").cast("long") % 40
+    case = F.format_string("f( %d.0 ) == %s", arg, F.col("o_orderstatus"))
+    o = B.table(spark, sf, "orders").select("o_custkey", F.regexp_extract(case, r"\(\s*([0-9.]+)\s*\)", 1).cast("double").cast("long").alias("arg"), F.regexp_extract(case, r"== (\w+)", 1).alias("want"))
+    return o.groupBy("o_custkey", "arg").agg(F.countDistinct("want").alias("n")).where("n > 1")
+
+
+@query(f"""with n as (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, regexp_matches(html, '<h1>[^<]*</h1>') as has from pages), ok as (select page_id, title from n where has and title <> '' order by page_id limit 50) select page_id, title from ok""")
+def ingest_gates(spark, sf):
+    """A shape gate, then the first fifty by id (the limit is the feature)."""
+    p = B.table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.col("html").rlike("<h1>[^<]*</h1>").alias("has"))
+    return p.where("has and title <> ''").orderBy("page_id").limit(50).select("page_id", "title")
