@@ -43,7 +43,7 @@ def raw_text_key(source: Column) -> Column:
 def extract_code(reply: Column) -> Column:
     """The first fenced block, else the whole reply if it declares a package, else null."""
     fenced = F.regexp_extract(reply, r"(?s)```[A-Za-z]*\n(.*?)```", 1)
-    return F.when(reply.rlike(r"(?s)```[A-Za-z]*\n.*?```"), F.trim(fenced)).when(reply.contains("package "), F.trim(reply))
+    return F.when(reply.rlike(r"(?s)```[A-Za-z]*\n.*?```"), F.btrim(fenced, F.lit(" \t\r\n"))).when(reply.contains("package "), F.btrim(reply, F.lit(" \t\r\n")))
 
 
 def parse_verdict(reply: Column) -> Column:

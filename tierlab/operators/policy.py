@@ -34,9 +34,15 @@ def accepted_at(tiers: Column, tau: Column) -> Column:
     return F.when(n > 0, F.get(F.filter(F.sequence(F.lit(0), n - 1), takes), F.lit(0)))
 
 
-def spend(tiers: Column, at: Column) -> Column:
-    """The cost of all tiers up to `at`."""
-    return F.when(at.isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(F.slice(tiers, F.lit(1), at + 1), F.lit(0).cast("long"), lambda s, t: s + t["cost"]))
+def cost_kind(records: DataFrame) -> str:
+    """long for whole units, double for money as recorded."""
+    return records.schema["tiers"].dataType.elementType["cost"].dataType.simpleString()
+
+
+def spend(tiers: Column, at: Column, kind: str = "bigint") -> Column:
+    """The cost of all tiers up to `at`, added in tier order."""
+    zero = F.lit(0).cast(kind)
+    return F.when(at.isNull(), zero).otherwise(F.aggregate(F.slice(tiers, F.lit(1), at + 1), zero, lambda s, t: s + t["cost"]))
 
 
 def replay(records: DataFrame, tau: list[float]) -> DataFrame:
@@ -49,7 +55,7 @@ def replay(records: DataFrame, tau: list[float]) -> DataFrame:
         "rec_idx", label.alias("accepted_at"),
         F.when(F.col("cache_hit"), F.col("cache_correct")).otherwise(F.coalesce(at["correct"], F.lit(False))).alias("correct"),
         F.when(F.col("cache_hit"), F.col("cache_correct")).otherwise(F.coalesce(truth(at), F.lit(False))).alias("true_correct"),
-        F.when(F.col("cache_hit"), F.col("cache_cost")).otherwise(spend(F.col("tiers"), F.col("_at"))).cast("long").alias("cost"),
+        F.when(F.col("cache_hit"), F.col("cache_cost")).otherwise(spend(F.col("tiers"), F.col("_at"), cost_kind(records))).cast(cost_kind(records)).alias("cost"),
     )
 
 
@@ -95,7 +101,7 @@ def score_profiles(records: DataFrame, by: list[str] | None = None) -> DataFrame
     at = lambda k: F.get(F.col("tiers"), F.lit(k))
     wrong = [F.when(hit, ~F.col("cache_correct")).otherwise(~F.coalesce(at(k)["correct"], F.lit(False))) for k in k_range]
     wrong_true = [F.when(hit, ~F.col("cache_correct")).otherwise(~F.coalesce(truth(at(k)), F.lit(False))) for k in k_range]
-    cost = [F.when(hit, F.col("cache_cost")).otherwise(spend(F.col("tiers"), F.lit(k))) for k in k_range]
+    cost = [F.when(hit, F.col("cache_cost")).otherwise(spend(F.col("tiers"), F.lit(k), cost_kind(records))) for k in k_range]
     sums = [F.count(F.lit(1)).alias("n")]
     sums += [F.count_if(w).alias(f"w{k}") for k, w in enumerate(wrong)] + [F.count_if(w).alias(f"t{k}") for k, w in enumerate(wrong_true)] + [F.sum(c).alias(f"c{k}") for k, c in enumerate(cost)]
     grouped = records.groupBy(*by, scores.alias("scores")).agg(*sums)
@@ -173,5 +179,5 @@ def baselines(records: DataFrame, tau: list[float]) -> DataFrame:
     arms = {"always-cheapest": (F.lit(0), F.lit(0)), "cascade": (accepted_at(F.col("tiers"), levels), F.lit(0)), "always-frontier": (last, last)}
     each = F.array(*[F.struct(F.lit(name).alias("policy"), at.alias("at"), F.lit(name == "cascade").alias("sums")) for name, (at, _) in arms.items()])
     out = rows.select("tiers", F.explode(each).alias("a")).select("tiers", "a.*")
-    cost = F.when(F.col("sums"), spend(F.col("tiers"), F.col("at"))).otherwise(F.get(F.col("tiers"), F.col("at"))["cost"])
+    cost = F.when(F.col("sums"), spend(F.col("tiers"), F.col("at"), cost_kind(records))).otherwise(F.get(F.col("tiers"), F.col("at"))["cost"])
     return out.groupBy("policy").agg(F.count_if(~truth(F.get(F.col("tiers"), F.col("at")))).alias("bad"), F.sum(cost).alias("cost"), F.count(F.lit(1)).alias("n"))
