@@ -66,4 +66,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_packing, op4_fingerprints, op5_topk, op6_quality, op7_simhash, op8_secrets, op9_sharding, op10_language_id)
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op5_topk": topk.SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op5_topk": topk.SQL, "op8_secrets": secrets.SQL}

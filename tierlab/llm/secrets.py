@@ -132,3 +132,37 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFra
 
     clean = F.aggregate("found", start, step, lambda s: F.array_join(F.concat(s["out"], F.array(F.substring(F.col(t), (s["at"] + 1).cast("int"), F.lit(2**31 - 1)))), ""))
     return scanned.select(*[(F.when(F.size("found") > 0, clean).otherwise(F.col(t)) if c == text else F.col(names[c])).alias(c) for c in cols])
+
+
+def _sql() -> str:
+    """The production scan in SQL: entropies from the counts of each whole window, place by place."""
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    a, c, h = (quote(p) for _, p, _, _ in BASE)
+    run = quote(CLASSES[1].run)
+    allow = " or ".join(f"regexp_matches(m, {quote(p)})" for p in ALLOW if "\\1" not in p)
+    source = lambda k, kind, p, g, least: f"select doc_id, {k} as k, '{kind}' as kind, {least} as least, string_split_regex(t, {p}) as parts, regexp_extract_all(t, {p}) as ms, regexp_extract_all(t, {p}, {g}) as vs from d where regexp_matches(t, {p})"
+    return f"""with d as (select doc_id, coalesce(text, '') as t from documents), raw as (
+    {source(0, "assign", a, 2, 8)} union all {source(1, "access", c, 0, 16)} union all {source(2, "hex", h, 0, 32)}
+    union all {source(3, "hexrun", "'[A-Za-z0-9]{24,}'", 0, 24)} union all {source(4, "run", run, 0, 24)}
+), placed as (select *, unnest(range(1, len(ms) + 1)) as i from raw),
+spans as (
+    select doc_id, k, kind, least, ms[i] as m, vs[i] as v,
+           list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) as s from placed
+), base as (select doc_id, k, kind, s, s + length(m) as e from spans where k <= 2 and length(v) >= least),
+cand as (
+    select row_number() over () as id, doc_id, kind, m, s, s + length(m) as e from spans
+    where (k = 4 or k = 3 and regexp_full_match(m, '[0-9A-Fa-f]+')) and not ({allow} or replace(m, substr(m, 1, 1), '') = '')
+      and not exists (select 1 from base b where b.doc_id = spans.doc_id and b.s <= spans.s and b.e >= spans.s + length(spans.m))
+), windows as (select id, kind, unnest(range(1, length(m) - 24 + 2)) as w, m from cand),
+chars as (select id, kind, w, unnest(string_split(substr(m, w, 24), '')) as ch from windows),
+counted as (select id, kind, w, ch, count(*) as n from chars group by all),
+entropy as (select id, kind, w, log2(24.0) - sum(n * log2(n)) / 24 as bits from counted group by all),
+hits as (select id from entropy group by id, kind having max(bits) >= case kind when 'hexrun' then {CLASSES[0].least_bits} else {CLASSES[1].least_bits} end),
+found as (select * from base union all select distinct doc_id, 3, 'entropy', s, e from cand where id in (select id from hits)),
+b as (select doc_id, count(*) filter (k = 0) as a, count(*) filter (k = 1) as c, count(*) filter (k = 2) as h, string_agg(kind || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by s, k, e) as t from base group by doc_id),
+f as (select doc_id, string_agg(kind || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by s, k, e) as t from found group by doc_id)
+select d.doc_id, cast(coalesce(a, 0) as bigint) as n_assign, cast(coalesce(c, 0) as bigint) as n_access, cast(coalesce(h, 0) as bigint) as n_hex, sha256(coalesce(b.t, '')) as base_sha256, coalesce(f.t, '') as spans
+from d left join b using (doc_id) left join f using (doc_id)"""
+
+
+SQL = _sql()
