@@ -205,7 +205,7 @@ def shadow_sample(spark, sf):
     return o.where(F.conv(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 6), 16, 10).cast("long") % 1000 < 50)
 
 
-@query(f"{S.OBS} select rec_idx, k, round((1 + rec_idx % 7) * 0.5 * 0.0001, 9) as usd from obs")
+@query(f"{S.OBS} select rec_idx, k, round((1 + rec_idx % 7) * 0.5::double * 0.0001::double, 9) as usd from obs")
 def compute_cost(spark, sf):
     o = P.observations(B.records(spark, sf))
     return o.select("rec_idx", "k", F.round((1 + F.col("rec_idx") % 7) * F.lit(0.5) * F.lit(0.0001), 9).alias("usd"))
