@@ -196,7 +196,7 @@ def pack(df: DataFrame, path: str | None = None, length: int = 2048, end_id: int
                 filled[c] += times * taken[c]
             sequences += times
     biggest = max(counts.values(), default=1)
-    buckets = max(1, -(-biggest // bucket_rows))
+    buckets = min(10_000, max(1, -(-biggest // bucket_rows)))  # at most so many counts a class
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "md5", "start"), F.lit(buckets)).cast("int"))
     ranked = stage(global_rank(salted, [F.col("doc_id"), F.col("md5"), F.col("start")], F.col("_salt"), "_rank", ["cls"]).drop("_salt"), "ranked-pieces")
     table = spark.createDataFrame(slots, "c int, low long, high long, taken long, base long")

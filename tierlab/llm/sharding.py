@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import global_rank, stage
 
 
-def interleave(df: DataFrame, shards: int = 8, seed: int = 7, key: str = "doc_id", source: str = "source", bucket_rows: int = 2000) -> DataFrame:
+def interleave(df: DataFrame, shards: int = 8, seed: int = 7, key: str = "doc_id", source: str = "source", bucket_rows: int = 2000, most_buckets: int = 100_000) -> DataFrame:
     """df's columns with shard (0..shards-1) and slot (from 0, gapless in the shard); shard counts differ by one at most.
 
     df has to be narrow (ids and what goes with them): its rows are shuffled twice. Null sources are one source. Rows
@@ -25,6 +25,7 @@ def interleave(df: DataFrame, shards: int = 8, seed: int = 7, key: str = "doc_id
     rows = stage(df.select(*cols, F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_h"), F.xxhash64(*cols).alias("_tie")), "shard-rows")
     sizes = stage(rows.groupBy(F.col(source).alias("_src")).agg(F.count(F.lit(1)).alias("_n_src")), "source-sizes")
     n = sizes.agg(F.coalesce(F.sum("_n_src"), F.lit(0)).alias("n")).first()["n"]
+    bucket_rows = max(bucket_rows, -(-n // most_buckets))  # the tables of counts stay small; the order is the same for any bucket size
     rows = stage(rows.join(sizes, F.col(source).eqNullSafe(F.col("_src"))).drop("_src"), "shard-rows")
     unit = (F.shiftrightunsigned("_h", 11).cast("double") / F.lit(float(1 << 53)))
     buckets = F.ceil(F.col("_n_src") / bucket_rows)

@@ -221,16 +221,17 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_components(df: DataFrame, budget: int = 4, words: int = 4, text: str = "text", key: str = "doc_id", depth: int = 6) -> DataFrame:
+def near_components(df: DataFrame, budget: int = 4, words: int = 4, text: str = "text", key: str = "doc_id", depth: int | None = None) -> DataFrame:
     """key, fp and component_id, the smallest key reachable over links of at most `budget` differing bits.
 
     Equal fingerprints are one node, so a group of copies of any size costs one; links are walked between distinct
     fingerprints only and each task gives a spanning star, never all pairs. Null or empty texts have the fingerprint
     zero and link like any other. Null keys keep their row and are never the smallest, unless the component has no
-    other (then component_id is null). Repeated rows stay. Other columns aren't read.
+    other (then component_id is null). Without a depth the trie is cut deeper as distinct fingerprints grow. Repeated rows stay. Other columns aren't read.
     """
     docs = stage(fingerprints(df, text, key, words), "fingerprints")
     nodes = stage(docs.groupBy("fp").agg(F.min(key).alias("first")), "distinct-fingerprints")
+    depth = depth or max(6, (nodes.count() >> 19).bit_length())  # a subtree holds about half a million values at most
     labels = connected(trie_links(nodes, budget, depth))
     of_node = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     of_node = stage(of_node, "node-labels")
