@@ -142,9 +142,9 @@ def fit(examples: list[tuple[np.ndarray, int]], grades: int = 3, epochs: int = 1
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, key: str = "doc_id", text: str = "text") -> OrdinalModel:
     """A model from at most about most_rows labelled documents, drawn by a hash of the key (a documented bound).
 
-    Grade 0: toxic = 1; 1: else quality = 0; 2: else quality = 1; rows with a null in what decides are left out, of several
-    ratings the least counts. Without
-    any example, or with one grade only, the model has no weights and thresholds that accept every text.
+    Grade 0: toxic = 1; 1: else quality = 0; 2: else quality = 1. Rows with a null in what decides are left out; of
+    several ratings of a document the least counts. Without any example, or with one grade only, the model has no
+    weights and thresholds that accept every text.
     """
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & F.col("toxic").isNotNull(), 2)
     rated = labels.select(F.col(key).alias("_id"), grade.alias("grade")).where("_id is not null and grade is not null").groupBy("_id").agg(F.min("grade").alias("grade"))
