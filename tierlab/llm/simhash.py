@@ -16,6 +16,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,34 +155,45 @@ def _swap(x: np.ndarray) -> np.ndarray:
 def trie_links(fps: DataFrame, budget: int, depth: int = 6, block: int = 8192) -> DataFrame:
     """(u, v): each fp that has a link, with a fp of its component; enough of them that all linked fps are connected.
 
-    fps: staged distinct longs `fp`. Subtrees at `depth` bits are packed into sorted blocks of at most `block` values,
-    so a crowded subtree becomes several tasks; the pairs of blocks whose prefixes differ within the budget are walked.
+    fps: staged distinct longs `fp`. They are sorted over the cluster and cut, where the prefix of `depth` bits changes,
+    into blocks of at most `block` values, so a crowded subtree becomes several blocks and is never gathered; the pairs
+    of blocks whose prefixes differ within the budget are walked.
     """
-
-    def pack(turn: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                x = np.sort(_swap(x) if turn else x)
-                top = (x >> np.uint64(64 - depth)).astype(np.int64)
-                cuts = np.r_[0, np.flatnonzero(np.diff(top)) + 1, len(x)] if len(x) else np.zeros(1, int)
-                rows = [(int(top[i]), x[j : min(j + block, k)].tobytes()) for i, k in zip(cuts[:-1], cuts[1:]) for j in range(i, k, block)]
-                yield pa.RecordBatch.from_arrays([pa.array([turn] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["turn", "prefix", "part"])
-
-        return run
-
-    def gather(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [p for batch in batches for p in batch.column("part").to_pylist()]
-        x = np.sort(np.concatenate([np.frombuffer(p, np.uint64) for p in parts]))
-        blocks = [x[i : i + block].tobytes() for i in range(0, len(x), block)]
-        n = len(blocks)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * n, pa.int32()), pa.array([key[1].as_py()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(blocks, pa.binary())], ["turn", "prefix", "no", "block"])
-
     first, second = budget // 2, (budget - 1) // 2
-    packed = fps.select("fp").mapInArrow(pack(0), "turn int, prefix int, part binary")
-    if second >= 0:
-        packed = packed.unionAll(fps.select("fp").mapInArrow(pack(1), "turn int, prefix int, part binary"))
-    blocks = stage(packed.groupBy("turn", "prefix").applyInArrow(gather, "turn int, prefix int, no int, block binary"), "trie-blocks")
+    in_order = lambda x: x.bitwiseXOR(F.lit(-(2**63)))  # noqa: E731  signed order of this is the unsigned order of x
+    swapped = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
+    turns = [F.struct(F.lit(t).alias("turn"), in_order(x).alias("x")) for t, x in ((0, F.col("fp")), (1, swapped))[: 1 if second < 0 else 2]]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId() << 32, 0
+        subtree, held = None, np.empty(0, np.uint64)
+
+        def cut(whole: bool) -> pa.RecordBatch:
+            """Full blocks of what is held, and the rest too if the subtree ends."""
+            nonlocal held, made
+            n = len(held) if whole else len(held) - len(held) % block
+            parts = [held[i : min(i + block, n)].tobytes() for i in range(0, n, block)]
+            held, no = held[n:], range(task + made, task + made + len(parts))
+            made += len(parts)
+            turn, prefix = divmod(subtree, 1 << depth)
+            return pa.RecordBatch.from_arrays([pa.array([turn] * len(parts), pa.int32()), pa.array([prefix] * len(parts), pa.int32()), pa.array(no, pa.int64()), pa.array(parts, pa.binary())], ["turn", "prefix", "no", "block"])
+
+        for batch in batches:
+            x = batch.column(1).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+            at = (batch.column(0).to_numpy().astype(np.int64) << depth) | (x >> np.uint64(64 - depth)).astype(np.int64)
+            for run in np.split(np.arange(len(x)), np.flatnonzero(np.diff(at)) + 1):
+                if len(run) and at[run[0]] != subtree:
+                    if len(held):
+                        yield cut(True)
+                    subtree = int(at[run[0]])
+                held = np.r_[held, x[run]]
+                if len(held) >= block:
+                    yield cut(False)
+        if len(held):
+            yield cut(True)
+
+    in_turns = fps.select(F.inline(F.array(*turns))).repartitionByRange("turn", "x").sortWithinPartitions("turn", "x")
+    blocks = stage(in_turns.mapInArrow(pack, "turn int, prefix int, no long, block binary"), "trie-blocks")
     masks = [[m for m in range(1 << depth) if m.bit_count() <= k] for k in (first, second)]
     near = F.when(F.col("turn") == 0, F.array(*map(F.lit, masks[0]))).otherwise(F.array(*map(F.lit, masks[1] or [0])))
     left = blocks.select("turn", F.col("prefix").alias("p"), F.col("no").alias("n"), F.col("block").alias("x"), F.explode(F.transform(near, lambda m: F.col("prefix").bitwiseXOR(m))).alias("q")).where("p <= q")
