@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -26,46 +28,65 @@ from .common import global_rank, stage, text_slices
 #: What the tokenizer drops as white space; str.split() drops these and four separators more.
 WHITE = re.compile("[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 SEPARATORS = re.compile("[\\x1c-\\x1f]")
+#: Fixed value: how the tokenizer cuts a word in lower case.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 LONGEST_CACHED = 48
 #: Bytes of text that a task holds as Python strings at once.
 SLICE = 4 << 20
 
 
-class WordIds:
-    """Ids by the tokenizer, kept for each run of text between white space (no token crosses it); a bounded memo."""
+class PieceIds(dict):
+    """Packed ids of the tokenizer's own pieces of a word; full, it keeps what it has: common pieces come early."""
+
+    def __init__(self, tokenizer: Tokenizer, most: int):
+        self.model, self.most = tokenizer.model, most
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: these stand for themselves
+        self.letters = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+    def __missing__(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):
+            ids = self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))
+        else:
+            ids = self.model.tokenize(piece)
+        packed = array("I", [t.id for t in ids]).tobytes()
+        if len(self) < self.most and len(piece) <= LONGEST_CACHED:
+            self[piece] = packed
+        return packed
 
+
+class KnownWords(dict):
+    """Packed ids of runs of text between white space (no token crosses it); bounded like the pieces.
+
+    Words of Latin-1 characters, where lower case, composition and character classes are the same everywhere, are cut
+    here; others, and words that hold a special token or a separator, go through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, most: int):
+        self.tokenizer, self.most, self.pieces = tokenizer, most, PieceIds(tokenizer, most // 2)
+        special = "|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())
+        self.other = re.compile(f"[^\\x00-\\xff]|[\\x1c-\\x1f]{special and '|'}{special}")
+
+    def __missing__(self, word: str) -> bytes:
+        if self.other.search(word):
+            packed = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        else:
+            packed = b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
+        if len(self) < self.most and len(word) <= LONGEST_CACHED:
+            self[word] = packed
+        return packed
+
+
+class WordIds:
     def __init__(self, path: str, end_id: int, cache_entries: int = 400_000):
-        self.tokenizer, self.cache_entries = Tokenizer.from_file(path), cache_entries
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {"": b""}
-        self.mark_id, self.mark = min((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
-        self.between = f" {self.mark} "
-
-    def fresh(self, words: list[str]) -> dict[str, bytes]:
-        """The packed ids of some words by one call: joined by a special token, whose id then parts them."""
-        plain = [w for w in words if self.mark not in w]
-        out = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words if self.mark in w}
-        for i in range(0, len(plain), 1024):
-            part = plain[i : i + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
-            packed = ids.tobytes()
-            out.update(zip(part, (packed[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(packed)]))))
-        return out
+        self.known = KnownWords(Tokenizer.from_file(path), cache_entries)
+        self.end = array("I", [end_id]).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text and end_id, 64 texts at a time. A full memo keeps what it has: common words come early."""
-        known = self.known
-        for i in range(0, len(texts), 64):
-            split = [(WHITE.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts[i : i + 64]]
-            missing = {w for words in split for w in words if w not in known}
-            known.update(self.fresh(list(missing)))
-            for words in split:
-                yield np.frombuffer(b"".join(map(known.__getitem__, words)) + self.end, "<u4")
-            full = len(known) > self.cache_entries
-            for w in missing:
-                if full or len(w) > LONGEST_CACHED:
-                    del known[w]
+        """The ids of each text and end_id."""
+        packed = self.known.__getitem__
+        for t in texts:
+            words = (WHITE.split(t) if SEPARATORS.search(t) else t.split()) if t else []
+            yield np.frombuffer(b"".join(map(packed, words)) + self.end, "<u4")
 
 
 _LOADED: dict[tuple[str, int], WordIds] = {}
