@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlab.llm import line_dedup, packing, quality, secrets, simhash
+from tierlab.llm import line_dedup, near_text, packing, quality, secrets
 from tierlab.llm.common import documents, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,9 +35,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays; of rows that share it, one."""
-    found = simhash.near_components(docs.select("doc_id", "text"), budget=4, words=4)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "fp").distinct()
+    """Of each group of texts linked by a Jaccard similarity of 0.8 the document with the smallest id stays; of rows that share it, one."""
+    found = near_text.simhash_components(docs.select("doc_id", "text"))
+    first = found.groupBy("label").agg(F.min("first").alias("_id")).select("_id").distinct()
     kept = docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return kept.dropDuplicates(["doc_id"])
 

@@ -4,6 +4,9 @@ Equal texts are one class before anything is compared. Inside a band's bucket ev
 bucket's smallest one; what that links is one component. Only classes of a bucket that are still in different
 components are compared with each other, so a large group of near copies costs a star, not all its pairs, and no link
 between components is left out.
+
+simhash_components finds its candidates by SimHash instead: every pair of sizes that can reach the threshold is compared
+by the bits of its fingerprints.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +68,7 @@ def near_components(df: DataFrame, threshold: float = 0.8, words: int = 5, permu
     return docs.join(final, F.col("h") == F.col("h2")).select(F.col("_id").alias(key), "class_id", "component_id")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str = "string") -> DataFrame:
     """(u, v) of the pairs (a, b) whose shingle sets have a Jaccard similarity of threshold or more."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -80,4 +84,182 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["u", "v"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "u string, v string")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, f"u {kind}, v {kind}")
+
+
+#: 64-bit words of a wide fingerprint, and odd factors that give each of them its own hash of a shingle.
+_WIDE = 4
+_FACTORS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_BITS = np.arange(63, -1, -1, dtype=np.uint64)
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingle hashes in 256 bits: those set in over half the shingles; no shingles: zeros."""
+    total = np.zeros((_WIDE, 64), np.int64)
+    for i in range(0, len(shingles), 1 << 14):
+        h = shingles[i : i + (1 << 14), None] * _FACTORS
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), _WIDE, 8), axis=2).sum(0, dtype=np.int64)
+    return ((2 * total > len(shingles)) * (np.uint64(1) << _BITS)).sum(1, dtype=np.uint64)
+
+
+def bit_budget(n: np.ndarray) -> np.ndarray:
+    """Bits of 256 in which a pair at Jaccard 0.8 may differ; texts of few shingles spread more."""
+    return np.where(n < 32, 76, 62)
+
+
+#: Bits of the first 64 of them in which such a pair may differ.
+FIRST_BUDGET = 24
+
+
+def near_pairs(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits) of the pairs of rows of a and b (None: i < j inside a) within the budget whose sizes can reach the threshold.
+
+    a, b: node, label, n and fp (rows of _WIDE words), in order of n.
+    """
+    other = a if b is None else b
+    step = max(1, (1 << 18) // max(1, len(other["n"])))
+    for i in range(0, len(a["n"]), step):
+        n = a["n"][i : i + step]
+        lo = int(np.searchsorted(other["n"], threshold * n[0] - 1e-6))
+        hi = int(np.searchsorted(other["n"], n[-1] / threshold + 1e-6, "right"))
+        lo = max(lo, i + 1) if b is None else lo
+        if lo >= hi:
+            continue
+        u, v = np.nonzero(np.bitwise_count(a["fp"][i : i + step, 0, None] ^ other["fp"][None, lo:hi, 0]) <= FIRST_BUDGET)
+        u, v = u + i, v + lo
+        bits = np.bitwise_count(a["fp"][u] ^ other["fp"][v]).sum(1, dtype=np.int64)
+        small, large = np.minimum(a["n"][u], other["n"][v]), np.maximum(a["n"][u], other["n"][v])
+        keep = (bits <= bit_budget(small)) & (small >= threshold * large - 1e-6)
+        if b is None:
+            keep &= u < v
+        yield u[keep], v[keep], bits[keep]
+
+
+def simhash_components(df: DataFrame, threshold: float = 0.8, words: int = 5, seed: int = 1, text: str = "text", key: str = "doc_id", block: int | None = None) -> DataFrame:
+    """h (SHA-256 of the text), first (its smallest key) and label (of its component), one row a distinct text.
+
+    Links: Jaccard of word shingles >= threshold, computed exactly for the candidates of the SimHash join. Distinct texts
+    are sorted by their number of shingles and cut into blocks; blocks whose sizes can reach the threshold meet, and all
+    their pairs are compared by bits (at this budget a trie would prune nothing above its leaves). First each text is
+    verified against its nearest of smaller node; what that links is one component, and only candidates in different
+    components are verified after it, so a large group of near copies costs a tree. Texts without words are one class
+    and link to nothing else. Null keys are never first unless a text has no other. Other columns aren't read.
+    """
+    kind = df.select(key).schema[0].dataType.simpleString()
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(key).alias("_id"), F.sha2(t, 256).alias("h"), t.alias("t"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = load(1, words, seed)
+        for batch in chain.from_iterable(map(text_slices, batches)):
+            sets = [hasher.shingles(x) for x in batch.column(2).to_pylist()]
+            fps = [wide_fingerprint(s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(fps, pa.binary())], ["_id", "h", "n", "fp"])
+
+    signed = rows.mapInArrow(sign, f"_id {kind}, h string, n long, fp binary")
+    classes = signed.groupBy("h").agg(F.min("_id").alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "text-classes")
+    block = block or min(1 << 16, max(512, classes.count() // 40))
+    pairs = _near_pairs(classes.select("node", F.col("node").alias("label"), "n", "fp").where("n > 0"), threshold, block, tree=True)
+    nearest = stage(pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")), "nearest")
+    found = nearest.select(F.col("b").alias("node")).join(classes.select("node", "h"), "node")
+    one = rows.select("h", "t").dropDuplicates(["h"]).join(found, "h").select("node", "t")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = load(1, words, seed)
+        for batch in chain.from_iterable(map(text_slices, batches)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hasher.shingles(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["node", "shingles"])
+
+    sets = stage(one.mapInArrow(shingle, "node long, shingles binary"), "shingle-sets")
+    links = stage(_verified(nearest.where("a is not null"), sets, threshold, "long"), "tree-links")
+    labels = stage(connected(links).withColumnRenamed("node", "n2"), "tree-labels")
+    named = found.select("node").join(classes.select("node", "n", "fp"), "node").join(labels, F.col("node") == F.col("n2"), "left")
+    named = stage(named.select("node", F.coalesce("label", "node").alias("label"), "n", "fp"), "named")
+    across = stage(_near_pairs(named, threshold, block, tree=False).select("a", "b").distinct().join(nearest.select("a", "b"), ["a", "b"], "left_anti"), "across-pairs")
+    links = links.unionByName(stage(_verified(across, sets, threshold, "long"), "cross-links"))
+    labels = connected(links).withColumnRenamed("node", "n2")
+    return classes.join(labels, F.col("node") == F.col("n2"), "left").select("h", "first", F.coalesce("label", "node").alias("label"))
+
+
+def _near_pairs(nodes: DataFrame, threshold: float, block: int, tree: bool) -> DataFrame:
+    """a, b (a < b) and bits of the candidates (node, label, n, fp) with different labels.
+
+    tree: instead, for each task and each node b of a candidate, the nearest a below it, or null.
+    """
+    width = max(1e-3, -np.log(threshold)) * 1.0001  # sizes that reach the threshold are in one class or in neighbours
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, held, at = TaskContext.get().partitionId() << 32, 0, [], None
+
+        def cut() -> pa.RecordBatch:
+            nonlocal held, made
+            rows, held, made = pa.Table.from_batches(held).combine_chunks(), [], made + 1
+            n = rows.column("n").to_numpy()
+            parts = [rows.column(c).to_numpy().astype(np.int64).tobytes() for c in ("node", "label", "n")]
+            parts.append(b"".join(rows.column("fp").to_pylist()))
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (task + made, at, int(n[0]), int(n[-1]))] + [pa.array([b"".join(parts)], pa.binary())], ["no", "size", "lo", "hi", "block"])
+
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            size = np.floor(np.log(n) / width).astype(np.int64)
+            for run in np.split(np.arange(len(n)), np.flatnonzero(np.diff(size)) + 1):
+                if len(run) and size[run[0]] != at:
+                    if held:
+                        yield cut()
+                    at = int(size[run[0]])
+                i = 0
+                while i < len(run):
+                    k = min(len(run) - i, block - sum(x.num_rows for x in held))
+                    held.append(batch.slice(int(run[0]) + i, k))
+                    i += k
+                    if sum(x.num_rows for x in held) >= block:
+                        yield cut()
+        if held:
+            yield cut()
+
+    in_order = nodes.select("node", "label", "n", "fp").repartitionByRange("n", "node").sortWithinPartitions("n", "node")
+    blocks = stage(in_order.mapInArrow(pack, "no long, size long, lo long, hi long, block binary"), "size-blocks")
+    meta = blocks.select("no", "size", "lo", "hi")
+    left = meta.select(F.col("no").alias("p"), F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("s"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("size").alias("s1"))
+    right = meta.select(F.col("no").alias("q"), F.col("size").alias("s"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    meet = left.join(right, "s").where((F.col("s") != F.col("s1")) | (F.col("p") <= F.col("q")))
+    meet = stage(meet.where((F.col("hi1") >= threshold * F.col("lo2") - 1e-6) & (F.col("hi2") >= threshold * F.col("lo1") - 1e-6)).select("p", "q"), "block-pairs")
+    x, y = (blocks.select(F.col("no").alias(c), F.col("block").alias(d)) for c, d in (("p", "x"), ("q", "y")))
+    dealt = meet.join(x, "p").join(y, "q").select((F.col("p") == F.col("q")).alias("same"), "x", F.when(F.col("p") != F.col("q"), F.col("y")).alias("y"), F.xxhash64("p", "q").alias("_deal"))
+
+    def read(block: bytes) -> dict[str, np.ndarray]:
+        m = len(block) // (24 + 8 * _WIDE)
+        head = np.frombuffer(block, np.int64, 3 * m).reshape(3, m)
+        return {"node": head[0], "label": head[1], "n": head[2], "fp": np.frombuffer(block, np.uint64, offset=24 * m).reshape(m, _WIDE)}
+
+    def batch_of(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64(), mask=a < 0), pa.array(b, pa.int64()), pa.array(bits, pa.int64())], ["a", "b", "bits"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                same, p, q = (batch.column(i)[row].as_py() for i in range(3))
+                a, b = read(p), None if same else read(q)
+                other = a if b is None else b
+                least: dict[int, tuple[int, int]] = {}
+                for i, j, bits in near_pairs(a, b, threshold):
+                    u, v = a["node"][i], other["node"][j]
+                    differ = a["label"][i] != other["label"][j]
+                    u, v, bits = np.minimum(u, v)[differ], np.maximum(u, v)[differ], bits[differ]
+                    if not tree:
+                        yield batch_of(u, v, bits)
+                        continue
+                    by = np.lexsort((u, bits, v))
+                    at = by[np.flatnonzero(np.r_[True, np.diff(v[by]) != 0])] if len(by) else by
+                    for m, d, k in zip(v[at].tolist(), bits[at].tolist(), u[at].tolist()):
+                        least[m] = min(least.get(m, (1 << 20, -1)), (d, k))
+                    for k in np.unique(u).tolist():
+                        least.setdefault(k, (1 << 20, -1))
+                if least:
+                    d, k = np.array(list(least.values()), np.int64).T
+                    yield batch_of(k, np.fromiter(least, np.int64, len(least)), d)
+
+    return dealt.repartition("_deal").drop("_deal").mapInArrow(compare, "a long, b long, bits long")
