@@ -35,11 +35,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a Jaccard similarity of 0.8 the document with the smallest id stays; of rows that share it, one."""
+    """Of each group of texts linked by a Jaccard similarity of 0.8 one row stays: the smallest id (null last), ties by the text's hash.
+
+    Rows are known by id and text together, so texts that share an id, or have none, are told apart.
+    """
+    row_of = lambda key, h: F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), h)  # noqa: E731  h has a fixed length
     found = near_text.simhash_components(docs.select("doc_id", "text"))
-    first = found.groupBy("label").agg(F.min("first").alias("_id")).select("_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    least = found.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "h")).alias("least"))
+    first = least.select(row_of("least.first", F.col("least.h")).alias("_row"))
+    rows = docs.select(*COLUMNS).withColumn("_row", row_of("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)))
+    return rows.dropDuplicates(["_row"]).join(first, "_row", "left_semi").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

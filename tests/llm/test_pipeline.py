@@ -62,3 +62,12 @@ def test_small_blocks_meet(spark, block):
     want = len(set(roots(texts)))
     found = near_text.simhash_components(table(spark, enumerate(texts)), block=block)
     assert found.select("label").distinct().count() == want
+
+
+def test_texts_without_an_id_or_with_a_shared_one_stay(spark):
+    texts = [f"{w} alone in the table with {w} words of its own about {w}" for w in ("ant", "bee", "cow", "doe", "elk", "fox")]
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, near), (3, near + " end"), (None, near + " stop"), (9, None), (None, "")]
+    kept = corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (3, near + " end"), (7, texts[3]), (7, texts[4]), (9, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(want, key=str)
