@@ -108,3 +108,21 @@ def test_failure_memory(spark, tmp_path):
 
 def test_every_twin_has_a_query():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 100
+
+
+def test_p_zero_reads_every_record_and_any_keys(spark, tmp_path):
+    import math
+
+    from tierlab.operators import policy as P
+    from tierlab.plans.registry import QUERIES
+    from tierlab.sources import bindings as B
+
+    spark.range(500).select((F.col("id") * 7 + 1000).alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    seen = {}
+    for r in P.observations(B.records(spark, str(tmp_path))).orderBy("rec_idx").collect():
+        seen.setdefault(r["tier"], []).append(math.log1p(-min(r["score"], 0.999)))
+    got = {r["tier"]: r["p_zero"] for r in QUERIES["p_zero"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({t: math.exp(sum(x[:20])) for t, x in seen.items()}, abs=2e-9)
+    every = {r["tier"]: (r["n"], r["log_p_zero"]) for r in QUERIES["p_zero_all"](spark, str(tmp_path)).collect()}
+    assert {t: n for t, (n, _) in every.items()} == dict.fromkeys(seen, 500)
+    assert {t: x for t, (_, x) in every.items()} == pytest.approx({t: sum(x) for t, x in seen.items()}, abs=1e-5)

@@ -136,8 +136,20 @@ def critical_value(spark, sf):
 @query(f"{S.OBS} select tier, round(exp(sum(ln(1 - least(score, 0.999)))), 9) as p_zero from (select *, row_number() over (partition by tier order by rec_idx) as r from obs) where r <= 20 group by tier")
 def p_zero(spark, sf):
     """The chance that none of the first twenty observations of a tier fires, each with its score as its rate."""
-    o = P.observations(B.records(spark, sf).where("rec_idx < 20"))
-    return o.groupBy("tier").agg(F.round(F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999))))), 9).alias("p_zero"))
+    o = P.observations(B.records(spark, sf)).withColumn("r", F.row_number().over(Window.partitionBy("tier").orderBy("rec_idx"))).where("r <= 20")  # each task keeps its first 20 of a tier before the exchange
+    return o.groupBy("tier").agg(F.round(F.exp(_log_none(F.lit(1))), 9).alias("p_zero"))
+
+
+def _log_none(n):
+    """The log of the chance that nothing fires, of rows (score, n times)."""
+    return F.sum(n * F.log1p(-F.least(F.col("score"), F.lit(0.999))))
+
+
+@query(f"{S.OBS} select tier, count(*) as n, round(sum(ln(1 - least(score, 0.999))), 6) as log_p_zero from obs group by tier")
+def p_zero_all(spark, sf):
+    """p_zero over every observation of a tier, as a log since the product underflows; equal scores are counted first."""
+    g = P.observations(B.records(spark, sf)).groupBy("tier", "score").agg(F.count(F.lit(1)).alias("n"))
+    return g.groupBy("tier").agg(F.sum("n").alias("n"), F.round(_log_none(F.col("n")), 6).alias("log_p_zero"))
 
 
 @query(f"{S.OBS}, g as (select tier, avg(cast(not truth as int)) as p from obs group by tier), m as (select unnest([47, 53, 64]) as m) select tier, cast(m as bigint) as m, round(pow(1 - p, m), 9) as p_zero, round(p * m, 9) as expected from g, m")
