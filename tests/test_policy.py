@@ -107,3 +107,14 @@ def test_grid_join_sees_score_vectors_not_records(spark):
     tau = P.threshold_grid(spark, 2).where("grid_idx = 60").first()["tau"]
     point = P.grid_risk(profiles, P.threshold_grid(spark, 2)).where("grid_idx = 60").first()
     assert (point["n"], point["bad"]) == P.replay(r, tau).agg(F.count("*"), F.count_if(~F.col("correct"))).first()
+
+
+def test_four_tiers_and_ragged_records_match_replay(spark):
+    rows = [([(0.1, False, 1), (0.2, False, 2), (0.3, False, 4), (0.4, False, 8)], {})] * 3
+    rows += [([(0.5, True, 1), (0.2, True, 2), (0.9, False, 4), (0.7, True, 8), (0.6, False, 16)], {}), ([(0.1, False, 1)], {}), ([], {}), ([(0.1, True, 1)] * 4, {"cache_hit": True, "cache_correct": False, "cache_cost": 3.0})]
+    r = make(spark, rows)
+    points = P.grid_risk(P.score_profiles(r), P.threshold_grid(spark, 4, 0.5)).collect()
+    assert len(points) == 81
+    for p in (x for x in points if x["grid_idx"] % 16 == 0):
+        want = P.replay(r, p["tau"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("correct")).alias("bad"), F.count_if(~F.col("true_correct")).alias("bad_true"), F.sum("cost").alias("cost")).first()
+        assert {k: p[k] for k in ("n", "bad", "bad_true", "cost")} == want.asDict(), p

@@ -94,19 +94,19 @@ def threshold_grid(spark: SparkSession, arity: int, step: float = 0.1) -> DataFr
 def score_profiles(records: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Records summed by their score vector (cache hits apart): n, and for each tier wrong, wrong by truth, cost so far."""
     by = by or []
-    n_tiers = 3
     hit = F.col("cache_hit")
+    kind = cost_kind(records)
     scores = F.when(hit, F.array().cast("array<double>")).otherwise(F.transform("tiers", lambda t: t["score"]))
-    k_range = range(n_tiers)
-    at = lambda k: F.get(F.col("tiers"), F.lit(k))
-    wrong = [F.when(hit, ~F.col("cache_correct")).otherwise(~F.coalesce(at(k)["correct"], F.lit(False))) for k in k_range]
-    wrong_true = [F.when(hit, ~F.col("cache_correct")).otherwise(~F.coalesce(truth(at(k)), F.lit(False))) for k in k_range]
-    cost = [F.when(hit, F.col("cache_cost")).otherwise(spend(F.col("tiers"), F.lit(k), cost_kind(records))) for k in k_range]
-    sums = [F.count(F.lit(1)).alias("n")]
-    sums += [F.count_if(w).alias(f"w{k}") for k, w in enumerate(wrong)] + [F.count_if(w).alias(f"t{k}") for k, w in enumerate(wrong_true)] + [F.sum(c).alias(f"c{k}") for k, c in enumerate(cost)]
-    grouped = records.groupBy(*by, scores.alias("scores")).agg(*sums)
-    pick = lambda p: F.array(*[F.col(f"{p}{k}") for k in k_range])
-    return grouped.select(*by, "scores", "n", pick("w").alias("wrong"), pick("t").alias("wrong_true"), pick("c").alias("cost"))
+    most = F.when(hit | (F.size("tiers") < 1), 1).otherwise(F.size("tiers"))  # cache hits and records without tiers have one place
+    at = F.get(F.col("tiers"), F.col("k"))
+    wrong = F.when(hit, ~F.col("cache_correct")).otherwise(~F.coalesce(at["correct"], F.lit(False)))
+    wrong_true = F.when(hit, ~F.col("cache_correct")).otherwise(~F.coalesce(truth(at), F.lit(False)))
+    cost = F.when(hit, F.col("cache_cost")).otherwise(spend(F.col("tiers"), F.col("k"), kind))
+    each = records.select(*by, scores.alias("scores"), "tiers", "cache_hit", "cache_correct", "cache_cost", F.explode(F.sequence(F.lit(0), most - 1)).alias("k"))
+    sums = each.groupBy(*by, "scores", "k").agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("w"), F.count_if(wrong_true).alias("t"), F.sum(cost).alias("c"))
+    places = F.sort_array(F.collect_list(F.struct("k", "n", "w", "t", "c")))  # one place a tier of the vector
+    grouped = sums.groupBy(*by, "scores").agg(places.alias("p"))
+    return grouped.select(*by, "scores", F.get("p", F.lit(0))["n"].alias("n"), F.col("p.w").alias("wrong"), F.col("p.t").alias("wrong_true"), F.col("p.c").alias("cost"))
 
 
 def grid_risk(profiles: DataFrame, grid: DataFrame, by: list[str] | None = None) -> DataFrame:
