@@ -1,7 +1,7 @@
 """Document fingerprints: MinHash over word shingles by universal hash permutations in numpy, bands joined in Spark.
 
-A shingle's 64-bit hash x goes through a * x + b (mod 2**64, odd a) for each permutation; the top 16 bits of the least
-value are a slot. The share of equal slots of two fingerprints estimates the Jaccard similarity of their shingle sets.
+A shingle's 64-bit hash x goes through a * x + b (mod 2**64, odd a) for each permutation; 16 bits of the least value,
+from below its leading zeros (a long text's least values are small numbers), are a slot. The share of equal slots of two fingerprints estimates the Jaccard similarity of their shingle sets.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ class MinHasher:
             h = hashes[i : i + 1024, None] * self.a
             h += self.b
             np.minimum(least, h.min(0), out=least)
-        return (least >> np.uint64(48)).astype(">u2")
+        return (least >> np.uint64(16)).astype(">u2")
 
     def of(self, text: str | None) -> np.ndarray:
         return self.signature(self.shingles(text))
