@@ -13,9 +13,11 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir; a local one is set only where none is named (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Where it is unset, a local one is set for a local master only; else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tierlab-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -26,7 +28,34 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, weights: DataFrame, spread: list[Column | str], how: str = "inner", least: int = 100_000) -> DataFrame:
+    """left join right (one row a key at most) by key, for `how` inner, left_semi or left_anti; a hot key's rows are dealt over many tasks.
+
+    weights: staged, key and n, the rows of left by key. A key is hot from `least` rows and a 10,000th of all rows on,
+    so there are under 10,000 hot keys, whatever the data; only they and their numbers of parts are broadcast. A hot key
+    has a copy of its right row in each part; left rows go to a part by a hash of `spread`.
+    """
+    facts = weights.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    share = max(least, facts["n"] // 10_000)
+    if facts["most"] <= share:
+        return left.join(right, key, how)
+    hot = weights.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("_parts"))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    copies = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -1,12 +1,13 @@
-"""Near-duplicate texts by MinHash bands: candidates meet in Spark, their Jaccard similarity is then computed exactly.
+"""Near-duplicate texts by exact Jaccard similarity of word shingles: MinHash bands, a SimHash trie walk, verification.
 
-Equal texts are one class before anything is compared. Inside a band's bucket every class is first checked against the
-bucket's smallest one; what that links is one component. Only classes of a bucket that are still in different
-components are compared with each other, so a large group of near copies costs a star, not all its pairs, and no link
-between components is left out.
+Equal texts are one class before anything is compared. Classes that share a band of their MinHash signature meet in
+Spark. First each class of a band is verified against the band's smallest one; what that links is one component, so a
+group of near copies of any size costs a star. Bands that still hold several components are walked: those outside the
+band's largest component meet all others in blocks, and a binary trie over SimHash fingerprints leaves a pair as soon
+as it is over the bits in which texts at the threshold can differ, or lies in one component. What is left is verified.
 
-simhash_components finds its candidates by SimHash instead: every pair of sizes that can reach the threshold is compared
-by the bits of its fingerprints.
+A trie over all texts can't do this alone: at a similarity of 0.8 up to 24 of 64 bits differ, and with that budget
+nothing is pruned above its leaves, so all pairs would be compared.
 """
 
 from __future__ import annotations
@@ -16,81 +17,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_slices
+from .common import salted_join, stage, text_slices, unstage
 from .minhash import load
-from .simhash import connected
-
-
-def near_components(df: DataFrame, threshold: float = 0.8, words: int = 5, permutations: int = 128, rows: int = 4, seed: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, class_id (smallest key of the equal texts) and component_id (smallest key reachable), one row a document.
-
-    Links: Jaccard of word shingles >= threshold. With 32 bands of 4 rows a pair at 0.8 shares a bucket with
-    probability over 0.9999999. Texts without words form one class and link to nothing else. Null keys keep their row
-    and are never an id unless a class has no other. Repeated rows stay.
-    """
-    docs = stage(df.select(F.col(key).alias("_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("h")), "text-hashes")
-    classes = stage(docs.groupBy("h").agg(F.min("_id").alias("class_id")).withColumn("node", F.col("h")), "text-classes")
-    one = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("h")).dropDuplicates(["h"])
-    bands = permutations // rows
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = load(permutations, words, seed)
-        for batch in chain.from_iterable(map(text_slices, batches)):
-            sets = [hasher.shingles(t) for t in batch.column(0).to_pylist()]
-            sigs = [hasher.signature(s).tobytes() if len(s) else b"" for s in sets]
-            step = 2 * rows
-            keys = [[i.to_bytes(2, "big") + g[i * step : (i + 1) * step] for i in range(bands)] if g else [] for g in sigs]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.binary()))], ["h", "shingles", "bands"])
-
-    signed = one.mapInArrow(sign, "h string, shingles binary, bands array<binary>")
-    signed = stage(signed.join(classes.select("h", "node"), "h").select("node", "shingles", "bands"), "signatures")
-    sets = signed.select("node", "shingles")
-    members = stage(signed.select("node", F.explode("bands").alias("band")), "band-members")
-    first = stage(members.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "first"), "band-firsts")
-    star = members.join(first, "band").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = stage(_verified(star, sets, threshold), "star-links")
-    labels = stage(connected(links), "star-labels")
-    named = members.join(first.select("band"), "band", "left_semi").join(labels.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    split = stage(named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "split-bands")
-    open_members = stage(named.join(split, "band"), "open-members")
-    x = open_members.select("band", F.col("node").alias("a"), F.col("label").alias("la"))
-    y = open_members.select("band", F.col("node").alias("b"), F.col("label").alias("lb"))
-    across = x.join(y, "band").where("a < b and la <> lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(stage(_verified(across, sets, threshold), "cross-links"))
-    labels = connected(links)
-    of_class = stage(classes.join(labels.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("h", "class_id", F.coalesce("label", "node").alias("label")), "class-labels")
-    least = of_class.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    final = stage(of_class.join(least, "label").select(F.col("h").alias("h2"), "class_id", "component_id"), "class-components")
-    return docs.join(final, F.col("h") == F.col("h2")).select(F.col("_id").alias(key), "class_id", "component_id")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str = "string") -> DataFrame:
-    """(u, v) of the pairs (a, b) whose shingle sets have a Jaccard similarity of threshold or more."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if both >= threshold * (len(p) + len(q) - both):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["u", "v"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, f"u {kind}, v {kind}")
-
+from .simhash import connected, trie_pairs
 
 #: 64-bit words of a wide fingerprint, and odd factors that give each of them its own hash of a shingle.
 _WIDE = 4
 _FACTORS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _BITS = np.arange(63, -1, -1, dtype=np.uint64)
+_WORDS = [f"f{i}" for i in range(_WIDE)]
+#: Bits of the first 64 and of all 256 in which a pair at Jaccard 0.8 may differ; texts of few shingles spread more.
+FIRST_BUDGET, FEW, FEW_BUDGET, BUDGET = 24, 32, 76, 62
 
 
 def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
@@ -105,161 +45,171 @@ def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
     return ((2 * total > len(shingles)) * (np.uint64(1) << _BITS)).sum(1, dtype=np.uint64)
 
 
-def bit_budget(n: np.ndarray) -> np.ndarray:
-    """Bits of 256 in which a pair at Jaccard 0.8 may differ; texts of few shingles spread more."""
-    return np.where(n < 32, 76, 62)
-
-
-#: Bits of the first 64 of them in which such a pair may differ.
-FIRST_BUDGET = 24
-
-
-def near_pairs(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, bits) of the pairs of rows of a and b (None: i < j inside a) within the budget whose sizes can reach the threshold.
-
-    a, b: node, label, n and fp (rows of _WIDE words), in order of n.
-    """
-    other = a if b is None else b
-    step = max(1, (1 << 18) // max(1, len(other["n"])))
-    for i in range(0, len(a["n"]), step):
-        n = a["n"][i : i + step]
-        lo = int(np.searchsorted(other["n"], threshold * n[0] - 1e-6))
-        hi = int(np.searchsorted(other["n"], n[-1] / threshold + 1e-6, "right"))
-        lo = max(lo, i + 1) if b is None else lo
-        if lo >= hi:
-            continue
-        u, v = np.nonzero(np.bitwise_count(a["fp"][i : i + step, 0, None] ^ other["fp"][None, lo:hi, 0]) <= FIRST_BUDGET)
-        u, v = u + i, v + lo
-        bits = np.bitwise_count(a["fp"][u] ^ other["fp"][v]).sum(1, dtype=np.int64)
-        small, large = np.minimum(a["n"][u], other["n"][v]), np.maximum(a["n"][u], other["n"][v])
-        keep = (bits <= bit_budget(small)) & (small >= threshold * large - 1e-6)
-        if b is None:
-            keep &= u < v
-        yield u[keep], v[keep], bits[keep]
-
-
-def simhash_components(df: DataFrame, threshold: float = 0.8, words: int = 5, seed: int = 1, text: str = "text", key: str = "doc_id", block: int | None = None) -> DataFrame:
-    """h (SHA-256 of the text), first (its smallest key) and label (of its component), one row a distinct text.
-
-    Links: Jaccard of word shingles >= threshold, computed exactly for the candidates of the SimHash join. Distinct texts
-    are sorted by their number of shingles and cut into blocks; blocks whose sizes can reach the threshold meet, and all
-    their pairs are compared by bits (at this budget a trie would prune nothing above its leaves). First each text is
-    verified against its nearest of smaller node; what that links is one component, and only candidates in different
-    components are verified after it, so a large group of near copies costs a tree. Texts without words are one class
-    and link to nothing else. Null keys are never first unless a text has no other. Other columns aren't read.
-    """
+def classes_of(df: DataFrame, words: int, rows: int, bands: int, seed: int, text: str, key: str) -> DataFrame:
+    """Staged: h (SHA-256 of the text), first (its smallest key), n (shingles), bands (keys), f0.. (SimHash words), node; one row a distinct text."""
     kind = df.select(key).schema[0].dataType.simpleString()
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(key).alias("_id"), F.sha2(t, 256).alias("h"), t.alias("t"))
+    shift = np.arange(rows, dtype=np.int64)[::-1] * 16
+    names = ["_id", "h", "n", "bands", *_WORDS]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = load(1, words, seed)
+        hasher = load(rows * bands, words, seed)
         for batch in chain.from_iterable(map(text_slices, batches)):
             sets = [hasher.shingles(x) for x in batch.column(2).to_pylist()]
-            fps = [wide_fingerprint(s).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(fps, pa.binary())], ["_id", "h", "n", "fp"])
-
-    signed = rows.mapInArrow(sign, f"_id {kind}, h string, n long, fp binary")
-    classes = signed.groupBy("h").agg(F.min("_id").alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp"))
-    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "text-classes")
-    block = block or min(1 << 16, max(512, classes.count() // 40))
-    pairs = _near_pairs(classes.select("node", F.col("node").alias("label"), "n", "fp").where("n > 0"), threshold, block, tree=True)
-    nearest = stage(pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")), "nearest")
-    found = nearest.select(F.col("b").alias("node")).join(classes.select("node", "h"), "node")
-    one = rows.select("h", "t").dropDuplicates(["h"]).join(found, "h").select("node", "t")
+            slots = [hasher.signature(s).astype(np.int64).reshape(bands, rows) for s in sets]
+            keys = [(np.arange(bands) << 16 * rows) + (x << shift).sum(1) if len(s) else None for x, s in zip(slots, sets)]
+            fps = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, _WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, fps.T.copy())], names)
+
+    signed = df.select(F.col(key).alias("_id"), F.sha2(t, 256).alias("h"), t.alias("t")).mapInArrow(sign, f"_id {kind}, h string, n long, bands array<long>, " + ", ".join(f"{w} long" for w in _WORDS))
+    classes = signed.groupBy("h").agg(F.min("_id").alias("first"), F.min(F.struct("n", "bands", *_WORDS)).alias("s")).select("h", "first", "s.*")
+    return stage(classes.withColumn("node", F.monotonically_increasing_id()), "text-classes")
+
+
+def _shingle_sets(df: DataFrame, classes: DataFrame, nodes: DataFrame, words: int, seed: int, text: str) -> DataFrame:
+    """Staged: node and shingles of the classes in `nodes` (distinct)."""
+    wanted = classes.select("node", "h").join(nodes, "node", "left_semi")
+    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.sha2("t", 256)).dropDuplicates(["h"]).join(wanted, "h")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = load(1, words, seed)
         for batch in chain.from_iterable(map(text_slices, batches)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hasher.shingles(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["node", "shingles"])
 
-    sets = stage(one.mapInArrow(shingle, "node long, shingles binary"), "shingle-sets")
-    links = stage(_verified(nearest.where("a is not null"), sets, threshold, "long"), "tree-links")
-    labels = stage(connected(links).withColumnRenamed("node", "n2"), "tree-labels")
-    named = found.select("node").join(classes.select("node", "n", "fp"), "node").join(labels, F.col("node") == F.col("n2"), "left")
-    named = stage(named.select("node", F.coalesce("label", "node").alias("label"), "n", "fp"), "named")
-    across = stage(_near_pairs(named, threshold, block, tree=False).select("a", "b").distinct().join(nearest.select("a", "b"), ["a", "b"], "left_anti"), "across-pairs")
-    links = links.unionByName(stage(_verified(across, sets, threshold, "long"), "cross-links"))
-    labels = connected(links).withColumnRenamed("node", "n2")
-    return classes.join(labels, F.col("node") == F.col("n2"), "left").select("h", "first", F.coalesce("label", "node").alias("label"))
+    return stage(rows.select("node", "t").mapInArrow(shingle, "node long, shingles binary"), "shingle-sets")
 
 
-def _near_pairs(nodes: DataFrame, threshold: float, block: int, tree: bool) -> DataFrame:
-    """a, b (a < b) and bits of the candidates (node, label, n, fp) with different labels.
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Staged: (u, v) of the staged pairs (a, b) whose shingle sets have a Jaccard similarity of threshold or more.
 
-    tree: instead, for each task and each node b of a candidate, the nearest a below it, or null.
+    The sets of b, which is in few pairs, are joined first; an a that is in very many is dealt over many tasks.
     """
-    width = max(1e-3, -np.log(threshold)) * 1.0001  # sizes that reach the threshold are in one class or in neighbours
+    weights = stage(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "pair-weights")
+    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = salted_join(left, sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a", weights, ["b"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if both >= threshold * (len(p) + len(q) - both):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["u", "v"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, held, at = TaskContext.get().partitionId() << 32, 0, [], None
+    links = stage(both.select("a", "b", "x", "y").mapInArrow(verify, "u long, v long"), "links")
+    unstage(weights)
+    return links
 
-        def cut() -> pa.RecordBatch:
-            nonlocal held, made
-            rows, held, made = pa.Table.from_batches(held).combine_chunks(), [], made + 1
-            n = rows.column("n").to_numpy()
-            parts = [rows.column(c).to_numpy().astype(np.int64).tobytes() for c in ("node", "label", "n")]
-            parts.append(b"".join(rows.column("fp").to_pylist()))
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (task + made, at, int(n[0]), int(n[-1]))] + [pa.array([b"".join(parts)], pa.binary())], ["no", "size", "lo", "hi", "block"])
 
-        for batch in batches:
-            n = batch.column("n").to_numpy()
-            size = np.floor(np.log(n) / width).astype(np.int64)
-            for run in np.split(np.arange(len(n)), np.flatnonzero(np.diff(size)) + 1):
-                if len(run) and size[run[0]] != at:
-                    if held:
-                        yield cut()
-                    at = int(size[run[0]])
-                i = 0
-                while i < len(run):
-                    k = min(len(run) - i, block - sum(x.num_rows for x in held))
-                    held.append(batch.slice(int(run[0]) + i, k))
-                    i += k
-                    if sum(x.num_rows for x in held) >= block:
-                        yield cut()
+def _near(a: str, b: str, threshold: float) -> F.Column:
+    """Whether two signed rows (struct columns) can reach the threshold by their sizes and bits."""
+    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    bits = [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _WORDS]
+    return (small >= threshold * large - 1e-6) & (bits[0] <= FIRST_BUDGET) & (sum(bits[1:], bits[0]) <= F.when(small < FEW, FEW_BUDGET).otherwise(BUDGET))
+
+
+def _star_pairs(classes: DataFrame, in_bands: DataFrame, threshold: float) -> DataFrame:
+    """Staged: (a, b) of those classes b that can be near the smallest class a of a band."""
+    star = stage(in_bands.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    weights = stage(star.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "star-weights")
+    row = F.struct("n", *_WORDS)
+    left = star.join(classes.select(F.col("node").alias("b"), row.alias("y")), "b")
+    both = salted_join(left, classes.select(F.col("node").alias("a"), row.alias("x")), "a", weights, ["b"])
+    pairs = stage(both.where(_near("x", "y", threshold)).select("a", "b"), "star-pairs")
+    unstage(star, weights)
+    return pairs
+
+
+def _walked_pairs(classes: DataFrame, in_bands: DataFrame, labels: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b), a < b, of the classes in one band and different components that can reach the threshold.
+
+    In each band with several labels, rows outside the commonest label (blocks i) meet all rows (chunks j); a group
+    (band, i, j) holds about `block` rows of the one and 16 blocks of the other, however large the band is.
+    """
+    named = stage(in_bands.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "named-bands")
+    tally = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("common"), F.sum("c").alias("n"), F.max("c").alias("most"))
+    open_bands = stage(tally.where("n > most").select("band", "common", "n", F.ceil((F.col("n") - F.col("most")) / block).alias("blocks"), F.ceil(F.col("n") / (16 * block)).alias("chunks")), "open-bands")
+    members = salted_join(named, open_bands, "band", open_bands.select("band", "n"), ["node"])
+    members = members.join(classes.select("node", F.col("n").alias("size"), *_WORDS), "node").withColumn("few", F.col("label") != F.col("common"))
+    place = F.xxhash64("node")
+    roles = F.array_compact(F.array(
+        F.when(F.col("few"), F.struct(F.lit(0).alias("side"), F.array(F.pmod(place, F.col("blocks"))).alias("i"), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1).alias("j"))),
+        F.struct(F.lit(1).alias("side"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1).alias("i"), F.array(F.pmod(place, F.col("chunks"))).alias("j")),
+    ))
+    dealt = members.withColumn("r", F.explode(roles)).withColumn("i", F.explode("r.i")).withColumn("j", F.explode("r.j"))
+    groups = dealt.select("band", "i", "j", F.col("r.side").alias("side"), "node", "label", "size", *_WORDS, F.col("f0").bitwiseXOR(F.lit(-(2**63))).alias("_order"))
+    groups = groups.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side", "_order").drop("_order")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            group = np.stack([rows.column(c).to_numpy() for c in ("band", "i", "j")], 1)
+            new = np.r_[True, (group[1:] != group[:-1]).any(1)]
+            side = rows.column("side").to_numpy()
+            first = np.flatnonzero(new)
+            last = np.r_[first[1:], len(side)]
+            middle = first + np.add.reduceat(side == 0, first)
+            node, label, size = (rows.column(c).to_numpy() for c in ("node", "label", "size"))
+            fp = np.stack([rows.column(w).to_numpy() for w in _WORDS], 1).view(np.uint64)
+            i, j = trie_pairs(np.ascontiguousarray(fp[:, 0]), label, np.stack([first, middle, middle, last], 1), FIRST_BUDGET)
+            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            near = (np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= np.where(small < FEW, FEW_BUDGET, BUDGET)) & (small >= threshold * large - 1e-6)
+            u, v = node[i[near]], node[j[near]]
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # a group is at most a few batches; whole groups are walked together, many small ones at once
+            key = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            ends = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            if held and batch.num_rows and any(held[-1].column(k)[-1].as_py() != int(key[0, k]) for k in range(3)):
+                yield found(held)
+                held = []
+            if len(ends):
+                yield found([*held, batch.slice(0, int(ends[-1]))])
+                held, batch = [], batch.slice(int(ends[-1]))
+            if batch.num_rows:
+                held.append(batch)
         if held:
-            yield cut()
-
-    in_order = nodes.select("node", "label", "n", "fp").repartitionByRange("n", "node").sortWithinPartitions("n", "node")
-    blocks = stage(in_order.mapInArrow(pack, "no long, size long, lo long, hi long, block binary"), "size-blocks")
-    meta = blocks.select("no", "size", "lo", "hi")
-    left = meta.select(F.col("no").alias("p"), F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("s"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("size").alias("s1"))
-    right = meta.select(F.col("no").alias("q"), F.col("size").alias("s"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    meet = left.join(right, "s").where((F.col("s") != F.col("s1")) | (F.col("p") <= F.col("q")))
-    meet = stage(meet.where((F.col("hi1") >= threshold * F.col("lo2") - 1e-6) & (F.col("hi2") >= threshold * F.col("lo1") - 1e-6)).select("p", "q"), "block-pairs")
-    x, y = (blocks.select(F.col("no").alias(c), F.col("block").alias(d)) for c, d in (("p", "x"), ("q", "y")))
-    dealt = meet.join(x, "p").join(y, "q").select((F.col("p") == F.col("q")).alias("same"), "x", F.when(F.col("p") != F.col("q"), F.col("y")).alias("y"), F.xxhash64("p", "q").alias("_deal"))
-
-    def read(block: bytes) -> dict[str, np.ndarray]:
-        m = len(block) // (24 + 8 * _WIDE)
-        head = np.frombuffer(block, np.int64, 3 * m).reshape(3, m)
-        return {"node": head[0], "label": head[1], "n": head[2], "fp": np.frombuffer(block, np.uint64, offset=24 * m).reshape(m, _WIDE)}
-
-    def batch_of(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64(), mask=a < 0), pa.array(b, pa.int64()), pa.array(bits, pa.int64())], ["a", "b", "bits"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                same, p, q = (batch.column(i)[row].as_py() for i in range(3))
-                a, b = read(p), None if same else read(q)
-                other = a if b is None else b
-                least: dict[int, tuple[int, int]] = {}
-                for i, j, bits in near_pairs(a, b, threshold):
-                    u, v = a["node"][i], other["node"][j]
-                    differ = a["label"][i] != other["label"][j]
-                    u, v, bits = np.minimum(u, v)[differ], np.maximum(u, v)[differ], bits[differ]
-                    if not tree:
-                        yield batch_of(u, v, bits)
-                        continue
-                    by = np.lexsort((u, bits, v))
-                    at = by[np.flatnonzero(np.r_[True, np.diff(v[by]) != 0])] if len(by) else by
-                    for m, d, k in zip(v[at].tolist(), bits[at].tolist(), u[at].tolist()):
-                        least[m] = min(least.get(m, (1 << 20, -1)), (d, k))
-                    for k in np.unique(u).tolist():
-                        least.setdefault(k, (1 << 20, -1))
-                if least:
-                    d, k = np.array(list(least.values()), np.int64).T
-                    yield batch_of(k, np.fromiter(least, np.int64, len(least)), d)
-
-    return dealt.repartition("_deal").drop("_deal").mapInArrow(compare, "a long, b long, bits long")
+            yield found(held)
+
+    return groups.mapInArrow(walk, "a long, b long").distinct()
+
+
+def simhash_components(df: DataFrame, threshold: float = 0.8, words: int = 5, rows: int = 3, bands: int = 16, seed: int = 1, text: str = "text", key: str = "doc_id", block: int = 4096) -> DataFrame:
+    """h (SHA-256 of the text), first (its smallest key) and label (of its component), one row a distinct text.
+
+    Links: Jaccard of word shingles >= threshold, exact for each candidate. Two texts at 0.8 share one of 16 bands of 3
+    slots with a probability of 0.99999 (1 - (1 - J**3)**16). Texts without words are one class and link to nothing
+    else. Null keys are never first unless a text has no other. Repeated rows are one text. Other columns aren't read.
+    """
+    classes = classes_of(df, words, rows, bands, seed, text, key)
+    members = classes.select("node", F.explode("bands").alias("band"))
+    shared = stage(members.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-bands")
+    in_bands = stage(salted_join(members, shared.select("band", "least"), "band", shared.select("band", "n"), ["node"]), "band-members")
+    star = _star_pairs(classes, in_bands, threshold)
+    nodes = stage(star.selectExpr("explode(array(a, b)) as node").distinct(), "star-nodes")
+    sets = _shingle_sets(df, classes, nodes, words, seed, text)
+    links = _verified(star, sets, threshold)
+    labels = stage(connected(links).select("node", "label"), "star-labels")
+    across = stage(_walked_pairs(classes, in_bands, labels, threshold, block).join(star, ["a", "b"], "left_anti"), "across-pairs")
+    more = across.selectExpr("explode(array(a, b)) as node").distinct().join(nodes, "node", "left_anti")
+    sets = sets.unionByName(_shingle_sets(df, classes, more, words, seed, text))
+    labels = connected(links.unionByName(_verified(across, sets, threshold)))
+    return classes.join(labels, "node", "left").select("h", "first", F.coalesce("label", "node").alias("label"))
+
+
+def near_components(df: DataFrame, threshold: float = 0.8, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, class_id (smallest key of the equal texts) and component_id (smallest key reachable), one row a document.
+
+    As simhash_components. Null keys keep their row and are never an id unless a class has no other. Repeated rows stay.
+    """
+    found = stage(simhash_components(df, threshold, words, text=text, key=key), "class-components")
+    least = found.groupBy("label").agg(F.min("first").alias("component_id"))
+    final = found.join(least, "label").select("h", F.col("first").alias("class_id"), "component_id")
+    docs = stage(df.select(F.col(key).alias("_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("h")), "text-hashes")
+    copies = stage(docs.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "copies")
+    return salted_join(docs, final, "h", copies, [F.monotonically_increasing_id()]).select(F.col("_id").alias(key), "class_id", "component_id")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_slices
+from .common import salted_join, stage, text_slices, unstage
 
 SEED = 42
 _BITS = np.arange(63, -1, -1, dtype=np.uint64)
@@ -148,6 +148,57 @@ def trie_components(a: np.ndarray, b: np.ndarray | None, budget: int, half_budge
     return values[members], least[found.label[members]]
 
 
+def trie_pairs(values: np.ndarray, labels: np.ndarray, starts: np.ndarray, budget: int, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Places i, j of the values within the budget of each other that have different labels, over pairs of ranges.
+
+    starts: rows lo_i, hi_i, lo_j, hi_j; each range of values is in order and is the root of a trie. The pairs of roots
+    are walked together; a pair of nodes is left when its bits differ too often, or when all below it have one label.
+    """
+    runs = np.cumsum(np.r_[0, labels[1:] != labels[:-1]]) if len(labels) else labels
+    zeros: dict[int, np.ndarray] = {}
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    stack = [(0, starts.reshape(-1, 4).astype(np.int64), np.zeros(len(starts), np.int64))]
+    while stack:
+        depth, nodes, err = stack.pop()
+        if len(nodes) > chunk:
+            stack.append((depth, nodes[chunk:], err[chunk:]))
+            nodes, err = nodes[:chunk], err[:chunk]
+        ok = (nodes[:, 0] < nodes[:, 1]) & (nodes[:, 2] < nodes[:, 3]) & (err <= budget)
+        nodes, err = nodes[ok], err[ok]
+        lo_a, hi_a, lo_b, hi_b = nodes.T
+        one = (runs[lo_a] == runs[hi_a - 1]) & (runs[lo_b] == runs[hi_b - 1]) & (labels[lo_a] == labels[lo_b])
+        nodes, err = nodes[~one], err[~one]
+        if not len(nodes):
+            continue
+        lo_a, hi_a, lo_b, hi_b = nodes.T
+        size = (hi_a - lo_a) * (hi_b - lo_b)
+        small = size <= (8 if depth < 64 else 1 << 12)
+        if small.any():
+            at_a, _, at_b, end_b = nodes[small].T
+            which = np.repeat(np.arange(small.sum()), size[small])
+            place = np.arange(len(which)) - np.repeat(np.cumsum(size[small]) - size[small], size[small])
+            n_b = (end_b - at_b)[which]
+            i, j = at_a[which] + place // n_b, at_b[which] + place % n_b
+            near = (np.bitwise_count(values[i] ^ values[j]) <= budget) & (labels[i] != labels[j])
+            found.append((i[near], j[near]))
+            nodes, err = nodes[~small], err[~small]
+            if not len(nodes):
+                continue
+            lo_a, hi_a, lo_b, hi_b = nodes.T
+        if depth >= 64:  # equal values only: halve until a part is small
+            mid_a, mid_b = (lo_a + hi_a) // 2, (lo_b + hi_b) // 2
+            differ = err
+        else:
+            if depth not in zeros:
+                zeros[depth] = np.r_[0, np.cumsum(values >> np.uint64(63 - depth) & np.uint64(1) == 0)]
+            z = zeros[depth]
+            mid_a, mid_b = lo_a + z[hi_a] - z[lo_a], lo_b + z[hi_b] - z[lo_b]
+            differ = err + 1
+        parts = [(lo_a, mid_a, lo_b, mid_b), (mid_a, hi_a, mid_b, hi_b), (lo_a, mid_a, mid_b, hi_b), (mid_a, hi_a, lo_b, mid_b)]
+        stack.append((min(depth + 1, 64), np.concatenate([np.stack(x, 1) for x in parts]), np.concatenate([err, err, differ, differ])))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+
+
 def _swap(x: np.ndarray) -> np.ndarray:
     return (x << np.uint64(32)) | (x >> np.uint64(32))
 
@@ -223,14 +274,17 @@ def connected(links: DataFrame) -> DataFrame:
     edges = stage(links.where("u <> v").selectExpr("least(u, v) as u", "greatest(u, v) as v").distinct().selectExpr("inline(array(struct(u, v), struct(v as u, u as v)))"), "links")
     labels = stage(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
     while True:
+        before = labels
         near = edges.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
         lower = stage(labels.join(near, F.col("node") == F.col("u")).select("node", F.least("label", "near").alias("to"), F.col("label").alias("was")), "labels")
         jump = lower.select(F.col("node").alias("n2"), F.col("to").alias("to2"))
         after = stage(lower.join(jump, F.col("to") == F.col("n2"), "left").select("node", F.least("to", F.coalesce("to2", "to")).alias("label"), "was"), "labels")
         changed = after.where("label <> was").limit(1).count()
-        labels = after.select("node", "label")
+        unstage(before, lower)
+        labels = after
         if not changed:
-            return labels
+            unstage(edges)
+            return labels.select("node", "label")
 
 
 def near_components(df: DataFrame, budget: int = 4, words: int = 4, text: str = "text", key: str = "doc_id", depth: int | None = None) -> DataFrame:
@@ -242,14 +296,14 @@ def near_components(df: DataFrame, budget: int = 4, words: int = 4, text: str =
     other (then component_id is null). Without a depth the trie is cut deeper as distinct fingerprints grow. Repeated rows stay. Other columns aren't read.
     """
     docs = stage(fingerprints(df, text, key, words), "fingerprints")
-    nodes = stage(docs.groupBy("fp").agg(F.min(key).alias("first")), "distinct-fingerprints")
+    nodes = stage(docs.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     depth = depth or max(6, (nodes.count() >> 19).bit_length())  # a subtree holds about half a million values at most
     labels = connected(trie_links(nodes, budget, depth))
     of_node = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     of_node = stage(of_node, "node-labels")
     least = of_node.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_fp = stage(of_node.join(least, "label").select(F.col("fp").alias("fp2"), "component_id"), "components")
-    return docs.join(of_fp, F.col("fp") == F.col("fp2")).select(key, "fp", "component_id")
+    of_fp = stage(of_node.join(least, "label").select("fp", "component_id"), "components")
+    return salted_join(docs, of_fp, "fp", nodes.select("fp", "n"), [F.monotonically_increasing_id()]).select(key, "fp", "component_id")
 
 
 def hex64(column) -> F.Column:
