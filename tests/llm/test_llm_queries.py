@@ -88,6 +88,17 @@ def test_line_runs_grow_by_levels(spark):
         runs.add(keys)
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     assert {r["key"]: r["docs"] for r in runs.counts().collect()} == {"a": 1, "b": 3, "c": 1, "d": 1}
+    held = spark.table(runs.levels[-1][0])
+    plan = held.join(held.select("key").hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.drop()
+    assert runs.counts().count() == 0
+
+
+def test_lines_of_shared_and_missing_ids(spark):
+    rows = [(None, "x\nshared\ny"), (None, "shared\nz"), (7, "shared"), (7, "a\nSHARED \nshared\nb"), (7, "a\nSHARED \nshared\nb"), (8, "only\n" + "line\n" * 3000)]
+    got = line_dedup.drop_frequent_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=5).collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_lines"], r["n_dropped"]) for r in got) == sorted([(0, "x\ny", 3, 1), (0, "z", 2, 1), (7, "", 1, 1), (7, "a\nb", 4, 2), (7, "a\nb", 4, 2), (8, rows[-1][1], 3002, 0)])
 
 
 def check_pieces(rows, texts, length=2048):

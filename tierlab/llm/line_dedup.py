@@ -1,8 +1,10 @@
 """Line dedup: levelled sorted runs of line hashes; batches merge-anti-join the runs and add their own.
 
-A run holds (key, docs): a line hash and in how many documents of the run's batches it occurs, sorted by key. Each
-batch adds one run to level 0; as soon as a level has `fan_in` runs, they are merged into one of the next level, so
-n batches leave about fan_in * log(n) runs and each key is rewritten log(n) times.
+A run holds (key, docs), sorted: line hashes that no earlier run holds, and in how many documents of their first batch
+they occur. A new batch is anti-joined with the runs; what is left is its own run at level 0, and what the runs know
+goes to a levelled list of raises (key, docs). As soon as a level has `fan_in` tables, they are merged into one of the
+next level, so n batches leave about fan_in * log(n) tables and each key is rewritten log(n) times. Tables are
+bucketed by key, so no run is shuffled again for a batch.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage
+from .common import let, salted_join, shared_dir, stage
 
 #: The characters stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -25,85 +27,121 @@ def ascii_lower(text: Column) -> Column:
 
 
 def line_keys(text: Column, min_chars: int) -> Column:
-    """A 128-bit hash (hex) for each line of a text, in order; null where the key has under min_chars code points."""
+    """A 128-bit hash for each line of a text, in order; null where the key has under min_chars code points."""
     lines = F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n", -1)
     keys = F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS)))
-    return F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, F.md5(k)))
+    return F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, F.unhex(F.md5(k))))
 
 
 class LineRuns:
-    """The runs of one corpus, in a folder that all executors share."""
+    """The runs of one corpus, in a folder that all executors share, in as many buckets as the session has shuffle partitions."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = 4):
         self.spark, self.fan_in = spark, fan_in
         self.path = path or f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.raises: list[list[str]] = [[]]
+
+    def _write(self, table: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        table.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"drop table {name}")
+        context = self.spark.sparkContext
+        for name in names:
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _push(self, levels: list[list[str]], name: str) -> None:
+        """Add a table at level 0 and merge full levels."""
+        levels[0].append(name)
+        level = 0
+        while len(levels[level]) >= self.fan_in:
+            full = levels[level]
+            merged = self._write(self._sums(full))
+            if len(levels) == level + 1:
+                levels.append([])
+            levels[level] = []
+            levels[level + 1].append(merged)
+            self._drop(full)
+            level += 1
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("key string, docs long").parquet(*paths)
+    def _sums(self, names: list[str]) -> DataFrame:
+        union = self.spark.table(names[0])
+        for name in names[1:]:
+            union = union.unionByName(self.spark.table(name))
+        return union.repartition(self.buckets, "key").groupBy("key").agg(F.sum("docs").alias("docs"))  # a union of bucketed tables is not dealt by its key, though its plan says so
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = f"{self.path}/level-{level}-{uuid.uuid4().hex}"
-        run.sortWithinPartitions("key").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+    def _unknown(self, rows: DataFrame) -> DataFrame:
+        """rows without those whose key a run holds: a merge anti-join with each run."""
+        for name in (n for level in self.levels for n in level):
+            rows = rows.join(self.spark.table(name).select("key").hint("merge"), "key", "left_anti")
+        return rows
 
     def add(self, keys: DataFrame) -> None:
-        """keys: a column `keys`, the line keys of one document a row. Adds the batch's run and compacts full levels."""
+        """keys: a column `keys`, the line keys of one document a row. Adds the batch's run, and raises what the runs know."""
         lines = keys.select(F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
-        self._write(lines.groupBy("key").agg(F.count(F.lit(1)).alias("docs")), 0)
-        level = 0
-        while len(self.levels[level]) >= self.fan_in:
-            merged = self._read(self.levels[level]).groupBy("key").agg(F.sum("docs").alias("docs"))
-            self.levels[level] = []
-            self._write(merged, level + 1)
-            level += 1
+        batch = self._write(lines.groupBy("key").agg(F.count(F.lit(1)).alias("docs")))
+        if not any(self.levels):
+            self._push(self.levels, batch)
+            return
+        run = self._write(self._unknown(self.spark.table(batch)))
+        met = self.spark.table(batch).join(self.spark.table(run).select("key").hint("merge"), "key", "left_anti")
+        self._push(self.raises, self._write(met))
+        self._push(self.levels, run)
+        self._drop([batch])
 
     def counts(self) -> DataFrame:
-        """key and docs over all runs; no rows before the first batch."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], "key string, docs long")
-        return self._read(paths).groupBy("key").agg(F.sum("docs").alias("docs"))
+        """key and docs over all batches; no rows before the first."""
+        names = [n for level in self.levels + self.raises for n in level]
+        return self._sums(names) if names else self.spark.createDataFrame([], "key string, docs long")
 
     def frequent(self, min_docs: int) -> DataFrame:
-        return stage(self.counts().where(F.col("docs") >= min_docs).select("key"), "frequent-lines")
+        """Staged: key and docs of the keys in at least min_docs documents."""
+        return stage(self.counts().where(F.col("docs") >= min_docs), "frequent-lines")
 
     def novel(self, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-        """The merge-anti-join for incremental use: (key, line key) of the lines that no earlier batch has."""
-        lines = keys.select(key, F.explode("keys").alias("key")).where("key is not null")
-        return lines.join(stage(self.counts().select("key"), "known-lines").hint("merge"), "key", "left_anti")
+        """For incremental use: (key, line key) of the lines that no earlier batch has."""
+        return self._unknown(keys.select(key, F.explode("keys").alias("key")).where("key is not null")).select(key, "key")
+
+    def drop(self) -> None:
+        self._drop([n for level in self.levels + self.raises for n in level])
+        self.levels, self.raises = [[]], [[]]
 
 
 def drop_frequent_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df's columns, with text rid of every line whose key is in at least min_docs documents, and n_lines, n_dropped.
 
-    The corpus goes through the runs in `batches` batches (by a hash of the key). Each batch is then merge-joined to the
-    keys that all runs together hold min_docs times. A row is a document: repeated rows count as often as they occur,
-    rows that share a key are each cleaned by themselves, null keys too. Null or empty text is one empty line, whose key
-    is too short to drop; it becomes the empty string. Columns named n_lines or n_dropped are replaced.
+    The corpus goes through the runs in `batches` batches (by a hash of key and text). The lines are then joined to the
+    keys that are in min_docs documents (a key of very many lines is dealt over many tasks), which gives the places of
+    the lines to drop. A row is a document: repeated rows count as often as they occur, rows that share a key are each
+    cleaned by themselves, null keys too. Null or empty text is one empty line, whose key is too short to drop; it
+    becomes the empty string. Columns named n_lines or n_dropped are replaced.
     """
     spark = df.sparkSession
     named = df.drop("n_lines", "n_dropped")
-    staged = stage(
-        named.select(F.col(key).alias("_id"), line_keys(F.col(text), min_chars).alias("keys"), F.coalesce(F.pmod(F.xxhash64(key), F.lit(batches)), F.lit(0)).cast("int").alias("batch")),
-        "line-keys", ["batch"],
-    )
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = named.select(F.col(key).alias("_id"), F.md5(whole).alias("_h"), line_keys(F.col(text), min_chars).alias("keys"))
+    staged = stage(rows.withColumn("batch", F.pmod(F.xxhash64("_id", "_h"), F.lit(batches)).cast("int")), "line-keys", ["batch"])
     runs = LineRuns(spark)
     for b in range(batches):
         runs.add(staged.where(F.col("batch") == b))
-    lines = staged.select("_id", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
-    hits = lines.join(runs.frequent(min_docs).hint("merge"), "key", "left_semi").groupBy("_id").agg(F.collect_set("key").alias("_hits"))
-    with_hits = named.join(hits, F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id")
-    lines_of = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    keys_of = line_keys(F.col(text), min_chars)
-    kept = F.when(F.col("_hits").isNull(), lines_of).otherwise(
-        F.transform(F.filter(F.arrays_zip(lines_of.alias("l"), keys_of.alias("k")), lambda z: z["k"].isNull() | ~F.array_contains(F.col("_hits"), z["k"])), lambda z: z["l"])
-    )
-    with_hits = with_hits.withColumn("_kept", kept).withColumn("n_lines", F.size(lines_of).cast("long"))
-    with_hits = with_hits.withColumn("n_dropped", F.col("n_lines") - F.size("_kept")).withColumn(text, F.array_join("_kept", "\n"))
-    return with_hits.select(*named.columns, "n_lines", "n_dropped")
+    frequent = runs.frequent(min_docs)
+    runs.drop()
+    lines = staged.select("_id", "_h", F.posexplode("keys").alias("pos", "key")).where("key is not null")
+    met = salted_join(lines, frequent.select("key"), "key", frequent.select("key", F.col("docs").alias("n")), ["_id", "_h", "pos"], "left_semi")
+    hits = met.groupBy("_id", "_h").agg(F.collect_set("pos").alias("_hits")).withColumnRenamed("_h", "_h2")
+    with_hits = named.withColumn("_h", F.md5(whole)).join(hits, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")), "left")
+    lines_of = lambda t: F.split(t, "\n", -1)
+    left = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_hits"), lambda i: F.get(x, i))
+    kept = F.when(F.col("_hits").isNull(), whole).otherwise(let(lines_of(whole), lambda x: F.array_join(left(x), "\n")))
+    n_lines = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    out = with_hits.withColumn("n_lines", n_lines.cast("long")).withColumn("n_dropped", F.coalesce(F.size("_hits"), F.lit(0)).cast("long")).withColumn(text, kept)
+    return out.select(*named.columns, "n_lines", "n_dropped")
 
 
 SQL = r"""

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: The base patterns by kind, with the group whose length counts and the least length.
 BASE = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -54,11 +56,6 @@ _TAGGED = "struct<s:bigint,k:int,e:bigint,kind:string,m:string,cls:int>"
 _BLOCK = 4096
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
     """For each of the longs, all before it combined from 0 on. In chunks of about the root of their number, as appending copies the array."""
     zero, none = F.lit(0).cast("bigint"), F.array().cast("array<bigint>")
