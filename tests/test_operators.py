@@ -46,7 +46,7 @@ def test_trigrams(spark):
 
 def test_stable_rank_matches_a_sort(spark):
     df = spark.range(1000).select("id", (F.col("id") * 7919 % 5).alias("x"))
-    got = {r["id"]: r["p"] for r in O.stable_rank(df, {"x": True}, "id", "p", id_span=64).collect()}
+    got = {r["id"]: r["p"] for r in O.stable_rank(df, {"x": True}, "id", "p").collect()}
     want = {r["id"]: i for i, r in enumerate(sorted(df.collect(), key=lambda r: (-r["x"], r["id"])))}
     assert got == want
     r = O.value_at(df, "x", {"median": F.expr("n div 2"), "p90": F.expr("9 * n div 10")}).first()
@@ -54,12 +54,48 @@ def test_stable_rank_matches_a_sort(spark):
 
 
 def test_sweep_invariants(spark):
-    rows = {(r["pattern"], r["rho"]): r for r in W.absorption_sweep(B.records(spark, SF), ["easy-first", "uniform"], [0.0, 0.3, 0.6], 0.2, 0.1, [0.4, 0.3]).collect()}
-    assert rows["easy-first", 0.0]["deployed_risk"] == rows["uniform", 0.0]["deployed_risk"]
-    easy = [rows["easy-first", r]["tier0_accuracy"] for r in (0.0, 0.3, 0.6)]
-    assert easy[0] > easy[1] > easy[2]
-    n = rows["uniform", 0.0]["n_residual"]
-    assert rows["uniform", 0.3]["n_residual"] == n - int(0.3 * n + 0.5)
+    rows = {(r["pattern"], r["rho"], r["epsilon"]): r for r in W.absorption_sweep(B.records(spark, SF), ["easy-first", "uniform"], [0.0, 0.3, 0.6], 0.2, 0.1, [0.4, 0.3], [0.0, 0.01, 1.0]).collect()}
+    assert rows["easy-first", 0.0, 0.0]["deployed_risk"] == rows["uniform", 0.0, 0.0]["deployed_risk"]
+    easy = [rows["easy-first", r, 0.0]["tier0_accuracy"] for r in (0.0, 0.3, 0.6)]
+    assert easy[0] > easy[1] > easy[2] and easy[0] == rows["uniform", 0.3, 0.0]["tier0_accuracy_d"]
+    n = rows["uniform", 0.0, 0.0]["n_residual"]
+    assert rows["uniform", 0.3, 0.0]["n_residual"] == n - int(0.3 * n + 0.5)
+    for (_, _, eps), r in rows.items():
+        if eps == 0:
+            assert r["n_calibration"] == n and r["n_shadow"] == 0
+        elif eps == 1:  # a whole shadow stream closes the gap, but for labels that differ from the truth
+            assert r["n_shadow"] == r["n_residual"]
+        else:
+            assert r["n_shadow"] == max(1, round(0.01 * r["n_residual"]))
+        assert r["underpowered"] == (r["n_calibration"] < 11) == (r["note"] != "")
+
+
+def test_whole_shadow_stream_closes_the_gap(spark):
+    from test_policy import make
+
+    r = make(spark, [([(0.9 if i % 10 else 0.2, i % 10 > 0, 1), (1.0, i % 5 > 0 or i % 10 > 0, 3)], {}) for i in range(400)])
+    sweep = {(x["rho"], x["epsilon"]): x for x in W.absorption_sweep(r, ["easy-first"], [0.0, 0.5], 0.3, 0.1, [0.5], [0.0, 1.0]).collect()}
+    assert sweep[0.5, 1.0]["risk_gap"] == 0 and sweep[0.5, 0.0]["risk_gap"] > 0
+    with pytest.raises(ValueError):
+        W.absorption_sweep(r, ["easy-first"], [1.0], 0.3, 0.1, [0.5])
+
+
+def test_envelope_counts_seeds_and_flags(spark):
+    records = B.records(spark, SF)
+    e = W.null_envelope(records, [0.0, 0.3, 0.6], 0.2, 0.1, [0.4, 0.3], [1, 2, 3])
+    rows = W.absorption_sweep(records, ["uniform"], [0.3, 0.6], 0.2, 0.1, [0.4, 0.3], seeds=[1, 2, 3]).where("certified").collect()
+    got = e.first()
+    assert got["n_draws"] == len(rows) == 6 and got["max_abs_gap"] == max(abs(r["risk_gap"]) for r in rows)
+    assert len({r["risk_gap"] for r in rows}) > 3
+    flags = W.significant(W.absorption_sweep(records, ["easy-first"], [0.0, 0.6], 0.2, 0.1, [0.4, 0.3]), e).collect()
+    assert [r["significant"] for r in sorted(flags, key=lambda r: r["rho"])][0] is False
+
+
+def test_quantiles_by_group(spark):
+    df = spark.createDataFrame([("a", float(x)) for x in (5, 1, 9, 9)] + [("b", 2.0)] + [("c", None)], "g string, x double")
+    got = {r["g"]: (r["n"], r["quantile"]) for r in O.quantile(df, "x", 0.5, ["g"]).collect()}
+    assert got == {"a": (4, 7.0), "b": (1, 2.0)}
+    assert O.value_at(df.where("g = 'c'"), "x", {"m": F.expr("n div 2")}).first().asDict() == {"n": 0, "m": None}
 
 
 def test_record_file(spark, tmp_path):

@@ -118,3 +118,29 @@ def test_four_tiers_and_ragged_records_match_replay(spark):
     for p in (x for x in points if x["grid_idx"] % 16 == 0):
         want = P.replay(r, p["tau"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("correct")).alias("bad"), F.count_if(~F.col("true_correct")).alias("bad_true"), F.sum("cost").alias("cost")).first()
         assert {k: p[k] for k in ("n", "bad", "bad_true", "cost")} == want.asDict(), p
+
+
+def test_no_usable_record_is_an_error(spark):
+    r = make(spark, [([(0.5, True, 1), (1, True, 2)], {"contaminated": True})])
+    with pytest.raises(Exception, match="no usable calibration records"):
+        P.calibrate(r, 0.1, 0.1, arity=1).collect()
+
+
+def test_one_tier_certifies_without_a_test(spark):
+    r = make(spark, [([(0.5, i > 2, 4)], {}) for i in range(10)])
+    c = P.calibrate(r, 0.1, 0.1, arity=0).first()
+    assert (c["valid"], c["p_value"], c["tau0"], c["empirical_risk"], c["expected_cost"], c["nominal_only"]) == (True, None, None, 0.3, 4.0, True)
+
+
+def test_wrong_records_of_four_tiers_are_no_certificate(spark):
+    r = make(spark, [([(0.1, False, 1)] * 4, {}) for _ in range(50)])
+    c = P.calibrate(r, 0.1, 0.1, step=0.5, arity=3).first()
+    assert not c["valid"] and c["empirical_risk"] == 1.0
+
+
+def test_fewest_samples(spark):
+    wants = (0.0, 0.27, 0.42, 0.9, 0.999, 0.99999, 1.0, 1.5)
+    got = values(spark, **{f"n{i}": T.min_samples_for(F.lit(w)) for i, w in enumerate(wants)})
+    score = lambda n: n / (n + 1.645**2)
+    want = [next((n for n in range(1, 100_001) if score(n) >= w), 0) for w in wants]
+    assert list(got.values()) == want and want[4] == 2704

@@ -29,6 +29,20 @@ def wilson_lcb(k, n, z: float = Z95) -> Column:
     return F.when(n <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), bound)))
 
 
+def unanimous_score(n, z: float = Z95) -> Column:
+    """wilson_lcb(n, n): n / (n + z**2)."""
+    n = d(n)
+    return F.when(n <= 0, 0.0).otherwise(n / (n + z * z))
+
+
+def min_samples_for(want, z: float = Z95, most: int = 100_000) -> Column:
+    """The fewest unanimous samples whose score reaches `want`; 0 if no fan-out up to `most` does."""
+    want = d(want)
+    near = F.greatest(F.lit(1), F.ceil(z * z * want / F.nullif(1 - want, F.lit(0.0))))
+    n = F.when((near > 1) & (unanimous_score(near - 1, z) >= want), near - 1).when(unanimous_score(near, z) < want, near + 1).otherwise(near)
+    return F.when((want < 1) & (n <= most), n).otherwise(0).cast("long")
+
+
 def log_gamma(x) -> Column:
     """ln Gamma(x) for x >= 0.5."""
     x = d(x) - 1
@@ -61,7 +75,9 @@ def _fraction(a: Column, b: Column, x: Column, steps: int) -> Column:
         moved = F.struct(dd.alias("d"), c.alias("c"), (s["h"] * dd * c).alias("h"), ((i % 2 == 1) & (F.abs(dd * c - 1) < 1e-15)).alias("done"))
         return F.when(s["done"], s).otherwise(moved)
 
-    return F.aggregate(F.sequence(F.lit(2), F.lit(2 * steps + 1)), start, step)["h"]
+    stretch = 40  # steps between two looks at whether the fraction has converged
+    on = lambda s, i: F.when(s["done"], s).otherwise(F.aggregate(F.sequence(i, i + stretch - 1), s, step))
+    return F.aggregate(F.sequence(F.lit(2), F.lit(2 * steps + 1), F.lit(stretch)), start, on)["h"]
 
 
 def beta_inc(a, b, x, steps: int = 300) -> Column:

@@ -1,34 +1,55 @@
-"""Stable global ranks without a window over the whole table."""
+"""Places in a sorted order without a task over the whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
 
-def stable_rank(df: DataFrame, order: dict[str, bool], id_col: str, name: str, id_span: int = 4096) -> DataFrame:
-    """0-based place of each row in the order of `order` (column -> descending), then id_col ascending (unique).
 
-    Rows are counted by the ordered columns and by stretches of id_span ids; the running sum runs over these counts,
-    and each row is ranked inside its stretch only.
+def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df, staged, with `name`: the 0-based place of each row in the order (rows equal in it: any order among them).
+
+    Rows are dealt by ranges of the order and sorted in them, one shuffle; a row's place is its number in its partition
+    and the rows of the partitions before, of which there is one count each (a small table, whatever the data's size).
     """
-    stretch = F.floor(F.col(id_col) / id_span).cast("long")
-    cols = [*order, "_stretch"]
-    df = df.withColumn("_stretch", stretch)
-    by = [F.desc(c) if down else F.asc(c) for c, down in order.items()] + [F.asc("_stretch")]
-    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(*cols).orderBy(id_col))
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cols]
-    ranked = df.withColumn("_inside", inside).alias("l").join(before.alias("r"), on)
-    keep = [F.col(f"l.{c}") for c in df.columns if c != "_stretch"]
-    return ranked.select(*keep, (F.col("_before") + F.col("_inside") - 1).cast("long").alias(name))
-
-
-def value_at(df: DataFrame, value: str, places: dict[str, Column]) -> DataFrame:
-    """The values at 0-based places of the sorted column; places may use n. Counts per value are summed, rows aren't sorted."""
-    counts = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.sum("c").over(Window.partitionBy(F.lit(0)))
-    cum = counts.select("v", F.sum("c").over(run).alias("upto"), n.alias("n"))
-    return cum.agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > at, F.col("v"))).alias(k) for k, at in places.items()])
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = stage(spread, f"placed-{name}").withColumn("_part", F.shiftrightunsigned("_at", 33))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, place.cast("long")).drop("_part", "_at", "_before")
+
+
+def stable_rank(df: DataFrame, order: dict[str, bool], id_col: str, name: str) -> DataFrame:
+    """0-based place of each row in the order of `order` (column -> descending), then id_col ascending (unique)."""
+    return placed(df, [F.desc(c) if down else F.asc(c) for c, down in order.items()] + [F.asc(id_col)], name)
+
+
+def value_at(df: DataFrame, value: str, places: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """n and the values at 0-based places of the sorted column, in each group of `by`; places may use n. Nulls have no place.
+
+    Counts per value are dealt by ranges of group and value; running sums run inside a range and over the ranges' totals.
+    """
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ranges = stage(counts.repartitionByRange(*by, "v").withColumn("part", F.spark_partition_id()), "value-counts")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("part").agg(F.sum("c").alias("m")).select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))  # a row a range
+    run = Window.partitionBy("part").orderBy(*by, "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = ranges.withColumn("upto", F.sum("c").over(run)).join(F.broadcast(totals), "part").select(*by, "v", "c", (F.col("before") + F.col("upto")).alias("upto"))
+    groups = cum.groupBy(*by).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.min(F.col("upto") - F.col("c")).alias("first"))
+    in_group = cum.join(groups, by) if by else cum.crossJoin(F.broadcast(groups))
+    at = lambda place: F.min(F.when(F.col("upto") - F.col("first") > place, F.col("v")))
+    out = in_group.groupBy(*by).agg(*[at(place).alias(k) for k, place in places.items()])
+    return groups.select(*by, "n").join(out, by) if by else groups.select("n").crossJoin(out)
+
+
+def quantile(df: DataFrame, value: str, q: float, by: list[str] | None = None) -> DataFrame:
+    """n and quantile: interpolated between the two nearest places, exactly and without a buffer of all values."""
+    by = by or []
+    h = (F.col("n") - 1) * F.lit(float(q))
+    found = value_at(df, value, {"low": F.floor(h), "high": F.ceil(h)}, by)
+    return found.select(*by, "n", (F.col("low") + (F.col("high") - F.col("low")) * (h - F.floor(h))).alias("quantile"))

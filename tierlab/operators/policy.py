@@ -88,7 +88,7 @@ def threshold_grid(spark: SparkSession, arity: int, step: float = 0.1) -> DataFr
     level = F.array(*[F.lit(v) for v in levels])
     place = lambda j: F.get(level, (F.floor(F.col("grid_idx") / n ** (arity - 1 - j)) % n).cast("int"))
     tau = F.array(*[place(j) for j in range(arity)]) if arity else F.array().cast("array<double>")
-    return spark.range(n**arity if arity else 0).select(F.col("id").alias("grid_idx"), tau.alias("tau"))
+    return spark.range(n**arity if arity > 0 else 0).select(F.col("id").alias("grid_idx"), tau.alias("tau"))
 
 
 def score_profiles(records: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -156,13 +156,22 @@ def select_threshold(tested: DataFrame, by: list[str] | None = None) -> DataFram
 
 
 def calibrate(records: DataFrame, alpha: float, delta: float, step: float = 0.1, method: str = "fixed-sequence", arity: int = 2) -> DataFrame:
-    """The certificate: exclusions, shadow preference, grid risks, p-values, ordered tests, choice, realised risk."""
+    """The certificate: exclusions, shadow preference, grid risks, p-values, ordered tests, choice, realised risk.
+
+    Without a usable record reading valid is an error. With one tier (arity 0) there is nothing to choose or test: the
+    certificate is valid as it stands, without a p-value.
+    """
     if method not in ("fixed-sequence", "bonferroni"):
         raise ValueError(f"unknown method {method}")
     used = prefer_shadow(usable(records))
-    points = grid_risk(score_profiles(used), threshold_grid(records.sparkSession, arity, step))
-    tested = fixed_sequence(points, alpha, delta) if method == "fixed-sequence" else bonferroni(points, alpha, delta)
+    grid = threshold_grid(records.sparkSession, arity, step) if arity else records.sparkSession.range(1).select(F.col("id").alias("grid_idx"), F.array().cast("array<double>").alias("tau"))
+    points = grid_risk(score_profiles(used), grid)
+    if not arity:
+        tested = points.select("*", F.lit(None).cast("double").alias("p"), F.col("grid_idx").alias("test_rank"), F.lit(True).alias("certified"))
+    else:
+        tested = fixed_sequence(points, alpha, delta) if method == "fixed-sequence" else bonferroni(points, alpha, delta)
     chosen = select_threshold(tested)
+    chosen = chosen.withColumn("valid", F.when(F.col("n").isNull(), F.raise_error(F.lit("no usable calibration records"))).otherwise(F.col("valid")))
     realized = F.col("bad_true") / F.col("n")
     return chosen.select(
         "valid", F.lit(float(alpha)).alias("alpha"), F.lit(float(delta)).alias("delta"), F.lit(method).alias("method"), F.col("n").alias("n_calibration"), "n_certified",

@@ -1,16 +1,22 @@
 """Distribution-shift sweeps: what a policy's certificate is worth after part of the traffic is absorbed.
 
-Parameters are a table; the residual of every (pattern, rho) is a filter on stable ranks, and all cells are certified
-in one grouped plan instead of a loop.
+A cell is a pattern, an absorbed share rho, a shadow rate epsilon and a seed. Cells are a parameter table, and all of
+them are ranked, replayed and certified in one grouped plan instead of a loop. Without a shadow draw (epsilon 0) the
+certificate is that of the whole sample, as of a system that doesn't know its cache is warm; with one it is made from
+the draw off what is left. Either is then deployed on what is left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import min_calibration_size
+from ..staging import stage
 from . import policy as P
-from .ordering import stable_rank
+from .ordering import placed, stable_rank
+
+PATTERNS = ("easy-first", "cheap-accept", "uniform")
 
 
 def tier0(records: DataFrame) -> DataFrame:
@@ -18,36 +24,139 @@ def tier0(records: DataFrame) -> DataFrame:
     return records.withColumn("t0_right", F.coalesce(P.truth(t), F.lit(False))).withColumn("t0_score", F.coalesce(t["score"], F.lit(0.0)))
 
 
-def with_places(records: DataFrame, tau0: float) -> DataFrame:
-    """Each record's place in the order of each pattern: easy-first (right first), cheap-accept (served first), uniform (by hash)."""
-    r = tier0(records).withColumn("served", F.col("t0_score") >= tau0)
-    r = stable_rank(r, {"t0_right": True, "t0_score": True}, "rec_idx", "easy-first")
-    r = stable_rank(r, {"served": True, "t0_score": True}, "rec_idx", "cheap-accept")
-    r = r.withColumn("draw", F.conv(F.substring(F.sha2(F.concat(F.lit("draw-"), F.col("rec_idx").cast("string")), 256), 1, 3), 16, 10).cast("long"))
-    return stable_rank(r, {"draw": False}, "rec_idx", "uniform").drop("draw")
-
-
-def residuals(placed: DataFrame, patterns: list[str], rhos: list[float]) -> DataFrame:
-    """placed, once for each (pattern, rho) whose prefix of round(rho * n) rows (n - 1 at most) leaves it in."""
-    n = placed.agg(F.count(F.lit(1)).alias("_n"))
-    cells = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(float(r)).alias("rho"), F.col(f"`{p}`").alias("place")) for p in patterns for r in rhos])
-    out = placed.crossJoin(F.broadcast(n)).withColumn("c", F.explode(cells)).select("*", "c.*").drop("c", *[f"`{p}`" for p in patterns])
-    drop = F.least(F.round(F.col("rho") * F.col("_n")), F.col("_n") - 1)
-    return out.where(F.col("place") >= drop).drop("_n", "place")
-
-
-def absorption_sweep(records: DataFrame, patterns: list[str], rhos: list[float], alpha: float, delta: float, tau: list[float]) -> DataFrame:
-    """For each cell: residual size, tier-0 accuracy, risk by truth of the fixed tau, and a fresh certificate by fixed sequence."""
-    cell = ["pattern", "rho"]
-    left = residuals(with_places(P.usable(records), tau[0]), patterns, rhos)
-    profiles = P.score_profiles(left, cell)
-    points = P.grid_risk(profiles, P.threshold_grid(records.sparkSession, len(tau)), cell)
-    chosen = P.select_threshold(P.fixed_sequence(points, alpha, delta, cell), cell)
-    levels = F.array(*[F.lit(float(t)) for t in tau])
-    at = P.accepted_at(F.col("tiers"), levels)
-    wrong = F.when(F.col("cache_hit"), ~F.col("cache_correct")).otherwise(~P.truth(F.get(F.col("tiers"), at)))
-    facts = left.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_residual"), F.avg(F.col("t0_right").cast("int")).alias("accuracy"), F.avg(wrong.cast("int")).alias("deployed_risk"))
-    return facts.join(chosen, cell).select(
-        *cell, "n_residual", F.round("accuracy", 9).alias("tier0_accuracy"), F.round("deployed_risk", 9).alias("deployed_risk"), F.col("valid").alias("certified"), "n_certified",
-        F.get("tau", F.lit(0)).alias("tau0"), F.get("tau", F.lit(1)).alias("tau1"), F.round("risk", 9).alias("calibrated_risk"), F.round(F.col("bad_true") / F.col("n") - F.col("risk"), 9).alias("risk_gap"),
+def draw(label: Column | str, id_col: str = "rec_idx", digits: int = 12) -> Column:
+    """A number drawn for an id by a hash; each label is a draw of its own."""
+    label = F.lit(label) if isinstance(label, str) else label
+    return F.conv(F.substring(F.sha2(F.concat(label, F.col(id_col).cast("string")), 256), 1, digits), 16, 10).cast("long")
+
+
+def with_place(records: DataFrame, pattern: str, tau0: float, label: str = "draw-", digits: int = 3) -> DataFrame:
+    """Each record's place in the order of a pattern: easy-first (right first), cheap-accept (served first), uniform (drawn)."""
+    r = tier0(records)
+    if pattern == "uniform":
+        return stable_rank(r.withColumn("draw", draw(label, digits=digits)), {"draw": False}, "rec_idx", pattern).drop("draw")
+    first = F.col("t0_right") if pattern == "easy-first" else F.col("t0_score") >= tau0
+    return stable_rank(r.withColumn("first", first), {"first": True, "t0_score": True}, "rec_idx", pattern).drop("first")
+
+
+def dropped(rho: Column, n: Column) -> Column:
+    """How many of n records a cache of share rho absorbs: one at least is left."""
+    return F.least(F.round(rho * n), n - 1).cast("long")
+
+
+def residual(records: DataFrame, pattern: str, rho: float, tau0: float) -> DataFrame:
+    """The records that are left of one cell; the draw of the uniform pattern has no seed."""
+    if not 0 <= rho < 1:
+        raise ValueError("rho has to be in [0, 1)")
+    ranked = with_place(records, pattern, tau0)
+    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
+    return ranked.crossJoin(F.broadcast(n)).where(F.col(f"`{pattern}`") >= dropped(F.lit(float(rho)), F.col("_n"))).drop("_n", pattern)
+
+
+def shadow_draw(records: DataFrame, rate: float) -> DataFrame:
+    """round(rate * n) records, one at least, drawn by a hash of the id alone."""
+    ranked = with_place(records, "uniform", 0.0)
+    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
+    return ranked.crossJoin(F.broadcast(n)).where(F.col("uniform") < F.greatest(F.lit(1), F.round(rate * F.col("_n")))).drop("_n", "uniform")
+
+
+_RECORD = ("rec_idx", "tiers", "cache_hit", "cache_correct", "cache_cost", "t0_right", "t0_score")
+
+
+def _in_cells(rows: DataFrame, cells: list[str], order: list[Column], name: str, n: DataFrame) -> DataFrame:
+    """rows with `name`: the place inside its cell; n: a row a cell, with the rows of all cells before it (`_before`)."""
+    ranked = placed(rows, [*[F.asc(c) for c in cells], *order], name)
+    return ranked.join(F.broadcast(n.select(*cells, "_before")), cells).withColumn(name, F.col(name) - F.col("_before")).drop("_before")
+
+
+def _before(counts: DataFrame, cells: list[str]) -> DataFrame:
+    """counts (a row a cell, n) with the sum of n over the cells before, in order."""
+    from pyspark.sql import Window
+
+    run = Window.orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)  # a row a cell of the parameter table
+    return counts.withColumn("_before", F.coalesce(F.sum("n").over(run), F.lit(0)))
+
+
+def residuals(records: DataFrame, patterns: list[str], rhos: list[float], seeds: list[int], tau0: float) -> DataFrame:
+    """Staged: the records left in every cell (pattern, rho, seed). Sorted patterns are the same for all seeds and come once, with the first."""
+    if not all(0 <= r < 1 for r in rhos) or not set(patterns) <= set(PATTERNS):
+        raise ValueError("rho has to be in [0, 1), patterns are easy-first, cheap-accept and uniform")
+    base = stage(tier0(records).select(*_RECORD), "sweep-records")
+    n = base.count()
+    cells = [(p, 0.0, seeds[0], "", rhos) for p in patterns if p != "uniform"]  # one order serves all shares
+    cells += [("uniform", r, s, f"draw-{s}-{r}-", [r]) for p in patterns if p == "uniform" for r in rhos for s in seeds]
+    sizes = base.sparkSession.createDataFrame([(p, float(r), s, n) for p, r, s, _, _ in cells], "pattern string, rho double, seed long, n long")
+    in_order = lambda p, r, s, label, shares: F.struct(F.lit(p).alias("pattern"), F.lit(float(r)).alias("rho"), F.lit(s).cast("long").alias("seed"), F.lit(label).alias("label"), F.array(*[F.lit(float(x)) for x in shares]).alias("shares"))
+    rows = base.withColumn("c", F.explode(F.array(*[in_order(*c) for c in cells]))).select("*", "c.*").drop("c")
+    by_pattern = lambda easy, cheap, uniform: F.when(F.col("pattern") == "easy-first", easy).when(F.col("pattern") == "cheap-accept", cheap).otherwise(uniform)
+    rows = rows.withColumn("_first", by_pattern(F.col("t0_right"), F.col("t0_score") >= tau0, F.lit(False))).withColumn("_score", by_pattern(F.col("t0_score"), F.col("t0_score"), F.lit(0.0)))
+    rows = rows.withColumn("_draw", F.when(F.col("pattern") == "uniform", draw(F.col("label"))).otherwise(0)).drop("label")
+    ranked = _in_cells(rows, ["pattern", "rho", "seed"], [F.desc("_first"), F.desc("_score"), F.asc("_draw"), F.asc("rec_idx")], "_place", _before(sizes, ["pattern", "rho", "seed"]))
+    left = ranked.withColumn("rho", F.explode("shares")).where(F.col("_place") >= dropped(F.col("rho"), F.lit(n)))
+    return stage(left.drop("_first", "_score", "_draw", "_place", "shares"), "residuals")
+
+
+def absorption_sweep(records: DataFrame, patterns: list[str], rhos: list[float], alpha: float, delta: float, tau: list[float], epsilons: list[float] | None = None, seeds: list[int] | None = None, step: float = 0.1) -> DataFrame:
+    """A row for each pattern, rho, epsilon and seed: sizes, tier-0 accuracy before and after, certificate, deployed risk and its gap.
+
+    calibrated_risk is what the certificate saw, deployed_risk the risk by truth of its thresholds on what is left;
+    a gap over 0 is an optimistic certificate. underpowered: fewer calibration records than certify alpha without an
+    error. With under two records left or drawn no certificate is tried: valid is false, risks are null.
+    """
+    epsilons, seeds = epsilons or [0.0], seeds or [0]
+    cell, shadow_cell = ["pattern", "rho", "seed"], ["pattern", "rho", "seed", "epsilon"]
+    use = P.usable(records)
+    left = residuals(use, patterns, rhos, seeds, tau[0])
+    grid = P.threshold_grid(records.sparkSession, len(tau), step)
+    facts = stage(left.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_residual"), F.avg(F.col("t0_right").cast("int")).alias("accuracy")), "cells")
+    whole = tier0(use).agg(F.count(F.lit(1)).alias("n_use"), F.avg(F.col("t0_right").cast("int")).alias("accuracy_d"))
+    deployed = stage(P.grid_risk(P.score_profiles(left, cell), grid, cell).select(*cell, "grid_idx", (F.col("bad_true") / F.col("n")).alias("deployed")), "deployed-risks")
+    figures = ["valid", "n_certified", "grid_idx", "tau", F.col("n").alias("n_calibration"), F.col("risk").alias("calibrated")]
+    certificates = None
+    if 0.0 in epsilons:
+        full = P.select_threshold(P.fixed_sequence(P.grid_risk(P.score_profiles(use), grid), alpha, delta)).select(*figures)
+        certificates = facts.select(*cell, F.lit(0.0).alias("epsilon")).crossJoin(F.broadcast(full))
+    rates = [float(e) for e in epsilons if e > 0]
+    if rates:
+        sizes = _before(facts.select(*cell, F.explode(F.array(*map(F.lit, rates))).alias("epsilon"), F.col("n_residual").alias("n")), shadow_cell)
+        rows = left.withColumn("epsilon", F.explode(F.array(*map(F.lit, rates))))
+        label = F.concat(F.lit("shadow-"), F.col("seed").cast("string"), F.lit("-"), F.col("rho").cast("string"), F.lit("-"), F.col("epsilon").cast("string"), F.lit("-"), F.col("pattern"), F.lit("-"))
+        rows = rows.withColumn("_draw", draw(label))
+        drawn = _in_cells(rows, shadow_cell, [F.asc("_draw"), F.asc("rec_idx")], "_place", sizes).join(F.broadcast(sizes.select(*shadow_cell, "n")), shadow_cell)
+        drawn = drawn.where((F.col("epsilon") >= 1) | (F.col("_place") < F.greatest(F.lit(1), F.round(F.col("epsilon") * F.col("n"))))).drop("n")
+        tested = P.fixed_sequence(P.grid_risk(P.score_profiles(drawn, shadow_cell), grid, shadow_cell), alpha, delta, shadow_cell)
+        shadow = P.select_threshold(tested, shadow_cell).select(*shadow_cell, *figures)
+        certificates = shadow if certificates is None else certificates.unionByName(shadow)
+    needed = min_calibration_size(alpha, delta)
+    tried = (F.col("n_residual") >= 2) & (F.col("n_calibration") >= 2)
+    under = F.col("n_calibration") < needed
+    gap = F.col("deployed") - F.col("calibrated")
+    note = F.when(~tried, "too few records: no certificate tried").when(under, F.format_string("calibrated on %d records, at least %d are needed", "n_calibration", needed)).otherwise("")
+    out = certificates.join(deployed, [*cell, "grid_idx"], "left").join(facts, cell).crossJoin(F.broadcast(whole))
+    when_tried = lambda x: F.when(tried, x)
+    return out.select(
+        *cell, "epsilon", "n_residual", F.when(F.col("epsilon") > 0, F.col("n_calibration")).otherwise(0).alias("n_shadow"), "n_calibration",
+        F.round("accuracy_d", 9).alias("tier0_accuracy_d"), F.round("accuracy", 9).alias("tier0_accuracy"), (tried & F.col("valid")).alias("certified"), F.when(tried, F.col("n_certified")).otherwise(0).alias("n_certified"),
+        when_tried(F.get("tau", F.lit(0))).alias("tau0"), when_tried(F.get("tau", F.lit(1))).alias("tau1"), when_tried(F.round("calibrated", 9)).alias("calibrated_risk"),
+        when_tried(F.round("deployed", 9)).alias("deployed_risk"), when_tried(F.round(gap, 9)).alias("risk_gap"), under.alias("underpowered"), note.alias("note"),
     )
+
+
+def null_envelope(records: DataFrame, rhos: list[float], alpha: float, delta: float, tau: list[float], seeds: list[int]) -> DataFrame:
+    """The spread of the uniform pattern's gap over seeds and shares above 0: n_draws, max_abs_gap, mean_abs_gap and where the largest is.
+
+    Rows that are underpowered or not certified don't count. Ties of the largest: the first seed, then the first share.
+    """
+    s = absorption_sweep(records, ["uniform"], [r for r in rhos if r > 0], alpha, delta, tau, [0.0], seeds).where("certified and not underpowered")
+    size = F.abs("risk_gap")
+    first = F.max_by(F.struct("rho", "seed"), F.struct(size, -F.col("seed"), -F.col("rho")))
+    out = s.agg(F.count(F.lit(1)).alias("n_draws"), F.coalesce(F.max(size), F.lit(0.0)).alias("max_abs_gap"), F.round(F.coalesce(F.avg(size), F.lit(0.0)), 9).alias("mean_abs_gap"), first.alias("at"))
+    return out.select("n_draws", "max_abs_gap", "mean_abs_gap", F.col("at.rho").alias("max_at_rho"), F.col("at.seed").alias("max_at_seed"))
+
+
+def significant(sweep: DataFrame, envelope: DataFrame) -> DataFrame:
+    """sweep's rows of selective patterns with the envelope and significant: certified with enough records, and a gap beyond the largest null gap."""
+    top = envelope.select("n_draws", F.col("max_abs_gap").alias("envelope"))
+    rows = sweep.where("pattern <> 'uniform'").crossJoin(F.broadcast(top))
+    beyond = (F.col("n_draws") > 0) & F.col("certified") & ~F.col("underpowered") & (F.abs("risk_gap") > F.col("envelope"))
+    return rows.withColumn("significant", F.coalesce(beyond, F.lit(False)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import ordering as O
 from ..operators import policy as P
 from ..sources import bindings as B
 from . import sql as S
@@ -362,7 +363,8 @@ def route_trace(spark, sf):
 @query(f"{S.replay(*TAU)} select quantile_cont(cost, 0.5) as median, cast(count(*) as bigint) as n, cast(count(*) filter (cost > 55) as bigint) as over from rep")
 def cost_rollup(spark, sf):
     r = P.replay(B.records(spark, sf), TAU)
-    return r.agg(F.percentile("cost", 0.5).alias("median"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("cost") > 55).alias("over"))
+    over = r.agg(F.count_if(F.col("cost") > 55).alias("over"))
+    return O.quantile(r, "cost", 0.5).select(F.col("quantile").alias("median"), "n").crossJoin(over)  # one row each
 
 
 def _cert(spark, sf, salt, name):

@@ -55,13 +55,13 @@ def replay(t0: float, t1: float) -> str:
     return f"{OBS}, {TIERS_COST}, {REPLAY.format(t0=f'cast({t0} as double)', t1=f'cast({t1} as double)')}"
 
 
-def grid_points(where: str, by: str = "") -> str:
-    """Risk of every threshold vector over the observations that `where` keeps; `by` groups them."""
+def grid_points(where: str, by: str = "", source: str = "obs", pre: str = "") -> str:
+    """Risk of every threshold vector over the observations that `where` keeps; `by` groups them. pre: tables that source needs."""
     b = f"{by}, " if by else ""
     on_by = f" and p.{by} = g.{by}" if by else ""
-    return f"""{OBS}, {TIERS_COST}, levels as (select i, round(i * 0.1, 3)::double as v from range(11) t(i)),
+    return f"""{OBS}, {TIERS_COST}, {pre}levels as (select i, round(i * 0.1, 3)::double as v from range(11) t(i)),
 grid as (select a.i * 11 + b.i as grid_idx, a.v as t0, b.v as t1 from levels a, levels b),
-used as (select * from obs where {where}),
+used as (select * from {source} where {where}),
 wide as (
     select {b}rec_idx, max(score) filter (k=0) as s0, max(score) filter (k=1) as s1,
            [bool_or(not correct) filter (k=0), bool_or(not correct) filter (k=1), bool_or(not correct) filter (k=2)] as w,
@@ -105,3 +105,48 @@ select (select bool_or(certified) from tested) as valid, cast({alpha} as double)
        round(cast(bad_true as double) / n, 9) as realized_risk, round(p, 9) as p_value, round(cast(cost as double) / n, 9) as expected_cost,
        certified and cast(bad_true as double) / n > {alpha} + 1e-9 as nominal_only
 from chosen"""
+
+
+#: Tables of a sweep: what is left of each cell (pattern, rho, seed), the draws off it, and both as streams of observations.
+SWEEP = """cells(pattern, rho, seed, label) as (values {cells}), eps(epsilon) as (values {eps}),
+base as (select *, score >= {tau0} as served from obs where k = 0 and not contaminated and not oracle_unsound), total as (select count(*) as n from base),
+placed as (
+    select pattern, rho, seed, rec_idx, truth, row_number() over (partition by pattern, rho, seed order by
+        case pattern when 'easy-first' then -cast(truth as int) when 'cheap-accept' then -cast(served as int) else 0 end, case pattern when 'uniform' then 0.0 else -score end,
+        case pattern when 'uniform' then cast('0x' || substr(sha256(label || rec_idx), 1, 12) as bigint) else 0 end, rec_idx) - 1 as p
+    from base, cells
+), residual as (select pattern, rho, seed, rec_idx, truth from placed, total where p >= least(round(rho * n), n - 1)),
+sizes as (select pattern, rho, seed, count(*) as m, avg(cast(truth as int)) as accuracy from residual group by all),
+drawn as (
+    select pattern, rho, seed, epsilon, rec_idx, row_number() over (partition by pattern, rho, seed, epsilon order by
+        cast('0x' || substr(sha256('shadow-' || seed || '-' || rho || '-' || epsilon || '-' || pattern || '-' || rec_idx), 1, 12) as bigint), rec_idx) as p
+    from residual, eps where epsilon > 0
+), shadow as (select * from drawn join sizes using (pattern, rho, seed) where p <= greatest(1, round(epsilon * m))),
+streams as (
+    select 'full' as cell, rec_idx from base
+    union all select 'left ' || pattern || ' ' || rho || ' ' || seed, rec_idx from residual
+    union all select 'drawn ' || pattern || ' ' || rho || ' ' || seed || ' ' || epsilon, rec_idx from shadow
+), streamed as (select cell, obs.* from obs join streams using (rec_idx)), """
+
+
+def sweep(cells: list[tuple[str, float, int]], eps: list[float], alpha: float, delta: float, tau0: float) -> str:
+    """Everything up to the table swept, the rows of a sweep."""
+    rows = ", ".join(f"('{p}', cast({r} as double), cast({s} as bigint), 'draw-{s}-{r}-')" for p, r, s in cells)
+    pre = SWEEP.format(cells=rows, eps=", ".join(f"(cast({e} as double))" for e in eps), tau0=f"cast({tau0} as double)")
+    return f"""{grid_points('true', 'cell', 'streamed', pre)}, {p_values(alpha, by='cell')},
+tested as (select *, max(cast(p > {delta} as int)) over (partition by cell order by test_rank rows unbounded preceding) = 0 as certified from ranked),
+chosen as (select * from (select *, row_number() over (partition by cell order by certified desc, case when certified then cast(cost as double) else risk end, case when certified then test_rank else grid_idx end) as rn,
+    count(*) filter (certified) over (partition by cell) as n_certified from tested) where rn = 1),
+joined as (
+    select z.*, e.epsilon, c.n as n_calibration, c.certified, c.n_certified, c.t0, c.t1, c.risk, cast(l.bad_true as double) / l.n as deployed, cast(ceil(ln(cast({delta} as double)) / ln(1 - cast({alpha} as double))) as bigint) as needed
+    from sizes z, eps e join chosen c on c.cell = case when e.epsilon = 0 then 'full' else 'drawn ' || pattern || ' ' || rho || ' ' || seed || ' ' || epsilon end
+    join points l on l.cell = 'left ' || pattern || ' ' || rho || ' ' || seed and l.grid_idx = c.grid_idx
+), swept as (
+    select pattern, rho, seed, epsilon, cast(m as bigint) as n_residual, cast(case when epsilon > 0 then n_calibration else 0 end as bigint) as n_shadow, cast(n_calibration as bigint) as n_calibration,
+        round((select avg(cast(truth as int)) from base), 9) as tier0_accuracy_d, round(accuracy, 9) as tier0_accuracy, m >= 2 and n_calibration >= 2 and certified as certified,
+        cast(case when m >= 2 and n_calibration >= 2 then n_certified else 0 end as bigint) as n_certified, case when m >= 2 and n_calibration >= 2 then t0 end as tau0, case when m >= 2 and n_calibration >= 2 then t1 end as tau1,
+        case when m >= 2 and n_calibration >= 2 then round(risk, 9) end as calibrated_risk, case when m >= 2 and n_calibration >= 2 then round(deployed, 9) end as deployed_risk,
+        case when m >= 2 and n_calibration >= 2 then round(deployed - risk, 9) end as risk_gap, n_calibration < needed as underpowered,
+        case when m < 2 or n_calibration < 2 then 'too few records: no certificate tried' when n_calibration < needed then 'calibrated on ' || n_calibration || ' records, at least ' || needed || ' are needed' else '' end as note
+    from joined
+)"""

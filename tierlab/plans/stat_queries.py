@@ -30,8 +30,7 @@ def wilson_lcb(spark, sf):
 def min_samples_for(spark, sf):
     """The fewest unanimous samples whose score reaches a target; 0 if none does."""
     want = spark.createDataFrame([(x,) for x in (0.27, 0.42, 0.64, 0.78, 0.9, 0.95, 0.99, 1.0)], "want double")
-    tops = spark.range(1, 2001).select(F.col("id").alias("n"), T.wilson_lcb(F.col("id"), F.col("id")).alias("top"))
-    return want.join(F.broadcast(tops), F.col("top") >= F.col("want"), "left").groupBy("want").agg(F.coalesce(F.min("n"), F.lit(0)).alias("n"))
+    return want.select("want", T.min_samples_for(F.col("want")).alias("n"))
 
 
 TAIL = "(select sum(exp(lgamma({n} + 1.0) - lgamma(i + 1.0) - lgamma({n} - i + 1.0) + i * ln({p}) + ({n} - i) * ln(1 - {p}))) from range(cast({lo} as bigint), cast({hi} as bigint) + 1) t(i))"
@@ -61,9 +60,13 @@ def min_calibration_size(spark, sf):
     return g.select("alpha", "delta", T.min_calibration_size(F.col("alpha"), F.col("delta")).alias("n"))
 
 
-@query()
+@query(f"""with recursive {S.OBS[5:]}, g as (select round(score, 4) as score, count(*) filter (not truth) as k, count(*) as n from obs where k = 0 group by 1),
+b as (select score, k, n, 0.0::double as lo, 1.0::double as hi, 0 as i from g union all
+      select score, k, n, case when above then mid else lo end, case when above then hi else mid end, i + 1
+      from (select *, {cdf('k', 'n', 'mid')} > 0.05 as above from (select *, (lo + hi) / 2 as mid from b where i < 60)))
+select score, cast(k as bigint) as k, cast(n as bigint) as n, round(case when k = n then 1.0 when k = 0 then 1 - pow(0.05::double, 1.0 / n) else (lo + hi) / 2 end, 9) as upper from b where i = 60""")
 def clopper_pearson(spark, sf):
-    """Upper bounds at 0.95 of wrong tier-0 answers by score (rows only: the twin would need a root finder)."""
+    """Upper bounds at 0.95 of wrong tier-0 answers by score; the twin halves the interval of the defining equation."""
     o = P.observations(B.records(spark, sf)).where("k = 0")
     g = o.groupBy(F.round("score", 4).alias("score")).agg(F.count_if(~F.col("truth")).alias("k"), F.count(F.lit(1)).alias("n"))
     return g.select("score", "k", "n", F.round(T.clopper_pearson_upper(F.col("k"), F.col("n"), F.lit(0.05)), 9).alias("upper"))

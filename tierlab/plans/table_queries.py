@@ -233,7 +233,7 @@ def positional_quantiles(spark, sf):
 def median_excess(spark, sf):
     """The interpolated median of each group and how many exceed twice it."""
     l = B.table(spark, sf, "lineitem")
-    m = l.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.5).alias("med"))
+    m = O.quantile(l, "l_extendedprice", 0.5, ["l_returnflag"]).select("l_returnflag", F.col("quantile").alias("med"))
     return l.join(F.broadcast(m), "l_returnflag").groupBy("l_returnflag", F.round("med", 6).alias("median")).agg(F.count_if(F.col("l_extendedprice") > 2 * F.col("med")).alias("over"))
 
 
@@ -300,50 +300,52 @@ def _absorbed(order: str, rho: float) -> str:
 
 @query(_absorbed("truth desc, score desc", 0.4))
 def absorb_easy_first(spark, sf):
-    return W.residuals(W.with_places(P.usable(B.records(spark, sf)), TAU[0]), ["easy-first"], [0.4]).select("rec_idx")
+    return W.residual(P.usable(B.records(spark, sf)), "easy-first", 0.4, TAU[0]).select("rec_idx")
 
 
 @query(_absorbed("served desc, score desc", 0.4))
 def absorb_cheap_accept(spark, sf):
-    return W.residuals(W.with_places(P.usable(B.records(spark, sf)), TAU[0]), ["cheap-accept"], [0.4]).select("rec_idx")
+    return W.residual(P.usable(B.records(spark, sf)), "cheap-accept", 0.4, TAU[0]).select("rec_idx")
 
 
 @query(_absorbed("draw", 0.4))
 def absorb_uniform(spark, sf):
-    return W.residuals(W.with_places(P.usable(B.records(spark, sf)), TAU[0]), ["uniform"], [0.4]).select("rec_idx")
+    return W.residual(P.usable(B.records(spark, sf)), "uniform", 0.4, TAU[0]).select("rec_idx")
 
 
 @query(f"{_USE}, r as (select rec_idx, row_number() over (order by draw, rec_idx) - 1 as p from base) select rec_idx from r, n where p < greatest(1, round(0.2 * n))")
 def shadow_draw(spark, sf):
     """A fifth of the records, at least one, drawn by a hash."""
-    placed = W.with_places(P.usable(B.records(spark, sf)), TAU[0])
-    n = placed.count()
-    return placed.where(F.col("uniform") < max(1, int(0.2 * n + 0.5))).select("rec_idx")
+    return W.shadow_draw(P.usable(B.records(spark, sf)), 0.2).select("rec_idx")
 
 
-PATTERNS, RHOS = ["easy-first", "cheap-accept", "uniform"], [0.0, 0.2, 0.4, 0.6]
-_SWEEP = S.grid_points("rec_idx in (select rec_idx from cells c where c.cell = g.cell)")
+PATTERNS, RHOS, EPSILONS, SEEDS = ["easy-first", "cheap-accept", "uniform"], [0.0, 0.2, 0.4, 0.6], [0.0, 0.002, 0.2], list(range(1, 11))
+_ARGS = {"alpha": 0.2, "delta": 0.1, "tau0": TAU[0]}
+_UNIFORM = S.sweep([("uniform", r, s) for s in SEEDS for r in RHOS[1:]], [0.0], **_ARGS)
+_ENVELOPE = f"""{_UNIFORM}, counted as (select *, abs(risk_gap) as size from swept where certified and not underpowered)
+select cast(count(*) as bigint) as n_draws, coalesce(max(size), 0.0) as max_abs_gap, round(coalesce(avg(size), 0.0), 9) as mean_abs_gap,
+(select rho from counted order by size desc, seed, rho limit 1) as max_at_rho, (select seed from counted order by size desc, seed, rho limit 1) as max_at_seed from counted"""
 
 
-@query()
+@query(f"{S.sweep([(p, r, 0) for p in PATTERNS for r in RHOS], EPSILONS, **_ARGS)} select * from swept")
 def absorption_sweep(spark, sf):
-    """All patterns and shares in one plan (rows only: its parts, ranks, risks and certificates, have twins of their own)."""
-    return W.absorption_sweep(B.records(spark, sf), PATTERNS, RHOS, 0.2, 0.1, TAU)
+    """All patterns, shares and shadow rates in one plan."""
+    return W.absorption_sweep(B.records(spark, sf), PATTERNS, RHOS, 0.2, 0.1, TAU, EPSILONS)
 
 
-@query()
-def absorption_sig(spark, sf):
-    """Selective cells whose gap exceeds the largest gap of the uniform cells."""
-    s = W.absorption_sweep(B.records(spark, sf), PATTERNS, RHOS, 0.2, 0.1, TAU)
-    top = s.where("pattern = 'uniform' and certified").agg(F.max(F.abs("risk_gap")).alias("envelope"))
-    return s.where("pattern <> 'uniform'").crossJoin(F.broadcast(top)).select("pattern", "rho", "risk_gap", "envelope", (F.col("certified") & (F.abs("risk_gap") > F.col("envelope"))).alias("significant"))
+@query(_ENVELOPE)
+def null_envelope(spark, sf):
+    """The spread of the gap over ten seeds and three shares of the uniform pattern."""
+    return W.null_envelope(B.records(spark, sf), RHOS, 0.2, 0.1, TAU, SEEDS)
 
 
-@query()
-def null_envelope(spark, sf):
-    """Largest and mean absolute gap over the certified uniform cells, and where the largest is."""
-    s = W.absorption_sweep(B.records(spark, sf), ["uniform"], RHOS[1:], 0.2, 0.1, TAU).where("certified")
-    return s.agg(F.count(F.lit(1)).alias("n_draws"), F.max(F.abs("risk_gap")).alias("max_abs_gap"), F.round(F.avg(F.abs("risk_gap")), 9).alias("mean_abs_gap"), F.max_by("rho", F.abs("risk_gap")).alias("max_at_rho"))
+@query(f"""{S.sweep([(p, r, 0) for p in PATTERNS[:2] for r in RHOS], [0.0], **_ARGS)} select pattern, rho, risk_gap, e.max_abs_gap as envelope,
+e.n_draws > 0 and certified and not underpowered and abs(risk_gap) > e.max_abs_gap as significant from swept, ({_ENVELOPE}) e""")
+def absorption_sig(spark, sf):
+    """Selective cells whose gap exceeds the largest gap of the uniform cells over ten seeds."""
+    r = B.records(spark, sf)
+    found = W.significant(W.absorption_sweep(r, PATTERNS[:2], RHOS, 0.2, 0.1, TAU), W.null_envelope(r, RHOS, 0.2, 0.1, TAU, SEEDS))
+    return found.select("pattern", "rho", "risk_gap", "envelope", "significant")
 
 
 @query(f"{S.OBS}, w as (select bool_or(truth) filter (k = 0) as first_right, max(score) filter (k = 0) as score from obs group by rec_idx), v as (select score as x, count(*) as n, count(*) filter (first_right) as na from w group by score), r as (select *, sum(n) over (order by x) - n + (n + 1) / 2.0 as rank from v) select cast(sum(na) as bigint) as n1, cast(sum(n - na) as bigint) as n2, round(sum(na * rank) - sum(na) * (sum(na) + 1) / 2.0, 6) as u from r")
