@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Fixed value: one-sided 95 % normal quantile as the score uses it.
 Z95 = 1.645
 #: Lanczos coefficients for g = 7.
@@ -62,17 +64,17 @@ def _fraction(a: Column, b: Column, x: Column, steps: int) -> Column:
     """Lentz's continued fraction of the incomplete beta function; steps should exceed a few sqrt(max(a, b))."""
     tiny = F.lit(1e-300)
     guard = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
-    first = 1 / guard(1 - (a + b) * x / (a + 1))
-    start = F.struct(first.alias("d"), F.lit(1.0).alias("c"), first.alias("h"), F.lit(False).alias("done"))
+    first = let(1 - (a + b) * x / (a + 1), lambda v: 1 / guard(v))
+    start = let(first, lambda f: F.struct(f.alias("d"), F.lit(1.0).alias("c"), f.alias("h"), F.lit(False).alias("done")))
 
     def term(i: Column) -> Column:
         m = F.floor(i / 2).cast("double")
-        return F.when(i % 2 == 0, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))).otherwise(-(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+        return let(m, lambda m: F.when(i % 2 == 0, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))).otherwise(-(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))))
 
     def step(s: Column, i: Column) -> Column:
-        t = term(i)
-        dd, c = 1 / guard(1 + t * s["d"]), guard(1 + t / s["c"])
-        moved = F.struct(dd.alias("d"), c.alias("c"), (s["h"] * dd * c).alias("h"), ((i % 2 == 1) & (F.abs(dd * c - 1) < 1e-15)).alias("done"))
+        bare = let(term(i), lambda t: F.struct((1 + t * s["d"]).alias("d"), (1 + t / s["c"]).alias("c")))
+        safe = let(bare, lambda v: F.struct((1 / guard(v["d"])).alias("d"), guard(v["c"]).alias("c")))
+        moved = let(safe, lambda v: F.struct(v["d"].alias("d"), v["c"].alias("c"), (s["h"] * v["d"] * v["c"]).alias("h"), ((i % 2 == 1) & (F.abs(v["d"] * v["c"] - 1) < 1e-15)).alias("done")))
         return F.when(s["done"], s).otherwise(moved)
 
     stretch = 40  # steps between two looks at whether the fraction has converged
@@ -82,15 +84,26 @@ def _fraction(a: Column, b: Column, x: Column, steps: int) -> Column:
 
 def beta_inc(a, b, x, steps: int = 300) -> Column:
     """Regularised incomplete beta function I_x(a, b)."""
-    a, b, x = d(a), d(b), d(x)
-    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x < (a + 1) / (a + b + 2), front * _fraction(a, b, x, steps) / a).otherwise(1 - front * _fraction(b, a, 1 - x, steps) / b)
+    given = F.struct(d(a).alias("a"), d(b).alias("b"), d(x).alias("x"))
+
+    def inside(v: Column) -> Column:
+        swap = v["x"] >= (v["a"] + 1) / (v["a"] + v["b"] + 2)  # the fraction converges fast below this point
+        turned = F.when(swap, F.struct(v["b"].alias("a"), v["a"].alias("b"), (1 - v["x"]).alias("x"), swap.alias("swap"))).otherwise(F.struct(v["a"].alias("a"), v["b"].alias("b"), v["x"].alias("x"), swap.alias("swap")))
+
+        def value(u: Column) -> Column:
+            front = F.exp(log_gamma(u["a"] + u["b"]) - log_gamma(u["a"]) - log_gamma(u["b"]) + u["a"] * F.log(u["x"]) + u["b"] * F.log(1 - u["x"]))
+            return let(front * _fraction(u["a"], u["b"], u["x"], steps) / u["a"], lambda r: F.when(u["swap"], 1 - r).otherwise(r))
+
+        return F.when(v["x"] <= 0, 0.0).when(v["x"] >= 1, 1.0).otherwise(let(turned, value))
+
+    return let(given, inside)
 
 
 def binom_cdf(k, n, p, steps: int = 300) -> Column:
     """P(X <= k) for X ~ Binomial(n, p); k < 0 gives 0, k >= n gives 1."""
-    k, n, p = d(k), d(n), d(p)
-    return F.when(k < 0, 0.0).when(k >= n, 1.0).when(p <= 0, 1.0).when(p >= 1, 0.0).otherwise(beta_inc(n - k, k + 1, 1 - p, steps))
+    given = F.struct(d(k).alias("k"), d(n).alias("n"), d(p).alias("p"))
+    cdf = lambda v: F.when(v["k"] < 0, 0.0).when(v["k"] >= v["n"], 1.0).when(v["p"] <= 0, 1.0).when(v["p"] >= 1, 0.0).otherwise(beta_inc(v["n"] - v["k"], v["k"] + 1, 1 - v["p"], steps))
+    return let(given, cdf)
 
 
 def bernoulli_kl(a, b) -> Column:

@@ -90,3 +90,17 @@ def arm_path(path: Column, arm: Column) -> Column:
     """The arm's name before the extension, or at the end where there is none."""
     stem, ext = F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 2)
     return F.concat(stem, F.lit("."), arm, ext)
+
+
+def camel(text: Column, separator: str = " ") -> Column:
+    """The parts joined, each with its first letter in upper case."""
+    return F.array_join(F.transform(F.split(text, separator), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**31 - 1))), "")
+
+
+def rename_ident(source: Column, old: str, new: str) -> Column:
+    """Whole words `old` (a plain identifier) become `new`."""
+    return F.regexp_replace(source, rf"\b{old}\b", new)
+
+
+def problem_id(corpus: str, key: Column) -> Column:
+    return F.concat(F.lit(f"{corpus}_"), key.cast("string"))

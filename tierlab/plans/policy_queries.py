@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ordering as O
 from ..operators import policy as P
+from ..operators import routing as R
 from ..sources import bindings as B
 from . import sql as S
 from .registry import query
@@ -258,21 +259,13 @@ def score_histogram(spark, sf):
 @query(f"""{S.OBS}, c as (select *, max(score) over () as ceiling from obs where k=0)
 select case when score >= ceiling - 1e-9 then 'confident' when score <= 1e-9 then 'refuted' else 'flaky' end as class, cast(count(*) as bigint) as n from c where not truth group by 1""")
 def wrong_classes(spark, sf):
-    """The ceiling is one aggregated row, joined back: no window over the whole table."""
-    o = P.observations(B.records(spark, sf)).where("k = 0")
-    top = o.agg(F.max("score").alias("ceiling"))
-    c = F.when(F.col("score") >= F.col("ceiling") - 1e-9, "confident").when(F.col("score") <= 1e-9, "refuted").otherwise("flaky")
-    return o.crossJoin(F.broadcast(top)).where(~F.col("truth")).groupBy(c.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return R.wrong_classes(B.records(spark, sf))
 
 
 @query(f"""{S.OBS}, w as (select rec_idx, bool_or(truth) filter (k=0) as first_right, bool_or(truth) filter (k=2) as last_right, sum(cost) as total, sum(cost) filter (k=0) as first_cost from obs where not cache_hit group by rec_idx)
 select cast(sum(case when first_right then first_cost else total end) as bigint) as cost, cast(count(*) filter (not first_right and not last_right) as bigint) as bad, cast(count(*) as bigint) as n from w""")
 def omniscient_bound(spark, sf):
-    r = B.records(spark, sf).where(~F.col("cache_hit"))
-    right = lambda k: P.truth(F.get(F.col("tiers"), k))
-    last = F.size("tiers") - 1
-    cost = F.when(right(F.lit(0)), P.spend(F.col("tiers"), F.lit(0))).otherwise(P.spend(F.col("tiers"), last))
-    return r.agg(F.sum(cost).alias("cost"), F.count_if(~right(F.lit(0)) & ~right(last)).alias("bad"), F.count(F.lit(1)).alias("n"))
+    return R.omniscient_bound(B.records(spark, sf))
 
 
 @query(f"{S.replay(*TAU)} select accepted_at, cast(count(*) as bigint) as accepted, cast(count(*) filter (not true_correct) as bigint) as wrong from rep group by 1")
@@ -307,9 +300,7 @@ def total_cost(spark, sf):
 
 @query(f"""{S.OBS} select rec_idx, cast(min(k) filter (truth) as integer) as first_right, coalesce(bool_or(truth) filter (k=0), false) <> coalesce(bool_or(truth) filter (k=2), false) as boundary from obs group by rec_idx""")
 def escalation_outcome(spark, sf):
-    right = lambda k: P.truth(F.get(F.col("tiers"), k))
-    first = F.get(F.filter(F.sequence(F.lit(0), F.size("tiers") - 1), right), F.lit(0))
-    return B.records(spark, sf).select("rec_idx", first.alias("first_right"), (right(F.lit(0)) != right(F.size("tiers") - 1)).alias("boundary"))
+    return R.escalation_outcome(B.records(spark, sf))
 
 
 @query(f"""{S.OBS}, cum as (select rec_idx, k, sum(cost) over (partition by rec_idx order by k) as cumulative from obs)
@@ -329,35 +320,19 @@ def tier_cost_ratio(spark, sf):
 
 @query(f"""{S.replay(*TAU)} select rec_idx from rep where accepted_at <> 'cache' and not contaminated and correct and (select o.score from obs o where o.rec_idx = rep.rec_idx and o.k = rep.a) >= 0.35""")
 def cache_admission(spark, sf):
-    r = B.records(spark, sf)
-    tau = F.array(*[F.lit(t) for t in TAU])
-    at = F.get(F.col("tiers"), P.accepted_at(F.col("tiers"), tau))
-    return r.where(~F.col("cache_hit") & ~F.col("contaminated") & at["correct"] & (at["score"] >= 0.35)).select("rec_idx")
+    return R.cache_admission(B.records(spark, sf), TAU)
 
 
 @query(f"{S.OBS} select rec_idx, bool_or(correct) as solved, cast(min(k) filter (correct) as integer) as winner, cast(sum(cost) as bigint) as cost from obs group by rec_idx")
 def speculative_winner(spark, sf):
-    """Every tier runs and is paid; the cheapest that passes wins."""
-    takes = F.filter(F.sequence(F.lit(0), F.size("tiers") - 1), lambda k: F.get(F.col("tiers"), k)["correct"])
-    return B.records(spark, sf).select("rec_idx", (F.size(takes) > 0).alias("solved"), F.get(takes, F.lit(0)).alias("winner"), P.spend(F.col("tiers"), F.size("tiers") - 1).cast("long").alias("cost"))
+    return R.speculative_winner(B.records(spark, sf))
 
 
 @query(f"""{S.OBS} select rec_idx, k, case when not is_last and score < case k when 0 then cast(0.4 as double) else cast(0.3 as double) end then 'escalate' when not correct then 'reject' else 'accept' end as decision,
 case when not is_last and score < case k when 0 then cast(0.4 as double) else cast(0.3 as double) end then 'score below threshold' when not correct then 'acceptance failed' else 'accepted' end as reason from obs
 where k <= (select min(o.k) from obs o where o.rec_idx = obs.rec_idx and (o.is_last or (o.correct and o.score >= case o.k when 0 then cast(0.4 as double) else cast(0.3 as double) end)))""")
 def route_trace(spark, sf):
-    """Tier after tier until one is accepted: below its threshold it escalates, over it a failed acceptance rejects."""
-    tiers = F.col("tiers")
-    n = F.size(tiers)
-    levels = F.array(*[F.lit(t) for t in TAU])
-    clears = lambda k: (k == n - 1) | (F.get(tiers, k)["score"] >= F.get(levels, k))
-    stop = F.get(F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == n - 1) | (clears(k) & F.get(tiers, k)["correct"])), F.lit(0))
-    right = lambda k: F.get(tiers, k)["correct"]
-    step = lambda k: F.struct(
-        k.alias("k"), F.when(~clears(k), "escalate").when(~right(k), "reject").otherwise("accept").alias("decision"),
-        F.when(~clears(k), "score below threshold").when(~right(k), "acceptance failed").otherwise("accepted").alias("reason"),
-    )
-    return B.records(spark, sf).select("rec_idx", F.explode(F.transform(F.sequence(F.lit(0), stop), step)).alias("s")).select("rec_idx", "s.*")
+    return R.route_trace(B.records(spark, sf), TAU)
 
 
 @query(f"{S.replay(*TAU)} select quantile_cont(cost, 0.5) as median, cast(count(*) as bigint) as n, cast(count(*) filter (cost > 55) as bigint) as over from rep")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as T
 from ..operators import policy as P
+from ..operators import studies as D
 from ..sources import bindings as B
 from . import sql as S
 from .registry import query
@@ -104,24 +105,7 @@ def mann_whitney(spark, sf):
     """U and its normal score with tie correction. Ranks come from counts per value: equal values share their mean rank."""
     o = B.table(spark, sf, "orders").join(B.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     s = o.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select((F.col("c_mktsegment") == "BUILDING").alias("a"), F.col("o_totalprice").alias("x"))
-    return rank_sum(s, "a", "x")
-
-
-def rank_sum(df, group: str, value: str):
-    """Mann-Whitney figures of a boolean group; values are ranked in buckets of their quantiles, so no task sorts all."""
-    v = df.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(group)).alias("na"))
-    cuts = v.agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
-    v = v.crossJoin(F.broadcast(cuts)).withColumn("b", F.size(F.filter("cuts", lambda c: c <= F.col("x")))).drop("cuts")
-    before = v.groupBy("b").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = v.withColumn("upto", F.sum("n").over(w)).join(F.broadcast(before.select("b", "before")), "b")  # 64 rows
-    rank = F.col("before") + F.col("upto") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)
-    n = F.col("n").cast("double")
-    t = r.agg(F.sum("na").alias("n1"), F.sum(F.col("n") - F.col("na")).alias("n2"), F.sum(F.col("na") * rank).alias("r1"), F.sum(n * n * n - n).alias("ties"))
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    u = F.col("r1") - n1 * (n1 + 1) / 2
-    z = (u - n1 * n2 / 2) / F.sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - F.col("ties") / ((n1 + n2) * (n1 + n2 - 1))))
-    return t.select("n1", "n2", F.round(u, 6).alias("u"), F.round(z, 6).alias("z"))
+    return D.rank_sum(s, "a", "x")
 
 
 @query("""with n as (select unnest(range(3, 31)) as n), k as (select n, unnest(range(0, n + 1)) as k from n),

@@ -10,6 +10,8 @@ from ..functions import text as X
 from ..operators import clusters as C
 from ..operators import ordering as O
 from ..operators import policy as P
+from ..operators import routing as R
+from ..operators import studies as D
 from ..operators import sweep as W
 from ..sources import bindings as B
 from ..sources import files as L
@@ -177,16 +179,13 @@ def seeded_tally(spark, sf):
     n = F.col("seeds")
     level = lambda name, judged, wrong: F.struct(F.lit(name).alias("level"), judged.cast("long").alias("judged"), wrong.cast("long").alias("false_accept"))
     s = B.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("seeds"))
-    nested = s.withColumn("seeds", F.when(n > 60, n).otherwise(0)).withColumn("levels", F.array(level("strict", n, F.lit(0)), level("permissive", n, F.expr("seeds div 3")), level("none", F.lit(0), F.lit(7))))
-    flat = nested.where("seeds > 0").select(F.explode("levels").alias("l")).select("l.*").where(F.col("level").isin("strict", "balanced", "permissive"))
-    return flat.groupBy("level").agg(F.sum("judged").alias("judged"), F.sum("false_accept").alias("false_accept"))
+    return D.seeded_tally(s.withColumn("seeds", F.when(n > 60, n).otherwise(0)).withColumn("levels", F.array(level("strict", n, F.lit(0)), level("permissive", n, F.expr("seeds div 3")), level("none", F.lit(0), F.lit(7)))))
 
 
 @query("with s as (select user_id, count(*) as seeds, count(*) filter (event_type <> 'error') as judged from events group by 1) select user_id, seeds = 0 or judged = seeds or user_id % 2 = 0 and judged >= 0 and seeds = judged as complete from s")
 def seeded_complete(spark, sf):
     s = B.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("seeds"), F.count_if(F.col("event_type") != "error").alias("judged"))
-    levels = F.array(F.struct(F.col("judged").alias("j")), F.struct(F.col("seeds").alias("j")))
-    return s.select("user_id", ((F.col("seeds") == 0) | F.forall(levels, lambda x: x["j"] == F.col("seeds"))).alias("complete"))
+    return s.select("user_id", D.seeded_complete(F.col("seeds"), F.array("judged", "seeds")).alias("complete"))
 
 
 _EST = "with e as (select d.doc_id, quality = 1 as canonical, toxic = 0 as ran, case when d.doc_id % 9 = 0 then null else (d.doc_id % 11) / 10.0::double end as m from documents d join labels using (doc_id)), f as (select *, not canonical as fa from e where ran)"
@@ -194,34 +193,21 @@ _EST = "with e as (select d.doc_id, quality = 1 as canonical, toxic = 0 as ran,
 
 @query(f"{_EST} select cast(count(*) as bigint) as n, cast(count(*) filter (fa) as bigint) as false_accepts, cast(count(*) filter (m >= 0.9) as bigint) as n_high, cast(count(*) filter (m >= 0.9 and fa) as bigint) as fa_high, cast(count(*) filter (m < 0.9) as bigint) as n_low, cast(count(*) filter (m < 0.9 and fa) as bigint) as fa_low, cast(count(*) filter (m is null) as bigint) as n_undefined from f")
 def estimator_summary(spark, sf):
-    d = B.table(spark, sf, "documents").select("doc_id").join(B.table(spark, sf, "labels"), "doc_id").where("toxic = 0")
-    m, fa = F.when(F.col("doc_id") % 9 != 0, (F.col("doc_id") % 11) / F.lit(10.0)), F.col("quality") != 1
-    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if(fa).alias("false_accepts"), F.count_if(m >= 0.9).alias("n_high"), F.count_if((m >= 0.9) & fa).alias("fa_high"), F.count_if(m < 0.9).alias("n_low"), F.count_if((m < 0.9) & fa).alias("fa_low"), F.count_if(m.isNull()).alias("n_undefined"))
+    d = B.table(spark, sf, "documents").select("doc_id").join(B.table(spark, sf, "labels"), "doc_id")
+    m = F.when(F.col("doc_id") % 9 != 0, (F.col("doc_id") % 11) / F.lit(10.0))
+    return D.estimator_summary(d.select((F.col("quality") == 1).alias("canonical_passed"), (F.col("toxic") == 0).alias("canonical_ran"), m.alias("m")))
 
 
 @query(f"""{S.replay(*TAU)}, f as (select o.tier, cast(r.cost as double) as budget, cast(o.cost as double) / o.samples as unit from rep r join obs o on o.rec_idx = r.rec_idx where not r.cache_hit),
 g as (select *, cast(floor(budget / unit) as bigint) as fanout from f), q as (select *, row_number() over (partition by tier order by fanout) as p, count(*) over (partition by tier) as m from g)
 select tier, cast(max(m) as bigint) as n, round(avg(budget), 9) as mean_budget, round(avg(unit), 9) as mean_unit, max(fanout) filter (p = m // 2 + 1) as median, max(fanout) filter (p = m // 10 + 1) as p10, max(fanout) filter (p = 9 * m // 10 + 1) as p90, cast(count(*) filter (fanout < 3) as bigint) as degenerate from q group by tier""")
 def sc_feasibility(spark, sf):
-    """What the cascade's spend buys as samples of one tier; quantiles are positional, from counts per fan-out."""
-    r = B.records(spark, sf).where(~F.col("cache_hit"))
-    tau = F.array(*[F.lit(t) for t in TAU])
-    spent = P.spend(F.col("tiers"), P.accepted_at(F.col("tiers"), tau)).cast("double")
-    o = r.select(spent.alias("budget"), F.explode("tiers").alias("t")).select("budget", "t.tier", "t.cost").join(F.broadcast(B.tiers(spark).select("tier", "samples")), "tier")
-    o = o.withColumn("unit", F.col("cost").cast("double") / F.col("samples")).withColumn("fanout", F.coalesce(F.floor(F.try_divide("budget", "unit")), F.lit(0)))
-    c = o.groupBy("tier", "fanout").agg(F.count(F.lit(1)).alias("c"), F.sum("budget").alias("b"), F.sum("unit").alias("u"))
-    w = Window.partitionBy("tier").orderBy("fanout")
-    c = c.withColumn("upto", F.sum("c").over(w)).withColumn("m", F.sum("c").over(Window.partitionBy("tier")))
-    at = lambda p: F.min(F.when(F.col("upto") > p, F.col("fanout")))
-    n = F.max("m")
-    return c.groupBy("tier").agg(n.alias("n"), F.round(F.sum("b") / n, 9).alias("mean_budget"), F.round(F.sum("u") / n, 9).alias("mean_unit"), at(F.expr("m div 2")).alias("median"), at(F.expr("m div 10")).alias("p10"), at(F.expr("9 * m div 10")).alias("p90"), F.coalesce(F.sum(F.when(F.col("fanout") < 3, F.col("c"))), F.lit(0)).alias("degenerate"))
+    return D.sc_feasibility(B.records(spark, sf), B.tiers(spark), TAU)
 
 
 @query(f"{S.replay(*TAU)} select rec_idx as id, cost as budget from rep where not cache_hit")
 def sc_budgets(spark, sf):
-    tau = F.array(*[F.lit(t) for t in TAU])
-    r = B.records(spark, sf).where(~F.col("cache_hit"))
-    return r.select(F.col("rec_idx").alias("id"), P.spend(F.col("tiers"), P.accepted_at(F.col("tiers"), tau)).cast("long").alias("budget"))
+    return D.sc_budgets(B.records(spark, sf), TAU).select(F.col("rec_idx").alias("id"), "budget")
 
 
 @query("with s as (select l_quantity as v, row_number() over (order by l_quantity) - 1 as p, count(*) over () as n from lineitem) select cast(max(n) as bigint) as n, max(v) filter (p = n // 2) as median, max(v) filter (p = n // 10) as p10, max(v) filter (p = 9 * n // 10) as p90 from s")
@@ -250,8 +236,8 @@ def sc_summary(spark, sf):
 
 @query("select user_id, cast(count(*) filter (event_type <> 'signup') as bigint) as valid, cast(count(*) filter (event_type = 'error') as bigint) as killed, round(cast(count(*) filter (event_type = 'error') as double) / nullif(count(*) filter (event_type <> 'signup'), 0), 9) as score from events group by user_id")
 def mutation_score(spark, sf):
-    e = B.table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "signup").alias("valid"), F.count_if(F.col("event_type") == "error").alias("killed"))
-    return e.withColumn("score", F.round(F.try_divide(F.col("killed").cast("double"), F.col("valid")), 9))
+    mutants = B.table(spark, sf, "events").select("user_id", (F.col("event_type") != "signup").alias("valid"), (F.col("event_type") == "error").alias("killed"))
+    return D.mutation_score(mutants, "user_id")
 
 
 @query("with d as (select l_orderkey as id, avg(l_quantity) as mean, avg(cast(l_returnflag = 'A' as int)) as a from lineitem group by 1) select id, round(mean, 9) as mean, a >= 0.5 as majority from d")
@@ -351,16 +337,12 @@ def absorption_sig(spark, sf):
 @query(f"{S.OBS}, w as (select bool_or(truth) filter (k = 0) as first_right, max(score) filter (k = 0) as score from obs group by rec_idx), v as (select score as x, count(*) as n, count(*) filter (first_right) as na from w group by score), r as (select *, sum(n) over (order by x) - n + (n + 1) / 2.0 as rank from v) select cast(sum(na) as bigint) as n1, cast(sum(n - na) as bigint) as n2, round(sum(na * rank) - sum(na) * (sum(na) + 1) / 2.0, 6) as u from r")
 def stopping_signal(spark, sf):
     """Does the tier-0 score tell right from wrong: Mann-Whitney U over records."""
-    from .stat_queries import rank_sum
-
     r = W.tier0(B.records(spark, sf)).select(F.col("t0_right").alias("g"), F.col("t0_score").alias("x"))
-    return rank_sum(r, "g", "x").select("n1", "n2", "u")
+    return D.rank_sum(r, "g", "x").select("n1", "n2", "u")
 
 
 @query("select o_orderkey as id, case when o_orderkey % 4 = 0 then 'inconclusive' when o_orderkey % 3 = 0 then 'unsound' when o_orderkey % 5 = 0 then 'inconclusive' else 'sound' end as verdict from orders")
 def oracle_verdict(spark, sf):
-    """From stage outcomes: no build or a timeout is inconclusive, a reference that fails its own tests is unsound."""
     k = F.col("o_orderkey")
-    s = B.table(spark, sf, "orders").select(k.alias("id"), F.struct((k % 4 != 0).alias("built"), (k % 3 != 0).alias("passed"), (k % 5 == 0).alias("timed_out")).alias("r"))
-    v = F.when(~F.col("r.built"), "inconclusive").when(~F.col("r.passed"), "unsound").when(F.col("r.timed_out"), "inconclusive").otherwise("sound")
-    return s.select("id", v.alias("verdict"))
+    outcome = F.struct((k % 4 != 0).alias("built"), (k % 3 != 0).alias("passed"), (k % 5 == 0).alias("timed_out"))
+    return B.table(spark, sf, "orders").select(k.alias("id"), R.oracle_verdict(outcome).alias("verdict"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import similarity as M
+from ..operators import studies as D
 from ..sources import bindings as B
 from . import sql as S
 from .registry import query
@@ -165,15 +165,13 @@ def parse_test_events(spark, sf):
     """NDJSON test events: the last pass or fail of each test."""
     e = B.table(spark, sf, "events").where(F.col("event_type").isin("click", "error", "view"))
     action = F.when(F.col("event_type") == "click", "pass").when(F.col("event_type") == "error", "fail").otherwise("output")
-    lines = e.select("user_id", "event_id", F.to_json(F.struct(action.alias("Action"), (F.col("event_id") % 3).alias("Test"))).alias("line"))
-    parsed = lines.select("user_id", "event_id", F.from_json("line", "Action string, Test long").alias("x")).where(F.col("x.Action").isin("pass", "fail"))
-    return parsed.groupBy("user_id", F.col("x.Test").alias("test")).agg(F.max_by("x.Action", "event_id").alias("outcome"))
+    lines = e.select("user_id", "event_id", F.to_json(F.struct(action.alias("Action"), (F.col("event_id") % 3).cast("string").alias("Test"))).alias("line"))
+    return D.test_outcomes(lines, "user_id", "event_id").withColumn("test", F.col("test").cast("long"))
 
 
 @query("select user_id, max(cast(regexp_extract(props, '([0-9]+)', 1) as bigint)) as worst from events group by user_id")
 def parse_allocs(spark, sf):
-    n = F.array_max(F.transform(F.regexp_extract_all("props", F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("long")))
-    return B.table(spark, sf, "events").groupBy("user_id").agg(F.max(n).alias("worst"))
+    return D.worst_count(B.table(spark, sf, "events"), "user_id", "props")
 
 
 @query("select user_id, string_agg(case when event_type = 'view' then 'note ' || props else 'out ' || event_type end, chr(10) order by event_id) as summary from events where event_type in ('view','error') and event_id % 5 <> 0 group by user_id")
@@ -181,26 +179,19 @@ def summarise_output(spark, sf):
     """Plain lines stay, output events give their text, noise prefixes go; in order of the lines."""
     e = B.table(spark, sf, "events").where(F.col("event_type").isin("view", "error"))
     line = F.when(F.col("event_type") == "view", F.concat(F.lit("note "), F.col("props"))).otherwise(F.to_json(F.struct(F.lit("output").alias("Action"), F.concat(F.lit("out "), F.col("event_type")).alias("Output"))))
-    line = F.when(F.col("event_id") % 5 == 0, F.lit("=== RUN x")).otherwise(line)
-    parsed = F.when(line.startswith("{"), F.get_json_object(line, "$.Output")).otherwise(line)
-    kept = e.select("user_id", "event_id", parsed.alias("x")).where(~F.col("x").startswith("=== "))
-    lines = kept.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("l"))
-    return lines.select("user_id", F.array_join(F.transform("l", lambda s: s["x"]), "\n").alias("summary"))
+    return D.summarise_output(e.select("user_id", "event_id", F.when(F.col("event_id") % 5 == 0, F.lit("=== RUN x")).otherwise(line).alias("line")), "user_id", "event_id")
 
 
 @query("select p_partkey, upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) as camel, regexp_replace(p_name, '\\bring\\b', 'hoop', 'g') as renamed, 'part_' || p_partkey as id from part")
 def ingest_strings(spark, sf):
-    camel = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), "")
-    return B.table(spark, sf, "part").select("p_partkey", camel.alias("camel"), F.regexp_replace("p_name", r"\bring\b", "hoop").alias("renamed"), F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("id"))
+    return B.table(spark, sf, "part").select("p_partkey", X.camel(F.col("p_name")).alias("camel"), X.rename_ident(F.col("p_name"), "ring", "hoop").alias("renamed"), X.problem_id("part", F.col("p_partkey")).alias("id"))
 
 
 @query("select o_custkey, cast(trunc(o_totalprice) as bigint) % 40 as arg, cast(count(distinct o_orderstatus) as bigint) as n from orders group by 1, 2 having count(distinct o_orderstatus) > 1")
 def contradiction(spark, sf):
     """Equal arguments (numbers by value, white space folded) with different expectations."""
-    arg = F.col("o_totalprice").cast("long") % 40
-    case = F.format_string("f( %d.0 ) == %s", arg, F.col("o_orderstatus"))
-    o = B.table(spark, sf, "orders").select("o_custkey", F.regexp_extract(case, r"\(\s*([0-9.]+)\s*\)", 1).cast("double").cast("long").alias("arg"), F.regexp_extract(case, r"== (\w+)", 1).alias("want"))
-    return o.groupBy("o_custkey", "arg").agg(F.countDistinct("want").alias("n")).where("n > 1")
+    case = F.format_string("f( %d.0 ) == %s", F.col("o_totalprice").cast("long") % 40, F.col("o_orderstatus"))
+    return D.contradictions(B.table(spark, sf, "orders").select("o_custkey", case.alias("case")), "o_custkey")
 
 
 @query(f"""with n as (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, regexp_matches(html, '<h1>[^<]*</h1>') as has from pages), ok as (select page_id, title from n where has and title <> '' order by page_id limit 50) select page_id, title from ok""")
