@@ -142,6 +142,43 @@ def test_failure_memory(spark, tmp_path):
     assert sorted((r["problem"], r["seq"]) for r in spark.table("memory").collect()) == [(1, s) for s in range(5)] + [(2, s) for s in range(3)]
 
 
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    """Two runs over a growing folder at one checkpoint: every row once."""
+    for i in range(2):
+        spark.range(i * 100, i * 100 + 100).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        got = V.to_table(V.shadow_stream(stream, 0.5, "id"), "resumed", at=f"file://{tmp_path}/out")
+        want = V.shadow_stream(spark.range(i * 100 + 100), 0.5, "id")
+        assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect())
+
+
+def test_warm_cache_in_two_batches(spark, tmp_path):
+    items = [(1, "sort a list of numbers"), (2, "sort a list of number"), (3, "entirely other"), (4, "sort a list of numbers"), (5, "ab")]
+    step = V.warm_cache(spark, f"file://{tmp_path}")
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    for batch, rows in ((0, items[:2]), (1, items[2:]), (1, items[2:])):
+        step(frame(rows), batch)
+    best = {r["id"]: r["best"] for r in spark.read.parquet(f"file://{tmp_path}/best").collect()}
+    assert best[1] == 0 and best[2] > 0.9 and best[4] == 1.0 and best[5] == 0 and best[3] < 0.2 and len(best) == 5
+
+
+def test_observation_files_and_certificates(spark, tmp_path):
+    (tmp_path / "e.json").write_text(json.dumps([{"id": "a", "tier": "s", "canonical_ran": True, "mutation_score": 1}, {"id": "b", "false_accept": True}]))
+    got = L.read_array(spark, f"file://{tmp_path}/e.json", L.ESTIMATOR_FILE).orderBy("place").collect()
+    assert [(r["id"], r["canonical_ran"], r["mutation_score"], r["false_accept"]) for r in got] == [("a", True, 1.0, None), ("b", None, None, True)]
+    (tmp_path / "s.json").write_text(json.dumps([{"id": "a", "seeds": 3, "levels": [{"level": "strict", "judged": 3, "false_accept": 1}]}]))
+    from tierlab.operators import studies as D
+
+    assert [tuple(r) for r in D.seeded_tally(L.read_array(spark, f"file://{tmp_path}/s.json", L.SEEDED_FILE)).collect()] == [("strict", 3, 1)]
+    path = f"file://{tmp_path}/certificate"
+    assert L.load_certificate(spark, path) is None
+    L.save_certificate(spark.createDataFrame([(True, 0.1, [0.5, 1.0])], "valid boolean, alpha double, thresholds array<double>"), path)
+    c = L.load_certificate(spark, path).first()
+    assert (c["valid"], c["alpha"], c["thresholds"], c["p_value"]) == (True, 0.1, [0.5, 1.0], None)
+    w = L.with_provenance(spark.range(3), "a sweep", alpha=0.1, seed=7).first()
+    assert (w["note"], w["alpha"], w["seed"], [r["id"] for r in w["rows"]]) == ("a sweep", 0.1, 7, [0, 1, 2])
+
+
 def test_every_twin_has_a_query():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 100
 

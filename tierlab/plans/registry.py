@@ -22,7 +22,7 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-from . import policy_queries, stat_queries, table_queries, text_queries  # noqa: E402,F401
+from . import policy_queries, stat_queries, stream_queries, table_queries, text_queries  # noqa: E402,F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,8 +44,12 @@ def tier_obs(key: Column, k: int, salt: int = 0) -> Column:
 
 def records(spark: SparkSession, sf_dir: str, salt: int = 0) -> DataFrame:
     """One row for each problem, with its tiers in order; costs are whole units."""
+    return records_of(table(spark, sf_dir, "orders"), salt)
+
+
+def records_of(orders: DataFrame, salt: int = 0) -> DataFrame:
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         key.alias("rec_idx"), F.array(*[tier_obs(key, k, salt) for k in range(len(TIERS))]).alias("tiers"),
         (key % 97 == 0).alias("contaminated"), (key % 89 == 0).alias("oracle_unsound"), (key % 83 == 0).alias("oracle_inconclusive"),
         (key % 5 < 2).alias("shadow"), (key % 41 == 0).alias("cache_hit"), (key % 3 != 0).alias("cache_correct"), F.lit(0).cast("long").alias("cache_cost"),
@@ -62,3 +66,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("problem_id"), F.col("event_id").alias("idx"), F.col("event_type").alias("behaviour"), (F.col("event_type") != "error").alias("verified"),
         F.octet_length("props").cast("long").alias("bytes"), (F.col("event_id") % 11).cast("long").alias("complexity"), F.concat(F.col("event_type"), F.lit("  \n"), F.col("props")).alias("source"),
     )
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)

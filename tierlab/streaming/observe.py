@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import trigrams
 from ..operators import policy as P
+from ..staging import shared_dir
 
 MOST_FAILURES = 64
 
@@ -52,3 +55,36 @@ def failure_memory(failures: DataFrame) -> DataFrame:
     return failures.select("problem", "seq", "hash").groupBy("problem").applyInPandasWithState(
         _remember, "problem long, seq long, hash string", "hashes array<string>, seqs array<long>", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def warm_cache(spark, at: str):
+    """A foreachBatch function over items (id, text): each item's best similarity to all items before it, as a cache warmed in order would offer.
+
+    Stored under `at`: grams (the inverted index) and best (id, best), both in one folder a batch, overwritten when a
+    batch comes again. An item meets those of earlier batches and those of its own with a smaller id, on shared trigrams.
+    """
+
+    def step(items: DataFrame, batch: int) -> None:
+        mine = items.select("id", trigrams(F.col("text")).alias("gs")).select("id", F.size("gs").alias("size"), F.explode("gs").alias("g"))
+        mine.write.mode("overwrite").parquet(f"{at}/grams/batch={batch}")
+        mine = spark.read.parquet(f"{at}/grams/batch={batch}")
+        seen = spark.read.option("basePath", f"{at}/grams").parquet(f"{at}/grams").where(F.col("batch") <= batch)
+        y = seen.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("batch").alias("when"), "g")
+        both = mine.join(y, "g").where((F.col("when") < batch) | (F.col("b") < F.col("id"))).groupBy("id", "size", "b", "nb").agg(F.count(F.lit(1)).alias("both"))
+        best = both.groupBy("id").agg(F.max(F.col("both") / (F.col("size") + F.col("nb") - F.col("both"))).alias("best"))
+        items.select("id").join(best, "id", "left").na.fill(0.0).write.mode("overwrite").parquet(f"{at}/best/batch={batch}")
+
+    return step
+
+
+def to_table(stream: DataFrame, name: str, mode: str = "append", at: str | None = None) -> DataFrame:
+    """All that the stream has now, written to a table in the shared folder; a table at the same place goes on where it stopped."""
+    spark = stream.sparkSession
+    at = at or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = out.format("parquet").option("path", f"{at}/rows").start()
+    else:
+        query = out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/rows")).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
