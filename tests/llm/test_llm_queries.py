@@ -346,11 +346,25 @@ def test_sharding(spark, odd, empty):
         for r in part:
             here[source[r["doc_id"]][0]] += 1
         assert all(abs(here[k] - totals[k] / 8) <= 2 for k in totals), (s, n)
-    small = sharding.interleave(odd.select("doc_id", "source", "text", "shard"), shards=3, bucket_rows=2).collect()
+    small = sharding.interleave(odd.select("doc_id", "source", "text", "shard"), shards=3).collect()
     assert sorted((r["shard"], r["slot"]) for r in small) == [(s, k) for s in range(3) for k in range(4)]
     assert sharding.interleave(empty.select("doc_id", "source")).count() == 0
 
 
+def test_sharding_order_is_that_of_fractions(spark):
+    """Against a sort on the driver; a hot source without ids, and a source for each of the other rows."""
+    df = spark.range(1200).selectExpr("if(id % 3 = 0, null, id) as doc_id", "if(id % 3 = 0, 'hot', concat('s', cast(if(id % 3 = 1, id, id % 40) as string))) as source", "cast(id as string) as t")
+    h = F.xxhash64(F.lit(7), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("doc_id", "source", "t"))
+    rows = df.select("t", F.concat(F.lit("="), "source").alias("s"), h.alias("h")).withColumn("m", F.xxhash64(F.lit(8), "s", "h")).collect()
+    by = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["s"], r["h"])):
+        by[r["s"]].append(r)
+    order = sorted(((k + 0.5) / len(part), r["m"], r["s"], r["h"], r["t"]) for part in by.values() for k, r in enumerate(part))
+    got = {r["t"]: (r["shard"], r["slot"]) for r in sharding.interleave(df, shards=7).collect()}
+    cuts = [-(-s * 1200 // 7) for s in range(8)]
+    assert got == {x[-1]: next((s, p - cuts[s]) for s in range(7) if cuts[s] <= p < cuts[s + 1]) for p, x in enumerate(order)}
+
+
 def test_language(spark, odd, empty):
     truth = {r["doc_id"]: (r["lang"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     right = total = 0

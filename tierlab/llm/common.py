@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,34 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir. Where it is unset, a local one is set for a local master only; else an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tierlab-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    staged = df.sparkSession.read.schema(df.schema).parquet(path)
-    staged.staged_at = path
-    return staged
-
-
-def unstage(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing will read again."""
-    for t in tables:
-        context = t.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(t.staged_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+from ..functions.binding import let  # noqa: F401  for the operators here
+from ..operators.ordering import placed  # noqa: F401
+from ..staging import delete, shared_dir, stage, unstage  # noqa: F401
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, weights: DataFrame, spread: list[Column | str], how: str = "inner", least: int = 100_000) -> DataFrame:
@@ -63,11 +36,6 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def text_slices(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice holds about most_bytes (one row at least): long texts stay bounded in memory."""
     per_row = max(1, batch.nbytes // max(1, batch.num_rows))

@@ -37,9 +37,20 @@ class HashedNames(dict):
 _ID_OF = HashedNames().__getitem__
 
 
+#: A longer run of characters is read as several words, each with features of its own.
+LONGEST = 24
+
+
+def words_of(text: str) -> list[str]:
+    words = text.lower().split()
+    if words and max(map(len, words)) > LONGEST:
+        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return words
+
+
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Hashed ids of the features of a lower-case word."""
-    marked = f"^{word[:24]}$"
+    marked = f"^{word}$"
     names = ["p" + word[:1], "p" + word[:2], "p" + word[:3], "s" + word[-1:], "s" + word[-2:], "s" + word[-3:], "s" + word[-4:]]
     names += map(add, marked, marked[1:])
     names += map(add, map(add, marked, marked[1:]), marked[2:])
@@ -155,7 +166,7 @@ class ChainCRF:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         todo = []
         for i, t in enumerate(texts):
-            words = t.lower().split() if t else []
+            words = words_of(t) if t else []
             if any(map(str.isalpha, t or "")):
                 at = self.rows_of(words)
                 todo.append((len(words), i, self.rows[at], self.lettered[at]))
@@ -183,7 +194,7 @@ def training_sequences(rows: list[tuple[str, str]], langs: list[str], seed: int
     """Runs of about `words` words; a third of them go on in the words of another document, as code-switched text does."""
     rng = np.random.default_rng(seed)
     at = {lang: i for i, lang in enumerate(langs)}
-    split = [(t.lower().split(), at[lang]) for t, lang in rows if t and t.split()]
+    split = [(words_of(t), at[lang]) for t, lang in rows if t and t.split()]
 
     def stretch(i: int, n: int) -> tuple[list[str], list[int]]:
         text, y = split[i]
@@ -203,42 +214,40 @@ def training_sequences(rows: list[tuple[str, str]], langs: list[str], seed: int
 
 
 def spread(text: str, stretches: int, run: int) -> str:
-    """Lower-case words of a text: all, or `stretches` runs of `run` words at even distances from its first to its last.
-
-    Of words over 64 characters the middle goes, which no feature looks at.
-    """
-    words = text.lower().split()
+    """Lower-case words of a text: all, or `stretches` runs of `run` words at even distances from its first to its last."""
+    words = words_of(text)
     if len(words) > stretches * run:
         starts = [i * (len(words) - run) // max(1, stretches - 1) for i in range(stretches)]
         words = [w for s in starts for w in words[s : s + run]]
-    return " ".join(w if len(w) <= 64 else w[:32] + w[-32:] for w in words)
+    return " ".join(words)
 
 
-def train(df: DataFrame, docs_per_lang: int = 400, stretches: int = 16, run: int = 40, most_langs: int = 200, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ChainCRF | None:
-    """A model from a bounded sample: about docs_per_lang documents of each of the most_langs commonest languages, by a
-    hash of the key, and of a longer text `stretches` runs of `run` words spread over all of it. None if no row has a
-    label and a word."""
+def train(df: DataFrame, docs_per_lang: int = 400, stretches: int = 16, run: int = 40, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ChainCRF | None:
+    """A model from a bounded sample (the parameters are the bound): about docs_per_lang documents of each language, by a
+    hash of key and text, and of a longer text `stretches` runs of `run` words spread over all of it. Copies of a row
+    count once. None if no row has a label and a word."""
     named = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    counts = {r["l"]: r["n"] for r in named.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most_langs).collect()}
+    counts = {r["l"]: r["n"] for r in named.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     if not counts:
         return None
     share = F.lit(0.0)
     for name, n in counts.items():
         share = F.when(F.col("l") == name, min(1.0, docs_per_lang / n)).otherwise(share)
-    u = F.pmod(F.xxhash64(F.lit(11), "k"), F.lit(1 << 20)) / float(1 << 20)
+    u = F.pmod(F.xxhash64(F.lit(11), F.coalesce("k", F.lit("")), "t"), F.lit(1 << 20)) / float(1 << 20)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(map(text_slices, batches)):
             yield pa.RecordBatch.from_arrays([pa.array([spread(t, stretches, run) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["t", "l"])
 
-    rows = named.where(u < share).select("t", "l").mapInArrow(sample, "t string, l string").limit(4 * docs_per_lang * len(counts)).collect()
+    chosen = named.where(u < share).dropDuplicates(["k", "t", "l"]).select("t", "l")
+    rows = chosen.mapInArrow(sample, "t string, l string").collect()
     pairs = sorted((r["t"], r["l"]) for r in rows)
     langs = sorted({name for _, name in pairs})
     if not langs:
         return None
     seen: dict[str, Counter] = {name: Counter() for name in langs}
     for t, name in pairs:
-        seen[name].update(set(t.lower().split()))
+        seen[name].update(set(t.split()))
     lexicon: dict[str, int] = {}
     for i, name in enumerate(langs):
         for w, n in seen[name].most_common(500):
@@ -252,7 +261,7 @@ def train(df: DataFrame, docs_per_lang: int = 400, stretches: int = 16, run: int
 def predict(df: DataFrame, model: ChainCRF | None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, lang_pred and score of each whole text. Null text, or no letter: und, 0. No model: und for all."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # size bounded by the feature table and most_langs
+    shared = spark.sparkContext.broadcast(model)  # a row of the feature table a language, and a lexicon of 500 words each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, salted_join, shared_dir, stage
+from .common import delete, let, salted_join, shared_dir, stage
 
 #: The characters stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -51,10 +51,7 @@ class LineRuns:
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"drop table {name}")
-        context = self.spark.sparkContext
-        for name in names:
-            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.path}/{name}")
 
     def _push(self, levels: list[list[str]], name: str) -> None:
         """Add a table at level 0 and merge full levels."""

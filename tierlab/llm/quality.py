@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import text_slices
 
 TABLE = 1 << 20
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words; a longer run of letters is read as several, so that no letter goes unseen.
+LETTERS = re.compile(r"[^\W\d_]{1,32}")
 #: Signs that prose seldom has; the usual stops aren't among them.
 MARKS = re.compile(r"[^\w\s.,;:'\"()?-]")
 STARTS = (3, 4, 5, 6, 7, 8)
@@ -35,7 +36,7 @@ def _hash(name: str) -> int:
 
 def word_features(word: str) -> tuple[int, ...]:
     """A lower-case word and its beginnings."""
-    return (_hash(f"w{word[:32]}"), *(_hash(f"b{word[:k]}") for k in STARTS if k < len(word)))
+    return (_hash(f"w{word}"), *(_hash(f"b{word[:k]}") for k in STARTS if k < len(word)))
 
 
 def text_features(text: str, words: list[str]) -> list[int]:
