@@ -71,3 +71,56 @@ def test_texts_without_an_id_or_with_a_shared_one_stay(spark):
     kept = corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()
     want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (3, near + " end"), (7, texts[3]), (7, texts[4]), (9, None)]
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(want, key=str)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_chained_match_brute_force(spark):
+    from collections import defaultdict
+
+    from tierlab.llm import quality
+    from test_llm_queries import check_pieces
+    from test_models import brute_score
+    from test_secrets import brute_found
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect() if brute_score(r["text"] or "", model) >= model.thresholds[-1]}
+    low = lambda line: line.strip(" \t\n\x0b\x0c\r").lower() if line.isascii() else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    seen = defaultdict(set)
+    for i, t in texts.items():
+        for line in t.split("\n"):
+            seen[low(line)].add(i)
+    texts = {i: "\n".join(x for x in t.split("\n") if not low(x) or len(seen[low(x)]) < 10) for i, t in texts.items()}
+    ids = sorted(texts)
+    root = roots([texts[i] for i in ids])
+    texts = {ids[k]: texts[ids[k]] for k in sorted(set(root))}
+    for i, t in texts.items():
+        left, at = "", 0
+        for s, _, e, _ in brute_found(t)[1]:
+            left += (t[at:s] + "[secret]") if s >= at else ""
+            at = max(at, e)
+        texts[i] = left + t[at:]
+    place = {i: k for k, i in enumerate(sorted(texts))}
+    rows = [r.asDict() | {"doc_id": place[r["doc_id"]]} for r in corpus_pipeline.run(spark, SF).collect()]
+    check_pieces(rows, [texts[i] for i in sorted(texts)])
+
+
+def test_stages_keep_odd_rows(spark):
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "good words of a text", "en", "b", 1), (None, "good words of a text", "en", "b", 1), (None, None, None, None, None), (4, "token = q8Zk2LmX0vRt7YpW", None, "c", 5), (5, "x" * 30000, "en", "a", 30000)]
+    docs = spark.createDataFrame(rows, COLUMNS).selectExpr("*", "'clash' as base", "1 as n_lines", "'clash' as found", "0 as shard", "'k' as _h")
+    empty = docs.where("false")
+    columns = [f.split()[0] for f in COLUMNS.split(", ")]
+    got = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, SF).count() == 0, name
+        out = stage(spark, docs, SF)
+        assert out.columns == columns, name
+        got[name] = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got["line_dedup"] == sorted(((i, t or "") for i, t, *_ in rows), key=str)
+    assert got["simhash"] == sorted([(1, None), (None, "good words of a text"), (4, rows[5][1]), (5, rows[6][1])], key=str)
+    assert got["secrets"] == sorted(((i, "[secret]" if i == 4 else t) for i, t, *_ in rows), key=str)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in pieces} == {1, 2, None, 4, 5} and sum(r["length"] for r in pieces if r["doc_id"] == 1) == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
