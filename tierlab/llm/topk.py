@@ -61,7 +61,8 @@ def top_k(df: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64, piv
     Ties go to the smaller vec_id. A query never meets rows of its own vec_id; a repeated vec_id asks once (with its
     least vector) and each of its rows is a candidate. Shorter vectors count as padded with zeros. Rows with a null key
     or an unusable vector take no part. The pivots come from `pivot_sample` vectors by hash order (a documented bound);
-    every row is indexed. Queries and candidates meet in blocks, each pair of blocks once.
+    every row is indexed. Queries and candidates meet in blocks, each pair of blocks once: first every query meets one
+    block, and its k-th best score there is the least that it asks of all others.
     """
     rows = stage(integer_vectors(df, scale, key, vector), "vectors")
     facts = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim"), F.coalesce(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda s, c: s + c * c)), F.lit(0)).alias("top"), F.count(F.lit(1)).alias("n")).first()
@@ -72,7 +73,7 @@ def top_k(df: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64, piv
         base[i, : len(v)] = v
     points = _far_apart(_lift(base, top), pivots)
     blocks = max(1, -(-n // block))
-    asked = rows.where(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = stage(rows.where(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     query_blocks = max(1, -(-(n // query_step + 1) // query_block))
     left = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = rows.withColumn("cb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
@@ -82,6 +83,7 @@ def top_k(df: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64, piv
         if not queries.num_rows or not candidates.num_rows:
             return schema.empty_table()
         q_id, c_id = queries.column("vec_id").to_numpy(), candidates.column("vec_id").to_numpy()
+        floors = queries.column("floor").to_numpy()
         q, c = (_matrix(t.column("v").combine_chunks(), dim) for t in (queries, candidates))
         to_pivots = lambda x: np.sqrt(np.maximum((x * x).sum(1)[:, None] + (points * points).sum(1) - 2 * x @ points.T, 0))
         d_c = to_pivots(_lift(c, top)).T.copy()
@@ -95,7 +97,8 @@ def top_k(df: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64, piv
                 np.maximum(low, np.abs(d_c[p] - d_q[i, p]), out=low)
             low = np.maximum(low - MARGIN * (1 + d_q[i].max()), 0)
             bound = ((q[i] * q[i]).sum() + top - low * low) / 2 + MARGIN * (1 + top)
-            order = np.argsort(-bound)
+            order = np.flatnonzero(bound >= floors[i])
+            order = order[np.argsort(-bound[order])]
             ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
             at, step = 0, 4 * k
             while at < len(order):
@@ -105,14 +108,22 @@ def top_k(df: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64, piv
                 at += step
                 step *= 2
                 new = np.rint(c_float[take] @ q[i].astype(np.float64)).astype(np.int64) if exact else c[take] @ q[i]
-                other = c_id[take] != q_id[i]
+                other = (c_id[take] != q_id[i]) & (new >= floors[i])
                 ids, scores = np.r_[ids, c_id[take][other]], np.r_[scores, new[other]]
                 best = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[best], scores[best]
             out.append((np.full(len(ids), q_id[i]), ids, scores))
         return pa.Table.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], schema=schema)
 
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(search, "query_id long, vec_id long, score long")
+    def met(asked: DataFrame) -> DataFrame:
+        return asked.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(search, "query_id long, vec_id long, score long")
+
+    home = F.col("qb") % blocks
+    none = F.lit(-(2**63)).cast("long")
+    first = stage(met(left.where(F.col("cb") == home).withColumn("floor", none)), "first-scores")
+    kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(none).alias("floor"))
+    rest = left.where(F.col("cb") != home).join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
+    found = first.unionByName(met(rest))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
