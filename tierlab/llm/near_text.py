@@ -4,7 +4,8 @@ Equal texts are one class before anything is compared. Classes that share a band
 Spark. First each class of a band is verified against the band's smallest one; what that links is one component, so a
 group of near copies of any size costs a star. Bands that still hold several components are walked: those outside the
 band's largest component meet all others in blocks, and a binary trie over SimHash fingerprints leaves a pair as soon
-as it is over the bits in which texts at the threshold can differ, or lies in one component. What is left is verified.
+as it is over the bits in which texts at the threshold can differ, or lies in one component. What is left is verified in the
+same task, which gives a tree of links and never the pairs of a group.
 
 A trie over all texts can't do this alone: at a similarity of 0.8 up to 24 of 64 bits differ, and with that budget
 nothing is pruned above its leaves, so all pairs would be compared.
@@ -123,46 +124,73 @@ def _star_pairs(classes: DataFrame, in_bands: DataFrame, threshold: float) -> Da
     return pairs
 
 
-def _walked_pairs(classes: DataFrame, in_bands: DataFrame, labels: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b), a < b, of the classes in one band and different components that can reach the threshold.
+def _walked_links(df: DataFrame, classes: DataFrame, in_bands: DataFrame, labels: DataFrame, threshold: float, block: int, words: int, seed: int, text: str) -> DataFrame:
+    """Staged: (u, v), links between the components that share a band; enough of them to join all that any link joins.
 
     In each band with several labels, rows outside the commonest label (blocks i) meet all rows (chunks j); a group
-    (band, i, j) holds about `block` rows of the one and 16 blocks of the other, however large the band is.
+    (band, i, j) holds about three blocks of rows, however large the band is. A task walks its groups, takes the
+    candidates in order of their bits, verifies those that it hasn't joined yet in the first band that they share, and
+    gives a tree of links: never the pairs of a group.
     """
     named = stage(in_bands.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "named-bands")
     tally = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("common"), F.sum("c").alias("n"), F.max("c").alias("most"))
-    open_bands = stage(tally.where("n > most").select("band", "common", "n", F.ceil((F.col("n") - F.col("most")) / block).alias("blocks"), F.ceil(F.col("n") / (16 * block)).alias("chunks")), "open-bands")
-    members = salted_join(named, open_bands, "band", open_bands.select("band", "n"), ["node"])
-    members = members.join(classes.select("node", F.col("n").alias("size"), *_WORDS), "node").withColumn("few", F.col("label") != F.col("common"))
-    place = F.xxhash64("node")
+    open_bands = stage(tally.where("n > most").select("band", "common", "n", F.ceil((F.col("n") - F.col("most")) / block).alias("blocks"), F.ceil(F.col("n") / (2 * block)).alias("chunks")), "open-bands")
+    members = stage(salted_join(named, open_bands, "band", open_bands.select("band", "n"), ["node"]), "open-members")
+    sets = _shingle_sets(df, classes, members.select("node").distinct(), words, seed, text)
+    rows = members.join(classes.select("node", "bands", F.col("n").alias("size"), *_WORDS), "node").join(sets, "node")
+    few, place = F.col("label") != F.col("common"), F.xxhash64("node")
     roles = F.array_compact(F.array(
-        F.when(F.col("few"), F.struct(F.lit(0).alias("side"), F.array(F.pmod(place, F.col("blocks"))).alias("i"), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1).alias("j"))),
+        F.when(few, F.struct(F.lit(0).alias("side"), F.array(F.pmod(place, F.col("blocks"))).alias("i"), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1).alias("j"))),
         F.struct(F.lit(1).alias("side"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1).alias("i"), F.array(F.pmod(place, F.col("chunks"))).alias("j")),
     ))
-    dealt = members.withColumn("r", F.explode(roles)).withColumn("i", F.explode("r.i")).withColumn("j", F.explode("r.j"))
-    groups = dealt.select("band", "i", "j", F.col("r.side").alias("side"), "node", "label", "size", *_WORDS, F.col("f0").bitwiseXOR(F.lit(-(2**63))).alias("_order"))
+    dealt = rows.withColumn("r", F.explode(roles)).withColumn("i", F.explode("r.i")).withColumn("j", F.explode("r.j"))
+    groups = dealt.select("band", "i", "j", F.col("r.side").alias("side"), "node", "label", "size", *_WORDS, "bands", "shingles", F.col("f0").bitwiseXOR(F.lit(-(2**63))).alias("_order"))
     groups = groups.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side", "_order").drop("_order")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held)
+            rows = pa.Table.from_batches(held).combine_chunks()
             group = np.stack([rows.column(c).to_numpy() for c in ("band", "i", "j")], 1)
             new = np.r_[True, (group[1:] != group[:-1]).any(1)]
             side = rows.column("side").to_numpy()
             first = np.flatnonzero(new)
             last = np.r_[first[1:], len(side)]
             middle = first + np.add.reduceat(side == 0, first)
-            node, label, size = (rows.column(c).to_numpy() for c in ("node", "label", "size"))
+            node, label, size, band = (rows.column(c).to_numpy() for c in ("node", "label", "size", "band"))
             fp = np.stack([rows.column(w).to_numpy() for w in _WORDS], 1).view(np.uint64)
             i, j = trie_pairs(np.ascontiguousarray(fp[:, 0]), label, np.stack([first, middle, middle, last], 1), FIRST_BUDGET)
             small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-            near = (np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= np.where(small < FEW, FEW_BUDGET, BUDGET)) & (small >= threshold * large - 1e-6)
-            u, v = node[i[near]], node[j[near]]
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            bits = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64)
+            near = (bits <= np.where(small < FEW, FEW_BUDGET, BUDGET)) & (small >= threshold * large - 1e-6)
+            i, j, bits = i[near], j[near], bits[near]
+            held_bands = np.stack(rows.column("bands").to_numpy(zero_copy_only=False)) if len(i) else None
+            links, up, sets = [], {}, {}
+            shingles = rows.column("shingles")
+
+            def root(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    up[x] = x = up.get(y, y)
+                return x
+
+            def set_of(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = np.frombuffer(shingles[k].as_buffer(), np.uint64)
+                return sets[k]
+
+            for at in np.argsort(bits, kind="stable").tolist():
+                x, y = int(i[at]), int(j[at])
+                a, b = root(int(label[x])), root(int(label[y]))
+                if a == b or held_bands[x][held_bands[x] == held_bands[y]][0] != band[x]:
+                    continue
+                p, q = set_of(x), set_of(y)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if both >= threshold * (len(p) + len(q) - both):
+                    up[max(a, b)] = min(a, b)
+                    links.append((int(node[x]), int(node[y])))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
         held: list[pa.RecordBatch] = []
-        for batch in batches:  # a group is at most a few batches; whole groups are walked together, many small ones at once
+        for batch in batches:  # a group may span batches; whole groups are walked together, many small ones at once
             key = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
             ends = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             if held and batch.num_rows and any(held[-1].column(k)[-1].as_py() != int(key[0, k]) for k in range(3)):
@@ -176,10 +204,10 @@ def _walked_pairs(classes: DataFrame, in_bands: DataFrame, labels: DataFrame, th
         if held:
             yield found(held)
 
-    return groups.mapInArrow(walk, "a long, b long").distinct()
+    return stage(groups.mapInArrow(walk, "u long, v long"), "walked-links")
 
 
-def simhash_components(df: DataFrame, threshold: float = 0.8, words: int = 5, rows: int = 3, bands: int = 16, seed: int = 1, text: str = "text", key: str = "doc_id", block: int = 4096) -> DataFrame:
+def simhash_components(df: DataFrame, threshold: float = 0.8, words: int = 5, rows: int = 3, bands: int = 16, seed: int = 1, text: str = "text", key: str = "doc_id", block: int = 512) -> DataFrame:
     """h (SHA-256 of the text), first (its smallest key) and label (of its component), one row a distinct text.
 
     Links: Jaccard of word shingles >= threshold, exact for each candidate. Two texts at 0.8 share one of 16 bands of 3
@@ -194,11 +222,8 @@ def simhash_components(df: DataFrame, threshold: float = 0.8, words: int = 5, ro
     nodes = stage(star.selectExpr("explode(array(a, b)) as node").distinct(), "star-nodes")
     sets = _shingle_sets(df, classes, nodes, words, seed, text)
     links = _verified(star, sets, threshold)
-    labels = stage(connected(links).select("node", "label"), "star-labels")
-    across = stage(_walked_pairs(classes, in_bands, labels, threshold, block).join(star, ["a", "b"], "left_anti"), "across-pairs")
-    more = across.selectExpr("explode(array(a, b)) as node").distinct().join(nodes, "node", "left_anti")
-    sets = sets.unionByName(_shingle_sets(df, classes, more, words, seed, text))
-    labels = connected(links.unionByName(_verified(across, sets, threshold)))
+    labels = stage(connected(links), "star-labels")
+    labels = connected(links.unionByName(_walked_links(df, classes, in_bands, labels, threshold, block, words, seed, text)))
     return classes.join(labels, "node", "left").select("h", "first", F.coalesce("label", "node").alias("label"))
 
 
