@@ -1,7 +1,8 @@
 """Similarity retrieval: exact Jaccard of trigram sets by an equi-join on trigrams, without comparing all pairs.
 
-Only texts that share a trigram meet, and a trigram's posting list is grouped on one side; scores are exact. A query
-set against stored texts is the intended use; pairs that share nothing have similarity 0 and are not produced.
+Only texts that share a trigram meet, on an equi-join by trigram; scores are exact. A query set against stored texts is the
+intended use: a trigram that very many stored texts hold meets each of them. Pairs that share nothing have similarity 0
+and are not produced.
 """
 
 from __future__ import annotations
