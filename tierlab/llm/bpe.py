@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import held, text_slices
 
 #: The code points with Unicode's White_Space property, as the splitting pattern's \s takes them.
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -147,14 +147,9 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_LOADED: dict[tuple[str, str], ByteBPE] = {}
-
-
 def load(path: str, pattern: str = public_tokenizers.PATTERN) -> ByteBPE:
     """One encoder for each Python worker, kept over its tasks."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBPE(path, pattern)
-    return _LOADED[path, pattern]
+    return held(("bpe", path, pattern), lambda: ByteBPE(path, pattern))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", pattern: str = public_tokenizers.PATTERN) -> DataFrame:

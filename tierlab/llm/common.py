@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +44,20 @@ def text_slices(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[p
         yield batch.slice(i, step)
 
 
+_HELD: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], object]) -> object:
+    """What make() gives, kept by a Python worker over its tasks until another key is asked for.
+
+    Workers outlive stages: tables and memos of several operators would add up in them.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_slices
+from .common import held, stage, text_slices
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,14 +70,8 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(x == y))
 
 
-_LOADED: dict[tuple[int, int, int], MinHasher] = {}
-
-
 def load(permutations: int, words: int, seed: int) -> MinHasher:
-    key = (permutations, words, seed)
-    if key not in _LOADED:
-        _LOADED[key] = MinHasher(*key)
-    return _LOADED[key]
+    return held(("minhash", permutations, words, seed), lambda: MinHasher(permutations, words, seed))
 
 
 def edited(text: str, after: str) -> str:

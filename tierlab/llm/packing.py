@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import global_rank, stage, text_slices
+from .common import global_rank, held, stage, text_slices
 
 #: What the tokenizer drops as white space; str.split() drops these and four separators more.
 WHITE = re.compile("[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -89,13 +89,8 @@ class WordIds:
             yield np.frombuffer(b"".join(map(packed, words)) + self.end, "<u4")
 
 
-_LOADED: dict[tuple[str, int], WordIds] = {}
-
-
 def load(path: str, end_id: int) -> WordIds:
-    if (path, end_id) not in _LOADED:
-        _LOADED[path, end_id] = WordIds(path, end_id)
-    return _LOADED[path, end_id]
+    return held(("packing", path, end_id), lambda: WordIds(path, end_id))
 
 
 def crc(ids: np.ndarray) -> int:

@@ -9,6 +9,7 @@ follow-the-regularised-leader with an L1 term, so rare words get no weight and t
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import held, text_slices
 
 TABLE = 1 << 20
 #: Words; a longer run of letters is read as several, so that no letter goes unseen.
@@ -175,12 +176,12 @@ def rate(df: DataFrame, model: OrdinalModel, text: str = "text", keep: list[str]
     accepted: p_good >= least_tail. Null text counts as empty. A row's result depends on its text alone.
     """
     keep = keep or ["doc_id"]
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the feature table
+    shared, token = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by the feature table
     src = df.select(*keep, F.col(text).alias("_t"))
     names = [*keep, "expected_grade", "p_clean", "p_good", "accepted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = held(("quality", token), lambda: shared.value)
         for batch in chain.from_iterable(map(text_slices, batches)):
             tails = [m.tails(m.score(t)) for t in batch.column(len(keep)).to_pylist()]
             values = [[sum(t) for t in tails], [t[0] for t in tails], [t[-1] for t in tails]]
