@@ -104,19 +104,30 @@ def features(text: str | None) -> np.ndarray:
 
 
 def fit(examples: list[tuple[np.ndarray, int]], grades: int = 3, epochs: int = 12, l1: float = 4.0, rate: float = 0.15, seed: int = 5) -> OrdinalModel:
-    """Cumulative-link likelihood, weighted so that each grade counts alike in the mean; proximal steps by feature."""
+    """Cumulative-link likelihood, weighted so that each grade counts alike in the mean; proximal steps by feature.
+
+    Fewer than two grades among the examples: no weights, and thresholds that accept every text.
+    """
     rng = np.random.default_rng(seed)
     z, n, w = np.zeros(TABLE), np.zeros(TABLE), np.zeros(TABLE)
     theta = np.linspace(-1.0, 1.0, grades - 1)
-    sizes = np.bincount([g for _, g in examples], minlength=grades)
-    balance = np.sqrt(len(examples) / (grades * np.maximum(sizes, 1)))
+    wanted = [g for _, g in examples]
+    if len(set(wanted)) < 2:
+        return OrdinalModel({}, np.full(grades - 1, -20.0))
+    balance = np.sqrt(len(wanted) / (grades * np.maximum(np.bincount(wanted, minlength=grades), 1)))
     seen = np.zeros(TABLE, np.int64)
     for ids, _ in examples:
         seen[ids] += 1
-    examples = [(ids[seen[ids] >= 3], g) for ids, g in examples]
+    common = seen >= 3
+    flat, ends = np.empty(sum(len(ids) for ids, _ in examples), np.int32), [0]  # one block, so that the driver gets its memory back
+    for ids, _ in examples:
+        ids = ids[common[ids]]
+        flat[ends[-1] : ends[-1] + len(ids)] = ids
+        ends.append(ends[-1] + len(ids))
+    del examples, seen, ids
     for _ in range(epochs):
-        for i in rng.permutation(len(examples)):
-            ids, g = examples[i]
+        for i in rng.permutation(len(wanted)):
+            ids, g = flat[ends[i] : ends[i + 1]].astype(np.intp), wanted[i]
             s = w[ids].sum()
             p = np.r_[1.0, 1 / (1 + np.exp(np.clip(theta - s, -30, 30))), 0.0]  # P(grade >= 0), ..., P(grade > last)
             slope = p * (1 - p)
@@ -141,6 +152,12 @@ def fit(examples: list[tuple[np.ndarray, int]], grades: int = 3, epochs: int = 1
     return OrdinalModel({int(i): float(w[i]) for i in used}, theta)
 
 
+def _examples(table: pa.Table) -> list[tuple[np.ndarray, int]]:
+    """Features and grade of each row, in an order that doesn't depend on the rows' own; views on the table's memory."""
+    ids = chain.from_iterable(table.column("ids").chunks)
+    return sorted(((x.values.to_numpy(), g) for x, g in zip(ids, table.column("grade").to_pylist())), key=lambda e: (e[1], len(e[0]), e[0].tobytes()))
+
+
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, key: str = "doc_id", text: str = "text") -> OrdinalModel:
     """A model from at most about most_rows labelled documents, drawn by a hash of the key (a documented bound).
 
@@ -162,12 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, key: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["grade", "ids"])
 
     found = src.join(F.broadcast(chosen), "_id").select("grade", "t").mapInArrow(extract, "grade int, ids array<int>")
-    table = found.toArrow()
-    grades, ids = table.column("grade").to_pylist(), table.column("ids")
-    examples = sorted(((np.asarray(x.values.to_numpy(), np.int64), g) for x, g in zip(chain.from_iterable(c for c in ids.chunks), grades)), key=lambda e: (e[1], len(e[0]), e[0].tobytes()))
-    if len({g for _, g in examples}) < 2:
-        return OrdinalModel({}, np.array([-20.0, -20.0]))
-    return fit(examples)
+    return fit(_examples(found.toArrow()))
 
 
 def rate(df: DataFrame, model: OrdinalModel, text: str = "text", keep: list[str] | None = None, least_tail: float = 0.5) -> DataFrame:
