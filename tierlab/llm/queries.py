@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, minhash, packing, quality, secrets, sharding, simhash, topk
+from . import bpe, covertree, fim, language_id, line_dedup, minhash, packing, phrases, quality, secrets, sharding, simhash, topk
 from .common import documents
 
 
@@ -63,7 +63,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(documents(spark, sf_dir, "doc_id", "text"), seed=1, plain_from=90, spm_below=20)
+    restored = F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), restored)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir, "text", "lang"), longest=3, least=10, most=2000, inside_percent=50)
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_packing, op4_fingerprints, op5_topk, op6_quality, op7_simhash, op8_secrets, op9_sharding, op10_language_id)
+    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_packing, op4_fingerprints, op5_topk, op6_quality, op7_simhash, op8_secrets, op9_sharding, op10_language_id, op11_fill_in_middle, op12_phrases, op13_near_vectors)
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op5_topk": topk.SQL, "op8_secrets": secrets.SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op5_topk": topk.SQL, "op8_secrets": secrets.SQL, "op11_fill_in_middle": fim.SQL, "op12_phrases": phrases.SQL, "op13_near_vectors": covertree.SQL}
