@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from . import policy as P
 from .ordering import value_at
 
@@ -67,29 +68,35 @@ def test_outcomes(lines: DataFrame, key: str, order: str, line: str = "line") ->
 test_outcomes.__test__ = False  # a name that starts like a test
 
 
-def worst_count(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and worst: the largest whole number in a group's texts."""
-    n = F.array_max(F.transform(F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("long")))
-    return df.groupBy(key).agg(F.max(n).alias("worst"))
+def worst_allocs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and worst: the largest number of allocations an operation in a group's benchmark lines; null without any."""
+    return df.groupBy(key).agg(F.max(X.worst_allocs(F.col(text))).alias("worst"))
 
 
-def summarise_output(lines: DataFrame, key: str, order: str, line: str = "line", most: int | None = None) -> DataFrame:
-    """key and summary: plain lines stay, JSON output events give their text, noise lines go, in order; of each key the last `most` lines.
+def summarise_output(lines: DataFrame, key: str, order: str, line: str = "line", most: int | None = None, fallback: str = "") -> DataFrame:
+    """key and summary: the telling lines of test output (text.output_line), in order; of each key the last `most` of them.
 
-    A summary is one string, so a key's lines have to fit a row; give `most` where they may not.
+    A key without a telling line has the fallback. A summary is one string, so a key's lines have to fit a row; give
+    `most` where they may not.
     """
-    x = F.col(line)
-    kept = lines.select(key, order, F.when(x.startswith("{"), F.get_json_object(x, "$.Output")).otherwise(x).alias("x")).where(~F.col("x").startswith("=== "))
+    said = lines.select(key, order, X.output_line(F.col(line)).alias("x"))
+    kept = said.where("x is not null")
     if most is not None:
         kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_n") <= most)
-    found = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "x"))).alias("l"))
-    return found.select(key, F.array_join(F.transform("l", lambda s: s["x"]), "\n").alias("summary"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "x"))), lambda s: s["x"]), "\n")
+    found = kept.groupBy(key).agg(X.trimmed(text).alias("summary"))
+    return said.select(key).distinct().join(found, key, "left").select(key, F.coalesce(F.when(F.col("summary") != "", F.col("summary")), F.lit(fallback)).alias("summary"))
 
 
-def contradictions(cases: DataFrame, key: str, case: str = "case") -> DataFrame:
-    """key, arg, n of the arguments that a key's cases `f( <number> ) == <value>` expect different values for; numbers count by value, blanks fold."""
-    o = cases.select(key, F.regexp_extract(case, r"\(\s*([0-9.]+)\s*\)", 1).cast("double").cast("long").alias("arg"), F.regexp_extract(case, r"==\s*(\w+)", 1).alias("want"))
-    return o.groupBy(key, "arg").agg(F.countDistinct("want").alias("n")).where("n > 1")
+def contradictions(suites: DataFrame, key: str, suite: str = "suite", pattern: str = X.CASE) -> DataFrame:
+    """key, args, n, wants (sorted) of the argument lists for which a key's suites demand different answers.
+
+    Numbers in arguments and expectations count by value and white space folds; everything else counts as it is spelled,
+    so only equal argument lists meet, never a suspected likeness. A suite may be spread over any number of rows.
+    """
+    case = suites.select(key, F.explode(X.suite_cases(F.col(suite), pattern)).alias("c")).select(key, "c.args", "c.want")
+    found = case.distinct().groupBy(key, "args").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("want")).alias("wants"))
+    return found.where("n > 1")
 
 
 def rank_sum(df: DataFrame, group: str, value: str) -> DataFrame:

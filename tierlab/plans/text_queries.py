@@ -143,20 +143,53 @@ def verdict_text(spark, sf):
     return f.select("tier", F.when(F.col("bad") == 0, F.format_string("%s: no errors in %d", "tier", "n")).otherwise(F.format_string("%s: %d of %d wrong", "tier", "bad", "n")).alias("verdict"))
 
 
-@query("""with r as (select conv_id, turn, case (conv_id + turn) % 3 when 0 then 'see ```go' || chr(10) || 'package a' || conv_id || chr(10) || '``` and ```' || chr(10) || 'x```' when 1 then ' package b' || turn || ' ' else text end as r from conversations)
-select conv_id, turn, case when r like '%```%' then 'package a' || conv_id when r like '%package %' then trim(r) end as code from r""")
-def extract_code(spark, sf):
-    n = (F.col("conv_id") + F.col("turn")) % 3
-    r = F.when(n == 0, F.concat(F.lit("see ```go\npackage a"), F.col("conv_id").cast("string"), F.lit("\n``` and ```\nx```"))).when(n == 1, F.concat(F.lit(" package b"), F.col("turn").cast("string"), F.lit(" "))).otherwise(F.col("text"))
-    return B.table(spark, sf, "conversations").select("conv_id", "turn", X.extract_code(r).alias("code"))
+_REPLY = r"""case (conv_id + turn) % 8
+    when 0 then 'see ```go' || chr(10) || 'package a' || conv_id || chr(10) || '``` and ```' || chr(10) || 'x```'
+    when 1 then chr(160) || ' package b' || turn || chr(10) when 2 then text
+    when 3 then '```python' || chr(10) || 'print(' || turn || ')' || chr(10) || '```' || chr(10) || 'then' || chr(10) || '```go' || chr(10) || 'package c' || chr(10) || '```'
+    when 4 then 'x ```golang' || chr(9) || ' ' || chr(13) || chr(10) || chr(10) || '  package d' || conv_id || '  ' || chr(10) || '``` y'
+    when 5 then '```Go' || chr(10) || 'package e```' when 6 then '```' || chr(10) || '```' || text else '```go package f```' || text end"""
 
 
-@query("select conv_id, case when conv_id % 4 <> 3 then 'api' || conv_id end as api, case when conv_id % 4 <> 3 then 'v' end as visible, case when conv_id % 4 <> 3 then 'h2' end as hidden from (select distinct conv_id from conversations)")
+@query(rf"""with r as (select conv_id, turn, {_REPLY} as r from conversations), c as (
+    select conv_id, turn, r, regexp_matches(r, '(?s)```(?:go|golang)?\s*\n(.*?)```') as fenced, regexp_extract(r, '(?s)```(?:go|golang)?\s*\n(.*?)```', 1) as block from r)
+select conv_id, turn, case when fenced then regexp_replace(block, '^[\s\x85\xA0]+|[\s\x85\xA0]+$', '', 'g') when contains(r, 'package ') then regexp_replace(r, '^[\s\x85\xA0]+|[\s\x85\xA0]+$', '', 'g') end as code from c""")
+def extract_code(spark, sf):
+    """Blocks of Go, without a tag, of other languages before them, with blanks after the tag, empty ones, and replies without any."""
+    c, t, text = F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("text")
+    kinds = [
+        F.concat(F.lit("see ```go\npackage a"), c, F.lit("\n``` and ```\nx```")), F.concat(F.lit("\xa0 package b"), t, F.lit("\n")), text,
+        F.concat(F.lit("```python\nprint("), t, F.lit(")\n```\nthen\n```go\npackage c\n```")), F.concat(F.lit("x ```golang\t \r\n\n  package d"), c, F.lit("  \n``` y")),
+        F.lit("```Go\npackage e```"), F.concat(F.lit("```\n```"), text), F.concat(F.lit("```go package f```"), text),
+    ]
+    reply = F.get(F.array(*kinds), ((F.col("conv_id") + F.col("turn")) % 8).cast("int"))
+    return B.table(spark, sf, "conversations").select("conv_id", "turn", X.extract_code(reply).alias("code"))
+
+
+_SPEC = r"""'intro # API' || chr(10) || case conv_id % 7 when 3 then 'API' else '## API  ' end || chr(10) || 'Some prose first.' || chr(10) || chr(10) || '```go' || chr(10) || 'api' || conv_id || chr(10) || '```' || chr(10)
+    || '# visible tests' || chr(10) || chr(10) || case conv_id % 7 when 4 then '```python' || chr(10) || 'v```' else '```' || chr(10) || 'v' || chr(10) || '``` and ```' || chr(10) || 'w```' end || chr(10)
+    || '###### Hidden Tests' || chr(10) || '```golang ' || chr(10) || case conv_id % 7 when 5 then ' ' else 'h1' end || '```' || chr(10)
+    || case conv_id % 7 when 1 then '### HIDDEN TESTS' || chr(10) || '```' || chr(10) || 'h2```' when 2 then '### HIDDEN TESTS' || chr(10) || 'no block' when 6 then '####### API' || chr(10) || '#APIs' || chr(10) else '' end"""
+
+
+@query(rf"""with r as (select distinct conv_id, {_SPEC} as r from conversations), s as (
+    select conv_id, list_transform(regexp_extract_all(r, '(?mi)^#{{1,6}}\s*(API|VISIBLE TESTS|HIDDEN TESTS)\s*$', 1), lambda x: upper(x)) as names,
+           list_transform(regexp_split_to_array(r, '(?mi)^#{{1,6}}\s*(?:API|VISIBLE TESTS|HIDDEN TESTS)\s*$')[2:], lambda b: case when regexp_matches(b, '(?s)```(?:go|golang)?\s*\n(.*?)```') then regexp_replace(regexp_extract(b, '(?s)```(?:go|golang)?\s*\n(.*?)```', 1), '^\s+|\s+$', '', 'g') end) as codes from r
+), k as (
+    select conv_id, names, codes, list_filter(list_zip(names, codes), lambda z: z[1] = 'API')[-1][2] as api, list_filter(list_zip(names, codes), lambda z: z[1] = 'VISIBLE TESTS')[-1][2] as visible, list_filter(list_zip(names, codes), lambda z: z[1] = 'HIDDEN TESTS')[-1][2] as hidden from s
+), w as (
+    select *, len(names) >= 3 and len(list_filter(codes, lambda c: c is null)) = 0 and api <> '' and visible <> '' and hidden <> '' as whole from k)
+select conv_id, case when whole then api end as api, case when whole then visible end as visible, case when whole then hidden end as hidden from w""")
 def parse_spec(spark, sf):
-    body = F.concat(F.lit("## API\n```go\napi"), F.col("conv_id").cast("string"), F.lit("```\n# visible tests\n\n```\nv```\n## Hidden Tests\n```\nh1```\n"), F.when(F.col("conv_id") % 4 == 3, "").otherwise("### HIDDEN TESTS\n```\nh2```"))
-    body = F.when(F.col("conv_id") % 4 == 3, F.replace(body, F.lit("## API"), F.lit("API"))).otherwise(body)
-    c = B.table(spark, sf, "conversations").select("conv_id").distinct().select("conv_id", X.parse_spec(body).alias("s"))
-    return c.select("conv_id", "s.api", "s.visible", "s.hidden")
+    """Prose before blocks, headings in other depths and inside lines, repeated and blank sections, sections without a block."""
+    c, n = F.col("conv_id").cast("string"), F.col("conv_id") % 7
+    body = F.concat(
+        F.lit("intro # API\n"), F.when(n == 3, "API").otherwise("## API  "), F.lit("\nSome prose first.\n\n```go\napi"), c, F.lit("\n```\n# visible tests\n\n"),
+        F.when(n == 4, "```python\nv```").otherwise("```\nv\n``` and ```\nw```"), F.lit("\n###### Hidden Tests\n```golang \n"), F.when(n == 5, " ").otherwise("h1"), F.lit("```\n"),
+        F.when(n == 1, "### HIDDEN TESTS\n```\nh2```").when(n == 2, "### HIDDEN TESTS\nno block").when(n == 6, "####### API\n#APIs\n").otherwise(""),
+    )
+    found = B.table(spark, sf, "conversations").select("conv_id").distinct().select("conv_id", X.parse_spec(body).alias("s"))
+    return found.select("conv_id", "s.api", "s.visible", "s.hidden")
 
 
 @query("""with e as (select user_id, event_id, event_type, event_id % 3 as test from events where event_type in ('click','error','view')), a as (select user_id, test, case event_type when 'click' then 'pass' when 'error' then 'fail' else 'output' end as action, event_id from e)
@@ -169,17 +202,29 @@ def parse_test_events(spark, sf):
     return D.test_outcomes(lines, "user_id", "event_id").withColumn("test", F.col("test").cast("long"))
 
 
-@query("select user_id, max(cast(regexp_extract(props, '([0-9]+)', 1) as bigint)) as worst from events group by user_id")
+@query("""with c as (select user_id, case event_id % 4 when 0 then event_id % 97 when 1 then greatest(event_id % 11, event_id % 13) when 3 then 0 end as n from events)
+select user_id, max(n) as worst from c group by user_id""")
 def parse_allocs(spark, sf):
-    return D.worst_count(B.table(spark, sf, "events"), "user_id", "props")
+    """Benchmark lines with times and bytes before the count, two lines a text, lines without one, and a count beyond 64 bits."""
+    i = F.col("event_id")
+    bench = lambda k: F.concat(F.format_string("BenchmarkX-8   %d   231.5 ns/op   48 B/op   %d", i + 5000000, k), F.lit("\tallocs/op\n"))
+    text = F.when(i % 4 == 0, bench(i % 97)).when(i % 4 == 1, F.concat(bench(i % 11), bench(i % 13))).when(i % 4 == 3, F.lit("9" * 25 + " allocs/op")).otherwise(F.format_string("BenchmarkY-8 %d 12 ns/op", i))
+    return D.worst_allocs(B.table(spark, sf, "events").select("user_id", text.alias("out")), "user_id", "out")
 
 
-@query("select user_id, string_agg(case when event_type = 'view' then 'note ' || props else 'out ' || event_type end, chr(10) order by event_id) as summary from events where event_type in ('view','error') and event_id % 5 <> 0 group by user_id")
+@query("""with e as (select user_id, event_id, event_id % 9 as n, event_type, props from events where event_type in ('view','error','click')),
+l as (select user_id, event_id, case n when 0 then 'note ' || trim(props) when 1 then 'out ' || event_type when 2 then '    --- FAIL: x' end as line from e where n in (0, 1, 2)),
+s as (select user_id, string_agg(line, chr(10) order by event_id) as summary from l group by user_id)
+select user_id, coalesce(trim(summary, ' '), 'no output') as summary from (select distinct user_id from e) left join s using (user_id)""")
 def summarise_output(spark, sf):
-    """Plain lines stay, output events give their text, noise prefixes go; in order of the lines."""
-    e = B.table(spark, sf, "events").where(F.col("event_type").isin("view", "error"))
-    line = F.when(F.col("event_type") == "view", F.concat(F.lit("note "), F.col("props"))).otherwise(F.to_json(F.struct(F.lit("output").alias("Action"), F.concat(F.lit("out "), F.col("event_type")).alias("Output"))))
-    return D.summarise_output(e.select("user_id", "event_id", F.when(F.col("event_id") % 5 == 0, F.lit("=== RUN x")).otherwise(line).alias("line")), "user_id", "event_id")
+    """Plain lines, output events, the noise of passing tests, other actions and broken lines; in order of the lines."""
+    e = B.table(spark, sf, "events").where(F.col("event_type").isin("view", "error", "click"))
+    event = lambda action, text: F.to_json(F.struct(F.lit(action).alias("Action"), F.lit("T").alias("Test"), text.alias("Output")))
+    lines = [
+        F.concat(F.lit("  note "), F.trim("props"), F.lit("\t")), event("output", F.concat(F.lit("out "), F.col("event_type"), F.lit("\n"))), event("output", F.lit("    --- FAIL: x\n\n")), event("output", F.lit("=== RUN   x\n")),
+        event("output", F.lit("--- PASS: x (0.00s)\n")), event("output", F.lit("ok  \tpkg\t0.1s\n")), event("output", F.lit("PASS\n")), event("run", F.lit("hidden")), F.lit('{"Action":"output","Output":'),
+    ]
+    return D.summarise_output(e.select("user_id", "event_id", F.get(F.array(*lines), (F.col("event_id") % 9).cast("int")).alias("line")), "user_id", "event_id", fallback="no output")
 
 
 @query("select p_partkey, upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) as camel, regexp_replace(p_name, '\\bring\\b', 'hoop', 'g') as renamed, 'part_' || p_partkey as id from part")
@@ -187,11 +232,18 @@ def ingest_strings(spark, sf):
     return B.table(spark, sf, "part").select("p_partkey", X.camel(F.col("p_name")).alias("camel"), X.rename_ident(F.col("p_name"), "ring", "hoop").alias("renamed"), X.problem_id("part", F.col("p_partkey")).alias("id"))
 
 
-@query("select o_custkey, cast(trunc(o_totalprice) as bigint) % 40 as arg, cast(count(distinct o_orderstatus) as bigint) as n from orders group by 1, 2 having count(distinct o_orderstatus) > 1")
+@query("""select o_custkey, cast(o_orderkey % 5 - 2 as double) as a, (o_orderkey % 4) / 2.0 as b, cast(count(distinct w) as bigint) as n
+from (select *, case when o_orderkey % 6 = 0 then '1' else o_orderstatus end as w from orders) group by 1, 2, 3 having count(distinct w) > 1""")
 def contradiction(spark, sf):
-    """Equal arguments (numbers by value, white space folded) with different expectations."""
-    case = F.format_string("f( %d.0 ) == %s", F.col("o_totalprice").cast("long") % 40, F.col("o_orderstatus"))
-    return D.contradictions(B.table(spark, sf, "orders").select("o_custkey", case.alias("case")), "o_custkey")
+    """Cases of two numbers and a string: signs, fractions, spellings (3, 3.0, 3.00), blanks, and answers spelled 1 or 1.0."""
+    k = F.col("o_orderkey")
+    a = F.when(k % 2 == 0, F.format_string("%d", k % 5 - 2)).otherwise(F.format_string("%d.0", k % 5 - 2))
+    b = F.when(k % 3 == 0, F.format_string("%d.%d0", F.floor((k % 4) / 2).cast("int"), (k % 2) * 5)).otherwise(F.format_string("  %d.%d", F.floor((k % 4) / 2).cast("int"), (k % 2) * 5))
+    want = F.when(k % 6 == 0, F.when(k % 12 == 0, "1").otherwise("1.0")).otherwise(F.col("o_orderstatus"))
+    row = F.concat(F.lit("{actual: candidate("), a, F.lit(",\n "), F.trim(b), F.lit(', "x  )y"'), F.lit("), expected:  "), want, F.lit(" },"))
+    found = D.contradictions(B.table(spark, sf, "orders").select("o_custkey", row.alias("suite")), "o_custkey")
+    part = lambda i: F.trim(F.get(F.split("args", ","), F.lit(i))).cast("double")
+    return found.select("o_custkey", part(0).alias("a"), part(1).alias("b"), "n")
 
 
 @query(f"""with n as (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, regexp_matches(html, '<h1>[^<]*</h1>') as has from pages), ok as (select page_id, title from n where has and title <> '' order by page_id limit 50) select page_id, title from ok""")
