@@ -199,3 +199,17 @@ def test_p_zero_reads_every_record_and_any_keys(spark, tmp_path):
     every = {r["tier"]: (r["n"], r["log_p_zero"]) for r in QUERIES["p_zero_all"](spark, str(tmp_path)).collect()}
     assert {t: n for t, (n, _) in every.items()} == dict.fromkeys(seen, 500)
     assert {t: x for t, (_, x) in every.items()} == pytest.approx({t: sum(x) for t, x in seen.items()}, abs=1e-5)
+
+
+def test_smallest_draws_match_a_sort(spark):
+    """Rounds of histograms, ties of the draw, cells of other sizes, and a bound that is the last row."""
+    rows = spark.range(30000).selectExpr("id % 3 as cell", "id", "pmod(xxhash64(id), 1 << 48) as d").where("cell < 2 or id < 300")
+    rows = rows.withColumn("d", F.when(F.col("cell") == 1, F.shiftright("d", 40)).otherwise(F.col("d")))  # one of 256 draws each
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r["cell"], []).append((r["d"], r["id"]))
+    for k in (1, 57, 100):
+        for total in (30000, 10):
+            wanted = spark.createDataFrame([(0, k), (1, k), (2, min(k, len(by[2])))], "cell long, k long")
+            got = {r["cell"]: (r["bound_draw"], r["bound_tie"]) for r in O.smallest(rows, ["cell"], "d", "id", wanted, total).collect()}
+            assert got == {c: sorted(by[c])[min(k, len(by[c])) - 1] for c in by}

@@ -96,24 +96,39 @@ def test_bound_scores_are_not_degenerate(spark):
     o = P.observations(B.records(spark, SF))
     n = {r["tier"]: r["n"] for r in o.groupBy("tier").agg(F.countDistinct("score").alias("n")).collect()}
     assert n["small"] == 6 and n["mid"] == 3 and n["large"] == 2
-    points = P.grid_risk(P.score_profiles(P.usable(B.records(spark, SF))), P.threshold_grid(spark, 2))
+    points = P.grid_risk(P.score_profiles(P.usable(B.records(spark, SF)), 2), 2)
     assert points.select("risk").distinct().count() >= 10
 
 
-def test_grid_join_sees_score_vectors_not_records(spark):
-    r = B.records(spark, SF)
-    profiles = P.score_profiles(r)
-    assert profiles.count() <= 6 * 3 * 2 + 1
-    tau = P.threshold_grid(spark, 2).where("grid_idx = 60").first()["tau"]
-    point = P.grid_risk(profiles, P.threshold_grid(spark, 2)).where("grid_idx = 60").first()
-    assert (point["n"], point["bad"]) == P.replay(r, tau).agg(F.count("*"), F.count_if(~F.col("correct"))).first()
+def test_profiles_are_of_the_lattice_not_of_the_records(spark):
+    """Every record has scores of its own; the certificate is that of the replay, from 121 profiles at most."""
+    import random
+
+    draw = random.Random(4)
+    rows = [([(draw.random(), draw.random() < 0.8, 1), (draw.random(), draw.random() < 0.9, 3), (1.0, draw.random() < 0.97, 9)], {}) for _ in range(3000)]
+    r = make(spark, rows)
+    profiles = P.score_profiles(r, 2)
+    assert profiles.count() == 100 and r.select("tiers").distinct().count() == 3000
+    points = {p["grid_idx"]: p for p in P.grid_risk(profiles, 2).collect()}
+    assert len(points) == 121 and all(p["n"] == 3000 for p in points.values())
+    for g in P.threshold_grid(spark, 2).where("grid_idx % 17 = 3").collect():
+        want = P.replay(r, g["tau"]).agg(F.count_if(~F.col("correct")).alias("bad"), F.count_if(~F.col("true_correct")).alias("bad_true"), F.sum("cost").alias("cost")).first()
+        assert g["tau"] == points[g["grid_idx"]]["tau"] and {k: points[g["grid_idx"]][k] for k in ("bad", "bad_true", "cost")} == want.asDict()
+    plan = P.grid_risk(profiles, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
+
+
+def test_scores_on_and_between_levels(spark):
+    rows = [([(x, False, 1), (1.0, True, 2)], {}) for x in (0.0, 0.1, 0.3, 0.7, 0.29999, 0.30001, 1.0, -0.5, 1.5)] + [([(None, False, 1), (1.0, True, 2)], {})]
+    points = P.grid_risk(P.score_profiles(make(spark, rows), 1), 1).collect()
+    assert {p["grid_idx"]: p["bad"] for p in points} == {i: sum(x is not None and x >= t for ((x, _, _), _), _ in rows) for i, t in enumerate(P.grid_levels())}
 
 
 def test_four_tiers_and_ragged_records_match_replay(spark):
     rows = [([(0.1, False, 1), (0.2, False, 2), (0.3, False, 4), (0.4, False, 8)], {})] * 3
     rows += [([(0.5, True, 1), (0.2, True, 2), (0.9, False, 4), (0.7, True, 8), (0.6, False, 16)], {}), ([(0.1, False, 1)], {}), ([], {}), ([(0.1, True, 1)] * 4, {"cache_hit": True, "cache_correct": False, "cache_cost": 3.0})]
     r = make(spark, rows)
-    points = P.grid_risk(P.score_profiles(r), P.threshold_grid(spark, 4, 0.5)).collect()
+    points = P.grid_risk(P.score_profiles(r, 4, 0.5), 4, 0.5).collect()
     assert len(points) == 81
     for p in (x for x in points if x["grid_idx"] % 16 == 0):
         want = P.replay(r, p["tau"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("correct")).alias("bad"), F.count_if(~F.col("true_correct")).alias("bad_true"), F.sum("cost").alias("cost")).first()

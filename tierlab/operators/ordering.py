@@ -53,3 +53,31 @@ def quantile(df: DataFrame, value: str, q: float, by: list[str] | None = None) -
     h = (F.col("n") - 1) * F.lit(float(q))
     found = value_at(df, value, {"low": F.floor(h), "high": F.ceil(h)}, by)
     return found.select(*by, "n", (F.col("low") + (F.col("high") - F.col("low")) * (h - F.floor(h))).alias("quantile"))
+
+
+def smallest(rows: DataFrame, cells: list[str], draw: str, tie: str, wanted: DataFrame, total: int, bits: int = 48) -> DataFrame:
+    """Staged: cells, bound_draw, bound_tie: in each cell exactly k rows have (draw, tie) <= (bound_draw, bound_tie).
+
+    wanted: a small table (cells, k), k from 1 to the rows of the cell. draw: a long below 2**bits, spread evenly; tie is unique in
+    a cell. The k-th row is found by histograms of the draw's leading bits, 4,096 bins a cell and round, and each round looks
+    into the one bin that holds it; no row is shuffled or sorted, but for the few of the last bin. rows is computed once a round:
+    once up to some millions of rows (`total`), twice up to 16 billion.
+    """
+    from pyspark.sql import Window
+
+    at = wanted.select(*cells, F.col("k").alias("_k"), F.lit(0).cast("long").alias("_prefix"))
+    narrow, shift = rows.select(*cells, draw, tie), bits
+    while total > 4096 and shift > 12:
+        known, shift = shift, shift - 12
+        inside = narrow.join(F.broadcast(at), cells).where(F.shiftright(draw, known) == F.col("_prefix")) if known < bits else narrow.join(F.broadcast(at), cells)
+        bins = inside.groupBy(*cells, "_k", F.shiftright(draw, shift).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+        run = Window.partitionBy(*cells).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        first = bins.withColumn("_upto", F.sum("_n").over(run)).where(F.col("_upto") >= F.col("_k"))
+        found = first.groupBy(*cells).agg(F.min(F.struct("_bin", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("k"))).alias("x"))
+        at = stage(found.select(*cells, F.col("x.k").alias("_k"), F.col("x._bin").alias("_prefix")), "selection")
+        total //= 1024
+    last = narrow.join(F.broadcast(at), cells)
+    last = last.where(F.shiftright(draw, shift) == F.col("_prefix")) if shift < bits else last
+    place = F.row_number().over(Window.partitionBy(*cells).orderBy(draw, tie))
+    kth = last.withColumn("_place", place).where(F.col("_place") == F.col("_k"))
+    return stage(kth.select(*cells, F.col(draw).alias("bound_draw"), F.col(tie).alias("bound_tie")), "bounds")

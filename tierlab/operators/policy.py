@@ -1,8 +1,10 @@
 """Policy replay and certification.
 
 A policy is a vector of thresholds. A record is accepted at the first tier whose score reaches its threshold; the last
-tier accepts anything. Risk and cost of a policy depend on a record only through its score vector, so records are
-pre-aggregated by it before they meet the threshold grid: the grid join sees the few distinct vectors.
+tier accepts anything. Risk and cost of a policy on a grid of thresholds depend on a record only through the grid levels
+that its scores reach, so records are summed by those first: at most (levels + 1) ** places profiles, however many scores
+there are. The points' sums are then cumulative sums over the lattice of levels, one place at a time, and no record or
+profile is ever joined with the grid.
 """
 
 from __future__ import annotations
@@ -78,12 +80,17 @@ def prefer_shadow(records: DataFrame) -> DataFrame:
     return records.crossJoin(F.broadcast(n)).where((F.col("n_shadow") < SHADOW_LEAST) | F.col("shadow"))
 
 
-def threshold_grid(spark: SparkSession, arity: int, step: float = 0.1) -> DataFrame:
-    """grid_idx and tau: levels 0, step, ... up to 1 in each place, the last place fastest."""
+def grid_levels(step: float = 0.1) -> list[float]:
     levels, x = [], 0.0
     while x <= 1 + 1e-9:
         levels.append(round(x, 3))
         x += step
+    return levels
+
+
+def threshold_grid(spark: SparkSession, arity: int, step: float = 0.1) -> DataFrame:
+    """grid_idx and tau: levels 0, step, ... up to 1 in each place, the last place fastest."""
+    levels = grid_levels(step)
     n = len(levels)
     level = F.array(*[F.lit(v) for v in levels])
     place = lambda j: F.get(level, (F.floor(F.col("grid_idx") / n ** (arity - 1 - j)) % n).cast("int"))
@@ -91,39 +98,78 @@ def threshold_grid(spark: SparkSession, arity: int, step: float = 0.1) -> DataFr
     return spark.range(n**arity if arity > 0 else 0).select(F.col("id").alias("grid_idx"), tau.alias("tau"))
 
 
-def score_profiles(records: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Records summed by their score vector (cache hits apart): n, and for each tier wrong, wrong by truth, cost so far."""
+def codes(arity: int) -> list[str]:
+    return [f"_g{d}" for d in range(arity)]
+
+
+def outcomes(arity: int) -> list[str]:
+    return ["_n", *(f"_{x}{s}" for s in range(arity + 1) for x in "wtc")]
+
+
+def coded(records: DataFrame, arity: int, step: float = 0.1, keep: list[str] | None = None) -> DataFrame:
+    """What a grid of thresholds can tell of a record, in a narrow row: columns `keep`, codes(arity) and outcomes(arity).
+
+    _g0, _g1, ...: how many grid levels the score of a tier reaches; null from the record's last stop on. A record stops at a
+    tier under a threshold, or at its last tier (after `arity` thresholds at the latest); _w, _t, _c of stop s: wrong,
+    wrong by truth, cost up to there. Cache hits and records without tiers have one stop.
+    """
+    hit, kind = F.coalesce(F.col("cache_hit"), F.lit(False)), cost_kind(records)
+    level = F.array(*[F.lit(v) for v in grid_levels(step)])
+    last = F.when(hit, 0).otherwise(F.greatest(F.size("tiers") - 1, F.lit(0)))
+    stops = F.least(last, F.lit(arity))
+    out = records.select(*(keep or []), "tiers", "cache_correct", "cache_cost", hit.alias("_hit"), last.alias("_last"), stops.alias("_stops"))
+    reached = lambda d: F.size(F.filter(level, lambda v: v <= F.coalesce(F.get(F.col("tiers"), F.lit(d))["score"], F.lit(-1.0))))
+    made = [F.when(F.col("_stops") > d, reached(d)).alias(f"_g{d}") for d in range(arity)]
+    for s in range(arity + 1):
+        k = F.when(F.col("_stops") == s, F.col("_last")).otherwise(F.lit(s))
+        at = F.get(F.col("tiers"), k)
+        wrong = lambda x: F.when(F.col("_hit"), ~F.col("cache_correct")).otherwise(~F.coalesce(x, F.lit(False))).cast("long")
+        cost = F.when(F.col("_hit"), F.col("cache_cost").cast(kind)).otherwise(spend(F.col("tiers"), k, kind))
+        reachable = F.col("_stops") >= s
+        made += [F.when(reachable, x).alias(f"_{name}{s}") for name, x in (("w", wrong(at["correct"])), ("t", wrong(truth(at))), ("c", cost))]
+    return out.select(*(keep or []), F.lit(1).cast("long").alias("_n"), *made)
+
+
+def score_profiles(records: DataFrame, arity: int, step: float = 0.1, by: list[str] | None = None) -> DataFrame:
+    """coded rows (or records, which are coded first) summed by their codes: at most (levels + 1) ** arity profiles and those of shorter records."""
     by = by or []
-    hit = F.col("cache_hit")
-    kind = cost_kind(records)
-    scores = F.when(hit, F.array().cast("array<double>")).otherwise(F.transform("tiers", lambda t: t["score"]))
-    most = F.when(hit | (F.size("tiers") < 1), 1).otherwise(F.size("tiers"))  # cache hits and records without tiers have one place
-    at = F.get(F.col("tiers"), F.col("k"))
-    wrong = F.when(hit, ~F.col("cache_correct")).otherwise(~F.coalesce(at["correct"], F.lit(False)))
-    wrong_true = F.when(hit, ~F.col("cache_correct")).otherwise(~F.coalesce(truth(at), F.lit(False)))
-    cost = F.when(hit, F.col("cache_cost")).otherwise(spend(F.col("tiers"), F.col("k"), kind))
-    each = records.select(*by, scores.alias("scores"), "tiers", "cache_hit", "cache_correct", "cache_cost", F.explode(F.sequence(F.lit(0), most - 1)).alias("k"))
-    sums = each.groupBy(*by, "scores", "k").agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("w"), F.count_if(wrong_true).alias("t"), F.sum(cost).alias("c"))
-    places = F.sort_array(F.collect_list(F.struct("k", "n", "w", "t", "c")))  # one place a tier of the vector
-    grouped = sums.groupBy(*by, "scores").agg(places.alias("p"))
-    return grouped.select(*by, "scores", F.get("p", F.lit(0))["n"].alias("n"), F.col("p.w").alias("wrong"), F.col("p.t").alias("wrong_true"), F.col("p.c").alias("cost"))
-
-
-def grid_risk(profiles: DataFrame, grid: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """n, bad, bad_true, cost, risk of every threshold vector (in each group of `by`).
-
-    grid is a parameter table (levels ** arity rows, whatever the data's size), so it is broadcast; profiles are few.
+    rows = records if "_n" in records.columns else coded(records, arity, step, by)
+    return rows.groupBy(*by, *codes(arity)).agg(*[F.sum(c).alias(c) for c in outcomes(arity)])
+
+
+def grid_risk(profiles: DataFrame, arity: int, step: float = 0.1, by: list[str] | None = None) -> DataFrame:
+    """grid_idx, tau, n, bad, bad_true, cost, risk of every threshold vector (in each group of `by`).
+
+    Stop s of a profile counts at the points whose first s thresholds are over the codes and whose threshold s is not: a
+    code becomes the range of thresholds it allows, place by place, and sums are taken after each place, so no more than
+    levels times the lattice's points are ever made.
     """
     by = by or []
-    n = F.size("scores")
-    takes = lambda k: (k == n - 1) | (F.get(F.col("scores"), k) >= F.get(F.col("tau"), k))
-    at = F.when(n > 0, F.get(F.filter(F.sequence(F.lit(0), n - 1), takes), F.lit(0))).otherwise(F.lit(0))
-    joined = profiles.crossJoin(F.broadcast(grid)).withColumn("_at", at)
-    out = joined.groupBy(*by, "grid_idx").agg(
-        F.first("tau").alias("tau"), F.sum("n").alias("n"), F.sum(F.get(F.col("wrong"), F.col("_at"))).alias("bad"),
-        F.sum(F.get(F.col("wrong_true"), F.col("_at"))).alias("bad_true"), F.sum(F.get(F.col("cost"), F.col("_at"))).alias("cost"),
-    )
-    return out.withColumn("risk", F.col("bad") / F.col("n"))
+    levels = grid_levels(step)
+    top, place = len(levels) - 1, codes(arity)
+    stops = F.lit(0)
+    for c in place:
+        stops = stops + F.col(c).isNotNull().cast("int")
+    each = F.array(*[F.struct(F.lit(s).alias("s"), *[F.col(f"_{x}{s}").alias(x) for x in "wtc"]) for s in range(arity + 1)])
+    rows = profiles.withColumn("_m", stops).withColumn("x", F.explode(F.slice(each, F.lit(1), F.col("_m") + 1)))
+    rows = rows.select(*by, *place, F.col("x.s").alias("_s"), (F.col("x.s") == F.col("_m")).alias("_final"), "_n", *[F.col(f"x.{c}").alias(f"_{c}") for c in "wtc"])
+    none = F.array().cast("array<int>")
+    for d, c in enumerate(place):
+        over = F.when(F.col(c) <= top, F.sequence(F.col(c), F.lit(top))).otherwise(none)
+        under = F.when(F.col(c) >= 1, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(none)
+        allowed = F.when(F.col("_s") > d, over).when((F.col("_s") == d) & ~F.col("_final"), under).otherwise(F.array(F.lit(-1)))  # -1: any
+        rows = rows.withColumn(c, F.explode(allowed))
+        if d < arity - 1:
+            rows = rows.groupBy(*by, *place, "_s", "_final").agg(*[F.sum(x).alias(x) for x in ("_n", "_w", "_t", "_c")])
+    for c in place:
+        rows = rows.withColumn(c, F.explode(F.when(F.col(c) < 0, F.sequence(F.lit(0), F.lit(top))).otherwise(F.array(F.col(c)))))
+    index = F.lit(0).cast("long")
+    for c in place:
+        index = index * (top + 1) + F.col(c)
+    sums = rows.groupBy(*by, index.alias("grid_idx")).agg(F.sum("_n").alias("n"), F.sum("_w").alias("bad"), F.sum("_t").alias("bad_true"), F.sum("_c").alias("cost"))
+    level = F.array(*[F.lit(v) for v in levels])
+    tau = F.array(*[F.get(level, (F.floor(F.col("grid_idx") / (top + 1) ** (arity - 1 - d)) % (top + 1)).cast("int")) for d in range(arity)]) if arity else F.array().cast("array<double>")
+    return sums.select(*by, "grid_idx", tau.alias("tau"), "n", "bad", "bad_true", "cost", (F.col("bad") / F.col("n")).alias("risk"))
 
 
 def fixed_sequence(points: DataFrame, alpha: float, delta: float, by: list[str] | None = None) -> DataFrame:
@@ -164,8 +210,7 @@ def calibrate(records: DataFrame, alpha: float, delta: float, step: float = 0.1,
     if method not in ("fixed-sequence", "bonferroni"):
         raise ValueError(f"unknown method {method}")
     used = prefer_shadow(usable(records))
-    grid = threshold_grid(records.sparkSession, arity, step) if arity else records.sparkSession.range(1).select(F.col("id").alias("grid_idx"), F.array().cast("array<double>").alias("tau"))
-    points = grid_risk(score_profiles(used), grid)
+    points = grid_risk(score_profiles(used, arity, step), arity, step)
     if not arity:
         tested = points.select("*", F.lit(None).cast("double").alias("p"), F.col("grid_idx").alias("test_rank"), F.lit(True).alias("certified"))
     else:

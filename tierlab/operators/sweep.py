@@ -1,9 +1,13 @@
 """Distribution-shift sweeps: what a policy's certificate is worth after part of the traffic is absorbed.
 
 A cell is a pattern, an absorbed share rho, a shadow rate epsilon and a seed. Cells are a parameter table, and all of
-them are ranked, replayed and certified in one grouped plan instead of a loop. Without a shadow draw (epsilon 0) the
+them are drawn, replayed and certified in one grouped plan instead of a loop. Without a shadow draw (epsilon 0) the
 certificate is that of the whole sample, as of a system that doesn't know its cache is warm; with one it is made from
 the draw off what is left. Either is then deployed on what is left.
+
+A record enters as a narrow row: its id, what a grid of thresholds can tell of it (policy.coded), and its tier-0 order. The two
+sorted patterns are sorted once, whatever the shares; a drawn cell keeps the rows beyond one bound, the k-th draw,
+which histograms find. So per cell only sums over the lattice of thresholds are shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import min_calibration_size
 from ..staging import stage
 from . import policy as P
-from .ordering import placed, stable_rank
+from .ordering import placed, smallest, stable_rank
 
 PATTERNS = ("easy-first", "cheap-accept", "uniform")
 
@@ -60,40 +64,38 @@ def shadow_draw(records: DataFrame, rate: float) -> DataFrame:
     return ranked.crossJoin(F.broadcast(n)).where(F.col("uniform") < F.greatest(F.lit(1), F.round(rate * F.col("_n")))).drop("_n", "uniform")
 
 
-_RECORD = ("rec_idx", "tiers", "cache_hit", "cache_correct", "cache_cost", "t0_right", "t0_score")
-
-
-def _in_cells(rows: DataFrame, cells: list[str], order: list[Column], name: str, n: DataFrame) -> DataFrame:
-    """rows with `name`: the place inside its cell; n: a row a cell, with the rows of all cells before it (`_before`)."""
-    ranked = placed(rows, [*[F.asc(c) for c in cells], *order], name)
-    return ranked.join(F.broadcast(n.select(*cells, "_before")), cells).withColumn(name, F.col(name) - F.col("_before")).drop("_before")
-
-
-def _before(counts: DataFrame, cells: list[str]) -> DataFrame:
-    """counts (a row a cell, n) with the sum of n over the cells before, in order."""
-    from pyspark.sql import Window
-
-    run = Window.orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)  # a row a cell of the parameter table
-    return counts.withColumn("_before", F.coalesce(F.sum("n").over(run), F.lit(0)))
+def _with_bound(rows: DataFrame, cells: list[str], bounds: DataFrame, inside: bool) -> DataFrame:
+    """The rows up to their cell's bound (inside) or beyond it; cells without a bound have no row inside."""
+    met = rows.join(F.broadcast(bounds), cells, "left")
+    upto = (F.col("_draw") < F.col("bound_draw")) | ((F.col("_draw") == F.col("bound_draw")) & (F.col("rec_idx") <= F.col("bound_tie")))
+    upto = F.coalesce(upto, F.lit(False))
+    return met.where(upto if inside else ~upto).drop("_draw", "bound_draw", "bound_tie")
 
 
-def residuals(records: DataFrame, patterns: list[str], rhos: list[float], seeds: list[int], tau0: float) -> DataFrame:
-    """Staged: the records left in every cell (pattern, rho, seed). Sorted patterns are the same for all seeds and come once, with the first."""
+def residuals(records: DataFrame, patterns: list[str], rhos: list[float], seeds: list[int], tau0: float, arity: int, step: float = 0.1) -> DataFrame:
+    """Narrow rows (pattern, rho, seed, rec_idx, t0_right, policy.coded) of the records left in every cell. Sorted patterns are
+    the same for all seeds and come once, with the first."""
     if not all(0 <= r < 1 for r in rhos) or not set(patterns) <= set(PATTERNS):
         raise ValueError("rho has to be in [0, 1), patterns are easy-first, cheap-accept and uniform")
-    base = stage(tier0(records).select(*_RECORD), "sweep-records")
+    base = stage(P.coded(tier0(records), arity, step, ["rec_idx", "t0_right", "t0_score"]), "sweep-records")
     n = base.count()
-    cells = [(p, 0.0, seeds[0], "", rhos) for p in patterns if p != "uniform"]  # one order serves all shares
-    cells += [("uniform", r, s, f"draw-{s}-{r}-", [r]) for p in patterns if p == "uniform" for r in rhos for s in seeds]
-    sizes = base.sparkSession.createDataFrame([(p, float(r), s, n) for p, r, s, _, _ in cells], "pattern string, rho double, seed long, n long")
-    in_order = lambda p, r, s, label, shares: F.struct(F.lit(p).alias("pattern"), F.lit(float(r)).alias("rho"), F.lit(s).cast("long").alias("seed"), F.lit(label).alias("label"), F.array(*[F.lit(float(x)) for x in shares]).alias("shares"))
-    rows = base.withColumn("c", F.explode(F.array(*[in_order(*c) for c in cells]))).select("*", "c.*").drop("c")
-    by_pattern = lambda easy, cheap, uniform: F.when(F.col("pattern") == "easy-first", easy).when(F.col("pattern") == "cheap-accept", cheap).otherwise(uniform)
-    rows = rows.withColumn("_first", by_pattern(F.col("t0_right"), F.col("t0_score") >= tau0, F.lit(False))).withColumn("_score", by_pattern(F.col("t0_score"), F.col("t0_score"), F.lit(0.0)))
-    rows = rows.withColumn("_draw", F.when(F.col("pattern") == "uniform", draw(F.col("label"))).otherwise(0)).drop("label")
-    ranked = _in_cells(rows, ["pattern", "rho", "seed"], [F.desc("_first"), F.desc("_score"), F.asc("_draw"), F.asc("rec_idx")], "_place", _before(sizes, ["pattern", "rho", "seed"]))
-    left = ranked.withColumn("rho", F.explode("shares")).where(F.col("_place") >= dropped(F.col("rho"), F.lit(n)))
-    return stage(left.drop("_first", "_score", "_draw", "_place", "shares"), "residuals")
+    cells, plain = ["pattern", "rho", "seed"], [c for c in base.columns if c != "t0_score"]
+    left = None
+    for p in (p for p in patterns if p != "uniform"):
+        first = F.col("t0_right") if p == "easy-first" else F.col("t0_score") >= tau0
+        ranked = placed(base.withColumn("_first", first), [F.desc("_first"), F.desc("t0_score"), F.asc("rec_idx")], "_place")
+        shares = ranked.withColumn("rho", F.explode(F.array(*[F.lit(float(r)) for r in rhos])))
+        kept = shares.where(F.col("_place") >= dropped(F.col("rho"), F.lit(n))).select(F.lit(p).alias("pattern"), "rho", F.lit(seeds[0]).cast("long").alias("seed"), *plain)
+        left = kept if left is None else left.unionByName(kept)
+    if "uniform" in patterns:
+        cell = lambda r, s: F.struct(F.lit(float(r)).alias("rho"), F.lit(s).cast("long").alias("seed"), F.lit(f"draw-{s}-{r}-").alias("label"))
+        rows = base.select(F.lit("uniform").alias("pattern"), F.explode(F.array(*[cell(r, s) for r in rhos for s in seeds])).alias("c"), *plain)
+        rows = rows.select("pattern", "c.rho", "c.seed", *plain, draw(F.col("c.label")).alias("_draw"))
+        spark = base.sparkSession
+        wanted = spark.createDataFrame([("uniform", float(r), s) for r in rhos for s in seeds], "pattern string, rho double, seed long").withColumn("k", dropped(F.col("rho"), F.lit(n))).where("k > 0")
+        kept = _with_bound(rows, cells, smallest(rows, cells, "_draw", "rec_idx", wanted, n), inside=False).select(*cells, *plain)
+        left = kept if left is None else left.unionByName(kept)
+    return left
 
 
 def absorption_sweep(records: DataFrame, patterns: list[str], rhos: list[float], alpha: float, delta: float, tau: list[float], epsilons: list[float] | None = None, seeds: list[int] | None = None, step: float = 0.1) -> DataFrame:
@@ -103,28 +105,30 @@ def absorption_sweep(records: DataFrame, patterns: list[str], rhos: list[float],
     a gap over 0 is an optimistic certificate. underpowered: fewer calibration records than certify alpha without an
     error. With under two records left or drawn no certificate is tried: valid is false, risks are null.
     """
-    epsilons, seeds = epsilons or [0.0], seeds or [0]
+    epsilons, seeds, arity = epsilons or [0.0], seeds or [0], len(tau)
     cell, shadow_cell = ["pattern", "rho", "seed"], ["pattern", "rho", "seed", "epsilon"]
     use = P.usable(records)
-    left = residuals(use, patterns, rhos, seeds, tau[0])
-    grid = P.threshold_grid(records.sparkSession, len(tau), step)
-    facts = stage(left.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_residual"), F.avg(F.col("t0_right").cast("int")).alias("accuracy")), "cells")
+    left = residuals(use, patterns, rhos, seeds, tau[0], arity, step)
+    sums = [F.sum(c).alias(c) for c in P.outcomes(arity)]
+    profiles = stage(left.groupBy(*cell, *P.codes(arity)).agg(*sums, F.count_if("t0_right").alias("right")), "residual-profiles")
+    facts = stage(profiles.groupBy(*cell).agg(F.sum("_n").alias("n_residual"), (F.sum("right") / F.sum("_n")).alias("accuracy")), "cells")
     whole = tier0(use).agg(F.count(F.lit(1)).alias("n_use"), F.avg(F.col("t0_right").cast("int")).alias("accuracy_d"))
-    deployed = stage(P.grid_risk(P.score_profiles(left, cell), grid, cell).select(*cell, "grid_idx", (F.col("bad_true") / F.col("n")).alias("deployed")), "deployed-risks")
+    deployed = P.grid_risk(profiles.drop("right"), arity, step, cell).select(*cell, "grid_idx", (F.col("bad_true") / F.col("n")).alias("deployed"))
     figures = ["valid", "n_certified", "grid_idx", "tau", F.col("n").alias("n_calibration"), F.col("risk").alias("calibrated")]
     certificates = None
     if 0.0 in epsilons:
-        full = P.select_threshold(P.fixed_sequence(P.grid_risk(P.score_profiles(use), grid), alpha, delta)).select(*figures)
+        full = P.select_threshold(P.fixed_sequence(P.grid_risk(P.score_profiles(use, arity, step), arity, step), alpha, delta)).select(*figures)
         certificates = facts.select(*cell, F.lit(0.0).alias("epsilon")).crossJoin(F.broadcast(full))
     rates = [float(e) for e in epsilons if e > 0]
     if rates:
-        sizes = _before(facts.select(*cell, F.explode(F.array(*map(F.lit, rates))).alias("epsilon"), F.col("n_residual").alias("n")), shadow_cell)
         rows = left.withColumn("epsilon", F.explode(F.array(*map(F.lit, rates))))
         label = F.concat(F.lit("shadow-"), F.col("seed").cast("string"), F.lit("-"), F.col("rho").cast("string"), F.lit("-"), F.col("epsilon").cast("string"), F.lit("-"), F.col("pattern"), F.lit("-"))
         rows = rows.withColumn("_draw", draw(label))
-        drawn = _in_cells(rows, shadow_cell, [F.asc("_draw"), F.asc("rec_idx")], "_place", sizes).join(F.broadcast(sizes.select(*shadow_cell, "n")), shadow_cell)
-        drawn = drawn.where((F.col("epsilon") >= 1) | (F.col("_place") < F.greatest(F.lit(1), F.round(F.col("epsilon") * F.col("n"))))).drop("n")
-        tested = P.fixed_sequence(P.grid_risk(P.score_profiles(drawn, shadow_cell), grid, shadow_cell), alpha, delta, shadow_cell)
+        size = F.when(F.col("epsilon") >= 1, F.col("n_residual")).otherwise(F.greatest(F.lit(1), F.round(F.col("epsilon") * F.col("n_residual")))).cast("long")
+        wanted = facts.select("*", F.explode(F.array(*map(F.lit, rates))).alias("epsilon")).select(*shadow_cell, size.alias("k"))
+        most = facts.agg(F.max("n_residual").alias("n")).first()["n"] or 0
+        drawn = _with_bound(rows, shadow_cell, smallest(rows, shadow_cell, "_draw", "rec_idx", wanted, most), inside=True)
+        tested = P.fixed_sequence(P.grid_risk(P.score_profiles(drawn, arity, step, shadow_cell), arity, step, shadow_cell), alpha, delta, shadow_cell)
         shadow = P.select_threshold(tested, shadow_cell).select(*shadow_cell, *figures)
         certificates = shadow if certificates is None else certificates.unionByName(shadow)
     needed = min_calibration_size(alpha, delta)

@@ -137,7 +137,7 @@ def threshold_grid(spark, sf):
 def _points(spark, sf, only_shadow=True):
     r = P.usable(B.records(spark, sf))
     r = P.prefer_shadow(r) if only_shadow else r
-    return P.grid_risk(P.score_profiles(r), P.threshold_grid(spark, 2))
+    return P.grid_risk(P.score_profiles(r, 2), 2)
 
 
 USED = "not contaminated and not oracle_unsound and shadow"
@@ -145,7 +145,7 @@ USED = "not contaminated and not oracle_unsound and shadow"
 
 @query(f"{S.grid_points('true')} select cast(grid_idx as bigint) as grid_idx, n, bad, cost from points")
 def replay_grid(spark, sf):
-    return P.grid_risk(P.score_profiles(B.records(spark, sf)), P.threshold_grid(spark, 2)).select("grid_idx", "n", "bad", "cost")
+    return P.grid_risk(P.score_profiles(B.records(spark, sf), 2), 2).select("grid_idx", "n", "bad", "cost")
 
 
 @query(f"""{S.grid_points(USED)}, {S.p_values(ALPHA)} select cast(grid_idx as bigint) as grid_idx, round(p, 9) as p, test_rank,
@@ -370,5 +370,5 @@ def judge_sweep(spark, sf):
 @query(f"""{S.grid_points('not contaminated and not oracle_unsound').replace("range(11)", "range(4)").replace("i * 0.1", "i * 0.3").replace("* 11", "* 4")} select t0 as tau0, t1 as tau1, n, bad_true as bad, cost from points""")
 def compare_tier0(spark, sf):
     """Tier-0 arms over a coarse grid, by truth."""
-    p = P.grid_risk(P.score_profiles(P.usable(B.records(spark, sf))), P.threshold_grid(spark, 2, 0.3))
+    p = P.grid_risk(P.score_profiles(P.usable(B.records(spark, sf)), 2, 0.3), 2, 0.3)
     return p.select(F.get("tau", F.lit(0)).alias("tau0"), F.get("tau", F.lit(1)).alias("tau1"), "n", F.col("bad_true").alias("bad"), "cost")
