@@ -195,3 +195,48 @@ def test_cover_tree_prunes_and_stays_exact():
     a, b = covertree.CoverTree(x[:600], leaf=8), covertree.CoverTree(x[600:], leaf=8)
     between = covertree.Linker(a, b, w[:600], w[600:], 0.93)
     assert (between.counts[0] == linked[:600, 600:] @ w[600:]).all() and (between.counts[1] == linked[600:, :600] @ w[:600]).all()
+
+
+def test_topk_of_large_components(spark):
+    """Scores beyond doubles, beyond longs (the nearest long counts) and vectors too long for bounds; ties to the smaller id."""
+    from tierlab.llm import topk
+
+    big = [5e7, -5e7, 1e30, -1e30, 3e15, 1e300, 0.0, 1.5, 2.0**40, 1.7e308]
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(rng.choice(big)) if rng.random() < 0.3 else float(rng.normal()) for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = lambda x: int(np.floor(64 * x)) if abs(64 * x) < 2**52 else int(max(-1.7976931348623157e308, min(1.7976931348623157e308, 64.0 * x)))
+    v = {i: [whole(c) for c in x] for i, x in rows}
+    near = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for block in (4096, 25):
+        got = defaultdict(list)
+        for r in sorted(topk.top_k(df, k=6, block=block, query_block=2).collect(), key=lambda r: r["rank"]):
+            got[r["query_id"]].append((r["score"], r["vec_id"]))
+        for q in range(0, 120, 20):
+            want = sorted(((near(sum(a * b for a, b in zip(v[q], v[i]))), i) for i in v if i != q), key=lambda x: (-x[0], x[1]))[:6]
+            assert got[q] == want
+
+
+def test_many_stray_languages(spark):
+    from tierlab.llm import language_id
+
+    rows = [(i, f"word{i % 7} and other words of text {i}", f"stray-{i}") for i in range(300)] + [(1000 + i, "the cat sat on the mat and it was good", "en") for i in range(30)] + [(2000 + i, "le chat est sur la table et il est bon", "fr") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, most_langs=3)
+    assert model.langs == ["en", "fr", "stray-0"]
+
+
+def test_equal_rows_are_dealt(spark):
+    from tierlab.llm import line_dedup, minhash, sharding
+
+    same = spark.createDataFrame([(None, "one two three", "s")] * 400, "doc_id long, text string, source string").repartition(4)
+    assert sorted((r["shard"], r["slot"]) for r in sharding.interleave(same, shards=8).collect()) == [(s, k) for s in range(8) for k in range(50)]
+    assert {(r["near_next"], r["n_chars"]) for r in minhash.fingerprints_with_next(same).collect()} == {(1.0, 13)}
+    import duckdb
+
+    twice = spark.createDataFrame([(i % 12, f"shared\nown {i}") for i in range(24)], "doc_id long, text string")
+    db = duckdb.connect()
+    db.register("documents", twice.toPandas())
+    want = sorted(db.sql(line_dedup.SQL).fetchall())
+    kept = line_dedup.drop_frequent_lines(twice, min_docs=10).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("h"))
+    assert sorted(tuple(r) for r in kept.collect()) == want

@@ -222,24 +222,23 @@ def spread(text: str, stretches: int, run: int) -> str:
     return " ".join(words)
 
 
-def train(df: DataFrame, docs_per_lang: int = 400, stretches: int = 16, run: int = 40, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ChainCRF | None:
+def train(df: DataFrame, docs_per_lang: int = 400, stretches: int = 16, run: int = 40, most_langs: int = 256, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ChainCRF | None:
     """A model from a bounded sample (the parameters are the bound): about docs_per_lang documents of each language, by a
     hash of key and text, and of a longer text `stretches` runs of `run` words spread over all of it. Copies of a row
-    count once. None if no row has a label and a word."""
+    count once. Of more than most_langs labels those with the most documents are learned (ties by name), so a column of
+    stray labels neither fills the driver nor the plan. None if no row has a label and a word."""
     named = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    counts = {r["l"]: r["n"] for r in named.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    counts = named.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most_langs).collect()
     if not counts:
         return None
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("l") == name, min(1.0, docs_per_lang / n)).otherwise(share)
+    shares = df.sparkSession.createDataFrame([(r["l"], min(1.0, docs_per_lang / r["n"])) for r in counts], "l string, share double")
     u = F.pmod(F.xxhash64(F.lit(11), F.coalesce("k", F.lit("")), "t"), F.lit(1 << 20)) / float(1 << 20)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(map(text_slices, batches)):
             yield pa.RecordBatch.from_arrays([pa.array([spread(t, stretches, run) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["t", "l"])
 
-    chosen = named.where(u < share).dropDuplicates(["k", "t", "l"]).select("t", "l")
+    chosen = named.join(F.broadcast(shares), "l").where(u < F.col("share")).dropDuplicates(["k", "t", "l"]).select("t", "l")
     rows = chosen.mapInArrow(sample, "t string, l string").collect()
     pairs = sorted((r["t"], r["l"]) for r in rows)
     langs = sorted({name for _, name in pairs})

@@ -123,10 +123,12 @@ def drop_frequent_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     rows = named.select(F.col(key).alias("_id"), F.md5(whole).alias("_h"), line_keys(F.col(text), min_chars).alias("keys"))
     staged = stage(rows.withColumn("batch", F.pmod(F.xxhash64("_id", "_h"), F.lit(batches)).cast("int")), "line-keys", ["batch"])
     runs = LineRuns(spark)
-    for b in range(batches):
-        runs.add(staged.where(F.col("batch") == b))
-    frequent = runs.frequent(min_docs)
-    runs.drop()
+    try:
+        for b in range(batches):
+            runs.add(staged.where(F.col("batch") == b))
+        frequent = runs.frequent(min_docs)
+    finally:
+        runs.drop()  # their tables are in the catalog
     lines = staged.select("_id", "_h", F.posexplode("keys").alias("pos", "key")).where("key is not null")
     met = salted_join(lines, frequent.select("key"), "key", frequent.select("key", F.col("docs").alias("n")), ["_id", "_h", "pos"], "left_semi")
     hits = met.groupBy("_id", "_h").agg(F.collect_set("pos").alias("_hits")).withColumnRenamed("_h", "_h2")
@@ -140,18 +142,19 @@ def drop_frequent_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, b
 
 
 SQL = r"""
-with lines as (
-    select doc_id, unnest(list_zip(ls, range(len(ls)))) as z
-    from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)
+with rows as (
+    select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents
+), lines as (
+    select r, doc_id, unnest(list_zip(ls, range(len(ls)))) as z from rows
 ), keyed as (
-    select doc_id, z[2] as pos, z[1] as line,
+    select r, doc_id, z[2] as pos, z[1] as line,
            translate(regexp_replace(z[1], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
     from lines
 ), frequent as (
-    select k from keyed where length(k) >= 1 group by k having count(distinct doc_id) >= 10
+    select k from keyed where length(k) >= 1 group by k having count(distinct r) >= 10
 )
 select doc_id, cast(count(*) as bigint) as n_lines,
        cast(count(*) filter (where f.k is not null) as bigint) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where f.k is null), '')) as kept_sha256
-from keyed left join frequent f using (k) group by doc_id
+from keyed left join frequent f using (k) group by r, doc_id
 """

@@ -93,9 +93,9 @@ def fingerprints_with_next(df: DataFrame, permutations: int = 128, words: int =
     aren't read. Empty table: no rows.
     """
     kind = df.select(key).schema[0].dataType.simpleString()
-    rows = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("_tie", F.xxhash64("t"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("_tie")]
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
+    rows = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("_tie", F.xxhash64("t")).withColumn("_row", F.monotonically_increasing_id())
+    order = [F.col("doc_id").desc_nulls_last(), F.col("_tie"), F.col("_row")]  # rows equal in all are dealt too
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie", "_row")
 
     def record(hasher: MinHasher, this: str, sig: np.ndarray, after: str, after_sig: np.ndarray):
         new = edited(this, after)

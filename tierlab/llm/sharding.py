@@ -24,12 +24,13 @@ def interleave(df: DataFrame, shards: int = 8, seed: int = 7, key: str = "doc_id
     cols = [c for c in df.columns if c not in ("shard", "slot")]
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
     rows = df.select(*cols, name.alias("_src"), F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(*cols)).alias("_h"))
-    ranked = placed(rows, [F.asc("_src"), F.asc("_h")], "_place")
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())  # fully equal rows are dealt over tasks too
+    ranked = placed(rows, [F.asc("_src"), F.asc("_h"), F.asc("_row")], "_place")
     sizes = stage(ranked.groupBy("_src").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("n")), "source-sizes")
     ranked = salted_join(ranked, sizes.withColumnRenamed("n", "_n"), "_src", sizes.select("_src", "n"), ["_h"])
     fraction = (F.col("_place") - F.col("_first") + F.lit(0.5)) / F.col("_n")
     mixed = F.xxhash64(F.lit(seed + 1), "_src", "_h")  # of rows with one fraction
-    in_order = placed(ranked.withColumn("_f", fraction).withColumn("_mixed", mixed), [F.asc("_f"), F.asc("_mixed"), F.asc("_src"), F.asc("_h")], "_pos")
+    in_order = placed(ranked.withColumn("_f", fraction).withColumn("_mixed", mixed), [F.asc("_f"), F.asc("_mixed"), F.asc("_src"), F.asc("_h"), F.asc("_row")], "_pos")
     n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     shard = F.expr(f"cast(_pos * {shards} div {max(n, 1)} as int)")
     first = F.expr(f"(shard * {n} + {shards - 1}) div {shards}")

@@ -297,7 +297,7 @@ def near_components(df: DataFrame, budget: int = 4, words: int = 4, text: str =
     """
     docs = stage(fingerprints(df, text, key, words), "fingerprints")
     nodes = stage(docs.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    depth = depth or max(6, (nodes.count() >> 19).bit_length())  # a subtree holds about half a million values at most
+    depth = depth or max(6, (nodes.count() >> 13).bit_length())  # a subtree is about a block, so two near subtrees meet once
     labels = connected(trie_links(nodes, budget, depth))
     of_node = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     of_node = stage(of_node, "node-labels")

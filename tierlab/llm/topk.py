@@ -4,7 +4,9 @@ Vectors are lifted by one coordinate so that the largest inner product is the sm
 norm, |q' - x'|**2 = |q|**2 + M**2 - 2 q.x for x' = (x, sqrt(M**2 - |x|**2)) and q' = (q, 0). Distances from every
 candidate to the pivots are computed once; for a query, the largest |d(q, p) - d(x, p)| over the pivots is a lower bound
 of the distance, so an upper bound of the score. Candidates of a block are taken in bound order until no bound reaches
-the k-th best score; bounds carry a margin over rounding, and scores are exact integers.
+the k-th best score; bounds carry a margin over rounding, and scores are exact integers. Bounds are doubles; vectors too
+long for them (a square norm over 1e200) have none and are always tried. A score that a long doesn't hold counts as the
+nearest long.
 """
 
 from __future__ import annotations
@@ -21,25 +23,52 @@ from .common import stage
 MARGIN = 1e-6
 
 
+LONGEST = 1e200  # square norms beyond this have no bounds
+WHOLE = float(2**52)
+
+
 def integer_vectors(df: DataFrame, scale: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """key as vec_id, and v: floor(scale * x) of each component; vectors that are null or hold null, NaN or infinities go."""
+    """key as vec_id, and v: floor(scale * x) of each component, as whole doubles; vectors that are null or hold null, NaN or infinities go.
+
+    A product over the largest double counts as the largest double.
+    """
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     whole = df.select(F.col(key).cast("long").alias("vec_id"), x.alias("x")).where("x is not null and vec_id is not null")
     fine = ~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return whole.where(fine).select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    most = F.lit(np.finfo(np.float64).max.item())
+    scaled = F.transform("x", lambda c: F.least(F.greatest(c * scale, -most), most))
+    return whole.where(fine).select("vec_id", F.transform(scaled, lambda y: F.when(F.abs(y) < WHOLE, F.floor(y).cast("double")).otherwise(y)).alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    out = np.zeros((len(column), dim), np.int64)
+    out = np.zeros((len(column), dim))
     lengths = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy()
     if len(flat) and (lengths == dim).all():
-        return flat.reshape(-1, dim).astype(np.int64)
+        return flat.reshape(-1, dim)
     for i, v in enumerate(column.to_pylist()):
         out[i, : len(v)] = v
     return out
 
 
+def inner_products(rows: np.ndarray, largest: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole vectors as longs; what a long doesn't hold is the nearest long. largest: of each row's components, absolute."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = np.nan_to_num(largest * np.abs(q).max(initial=0) * max(len(q), 1), nan=0.0, posinf=np.inf)
+    if (bound < WHOLE).all():
+        return np.rint(rows @ q).astype(np.int64)  # sums of whole doubles below 2**52 are exact
+    out = np.empty(len(rows), np.int64)
+    small, fits = bound < WHOLE, bound < 2.0**62
+    out[small] = np.rint(rows[small] @ q).astype(np.int64)
+    some = fits & ~small
+    if some.any():
+        out[some] = rows[some].astype(np.int64) @ q.astype(np.int64)
+    whole = [int(c) for c in q.tolist()] if not fits.all() else []
+    for i in np.flatnonzero(~fits):
+        out[i] = max(-(2**63), min(2**63 - 1, sum(int(a) * b for a, b in zip(rows[i].tolist(), whole))))
+    return out
+
+
 def _lift(x: np.ndarray, top: float) -> np.ndarray:
     x = x.astype(np.float64)
     return np.c_[x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))]
@@ -59,16 +88,18 @@ def top_k(df: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64, piv
     """query_id, rank (from 1), vec_id, score: the k best of all other rows for each row whose key is divisible by query_step.
 
     Ties go to the smaller vec_id. A query never meets rows of its own vec_id; a repeated vec_id asks once (with its
-    least vector) and each of its rows is a candidate. Shorter vectors count as padded with zeros. Rows with a null key
+    least vector) and each of its rows is a candidate. Scores beyond a long count as the nearest long. Shorter vectors count as padded with zeros. Rows with a null key
     or an unusable vector take no part. The pivots come from `pivot_sample` vectors by hash order (a documented bound);
     every row is indexed. Queries and candidates meet in blocks, each pair of blocks once: first every query meets one
     block, and its k-th best score there is the least that it asks of all others.
     """
     rows = stage(integer_vectors(df, scale, key, vector), "vectors")
-    facts = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim"), F.coalesce(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda s, c: s + c * c)), F.lit(0)).alias("top"), F.count(F.lit(1)).alias("n")).first()
-    dim, top, n = facts["dim"], float(facts["top"]), facts["n"]
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(pivot_sample).collect()]
-    base = np.zeros((max(len(sample), 1), dim), np.int64)
+    square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
+    bounded = rows.withColumn("square", square)
+    facts = bounded.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim"), F.coalesce(F.max(F.when(F.col("square") <= LONGEST, F.col("square"))), F.lit(0.0)).alias("top"), F.count(F.lit(1)).alias("n")).first()
+    dim, top, n = facts["dim"], facts["top"], facts["n"]
+    sample = [r["v"] for r in bounded.where(F.col("square") <= LONGEST).orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(pivot_sample).collect()]
+    base = np.zeros((max(len(sample), 1), dim))
     for i, v in enumerate(sample):
         base[i, : len(v)] = v
     points = _far_apart(_lift(base, top), pivots)
@@ -86,17 +117,21 @@ def top_k(df: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64, piv
         floors = queries.column("floor").to_numpy()
         q, c = (_matrix(t.column("v").combine_chunks(), dim) for t in (queries, candidates))
         to_pivots = lambda x: np.sqrt(np.maximum((x * x).sum(1)[:, None] + (points * points).sum(1) - 2 * x @ points.T, 0))
-        d_c = to_pivots(_lift(c, top)).T.copy()
-        d_q = to_pivots(np.c_[q.astype(np.float64), np.zeros(len(q))])
-        c_float = c.astype(np.float64)  # products of such integers are exact in doubles
-        exact = bool(np.abs(c).max(initial=0) * np.abs(q).max(initial=0) * max(dim, 1) < 2**52)
+        with np.errstate(over="ignore", invalid="ignore"):
+            squares = (c * c).sum(1)
+            free = ~(squares <= LONGEST)  # candidates without a bound
+            d_c = to_pivots(_lift(np.where(free[:, None], 0, c), top)).T.copy()
+            q_squares = (q * q).sum(1)
+            d_q = to_pivots(np.c_[np.where((q_squares <= LONGEST)[:, None], q, 0), np.zeros(len(q))])
+        largest = np.abs(c).max(1, initial=0)
         out = []
         for i in range(len(q)):
             low = np.zeros(len(c))
             for p in range(len(points)):
                 np.maximum(low, np.abs(d_c[p] - d_q[i, p]), out=low)
             low = np.maximum(low - MARGIN * (1 + d_q[i].max()), 0)
-            bound = ((q[i] * q[i]).sum() + top - low * low) / 2 + MARGIN * (1 + top)
+            bound = (q_squares[i] + top - low * low) / 2 + MARGIN * (1 + top + q_squares[i])
+            bound[free | ~(q_squares[i] <= LONGEST)] = np.inf
             order = np.flatnonzero(bound >= floors[i])
             order = order[np.argsort(-bound[order])]
             ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -107,23 +142,24 @@ def top_k(df: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64, piv
                 take = order[at : at + step]
                 at += step
                 step *= 2
-                new = np.rint(c_float[take] @ q[i].astype(np.float64)).astype(np.int64) if exact else c[take] @ q[i]
+                new = inner_products(c[take], largest[take], q[i])
                 other = (c_id[take] != q_id[i]) & (new >= floors[i])
                 ids, scores = np.r_[ids, c_id[take][other]], np.r_[scores, new[other]]
-                best = np.lexsort((ids, -scores))[:k]
+                best = np.lexsort((ids, ~scores))[:k]  # ~ turns the order without overflow
                 ids, scores = ids[best], scores[best]
             out.append((np.full(len(ids), q_id[i]), ids, scores))
         return pa.Table.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], schema=schema)
 
-    def met(asked: DataFrame) -> DataFrame:
-        return asked.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(search, "query_id long, vec_id long, score long")
+    home = F.col("qb") % blocks  # the block that a block of queries meets first
+
+    def met(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+        return asked.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(search, "query_id long, vec_id long, score long")
 
-    home = F.col("qb") % blocks
     none = F.lit(-(2**63)).cast("long")
-    first = stage(met(left.where(F.col("cb") == home).withColumn("floor", none)), "first-scores")
+    first = stage(met(left.where(F.col("cb") == home).withColumn("floor", none), right.where(F.col("cb") == home)), "first-scores")
     kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(none).alias("floor"))
     rest = left.where(F.col("cb") != home).join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
-    found = first.unionByName(met(rest))
+    found = first.unionByName(met(rest, right.where(F.col("cb") != home)))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -133,9 +169,11 @@ with v as (
     select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
     where embedding is not null and vec_id is not null
       and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), asked as (
+    select vec_id, min(v) as v from v where vec_id % 20 = 0 group by vec_id
 ), scored as (
     select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
-    from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+    from asked q join v c on q.vec_id <> c.vec_id
 ), ranked as (
     select *, row_number() over (partition by query_id order by score desc, vec_id) as rn from scored
 )
