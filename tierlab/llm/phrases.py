@@ -77,7 +77,7 @@ def counters(h: np.ndarray, row: int, width_bits: int) -> np.ndarray:
     return (x >> np.uint64(64 - width_bits)).astype(np.int64)
 
 
-def runs(batches: Iterator[pa.RecordBatch], longest: int, words: int = 1 << 19) -> Iterator[tuple[str, Grams]]:
+def runs(batches: Iterator[pa.RecordBatch], longest: int, words: int = 1 << 18) -> Iterator[tuple[str, Grams]]:
     """(lang, n-grams) over batches of (lang, text): about `words` words at a time, whole texts and of all lengths."""
     pending: dict[str, list[bytes]] = {}
 
