@@ -53,16 +53,13 @@ def trigram_jaccard(spark, sf):
 def warm_candidacy(spark, sf):
     """Each item against all earlier ones: the best similarity a cache filled in order could offer."""
     bench = B.table(spark, sf, "benchmark")
-    g = M.grams(bench, "item_id", "text")
-    best = M.jaccard(g, g).where("a > b").groupBy(F.col("a").alias("item_id")).agg(F.max("sim").alias("best"))
-    out = bench.select("item_id").join(best, "item_id", "left").na.fill(0.0)
+    out = M.best_prior(bench.select(F.col("item_id").alias("id"), "text")).withColumnRenamed("id", "item_id")
     return out.select("item_id", F.round("best", 9).alias("best"), (F.col("best") >= 0.35).alias("candidate"))
 
 
 @query(_BB.format(l="bench", r="bench", on="and a.id < b.id") + " select a, b, round(sim, 9) as sim from sims order by sims.sim desc, a desc, b desc limit 20")
 def top_pairs(spark, sf):
-    g = M.grams(B.table(spark, sf, "benchmark"), "item_id", "text")
-    return M.jaccard(g, g).where("a < b").orderBy(F.desc("sim"), F.desc("a"), F.desc("b")).limit(20).select("a", "b", F.round("sim", 9).alias("sim"))
+    return M.top_pairs(B.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), 20).select("a", "b", F.round("sim", 9).alias("sim"))
 
 
 @query(f"""with dg as materialized (select * from {_grams('documents', 'doc_id')}), bench as materialized (select * from {_grams('benchmark', 'item_id')}),
