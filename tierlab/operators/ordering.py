@@ -81,3 +81,48 @@ def smallest(rows: DataFrame, cells: list[str], draw: str, tie: str, wanted: Dat
     place = F.row_number().over(Window.partitionBy(*cells).orderBy(draw, tie))
     kth = last.withColumn("_place", place).where(F.col("_place") == F.col("_k"))
     return stage(kth.select(*cells, F.col(draw).alias("bound_draw"), F.col(tie).alias("bound_tie")), "bounds")
+
+
+def seeded_permutation(df: DataFrame, seed: Column, order: list[Column], by: list[str] | None = None, name: str = "place") -> DataFrame:
+    """df's rows with `name`: the 0-based place that a seeded shuffle gives each row of its group; `source`: its place before.
+
+    The shuffle is the sequential one (from the last place down to the second, each swaps with a place drawn below or at it)
+    with splitmix64 numbers, to the last row, but no task goes through it in sequence. Step i swaps places i and j(i); all
+    numbers j(i) are known at once, as the generator counts. What lies at a place when a step looks at it was put there by
+    the last step before that drew this place, so steps form chains, which pointer jumping resolves in a logarithm of rounds.
+
+    seed: a long by group (its bits count as unsigned); order: decides all ties. Null groups are a group.
+    """
+    from ..functions.bits import remainder, seeded_number
+
+    by = by or []
+    cells = [f"_by{i}" for i in range(len(by))]
+    keyed = df.withColumns({c: F.coalesce(F.concat(F.lit("="), F.col(b).cast("string")), F.lit("")) for c, b in zip(cells, by)}).withColumn("_seed", seed)
+    ranked = placed(keyed, [*[F.asc(c) for c in cells], *order], "_ordinal")
+    sizes = stage(ranked.groupBy(*cells).agg(F.min("_ordinal").alias("_first"), F.count(F.lit(1)).alias("_n")), "group-sizes")
+    ranked = ranked.join(sizes, cells) if cells else ranked.crossJoin(F.broadcast(sizes))
+    ranked = stage(ranked.withColumn("source", F.col("_ordinal") - F.col("_first")), "permutation-rows")
+    i, n = F.col("source"), F.col("_n")
+    drawn = F.when(i > 0, remainder(seeded_number(F.col("_seed"), n - i), i + 1)).otherwise(0).cast("long")  # the first step is at place n - 1
+    steps = stage(ranked.select("_first", i.alias("i"), drawn.alias("j")), "permutation-steps")
+    from pyspark.sql import Window
+
+    # steps run from the largest i down: what step i finds at place p was put there by the next larger step that drew p
+    of_place = Window.partitionBy("_first", "j").orderBy("i")
+    known = steps.where("i > 0").withColumn("before", F.lead("i").over(of_place))
+    known = stage(known.select("_first", "i", "j", "before"), "permutation-draws")
+    # at place i itself: the smallest step over i that drew i (every step that drew i is i or larger)
+    last = known.where("i > j").groupBy("_first", F.col("j").alias("i")).agg(F.min("i").alias("next"))
+    at = stage(steps.select("_first", "i").join(last, ["_first", "i"], "left").select("_first", "i", F.coalesce("next", "i").alias("next")), "permutation-chains")
+    while True:
+        jump = at.select("_first", F.col("i").alias("next"), F.col("next").alias("further"))
+        after = stage(at.join(jump, ["_first", "next"]).select("_first", "i", F.col("further").alias("next"), (F.col("further") != F.col("next")).alias("moved")), "permutation-chains")
+        done = not after.where("moved").limit(1).count()
+        at = after.drop("moved")
+        if done:
+            break
+    # the value that step i leaves at place i: what lay at place j before it
+    value = known.select("_first", "i", "j", "before").join(at.select("_first", F.col("i").alias("before"), F.col("next").alias("moved_in")), ["_first", "before"], "left")
+    value = value.select("_first", F.col("i").alias(name), F.coalesce("moved_in", "j").alias("source"))
+    zero = at.where("i = 0").select("_first", F.col("i").alias(name), F.col("next").alias("source"))
+    return ranked.join(value.unionByName(zero), ["_first", "source"]).drop(*cells, "_seed", "_ordinal", "_first", "_n")

@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bits import double_bits, hash_of, signed
 from ..functions.stats import min_calibration_size
 from ..staging import stage
 from . import policy as P
-from .ordering import placed, smallest, stable_rank
+from .ordering import placed, seeded_permutation, smallest, stable_rank
 
 PATTERNS = ("easy-first", "cheap-accept", "uniform")
 
@@ -64,6 +65,30 @@ def shadow_draw(records: DataFrame, rate: float) -> DataFrame:
     return ranked.crossJoin(F.broadcast(n)).where(F.col("uniform") < F.greatest(F.lit(1), F.round(rate * F.col("_n")))).drop("_n", "uniform")
 
 
+def seeded_residual(records: DataFrame, rho: float, seed: int) -> DataFrame:
+    """The records that the uniform pattern leaves under a seed: those after the absorbed prefix of the seeded shuffle.
+
+    The shuffle is that of bits.splitmix64 with the share's bits in the seed, in order of rec_idx, so a published seed gives
+    the published records. place: the record's place in the shuffle.
+    """
+    if not 0 <= rho < 1:
+        raise ValueError("rho has to be in [0, 1)")
+    key = F.lit(signed(seed ^ double_bits(rho))).cast("long")
+    shuffled = seeded_permutation(records, key, [F.asc("rec_idx")])
+    n = records.agg(F.count(F.lit(1)).alias("_n"))
+    return shuffled.crossJoin(F.broadcast(n)).where(F.col("place") >= dropped(F.lit(float(rho)), F.col("_n"))).drop("_n", "source")
+
+
+def seeded_shadow(residual: DataFrame, epsilon: float, seed: int, pattern: str, rho: float, order: str = "rec_idx") -> DataFrame:
+    """The shadow draw off what is left, under a seed: a prefix of the seeded shuffle of the rows in `order`, one row at least; all rows from epsilon 1 on."""
+    if epsilon >= 1:
+        return residual
+    key = signed(seed ^ double_bits(epsilon) ^ double_bits(rho) ^ hash_of(pattern))
+    shuffled = seeded_permutation(residual, F.lit(key).cast("long"), [F.asc(order)], name="_place")
+    n = residual.agg(F.count(F.lit(1)).alias("_n"))
+    return shuffled.crossJoin(F.broadcast(n)).where(F.col("_place") < F.greatest(F.lit(1), F.round(epsilon * F.col("_n")))).drop("_n", "_place", "source")
+
+
 def _with_bound(rows: DataFrame, cells: list[str], bounds: DataFrame, inside: bool) -> DataFrame:
     """The rows up to their cell's bound (inside) or beyond it; cells without a bound have no row inside."""
     met = rows.join(F.broadcast(bounds), cells, "left")

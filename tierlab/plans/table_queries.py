@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import bits as N
 from ..functions import stats as T
 from ..functions import text as X
 from ..operators import clusters as C
@@ -13,6 +14,7 @@ from ..operators import policy as P
 from ..operators import routing as R
 from ..operators import studies as D
 from ..operators import sweep as W
+from ..operators.ordering import seeded_permutation
 from ..sources import bindings as B
 from ..sources import files as L
 from . import sql as S
@@ -305,6 +307,55 @@ def shadow_draw(spark, sf):
     return W.shadow_draw(P.usable(B.records(spark, sf)), 0.2).select("rec_idx")
 
 
+_U64 = "18446744073709551616"
+
+
+def _mixed(z: str) -> str:
+    """splitmix64 of a state (an unsigned hugeint), as nested queries over columns k and z."""
+    one = f"select k, xor(z, z >> 30) * 13787848793156543929::uhugeint % {_U64} as z from ({z})"
+    two = f"select k, xor(z, z >> 27) * 10723151780598845931::uhugeint % {_U64} as z from ({one})"
+    return f"select k, xor(z, z >> 31) as z from ({two})"
+
+
+_STATE = f"select o_orderkey as k, (12345::uhugeint + o_orderkey::uhugeint * 11400714819323198485::uhugeint) % {_U64} as z from orders"
+_FNV = f"select o_orderkey as k, list_reduce(list_prepend(1469598103934665603::uhugeint, list_transform(string_split(o_orderpriority || o_orderkey, ''), lambda c: ascii(c)::uhugeint)), lambda h, b: xor(h, b) * 1099511628211::uhugeint % {_U64}) as h from orders"
+
+
+@query(f"select n.k as o_orderkey, lpad(lower(hex(n.z::ubigint)), 16, '0') as number, cast(n.z % 1000 as bigint) as below_1000, lpad(lower(hex(f.h::ubigint)), 16, '0') as hash from ({_mixed(_STATE)}) n join ({_FNV}) f using (k)")
+def seeded_numbers(spark, sf):
+    """The o_orderkey-th number of seed 12345, its remainder, and the byte-wise hash of a string, in unsigned 64-bit arithmetic."""
+    o = B.table(spark, sf, "orders")
+    z = N.seeded_number(F.lit(12345), F.col("o_orderkey"))
+    hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    text = F.concat("o_orderpriority", F.col("o_orderkey").cast("string"))
+    return o.select("o_orderkey", hexed(z).alias("number"), N.remainder(z, F.lit(1000)).alias("below_1000"), hexed(N.hash_string(text)).alias("hash"))
+
+
+@query(f"""with recursive st(k, i, n, idx) as (
+    select o_custkey, count(*) - 1, count(*), list(o_orderkey order by o_orderkey) from orders group by o_custkey
+    union all
+    select k, i - 1, n, list_transform(range(1, n + 1), lambda p: case when p = i + 1 then idx[j + 1] when p = j + 1 then idx[i + 1] else idx[p] end)
+    from (select k, i, n, idx, cast(xor(z3, z3 >> 31) % (i + 1)::uhugeint as bigint) as j from (
+        select *, xor(z2, z2 >> 27) * 10723151780598845931::uhugeint % {_U64} as z3 from (
+            select *, xor(z1, z1 >> 30) * 13787848793156543929::uhugeint % {_U64} as z2 from (
+                select *, ((k * 2 + 1)::uhugeint + (n - i)::uhugeint * 11400714819323198485::uhugeint) % {_U64} as z1 from st where i > 0))))
+)
+select k as o_custkey, unnest(idx) as o_orderkey, cast(generate_subscripts(idx, 1) - 1 as bigint) as place from st where i = 0""")
+def seeded_order(spark, sf):
+    """Each customer's orders in the sequential shuffle of a seed of the customer's own, without a task that shuffles in sequence."""
+    o = B.table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    got = seeded_permutation(o, F.col("o_custkey") * 2 + 1, [F.asc("o_orderkey")], ["o_custkey"])
+    return got.select("o_custkey", "o_orderkey", "place")
+
+
+@query()
+def absorb_seeded(spark, sf):
+    """What a seed's uniform draw leaves, and which of it the seed's shadow draw takes: the sequential shuffle over the whole table."""
+    left = W.seeded_residual(P.usable(B.records(spark, sf)).select("rec_idx"), 0.4, 7).select("rec_idx", "place")
+    drawn = W.seeded_shadow(left, 0.2, 7, "uniform", 0.4, order="place").select("rec_idx", F.lit(True).alias("shadow"))
+    return left.join(drawn, "rec_idx", "left").select("rec_idx", "place", F.coalesce("shadow", F.lit(False)).alias("shadow"))
+
+
 PATTERNS, RHOS, EPSILONS, SEEDS = ["easy-first", "cheap-accept", "uniform"], [0.0, 0.2, 0.4, 0.6], [0.0, 0.002, 0.2], list(range(1, 11))
 _ARGS = {"alpha": 0.2, "delta": 0.1, "tau0": TAU[0]}
 _UNIFORM = S.sweep([("uniform", r, s) for s in SEEDS for r in RHOS[1:]], [0.0], **_ARGS)
