@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import policy as P
@@ -68,3 +68,10 @@ def cache_admission(records: DataFrame, tau: list[float], least_score: float = 0
 def oracle_verdict(outcome: Column) -> Column:
     """From a struct built, passed, timed_out: no build or a timeout is inconclusive, a reference that fails its own tests is unsound."""
     return F.when(~outcome["built"], "inconclusive").when(~outcome["passed"], "unsound").when(outcome["timed_out"], "inconclusive").otherwise("sound")
+
+
+def tier_violations(tiers: DataFrame, config: str, order: str) -> DataFrame:
+    """config, order, violation of tiers (samples, price): `samples` under one, `order` where a price is below that of the tier before."""
+    before = F.lag("price").over(Window.partitionBy(config).orderBy(order))  # a configuration is a handful of rows
+    found = F.array_compact(F.array(F.when(F.col("samples") < 1, "samples"), F.when(F.col("price") < F.col("_before"), "order")))
+    return tiers.withColumn("_before", before).select(config, order, F.explode(found).alias("violation"))

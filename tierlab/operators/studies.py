@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats as T
 from ..functions import text as X
 from . import policy as P
 from .ordering import value_at
@@ -99,6 +100,18 @@ def contradictions(suites: DataFrame, key: str, suite: str = "suite", pattern: s
     return found.where("n > 1")
 
 
+def joint_errors(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Of each pair of families (`by`; first_wrong, second_wrong a problem): the 2 x 2 counts, the joint errors that chance would
+    give, the odds ratio (null where only one errs nowhere alone), and Fisher's p that they err together, and of any dependence."""
+    x, y = F.col("first_wrong"), F.col("second_wrong")
+    names = ["both_wrong", "only_first", "only_second", "both_right"]
+    t = pairs.groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in zip(names, (x & y, x & ~y, ~x & y, ~x & ~y))])
+    a, b, c, e = map(F.col, names)
+    expected = F.round((a + b) * (a + c) / (a + b + c + e).cast("double"), 9)
+    odds = F.when(b * c > 0, F.round((a * e).cast("double") / (b * c), 9))
+    return t.select(*by, *names, expected.alias("expected"), odds.alias("odds"), F.round(T.fisher_one_sided(a, b, c, e), 9).alias("p_together"), F.round(T.fisher_two_sided(a, b, c, e), 9).alias("p_two_sided"))
+
+
 def rank_sum(df: DataFrame, group: str, value: str) -> DataFrame:
     """Mann-Whitney figures of a boolean group; values are ranked in buckets of their quantiles, so no task sorts all."""
     v = df.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(group)).alias("na"))

@@ -128,10 +128,14 @@ def tier0_accuracy(spark, sf):
     return B.records(spark, sf).agg(F.round(F.coalesce(F.avg(F.coalesce(t0, F.lit(False)).cast("int")), F.lit(0.0)), 9).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
-@query("select cast(a.i * 11 + b.i as bigint) as grid_idx, round(a.i * 0.1, 3)::double as tau0, round(b.i * 0.1, 3)::double as tau1 from range(11) a(i), range(11) b(i)")
+@query(f"""{S.OBS}, g as (select cast(a.i * 11 + b.i as bigint) as grid_idx, round(a.i * 0.1, 3)::double as tau0, round(b.i * 0.1, 3)::double as tau1 from range(11) a(i), range(11) b(i)),
+w as (select rec_idx, max(score) filter (k = 0) as s0, max(score) filter (k = 1) as s1 from obs group by rec_idx)
+select grid_idx, tau0, tau1, count(*) filter (s0 >= tau0) as first, count(*) filter (s0 < tau0 and s1 >= tau1) as second from g, w group by all""")
 def threshold_grid(spark, sf):
-    g = P.threshold_grid(spark, 2)
-    return g.select("grid_idx", F.get("tau", F.lit(0)).alias("tau0"), F.get("tau", F.lit(1)).alias("tau1"))
+    """The grid, with the records that the first and the second tier accept at each point."""
+    r = B.records(spark, sf).withColumn("cache_hit", F.lit(False)).withColumn("tiers", F.transform("tiers", lambda t, k: t.withField("correct", k != 0).withField("true_correct", k != 1)))
+    found = P.grid_risk(P.score_profiles(r, 2), 2)  # wrong at the first tier only, and by truth at the second only
+    return found.select("grid_idx", F.get("tau", F.lit(0)).alias("tau0"), F.get("tau", F.lit(1)).alias("tau1"), F.col("bad").alias("first"), F.col("bad_true").alias("second"))
 
 
 def _points(spark, sf, only_shadow=True):

@@ -13,25 +13,50 @@ from . import sql as S
 from .registry import query
 
 
-def _pairs(spark, most: int):
-    """All (k, n) with 0 <= k <= n, 1 <= n <= most."""
-    n = spark.range(1, most + 1).select(F.col("id").alias("n"))
+def _groups(spark, sf):
+    """k, g, n, bad: observations of each tier in sixty groups of problems."""
+    o = P.observations(B.records(spark, sf))
+    return o.groupBy("k", (F.col("rec_idx") % 60).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("truth")).alias("bad"))
+
+
+GROUPS = f"{S.OBS}, gr as (select k, rec_idx % 60 as g, count(*) as n, count(*) filter (not truth) as bad from obs group by 1, 2)"
+KEYS = "cast(k as integer) as k, cast(g as bigint) as g"
+
+
+def _crossed(spark, sf, groups: int):
+    """g and a, b, c, e: problems by whether the first and the second tier are right (both, first only, second only, none)."""
+    right = lambda k: F.coalesce(P.truth(F.get(F.col("tiers"), F.lit(k))), F.lit(False))
+    r = B.records(spark, sf).select((F.col("rec_idx") % groups).alias("g"), right(0).alias("x"), right(1).alias("y"))
+    cell = lambda c: F.count_if(c)
+    x, y = F.col("x"), F.col("y")
+    return r.groupBy("g").agg(cell(x & y).alias("a"), cell(x & ~y).alias("b"), cell(~x & y).alias("c"), cell(~x & ~y).alias("e"))
+
+
+def crossed(groups: int) -> str:
+    return f"""{S.OBS}, w as (select rec_idx, bool_or(truth) filter (k = 0) as x, bool_or(truth) filter (k = 1) as y from obs group by rec_idx),
+t as (select rec_idx % {groups} as g, count(*) filter (x and y) as a, count(*) filter (x and not y) as b, count(*) filter (not x and y) as c, count(*) filter (not x and not y) as e from w group by 1)"""
+
+
+def _sizes(spark, sf, least: int, most: int):
+    """n: how many orders customers have, each number once; and k from 0 to n."""
+    n = B.table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).select("n").where(F.col("n").between(least, most)).distinct()
     return n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("k"))
 
 
-PAIRS = "pairs as (select n, unnest(range(0, n + 1)) as k from range(1, {most} + 1) t(n))"
+SIZES = "sizes as (select distinct count(*) as n from orders group by o_custkey having count(*) between {least} and {most}), pairs as (select n, unnest(range(0, n + 1)) as k from sizes)"
 
 
-@query(f"with {PAIRS.format(most=30)} select k, n, round({S.wilson('k', 'n')}, 9) as lcb from pairs")
+@query(f"{GROUPS} select {KEYS}, round({S.wilson('(n - bad)', 'n')}, 9) as lcb from gr")
 def wilson_lcb(spark, sf):
-    return _pairs(spark, 30).select("k", "n", F.round(T.wilson_lcb(F.col("k"), F.col("n")), 9).alias("lcb"))
+    """The lower bound of each group's rate of right answers."""
+    return _groups(spark, sf).select("k", "g", F.round(T.wilson_lcb(F.col("n") - F.col("bad"), F.col("n")), 9).alias("lcb"))
 
 
-@query(f"with s as (select n, {S.wilson('n', 'n')} as top from range(1, 2001) t(n)), w as (select unnest([0.27, 0.42, 0.64, 0.78, 0.9, 0.95, 0.99, 1.0]::double[]) as want) select want, cast(coalesce((select min(n) from s where top >= want), 0) as bigint) as n from w")
+@query(f"{GROUPS}, s as (select n as m, {S.wilson('n', 'n')} as top from range(1, 5001) t(n)), w as (select k, g, round(cast(n - bad as double) / n, 4) as want from gr) select {KEYS}, want, cast(coalesce((select min(m) from s where top >= want), 0) as bigint) as n from w")
 def min_samples_for(spark, sf):
-    """The fewest unanimous samples whose score reaches a target; 0 if none does."""
-    want = spark.createDataFrame([(x,) for x in (0.27, 0.42, 0.64, 0.78, 0.9, 0.95, 0.99, 1.0)], "want double")
-    return want.select("want", T.min_samples_for(F.col("want")).alias("n"))
+    """The fewest unanimous samples whose score reaches a group's rate of right answers; 0 if none does."""
+    want = F.round((F.col("n") - F.col("bad")).cast("double") / F.col("n"), 4)
+    return _groups(spark, sf).select("k", "g", want.alias("want")).select("*", T.min_samples_for(F.col("want")).alias("n"))
 
 
 TAIL = "(select sum(exp(lgamma({n} + 1.0) - lgamma(i + 1.0) - lgamma({n} - i + 1.0) + i * ln({p}) + ({n} - i) * ln(1 - {p}))) from range(cast({lo} as bigint), cast({hi} as bigint) + 1) t(i))"
@@ -42,23 +67,25 @@ def cdf(k: str, n: str, p: str) -> str:
     return f"list_sum(list_transform(range(0, cast({k} as bigint) + 1), lambda i: exp(lgamma({n} + 1.0) - lgamma(i + 1.0) - lgamma({n} - i + 1.0) + i * ln({p}) + ({n} - i) * ln(1 - {p}))))"
 
 
-@query(f"with {PAIRS.format(most=40)}, ps as (select unnest([0.07, 0.23, 0.45, 0.88]::double[]) as p) select k, n, p, round(least(1.0, {cdf('k', 'n', 'p')}), 9) as cdf from pairs, ps")
+@query(f"{GROUPS}, ps as (select unnest([0.07, 0.23, 0.45, 0.88]::double[]) as p) select {KEYS}, p, round(least(1.0, {cdf('bad', 'n', 'p')}), 9) as cdf from gr, ps")
 def binom_cdf(spark, sf):
-    p = _pairs(spark, 40).withColumn("p", F.explode(F.array(*map(F.lit, (0.07, 0.23, 0.45, 0.88)))))
-    return p.select("k", "n", "p", F.round(F.least(F.lit(1.0), T.binom_cdf(F.col("k"), F.col("n"), F.col("p"))), 9).alias("cdf"))
+    """The chance of no more errors than a group has, at four rates."""
+    p = _groups(spark, sf).withColumn("p", F.explode(F.array(*map(F.lit, (0.07, 0.23, 0.45, 0.88)))))
+    return p.select("k", "g", "p", F.round(F.least(F.lit(1.0), T.binom_cdf(F.col("bad"), F.col("n"), F.col("p"))), 9).alias("cdf"))
 
 
-@query(f"""with ns as (select unnest([25, 53, 64, 409]) as n), g as (select n, unnest(range(0, n // 5)) as bad, 0.1::double as alpha from ns), r as (select *, cast(bad as double) / n as risk from g)
-select cast(n as bigint) as n, bad, round(case when risk >= alpha then 1.0 else least(1.0, exp(-n * (case when bad = 0 then 0.0 else risk * ln(risk / alpha) end + (1 - risk) * ln((1 - risk) / (1 - alpha)))), 2.718281828459045 * {cdf('ceil(n * risk)', 'n', 'alpha')}) end, 9) as p from r""")
+@query(f"""{GROUPS}, r as (select k, g, n, bad, 0.25::double as alpha, cast(bad as double) / n as risk from gr)
+select {KEYS}, round(case when risk >= alpha then 1.0 else least(1.0, exp(-n * (case when bad = 0 then 0.0 else risk * ln(risk / alpha) end + (1 - risk) * ln((1 - risk) / (1 - alpha)))), 2.718281828459045 * {cdf('ceil(n * risk)', 'n', 'alpha')}) end, 9) as p from r""")
 def hoeffding_bentkus(spark, sf):
-    g = spark.createDataFrame([(n, bad) for n in (25, 53, 64, 409) for bad in range(n // 5)], "n long, bad long")
-    return g.select("n", "bad", F.round(T.hoeffding_bentkus(F.col("bad") / F.col("n"), F.col("n"), F.lit(0.1)), 9).alias("p"))
+    """Each group's p-value of an error rate over a quarter."""
+    return _groups(spark, sf).select("k", "g", F.round(T.hoeffding_bentkus(F.col("bad") / F.col("n"), F.col("n"), F.lit(0.25)), 9).alias("p"))
 
 
-@query("with a as (select unnest([0.01, 0.05, 0.1, 0.15, 0.2, 0.3]::double[]) as alpha), d as (select unnest([0.05, 0.1]::double[]) as delta) select alpha, delta, cast(ceil(ln(delta) / ln(1 - alpha)) as bigint) as n from a, d")
+@query(f"{GROUPS}, d as (select unnest([0.05, 0.1]::double[]) as delta) select {KEYS}, delta, cast(ceil(ln(delta) / ln(1 - cast(bad as double) / n)) as bigint) as size from gr, d where bad > 0 and bad < n")
 def min_calibration_size(spark, sf):
-    g = spark.createDataFrame([(a, b) for a in (0.01, 0.05, 0.1, 0.15, 0.2, 0.3) for b in (0.05, 0.1)], "alpha double, delta double")
-    return g.select("alpha", "delta", T.min_calibration_size(F.col("alpha"), F.col("delta")).alias("n"))
+    """How many error-free records certify each group's own error rate."""
+    g = _groups(spark, sf).where("bad > 0 and bad < n").withColumn("delta", F.explode(F.array(F.lit(0.05), F.lit(0.1))))
+    return g.select("k", "g", "delta", T.min_calibration_size(F.col("bad").cast("double") / F.col("n"), F.col("delta")).alias("size"))
 
 
 @query(f"""with recursive {S.OBS[5:]}, g as (select round(score, 4) as score, count(*) filter (not truth) as k, count(*) as n from obs where k = 0 group by 1),
@@ -73,27 +100,28 @@ def clopper_pearson(spark, sf):
     return g.select("score", "k", "n", F.round(T.clopper_pearson_upper(F.col("k"), F.col("n"), F.lit(0.05)), 9).alias("upper"))
 
 
-@query(f"with g as (select b, c from range(0, 26) x(b), range(0, 26) y(c)) select b, c, round(case when b + c = 0 then 1.0 else least(1.0, 2 * {cdf('least(b, c)', '(b + c)', '0.5')}) end * (1 + 1e-11), 9) as p from g")
+@query(f"{crossed(60)} select g, b, c, round(case when b + c = 0 then 1.0 else least(1.0, 2 * {cdf('least(b, c)', '(b + c)', '0.5')}) end * (1 + 1e-11), 9) as p from t")
 def mcnemar_exact(spark, sf):
-    g = spark.range(26).select(F.col("id").alias("b")).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(25).cast("long"))).alias("c"))
-    return g.select("b", "c", F.round(T.mcnemar_exact(F.col("b"), F.col("c")) * (1 + 1e-11), 9).alias("p"))  # powers of two are ties of the rounding: both engines lean up
+    """Do the first two tiers err alike: the exact test on the problems that one of them gets right."""
+    p = T.mcnemar_exact(F.col("b"), F.col("c")) * (1 + 1e-11)  # powers of two are ties of the rounding: both engines lean up
+    return _crossed(spark, sf, 60).select("g", "b", "c", F.round(p, 9).alias("p"))
 
 
-TABLES = [(a, b, c, e) for a in (0, 2, 5, 9) for b in (1, 4, 8) for c in (0, 3, 7) for e in (2, 6, 11)]
 _HYPER = "exp(lgamma(a+b+1.0) - lgamma(x+1.0) - lgamma(a+b-x+1.0) + lgamma(c+e+1.0) - lgamma(a+c-x+1.0) - lgamma(e-a+x+1.0) - lgamma(a+b+c+e+1.0) + lgamma(a+c+1.0) + lgamma(b+e+1.0))"
-_T = "with t(a,b,c,e) as (values " + ",".join(map(str, TABLES)) + f"), x as (select a,b,c,e, unnest(range(greatest(0, a-e), least(a+b, a+c) + 1)) as x from t), h as (select a,b,c,e,x, {_HYPER} as p from x)"
+_T = crossed(400) + f", x as (select g,a,b,c,e, unnest(range(greatest(0, a-e), least(a+b, a+c) + 1)) as x from t), h as (select g,a,b,c,e,x, {_HYPER} as p from x)"
 
 
-@query(f"{_T} select cast(a as bigint) a, cast(b as bigint) b, cast(c as bigint) c, cast(e as bigint) e, round(least(1.0, sum(p) filter (x >= a)), 9) as p from h group by a,b,c,e")
+@query(f"{_T} select g, a, b, c, e, round(least(1.0, sum(p) filter (x >= a)), 9) as p from h group by all")
 def fisher_one_sided(spark, sf):
-    t = spark.createDataFrame(TABLES, "a long, b long, c long, e long")
-    return t.withColumn("p", F.round(T.fisher_one_sided(*map(F.col, "abce")), 9))
+    """Are the first two tiers right together more often than by chance, in each of 400 groups."""
+    return _crossed(spark, sf, 400).withColumn("p", F.round(T.fisher_one_sided(*map(F.col, "abce")), 9))
 
 
-@query(f"{_T}, s as (select a,b,c,e,p as seen from h where x = a) select cast(a as bigint) a, cast(b as bigint) b, cast(c as bigint) c, cast(e as bigint) e, round(least(1.0, sum(p) filter (p <= seen * (1 + 1e-7))), 9) as p from h join s using (a,b,c,e) group by a,b,c,e")
+@query(f"{_T}, s as (select g,p as seen from h where x = a) select g, a, b, c, e, round(least(1.0, sum(p) filter (p <= seen * (1 + 1e-7))), 9) as p, case when b * c > 0 then round(cast(a * e as double) / (b * c), 9) end as odds from h join s using (g) group by g, a, b, c, e")
 def fisher_two_sided(spark, sf):
-    t = spark.createDataFrame(TABLES, "a long, b long, c long, e long")
-    return t.withColumn("p", F.round(T.fisher_two_sided(*map(F.col, "abce")), 9))
+    """The same without a direction, with the odds ratio (null where a cell off the diagonal is empty)."""
+    odds = F.when(F.col("b") * F.col("c") > 0, F.round((F.col("a") * F.col("e")).cast("double") / (F.col("b") * F.col("c")), 9))
+    return _crossed(spark, sf, 400).select("*", F.round(T.fisher_two_sided(*map(F.col, "abce")), 9).alias("p"), odds.alias("odds"))
 
 
 @query("""with s as (select customer.c_mktsegment as seg, o_totalprice as x from orders join customer on o_custkey = c_custkey where c_mktsegment in ('BUILDING','MACHINERY')),
@@ -108,15 +136,14 @@ def mann_whitney(spark, sf):
     return D.rank_sum(s, "a", "x")
 
 
-@query("""with n as (select unnest(range(3, 31)) as n), k as (select n, unnest(range(0, n + 1)) as k from n),
-p as (select n, k, exp(lgamma(n+1.0)-lgamma(k+1.0)-lgamma(n-k+1.0) + k*ln(0.2::double) + (n-k)*ln(0.8::double)) as p0, exp(lgamma(n+1.0)-lgamma(k+1.0)-lgamma(n-k+1.0) + k*ln(0.6::double) + (n-k)*ln(0.4::double)) as p1 from k),
+@query("with " + SIZES.format(least=3, most=60) + """,
+p as (select n, k, exp(lgamma(n+1.0)-lgamma(k+1.0)-lgamma(n-k+1.0) + k*ln(0.2::double) + (n-k)*ln(0.8::double)) as p0, exp(lgamma(n+1.0)-lgamma(k+1.0)-lgamma(n-k+1.0) + k*ln(0.6::double) + (n-k)*ln(0.4::double)) as p1 from pairs),
 t as (select n, k, sum(p0) over (partition by n order by k desc) as tail0, sum(p1) over (partition by n order by k desc) as tail1 from p)
 select n, cast(min(k) as bigint) as critical, round(max(tail1) filter (k = (select min(k) from t u where u.n = t.n and u.tail0 < 0.05)), 9) as power from t where tail0 < 0.05 group by n""")
 def critical_value(spark, sf):
-    """The least count whose upper tail at rate 0.2 is under 0.05, and the power at rate 0.6."""
-    n = spark.range(3, 31).select(F.col("id").alias("n")).select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("k"))
+    """For each number of orders a customer has: the least count whose upper tail at rate 0.2 is under 0.05, and the power at rate 0.6."""
     tail = lambda p: 1 - T.binom_cdf(F.col("k") - 1, F.col("n"), F.lit(p))
-    t = n.withColumn("t0", tail(0.2)).where("t0 < 0.05").groupBy("n").agg(F.min("k").alias("k"))
+    t = _sizes(spark, sf, 3, 60).withColumn("t0", tail(0.2)).where("t0 < 0.05").groupBy("n").agg(F.min("k").alias("k"))
     return t.select("n", F.col("k").alias("critical"), F.round(tail(0.6), 9).alias("power"))
 
 
@@ -149,12 +176,11 @@ def zero_prob(spark, sf):
 _UP = "list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n+1.0)-lgamma(i+1.0)-lgamma(n-i+1.0) + i*ln({p}) + (n-i)*ln(1-{p}))))"
 
 
-@query(f"with g as (select n, unnest(range(0, n + 1)) as k from range(1, 21) t(n)), d as (select n, k, round({_UP.format(p='0.9')} - {_UP.format(p='0.5')}, 9) as gap from g), r as (select *, row_number() over (partition by n order by gap desc, k) as rn from d) select n, k, gap from r where rn = 1")
+@query(f"with {SIZES.format(least=1, most=60)}, d as (select n, k, round({_UP.format(p='0.9')} - {_UP.format(p='0.5')}, 9) as gap from pairs), r as (select *, row_number() over (partition by n order by gap desc, k) as rn from d) select n, k, gap from r where rn = 1")
 def headroom(spark, sf):
-    """For each sample size the count that best tells a rate of 0.9 from one of 0.5 (first of the best)."""
-    g = _pairs(spark, 20)
+    """For each number of orders a customer has: the count that best tells a rate of 0.9 from one of 0.5 (first of the best)."""
     up = lambda p: 1 - T.binom_cdf(F.col("k") - 1, F.col("n"), F.lit(p))
-    d = g.withColumn("gap", F.round(up(0.9) - up(0.5), 9))
+    d = _sizes(spark, sf, 1, 60).withColumn("gap", F.round(up(0.9) - up(0.5), 9))
     return d.groupBy("n").agg(F.max_by(F.struct("k", "gap"), F.struct(F.col("gap"), -F.col("k"))).alias("b")).select("n", "b.k", "b.gap")
 
 
@@ -175,26 +201,30 @@ def token_estimate(spark, sf):
     return B.table(spark, sf, "conversations").select("conv_id", "turn", F.expr("octet_length(text) div 4").alias("tokens"))
 
 
-@query(f"with {S.TIERS}, c as (select k, tier, samples * out_price as cost, lead(samples * out_price) over (order by k) as next from tiers), d as (select unnest([0, 1, 2]) as depth) select cast(k as integer) as k, cast(depth as integer) as depth, case when depth = 0 then false when next is null then true else 0.45 / (out_rep) > 0.35 / next end as repair from (select c.*, d.depth, cost / 2.0 as out_rep from c, d)")
+@query(f"{S.OBS}, c as (select rec_idx, k, cost + rec_idx % 4 * 10 as cost, lead(cost + rec_idx % 4 * 10 * (k + 1)) over (partition by rec_idx order by k) as next, rec_idx % 3 as depth from obs) select rec_idx, cast(k as integer) as k, case when depth = 0 then false when next is null then true else 0.45::double / (cost / 2.0) > 0.35::double / next end as repair from c")
 def prefer_repair(spark, sf):
     """Whether another repair beats escalating: chance per cost, repair at half the tier's cost; depth 0 never, last tier always."""
-    t = B.tiers(spark).withColumn("cost", F.col("samples") * F.col("out_price"))
-    t = t.withColumn("next", F.lead("cost").over(Window.orderBy("k"))).withColumn("depth", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))  # the tier dimension
-    return t.select("k", "depth", F.when(F.col("depth") == 0, False).when(F.col("next").isNull(), True).otherwise(0.45 / (F.col("cost") / 2.0) > 0.35 / F.col("next")).alias("repair"))
+    extra = F.col("rec_idx") % 4 * 10
+    o = P.observations(B.records(spark, sf)).select("rec_idx", "k", (F.col("cost") + extra).alias("cost"), (F.col("cost") + extra * (F.col("k") + 1)).alias("own"))
+    o = o.withColumn("next", F.lead("own").over(Window.partitionBy("rec_idx").orderBy("k")))
+    worth = 0.45 / (F.col("cost") / 2.0) > 0.35 / F.col("next")
+    return o.select("rec_idx", "k", F.when(F.col("rec_idx") % 3 == 0, False).when(F.col("next").isNull(), True).otherwise(worth).alias("repair"))
 
 
-@query(f"with {S.TIERS} select cast(k as integer) as k, case k when 0 then 0.7::double when 1 then 0.5::double else 0.5::double end as tau from tiers")
+@query(f"{S.OBS} select rec_idx, cast(k as integer) as k, case when k < rec_idx % 4 then 0.7::double - k * 0.1::double when k = 0 then 0.6::double else 0.5::double end as tau from obs")
 def effective_tau(spark, sf):
-    """A given vector, else the prior 0.6 at the first tier and 0.5 after it."""
-    given = F.array(F.lit(0.7))
+    """A given vector, which may be shorter than the tiers, else the prior 0.6 at the first tier and 0.5 after it."""
+    given = F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), F.lit(1), (F.col("rec_idx") % 4).cast("int")), lambda k: F.lit(0.7) - k * F.lit(0.1))
     prior = F.when(F.col("k") == 0, 0.6).otherwise(0.5)
-    return B.tiers(spark).select("k", F.coalesce(F.get(given, F.col("k")), prior).alias("tau"))
+    return P.observations(B.records(spark, sf)).select("rec_idx", "k", F.coalesce(F.get(given, F.col("k")), prior).alias("tau"))
 
 
-@query(f"with {S.TIERS}, w as (select {S.wilson('samples', 'samples')} as top from tiers) select round(max(top), 9) as attainable, round(min(top), 9) as admit, floor(min(top) * 1000) / 1000 as suggested from w")
+@query(f"with t as (select o_custkey, o_orderstatus, count(*) as samples from orders group by 1, 2), w as (select o_custkey, {S.wilson('samples', 'samples')} as top from t) select o_custkey, round(max(top), 9) as attainable, round(min(top), 9) as admit, floor(round(min(top), 9) * 1000) / 1000 as suggested from w group by o_custkey")
 def admit_score(spark, sf):
-    t = B.tiers(spark).select(T.wilson_lcb(F.col("samples"), F.col("samples")).alias("top"))
-    return t.agg(F.round(F.max("top"), 9).alias("attainable"), F.round(F.min("top"), 9).alias("admit"), (F.floor(F.min("top") * 1000) / F.lit(1000.0)).alias("suggested"))
+    """Of the sample counts that a configuration has (a customer's orders by status): the highest attainable score and the admission gate all can reach."""
+    t = B.table(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("samples"))
+    w = t.select("o_custkey", T.wilson_lcb(F.col("samples"), F.col("samples")).alias("top")).groupBy("o_custkey")
+    return w.agg(F.round(F.max("top"), 9).alias("attainable"), F.round(F.min("top"), 9).alias("admit"), (F.floor(F.round(F.min("top"), 9) * 1000) / F.lit(1000.0)).alias("suggested"))
 
 
 @query("select o_orderkey as id from orders where cast('0x' || substr(sha256(cast(o_orderkey as varchar)), 1, 6) as bigint) % 1000 < 50")
@@ -215,22 +245,23 @@ def nominal_flag(spark, sf):
     return P.calibrate(B.records(spark, sf), 0.2, 0.1).select("valid", "realized_risk", "alpha", "nominal_only")
 
 
-@query("select i as stage, ['V0:parse','V1:imports','V2:typecheck','V3:build','V4:vet','V5:visible','V6:race','V7:held-out','VA:accept'][i + 1] as name from range(9) t(i)")
+@query("select user_id, ['V0:parse','V1:imports','V2:typecheck','V3:build','V4:vet','V5:visible','V6:race','V7:held-out','VA:accept'][event_id % 9 + 1] as stage, count(*) as n from events where event_type = 'error' group by 1, 2")
 def stage_names(spark, sf):
+    """Refuted candidates of each problem by the name of the stage they failed at."""
     names = F.array(*map(F.lit, ("V0:parse", "V1:imports", "V2:typecheck", "V3:build", "V4:vet", "V5:visible", "V6:race", "V7:held-out", "VA:accept")))
-    return spark.range(9).select(F.col("id").alias("stage"), F.get(names, F.col("id").cast("int")).alias("name"))
+    e = B.table(spark, sf, "events").where("event_type = 'error'")
+    return e.groupBy("user_id", F.get(names, (F.col("event_id") % 9).cast("int")).alias("stage")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with f as (select o_orderstatus as fam, o_orderpriority as pri, count(*) filter (o_orderkey % 3 = 0 and o_orderkey % 2 = 0) a, count(*) filter (o_orderkey % 3 = 0 and o_orderkey % 2 = 1) b,
-count(*) filter (o_orderkey % 3 <> 0 and o_orderkey % 2 = 0) c, count(*) filter (o_orderkey % 3 <> 0 and o_orderkey % 2 = 1) d from orders group by 1, 2)
-select fam, pri, cast(a as bigint) both_wrong, cast(b as bigint) only_first, cast(c as bigint) only_second, cast(d as bigint) both_right, round((a + b) * (a + c) / cast(a + b + c + d as double), 9) as expected from f""")
+@query("""with t as (select o_custkey % 40 as fam, o_orderpriority as pri, count(*) filter (o_orderkey % 3 = 0 and o_orderkey % 2 = 0) a, count(*) filter (o_orderkey % 3 = 0 and o_orderkey % 2 = 1) b,
+count(*) filter (o_orderkey % 3 <> 0 and o_orderkey % 2 = 0) c, count(*) filter (o_orderkey % 3 <> 0 and o_orderkey % 2 = 1) e from orders group by 1, 2),
+x as (select fam,pri,a,b,c,e, unnest(range(greatest(0, a-e), least(a+b, a+c) + 1)) as x from t), h as (select *, """ + _HYPER + """ as p from x), s as (select fam, pri, p as seen from h where x = a)
+select fam, pri, a as both_wrong, b as only_first, c as only_second, e as both_right, round((a + b) * (a + c) / cast(a + b + c + e as double), 9) as expected,
+case when b * c > 0 then round(cast(a * e as double) / (b * c), 9) end as odds, round(least(1.0, sum(p) filter (x >= a)), 9) as p_together, round(least(1.0, sum(p) filter (p <= seen * (1 + 1e-7))), 9) as p_two_sided from h join s using (fam, pri) group by all""")
 def cross_family_check(spark, sf):
+    """Do two families err together: the counts, the joint errors that chance would give, the odds ratio and Fisher's p-values of each pair."""
     o, x, y = B.table(spark, sf, "orders"), F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 2 == 0
-    f = o.groupBy(F.col("o_orderstatus").alias("fam"), F.col("o_orderpriority").alias("pri")).agg(
-        F.count_if(x & y).alias("both_wrong"), F.count_if(x & ~y).alias("only_first"), F.count_if(~x & y).alias("only_second"), F.count_if(~x & ~y).alias("both_right")
-    )
-    a, b, c, e = (F.col(n) for n in ("both_wrong", "only_first", "only_second", "both_right"))
-    return f.withColumn("expected", F.round((a + b) * (a + c) / (a + b + c + e).cast("double"), 9))
+    return D.joint_errors(o.select((F.col("o_custkey") % 40).alias("fam"), F.col("o_orderpriority").alias("pri"), x.alias("first_wrong"), y.alias("second_wrong")), ["fam", "pri"])
 
 
 @query(f"""{S.OBS}, i as (select rec_idx, cast(rec_idx % 10 as bigint) as family, correct from obs where k=0) select a.family as fam_a, b.family as fam_b, cast(count(*) as bigint) as n, cast(count(*) filter (a.correct = b.correct) as bigint) as agree

@@ -93,13 +93,11 @@ def contamination(spark, sf):
     return B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), ((c % 5 == oracle) | (c % 3 == oracle) | (c % 7 == oracle)).alias("contaminated"))
 
 
-@query("with t(k, tier, samples, price) as (values (0,'small',5,1),(1,'mid',0,3),(2,'large',1,2)), l as (select *, lag(price) over (order by k) as before from t) select tier, 'samples' as violation from l where samples < 1 union all select tier, 'order' from l where price < before")
+@query("with l as (select s_nationkey, s_suppkey, s_suppkey % 6 as samples, s_acctbal as price, lag(s_acctbal) over (partition by s_nationkey order by s_suppkey) as before from supplier) select s_nationkey, s_suppkey, 'samples' as violation from l where samples < 1 union all select s_nationkey, s_suppkey, 'order' from l where price < before")
 def validate_tiers(spark, sf):
-    """Violations of a configuration: too few samples, prices that fall (the tier dimension is a handful of rows)."""
-    t = spark.createDataFrame([(0, "small", 5, 1), (1, "mid", 0, 3), (2, "large", 1, 2)], "k int, tier string, samples int, price int")
-    before = F.lag("price").over(Window.orderBy("k"))
-    found = F.array_compact(F.array(F.when(F.col("samples") < 1, "samples"), F.when(F.col("price") < before, "order")))
-    return t.select("tier", found.alias("f")).select("tier", F.explode("f").alias("violation"))
+    """Violations of configurations (a nation's suppliers as its tiers, in order): too few samples, prices that fall."""
+    t = B.table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_suppkey") % 6).alias("samples"), F.col("s_acctbal").alias("price"))
+    return R.tier_violations(t, "s_nationkey", "s_suppkey")
 
 
 @query("select o_orderkey as id, l_linenumber as step, cast(l_quantity as bigint) as cost, l_returnflag = 'A' and o_orderstatus = 'F' as correct from orders join lineitem on l_orderkey = o_orderkey where l_linestatus = 'O'")
