@@ -152,14 +152,87 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect())
 
 
+def test_failures_fall_out_of_a_memory_and_runs_go_on(spark, tmp_path):
+    """A memory of three over two runs: the second run starts from the first one's state, and brings no batch twice."""
+    runs = [[(1, s, h) for s, h in enumerate("abcdab")] + [(2, 0, "a")], [(1, s, h) for s, h in enumerate("cbeaz", 6)] + [(2, 6, "a"), (3, 9, "a")]]
+    held, want = {}, set()
+    for i, rows in enumerate(runs):
+        spark.createDataFrame(rows, "problem long, seq long, hash string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("problem long, seq long, hash string").parquet(str(tmp_path / "in"))
+        got = V.to_table(V.failure_memory(stream, most=3), "failures", at=f"file://{tmp_path}/out")
+        for p, s, h in rows:
+            memory = held.setdefault(p, [])
+            if h not in memory:
+                want.add((p, s, h))
+                held[p] = [*memory, h][-3:]
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want), i
+    assert (1, 4, "a") in want  # it fell out and came again
+    again = V.to_table(V.failure_memory(spark.readStream.schema("problem long, seq long, hash string").parquet(str(tmp_path / "in")), most=3), "failures", at=f"file://{tmp_path}/out")
+    assert again.count() == len(want)
+
+
 def test_warm_cache_in_two_batches(spark, tmp_path):
-    items = [(1, "sort a list of numbers"), (2, "sort a list of number"), (3, "entirely other"), (4, "sort a list of numbers"), (5, "ab")]
-    step = V.warm_cache(spark, f"file://{tmp_path}")
-    frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
-    for batch, rows in ((0, items[:2]), (1, items[2:]), (1, items[2:])):
-        step(frame(rows), batch)
-    best = {r["id"]: r["best"] for r in spark.read.parquet(f"file://{tmp_path}/best").collect()}
-    assert best[1] == 0 and best[2] > 0.9 and best[4] == 1.0 and best[5] == 0 and best[3] < 0.2 and len(best) == 5
+    items = [(1, "sort a list of numbers"), (2, "sort a list of number"), (3, "entirely other"), (4, "sort a list of numbers"), (5, "ab"), (2, "sort a list of number"), (6, None)]
+    at, inside = f"file://{tmp_path}/out", str(tmp_path / "in")
+    for part in (items[:2], items[2:]):
+        spark.createDataFrame(part, "id long, text string").coalesce(1).write.mode("append").parquet(inside)
+        V.warm_cache(spark.readStream.schema("id long, text string").parquet(inside), at).awaitTermination()
+    rows = spark.read.parquet(f"{at}/best").collect()
+    best = {(r["batch"], r["id"]): r["best"] for r in rows}
+    assert best[0, 1] == 0 and best[0, 2] > 0.9 and best[1, 4] == 1.0 and best[1, 5] == 0 and best[1, 3] < 0.2 and best[1, 6] == 0 and len(rows) == 7
+    assert best[1, 2] > 0.9  # it meets the others, and is in the index once
+    state = spark.read.format("statestore").option("stateVarName", "items").load(f"{at}/checkpoint")
+    entries = [(r["key"]["g"], r["list_element"]["id"]) for r in state.collect()]
+    assert len(entries) == len(set(entries)) and {i for _, i in entries} == {1, 2, 3, 4}
+
+
+def test_keyed_store(spark, tmp_path):
+    """Two layers, last write wins over commits, tombstones, merged buckets, a lost race and a crash before the switch."""
+    from tierlab.sources.keyed import Conflict, KeyedStore, resume
+
+    make = lambda: KeyedStore(spark, f"file://{tmp_path}/store", ["layer", "k"], "layer string, k long, v string", buckets=4, most_deltas=2)
+    frame = lambda rows: spark.createDataFrame(rows, "layer string, k long, v string, at long")
+    store = make()
+    assert store.rows().count() == 0 and store.get(layer="a", k=1) == []
+    want = {}
+    commits = [[("a", 1, "x", 1), ("a", 1, "y", 2), ("b", 1, "z", 1), (None, None, "n", 1)], [("a", 1, "w", 0), ("a", 2, "q", 1)], [(None, None, "m", 1), ("b", 7, "u", 1)], [("a", i, f"v{i}", 1) for i in range(20)], [("b", 1, None, 1)]]
+    for n, rows in enumerate(commits):
+        assert store.upsert(frame(rows), ["at"]) == n + 1
+        for layer, k, v, _ in sorted(rows, key=lambda r: r[3]):
+            want[layer, k] = v
+        assert {(r["layer"], r["k"]): r["v"] for r in store.rows().collect()} == want
+    store.remove(frame([("a", 3, "", 1), ("zz", 9, "", 1)]))
+    del want["a", 3]
+    assert {(r["layer"], r["k"]): r["v"] for r in make().rows().collect()} == want
+    assert store.get(layer="a", k=5)[0]["v"] == "v5" and store.get(layer="a", k=3) == [] and store.get(layer=None, k=None)[0]["v"] == "m"
+    plan = store._merged(store._manifest(), [1])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan or "_bucket" in plan.split("PartitionFilters")[1][:200]
+    other, lost = make(), make()
+    lost._switch, switch = (lambda m: (_ for _ in ()).throw(OSError("lost before the switch"))), other._switch
+    with pytest.raises(OSError):
+        lost.upsert(frame([("a", 99, "no", 1)]))
+    other._switch = lambda m: (store.upsert(frame([("a", 50, "first", 1)])), switch(m))
+    with pytest.raises(Conflict):
+        other.upsert(frame([("a", 51, "second", 1)]))
+    want["a", 50] = "first"
+    assert {(r["layer"], r["k"]): r["v"] for r in make().rows().collect()} == want
+    store.clean()
+    assert {(r["layer"], r["k"]): r["v"] for r in make().rows().collect()} == want
+    solved = KeyedStore(spark, f"file://{tmp_path}/solved", ["id"], "id long, v long", buckets=2)
+    seen = []
+
+    def solve(rows, stop=None):
+        if stop is not None and len(seen) == stop:
+            raise InterruptedError
+        seen.append(rows.count())
+        return rows.select("id", (F.col("id") * 2).alias("v"))
+
+    with pytest.raises(InterruptedError):
+        resume(spark.range(100), solved, lambda rows: solve(rows, 2), parts=4)
+    assert solved.rows().count() == sum(seen) < 100
+    assert resume(spark.range(100), solved, solve, parts=4) == 2 and sum(seen) == 100
+    assert {(r["id"], r["v"]) for r in solved.rows().collect()} == {(i, 2 * i) for i in range(100)}
+    assert resume(spark.range(100), solved, solve, parts=4) == 0
 
 
 def test_observation_files_and_certificates(spark, tmp_path):

@@ -34,6 +34,21 @@ def stream_failures(spark, sf):
     return V.to_table(V.failure_memory(rows), "stream-failures")
 
 
+@query("""with recursive e as (
+    select user_id % 12 as problem, event_id as seq, 'h' || (event_id * 7919 % 97) as hash, row_number() over (partition by user_id % 12 order by event_id) as n from events
+), st(problem, n, seq, hash, fresh, memory) as (
+    select problem, n, seq, hash, true, [hash] from e where n = 1
+    union all
+    select e.problem, e.n, e.seq, e.hash, not list_contains(memory, e.hash), case when list_contains(memory, e.hash) then memory else list_append(memory, e.hash)[-64:] end
+    from st join e on e.problem = st.problem and e.n = st.n + 1
+)
+select problem, seq, hash from st where fresh""")
+def stream_failures_bounded(spark, sf):
+    """More distinct failures than a memory holds: the oldest fall out, and are news when they come again."""
+    rows = B.stream(spark, sf, "events").select((F.col("user_id") % 12).alias("problem"), F.col("event_id").alias("seq"), F.concat(F.lit("h"), (F.col("event_id") * 7919 % 97).cast("string")).alias("hash"))
+    return V.to_table(V.failure_memory(rows), "stream-failures-bounded")
+
+
 def _grams() -> str:
     from .text_queries import _BB
 
@@ -45,5 +60,5 @@ def stream_warm_cache(spark, sf):
     """Each item's best similarity to those before it, as the cache fills."""
     at = f"{shared_dir(spark)}/warm-cache-{uuid.uuid4().hex}"
     items = B.stream(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    items.writeStream.foreachBatch(V.warm_cache(spark, at)).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    V.warm_cache(items, at).awaitTermination()
     return spark.read.parquet(f"{at}/best").select(F.col("id").alias("item_id"), F.round("best", 9).alias("best"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from ..operators import sweep as W
 from ..operators.ordering import seeded_permutation
 from ..sources import bindings as B
 from ..sources import files as L
+from ..sources.keyed import KeyedStore, resume
+from ..staging import shared_dir
 from . import sql as S
 from .registry import query
 
@@ -64,6 +69,38 @@ def semi_refs(spark, sf):
     return B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).join(refs, "id", "left_semi")
 
 
+@query("""with w as (select case event_type when 'error' then 'failures' when 'view' then 'specs' else 'solutions' end as layer, user_id as key, event_id, value, case when event_id % 5 = 0 then 2 else 1 end as commit from events),
+l as (select layer, key, arg_max(event_id, commit * 1000000000000 + event_id) as event_id, arg_max(value, commit * 1000000000000 + event_id) as value from w group by 1, 2)
+select * from l where not (layer = 'failures' and key % 7 = 0)""")
+def cache_layers(spark, sf):
+    """Three layers in one keyed store: two commits of which the later wins whatever its rows' order, then a removal, read back."""
+    layer = F.when(F.col("event_type") == "error", "failures").when(F.col("event_type") == "view", "specs").otherwise("solutions")
+    w = B.table(spark, sf, "events").select(layer.alias("layer"), F.col("user_id").alias("key"), "event_id", "value")
+    store = KeyedStore(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}", ["layer", "key"], "layer string, key long, event_id long, value double", buckets=16, most_deltas=2)
+    store.upsert(w.where("event_id % 5 <> 0"), ["event_id"])
+    store.upsert(w.where("event_id % 5 = 0"), ["event_id"])
+    store.remove(w.where("layer = 'failures' and key % 7 = 0"))
+    return store.rows()
+
+
+@query("select o_orderkey as id, o_custkey * 2 as answer from orders")
+def resume_store(spark, sf):
+    """Work that stops in the middle and is resumed from what was committed."""
+    work = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    store = KeyedStore(spark, f"{shared_dir(spark)}/solved-{uuid.uuid4().hex}", ["id"], "id long, answer long", buckets=8)
+    left = iter((True, True))
+
+    def solve(rows):
+        if not next(left, False):
+            raise InterruptedError
+        return rows.select("id", (F.col("o_custkey") * 2).alias("answer"))
+
+    with contextlib.suppress(InterruptedError):
+        resume(work, store, solve, parts=4)
+    resume(work, store, lambda rows: rows.select("id", (F.col("o_custkey") * 2).alias("answer")), parts=4)
+    return store.rows()
+
+
 @query("select user_id, event_type, max(event_id) as event_id, arg_max(value, event_id) as value from events group by user_id, event_type")
 def cache_upsert_latest(spark, sf):
     return B.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))

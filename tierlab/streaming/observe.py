@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import trigrams
 from ..operators import policy as P
@@ -34,47 +35,109 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "5
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
-def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    hashes, seqs = (list(x) for x in state.get) if state.exists else ([], [])
-    fresh = []
-    rows = sorted(((int(s), h) for b in batches for s, h in zip(b["seq"], b["hash"])))
-    known = set(hashes)
-    for seq, h in rows:
-        if h not in known:
-            known.add(h)
-            hashes.append(h)
-            seqs.append(seq)
-            fresh.append((key[0], seq, h))
-    state.update((hashes[-MOST_FAILURES:], seqs[-MOST_FAILURES:]))
-    if fresh:
-        yield pd.DataFrame(fresh, columns=["problem", "seq", "hash"])
+class FailureMemory(StatefulProcessor):
+    """Each key's latest distinct failures, a list in the state store. A failure that the list holds is no news; one that fell out of it is news again."""
 
+    def __init__(self, most: int, forget_ms: int | None):
+        self.most, self.forget_ms = most, forget_ms
 
-def failure_memory(failures: DataFrame) -> DataFrame:
-    """problem, seq, hash: each failure a problem hasn't in its memory, which holds its 64 latest distinct ones."""
-    return failures.select("problem", "seq", "hash").groupBy("problem").applyInPandasWithState(
-        _remember, "problem long, seq long, hash string", "hashes array<string>, seqs array<long>", "append", GroupStateTimeout.NoTimeout
-    )
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.memory = handle.getListState("memory", "hash string, seq long", self.forget_ms)
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["seq", "hash"])  # one key's rows of one batch
+        held = deque(self.memory.get())
+        known, fresh = {h for h, _ in held}, []
+        for seq, h in zip(batch["seq"].tolist(), batch["hash"].tolist()):
+            if h not in known:
+                known.add(h)
+                held.append((h, seq))
+                fresh.append((key[0], seq, h))
+                if len(held) > self.most:
+                    known.discard(held.popleft()[0])
+        if fresh:
+            self.memory.put(list(held))
+            yield pd.DataFrame(fresh, columns=["problem", "seq", "hash"])
 
-def warm_cache(spark, at: str):
-    """A foreachBatch function over items (id, text): each item's best similarity to all items before it, as a cache warmed in order would offer.
+    def close(self) -> None:
+        pass
 
-    Stored under `at`: grams (the inverted index) and best (id, best), both in one folder a batch, overwritten when a
-    batch comes again. An item meets those of earlier batches and those of its own with a smaller id, on shared trigrams.
+
+def failure_memory(failures: DataFrame, most: int = MOST_FAILURES, forget_ms: int | None = None) -> DataFrame:
+    """problem, seq, hash: each failure a problem hasn't in its memory, which holds its `most` latest distinct ones, in order of
+    seq within a batch; forget_ms: entries this old go. A batch that is replayed gives the same rows again."""
+    with_state_store(failures.sparkSession)
+    rows = failures.select(F.col("problem").cast("long").alias("problem"), F.col("seq").cast("long").alias("seq"), F.col("hash").cast("string").alias("hash"))
+    mode = "none" if forget_ms is None else "processingTime"
+    return rows.groupBy("problem").transformWithStateInPandas(FailureMemory(most, forget_ms), "problem long, seq long, hash string", "append", mode)
+
+
+class GramIndex(StatefulProcessor):
+    """The items that hold a gram, a list a gram in the state store; a new item meets those in it and the smaller ids of its batch."""
+
+    def __init__(self, forget_ms: int | None):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.items = handle.getListState("items", "id long, size long", self.forget_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = sorted({(i, n) for part in rows for i, n in zip(part["id"].tolist(), part["size"].tolist())})
+        if key[0].startswith(_SELF):
+            yield pd.DataFrame([(i, n, None, None) for i, n in new], columns=_MET).astype("Int64")
+            return
+        met, held = [], [(i, n) for i, n in self.items.get()]
+        seen = {i for i, _ in held}
+        for at in range(0, len(held), 10_000):  # a common gram's list is met in parts
+            part = [(i, n, j, m) for i, n in new for j, m in held[at : at + 10_000] if i != j]
+            if part:
+                yield pd.DataFrame(part, columns=_MET).astype("Int64")
+        met = [(i, n, j, m) for at, (i, n) in enumerate(new) for j, m in new[:at] if i != j and j not in seen]
+        if met:
+            yield pd.DataFrame(met, columns=_MET).astype("Int64")
+        added = [(i, n) for i, n in new if i not in seen]
+        if added:
+            self.items.appendList(added)
+
+    def close(self) -> None:
+        pass
+
+
+_SELF, _MET = "item ", ["id", "size", "other", "other_size"]
+
+
+def met_items(items: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """id, size, other, other_size of a stream of items (id, text): a row for each gram that an item shares with one that came
+    before it (or in its batch with a smaller id), and one row without another for the item itself.
+
+    The index is keyed state, so a batch reads and writes the lists of its own grams only, however many items came before.
+    An item that comes again meets the others, not itself, and is not entered twice. forget_ms: entries this old go.
     """
+    with_state_store(items.sparkSession)
+    sized = items.select(F.col("id").cast("long").alias("id"), trigrams(F.col("text")).alias("gs")).select("id", F.size("gs").cast("long").alias("size"), "gs")
+    keys = F.array_append("gs", F.concat(F.lit(_SELF), F.col("id").cast("string")))
+    rows = sized.select("id", "size", F.explode(keys).alias("g"))
+    mode = "none" if forget_ms is None else "processingTime"
+    return rows.groupBy("g").transformWithStateInPandas(GramIndex(forget_ms), "id long, size long, other long, other_size long", "append", mode)
+
+
+def warm_cache(items: DataFrame, at: str, forget_ms: int | None = None):
+    """Starts the query that writes, for each item, its best similarity to all items before it to at/best, a folder a batch
+    (overwritten when a batch comes again); state and offsets are in at/checkpoint, so a query started again goes on."""
+
+    def step(met: DataFrame, batch: int) -> None:
+        both = met.where("other is not null").groupBy("id", "size", "other", "other_size").agg(F.count(F.lit(1)).alias("both"))
+        best = both.groupBy("id").agg(F.max(F.col("both") / (F.col("size") + F.col("other_size") - F.col("both"))).alias("best"))
+        met.where("other is null").select("id").distinct().join(best, "id", "left").na.fill(0.0).write.mode("overwrite").parquet(f"{at}/best/batch={batch}")
+
+    return met_items(items, forget_ms).writeStream.foreachBatch(step).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+
 
-    def step(items: DataFrame, batch: int) -> None:
-        mine = items.select("id", trigrams(F.col("text")).alias("gs")).select("id", F.size("gs").alias("size"), F.explode("gs").alias("g"))
-        mine.write.mode("overwrite").parquet(f"{at}/grams/batch={batch}")
-        mine = spark.read.parquet(f"{at}/grams/batch={batch}")
-        seen = spark.read.option("basePath", f"{at}/grams").parquet(f"{at}/grams").where(F.col("batch") <= batch)
-        y = seen.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("batch").alias("when"), "g")
-        both = mine.join(y, "g").where((F.col("when") < batch) | (F.col("b") < F.col("id"))).groupBy("id", "size", "b", "nb").agg(F.count(F.lit(1)).alias("both"))
-        best = both.groupBy("id").agg(F.max(F.col("both") / (F.col("size") + F.col("nb") - F.col("both"))).alias("best"))
-        items.select("id").join(best, "id", "left").na.fill(0.0).write.mode("overwrite").parquet(f"{at}/best/batch={batch}")
-
-    return step
+def with_state_store(spark: SparkSession) -> None:
+    """Keyed lists need the RocksDB state store; a session that names another provider keeps it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(name):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def to_table(stream: DataFrame, name: str, mode: str = "append", at: str | None = None) -> DataFrame:
