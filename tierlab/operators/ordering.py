@@ -28,19 +28,28 @@ def stable_rank(df: DataFrame, order: dict[str, bool], id_col: str, name: str) -
     return placed(df, [F.desc(c) if down else F.asc(c) for c, down in order.items()] + [F.asc(id_col)], name)
 
 
-def value_at(df: DataFrame, value: str, places: dict[str, Column], by: list[str] | None = None) -> DataFrame:
-    """n and the values at 0-based places of the sorted column, in each group of `by`; places may use n. Nulls have no place.
+def running_counts(counts: DataFrame, by: list[str], value: str, count: str) -> DataFrame:
+    """Staged counts (a row a group and value) with upto and first: the sum of `count` up to and with the row, and before its group, in order of group and value.
 
-    Counts per value are dealt by ranges of group and value; running sums run inside a range and over the ranges' totals.
+    Rows are dealt by ranges of group and value; running sums run inside a range and over the ranges' totals.
     """
+    ranges = stage(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "value-counts")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("_part").agg(F.sum(count).alias("_m")).select("_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))  # a row a range
+    run = Window.partitionBy("_part").orderBy(*by, value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = ranges.withColumn("_upto", F.sum(count).over(run)).join(F.broadcast(totals), "_part").withColumn("upto", F.col("_before") + F.col("_upto")).drop("_part", "_before", "_upto")
+    if not by:
+        return cum.withColumn("first", F.lit(0).cast("long"))
+    groups = cum.groupBy(*by).agg(F.min(F.col("upto") - F.col(count)).alias("first"))
+    return cum.join(groups, by)
+
+
+def value_at(df: DataFrame, value: str, places: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """n and the values at 0-based places of the sorted column, in each group of `by`; places may use n. Nulls have no place."""
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    ranges = stage(counts.repartitionByRange(*by, "v").withColumn("part", F.spark_partition_id()), "value-counts")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranges.groupBy("part").agg(F.sum("c").alias("m")).select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))  # a row a range
-    run = Window.partitionBy("part").orderBy(*by, "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = ranges.withColumn("upto", F.sum("c").over(run)).join(F.broadcast(totals), "part").select(*by, "v", "c", (F.col("before") + F.col("upto")).alias("upto"))
-    groups = cum.groupBy(*by).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.min(F.col("upto") - F.col("c")).alias("first"))
+    cum = running_counts(counts, by, "v", "c")
+    groups = cum.groupBy(*by).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
     in_group = cum.join(groups, by) if by else cum.crossJoin(F.broadcast(groups))
     at = lambda place: F.min(F.when(F.col("upto") - F.col("first") > place, F.col("v")))
     out = in_group.groupBy(*by).agg(*[at(place).alias(k) for k, place in places.items()])

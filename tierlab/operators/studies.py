@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import stats as T
 from ..functions import text as X
 from . import policy as P
-from .ordering import value_at
+from .ordering import running_counts, value_at
 
 LEVELS = ("strict", "balanced", "permissive")
 
@@ -112,18 +115,75 @@ def joint_errors(pairs: DataFrame, by: list[str]) -> DataFrame:
     return t.select(*by, *names, expected.alias("expected"), odds.alias("odds"), F.round(T.fisher_one_sided(a, b, c, e), 9).alias("p_together"), F.round(T.fisher_two_sided(a, b, c, e), 9).alias("p_two_sided"))
 
 
-def rank_sum(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Mann-Whitney figures of a boolean group; values are ranked in buckets of their quantiles, so no task sorts all."""
-    v = df.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(group)).alias("na"))
-    cuts = v.agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
-    v = v.crossJoin(F.broadcast(cuts)).withColumn("b", F.size(F.filter("cuts", lambda c: c <= F.col("x")))).drop("cuts")
-    before = v.groupBy("b").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = v.withColumn("upto", F.sum("n").over(w)).join(F.broadcast(before.select("b", "before")), "b")  # 64 rows
-    rank = F.col("before") + F.col("upto") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)
+@F.pandas_udf(DoubleType())
+def _exact_tail(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+    """Two-sided exact p of a rank sum without ties; null rows stay null."""
+    known: dict[tuple[int, int], np.ndarray] = {}
+
+    def tail(m: float, n: float, u: float) -> float | None:
+        if pd.isna(m):
+            return None
+        m, n = sorted((int(m), int(n)))
+        if (m, n) not in known:  # ways for each sum: a factor (1 - q**(n + i)) / (1 - q**i) for each of the m
+            ways = np.zeros(m * n + 1)
+            ways[0] = 1
+            for i in range(1, m + 1):
+                ways[n + i :] -= ways[: max(0, len(ways) - n - i)].copy()
+                for r in range(i):
+                    ways[r::i] = np.cumsum(ways[r::i])
+            known[m, n] = np.cumsum(ways / ways.sum())
+        least = int(min(u, m * n - u))
+        return min(1.0, 2 * float(known[m, n][least]))
+
+    return pd.Series([tail(*x) for x in zip(n1, n2, u)], dtype="float64")
+
+
+def rank_sum(df: DataFrame, group: str, value: str, by: list[str] | None = None, exact_up_to: int = 8, exact_cells: int = 100_000) -> DataFrame:
+    """by, n1, n2, u, z, p: the Mann-Whitney test of a boolean group (u of the true side), in each group of `by`; null groups and values don't count.
+
+    Equal values share their mean rank; ranks come from counts per value that are dealt by ranges, so no task sorts a group. z is the
+    normal score with tie correction. p, two-sided, is exact (from the null distribution, by dynamic programming) where no values
+    tie, the smaller side has at most `exact_up_to` and n1 * n2 is at most `exact_cells`; else normal with a continuity
+    correction. With an empty side, or all values equal, z and p are null.
+    """
+    by = by or []
+    v = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(group)).alias("na"))
+    r = running_counts(v, by, "x", "n")
+    rank = F.col("upto") - F.col("first") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)
     n = F.col("n").cast("double")
-    t = r.agg(F.sum("na").alias("n1"), F.sum(F.col("n") - F.col("na")).alias("n2"), F.sum(F.col("na") * rank).alias("r1"), F.sum(n * n * n - n).alias("ties"))
+    t = r.groupBy(*by).agg(F.coalesce(F.sum("na"), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.col("n") - F.col("na")), F.lit(0)).alias("n2"), F.coalesce(F.sum(F.col("na") * rank), F.lit(0.0)).alias("r1"), F.coalesce(F.sum(n * n * n - n), F.lit(0.0)).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    z = (u - n1 * n2 / 2) / F.sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - F.col("ties") / ((n1 + n2) * (n1 + n2 - 1))))
-    return t.select("n1", "n2", F.round(u, 6).alias("u"), F.round(z, 6).alias("z"))
+    t = t.withColumn("u", u).withColumn("_sd", F.sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - F.coalesce(F.try_divide(F.col("ties"), (n1 + n2) * (n1 + n2 - 1)), F.lit(0.0)))))
+    off = F.col("u") - n1 * n2 / 2
+    sd = F.when(F.col("_sd") > 0, F.col("_sd"))
+    small = (F.col("ties") == 0) & (F.least("n1", "n2") > 0) & (F.least("n1", "n2") <= exact_up_to) & (n1 * n2 <= exact_cells)
+    when_small = lambda c: F.when(small, c)
+    exact = _exact_tail(when_small(n1), when_small(n2), when_small(F.col("u")))
+    normal = F.when(sd.isNotNull(), F.least(F.lit(1.0), T.normal_two_sided(F.greatest(F.abs(off) - 0.5, F.lit(0.0)) / sd)))
+    return t.select(*by, "n1", "n2", F.round("u", 6).alias("u"), F.round(off / sd, 6).alias("z"), F.when(small, exact).otherwise(normal).alias("p"))
+
+
+def escalations(records: DataFrame, tier: int) -> DataFrame:
+    """rec_idx, score, cost, helped of the records for which going on from a tier was open: not contaminated, with a tier after it,
+    and none up to it right. score and cost are that tier's; helped: a later tier is right."""
+    right = F.transform("tiers", lambda t: F.coalesce(t["correct"], F.lit(False)))
+    solved = F.array_position(right, True)  # from 1, 0: by none
+    open_ = records.where(~F.coalesce("contaminated", F.lit(False)) & (F.size("tiers") > tier + 1)).withColumn("_at", solved).where((F.col("_at") == 0) | (F.col("_at") > tier + 1))
+    t = F.get(F.col("tiers"), F.lit(tier))
+    return open_.select("rec_idx", t["score"].alias("score"), t["cost"].cast("double").alias("cost"), (F.col("_at") > 0).alias("helped"))
+
+
+def stopping_signals(draws: DataFrame, boundaries: list[str], measures: list[str], digits: int = 9) -> DataFrame:
+    """arm, boundary, measure and rank_sum's figures: does a measure tell where escalation helps?
+
+    draws: rows (id, boundary, helped, measures) of repeated draws over the same problems. Arm `pooled` takes draws for independent
+    problems, which overstates what is known; arm `deduplicated` has each problem once, with the means of its draws and
+    the majority of their outcomes (a half counts). Means are rounded to `digits`, so that ties don't hang on the order of sums.
+    """
+    each = lambda t: t.select("arm", "boundary", "helped", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in measures])))
+    rows = draws.where(F.col("boundary").isin(boundaries))
+    means = [F.round(F.avg(F.col(m).cast("double")), digits).alias(m) for m in measures]
+    once = rows.groupBy("boundary", "id").agg(*means, (F.avg(F.col("helped").cast("int")) >= 0.5).alias("helped")).withColumn("arm", F.lit("deduplicated"))
+    pooled = rows.withColumn("arm", F.lit("pooled")).withColumns({m: F.round(F.col(m).cast("double"), digits) for m in measures})
+    return rank_sum(each(pooled).unionByName(each(once)), "helped", "x", ["arm", "boundary", "measure"])

@@ -133,7 +133,7 @@ def mann_whitney(spark, sf):
     """U and its normal score with tie correction. Ranks come from counts per value: equal values share their mean rank."""
     o = B.table(spark, sf, "orders").join(B.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     s = o.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select((F.col("c_mktsegment") == "BUILDING").alias("a"), F.col("o_totalprice").alias("x"))
-    return D.rank_sum(s, "a", "x")
+    return D.rank_sum(s, "a", "x").select("n1", "n2", "u", "z")
 
 
 @query("with " + SIZES.format(least=3, most=60) + """,

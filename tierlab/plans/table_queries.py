@@ -427,6 +427,34 @@ def stopping_signal(spark, sf):
     return D.rank_sum(r, "g", "x").select("n1", "n2", "u")
 
 
+_DRAWS = (0, 11, 23)
+_DRAW = "select rec_idx, {salt} as salt, max(score) filter (k = {k}) as score, max(cost) filter (k = {k}) + (rec_idx * 31 + {salt} * 7) % 17 as cost, coalesce(min(k) filter (correct and (k = 0 or (rec_idx * 3 + k * 5 + {salt}) % 7 > 2)), 9) as solved from {name} where not contaminated group by rec_idx"
+
+
+@query(f"""with {S.TIERS}, {', '.join(S.obs(f'd{s}', s) for s in _DRAWS)}, b(boundary, k) as (values ('small_mid', 0), ('mid_large', 1)),
+draws as ({' union all '.join(f"select 'small_mid' as boundary, 0 as k, * from ({_DRAW.format(salt=s, k=0, name=f'd{s}')}) union all select 'mid_large', 1, * from ({_DRAW.format(salt=s, k=1, name=f'd{s}')})" for s in _DRAWS)}),
+open as (select boundary, rec_idx, round(score, 9) as score, cast(cost as double) as cost, solved < 9 as helped from draws where solved > k),
+once as (select boundary, round(avg(score), 9) as score, round(avg(cost), 9) as cost, avg(cast(helped as int)) >= 0.5 as helped from open group by boundary, rec_idx),
+long as (select 'pooled' as arm, boundary, unnest(['score', 'cost']) as measure, unnest([score, cost]) as x, helped from open union all select 'deduplicated', boundary, unnest(['score', 'cost']), unnest([score, cost]), helped from once),
+v as (select arm, boundary, measure, x, count(*) as n, count(*) filter (helped) as na from long group by all),
+r as (select *, sum(n) over (partition by arm, boundary, measure order by x) - n + (n + 1) / 2.0 as rank from v),
+t as (select arm, boundary, measure, cast(sum(na) as double) as n1, cast(sum(n - na) as double) as n2, cast(sum(na * rank) as double) as r1, sum(cast(n as double) * n * n - n) as ties from r group by all),
+z as (select *, r1 - n1 * (n1 + 1) / 2 as u, sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) as sd from t),
+c as (select *, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sd / sqrt(2.0::double) as y from z)
+select arm, boundary, measure, cast(n1 as bigint) as n1, cast(n2 as bigint) as n2, round(u, 6) as u, round((u - n1 * n2 / 2) / sd, 6) as z,
+       round(case when y < 3 then 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda i: pow(-1, i) * pow(y, 2 * i + 1) / (2 * i + 1) / gamma(i + 1.0))) else 0 end, 7) as p from c""")
+def stopping_signal_draws(spark, sf):
+    """Do score or cost of a tier tell where escalation helps, over three draws of the same problems: pooled, and a problem once."""
+    rows = None
+    for salt in _DRAWS:
+        for boundary, k in (("small_mid", 0), ("mid_large", 1)):
+            fails = lambda i: (i > 0) & ((F.col("rec_idx") * 3 + i * 5 + salt) % 7 <= 2)  # noqa: E731, B023  later tiers fail too
+            records = B.records(spark, sf, salt).withColumn("tiers", F.transform("tiers", lambda t, i: t.withField("correct", t["correct"] & ~fails(i))))  # noqa: B023
+            e = D.escalations(records, k).select(F.lit(boundary).alias("boundary"), F.col("rec_idx").alias("id"), "score", (F.col("cost") + (F.col("rec_idx") * 31 + salt * 7) % 17).alias("cost"), "helped")
+            rows = e if rows is None else rows.unionByName(e)
+    return D.stopping_signals(rows, ["small_mid", "mid_large"], ["score", "cost"]).withColumn("p", F.round("p", 7))
+
+
 @query("select o_orderkey as id, case when o_orderkey % 4 = 0 then 'inconclusive' when o_orderkey % 3 = 0 then 'unsound' when o_orderkey % 5 = 0 then 'inconclusive' else 'sound' end as verdict from orders")
 def oracle_verdict(spark, sf):
     k = F.col("o_orderkey")
