@@ -40,3 +40,9 @@ def text_vote(candidates: DataFrame, key) -> DataFrame:
     w = g.withColumn("mass", F.col("votes") / total)
     best = F.row_number().over(Window.partitionBy("problem_id").orderBy(F.desc("votes"), "winner"))
     return w.withColumn("_p", best).where("_p = 1").select("problem_id", "winner", "votes", "mass")
+
+
+def transfer_groups(rows: DataFrame, signature: str, key: str) -> DataFrame:
+    """signature, members, transfers (ordered pairs), first of each signature that at least two rows share; the pairs aren't made."""
+    g = rows.groupBy(signature).agg(F.count(F.lit(1)).alias("members"), F.min(key).alias("first")).where("members > 1")
+    return g.select(signature, "members", (F.col("members") * (F.col("members") - 1)).alias("transfers"), "first")

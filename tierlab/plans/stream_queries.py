@@ -62,3 +62,14 @@ def stream_warm_cache(spark, sf):
     items = B.stream(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
     V.warm_cache(items, at).awaitTermination()
     return spark.read.parquet(f"{at}/best").select(F.col("id").alias("item_id"), F.round("best", 9).alias("best"))
+
+
+@query("select o_orderkey as id from orders where cast('0x' || substr(sha256(cast(o_orderkey as varchar)), 1, 6) as bigint) / 16777216.0::double < 0.5::double")
+def stream_resume(spark, sf):
+    """A stream that is stopped, fed and started again at its checkpoint: every row once."""
+    at = f"{shared_dir(spark)}/resumed-{uuid.uuid4().hex}"
+    o = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    for part in (o.where("id % 3 = 0"), o.where("id % 3 <> 0")):
+        part.write.mode("append").parquet(f"{at}/in")
+        found = V.to_table(V.shadow_stream(spark.readStream.schema(o.schema).parquet(f"{at}/in"), 0.5, "id"), "resumed", at=f"{at}/out")
+    return found

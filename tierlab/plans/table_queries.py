@@ -44,6 +44,42 @@ def scan_problems_jsonl(spark, sf):
     return L.parse_problems(B.table(spark, sf, "orders").select((k + 1).alias("line_no"), line.alias("value")))
 
 
+@query("select 'nation=' || s_nationkey as id, string_agg(s_name, chr(10) order by s_suppkey) as source from supplier group by s_nationkey")
+def scan_tree(spark, sf):
+    """A tree of source files, one a folder, written from the table and read back by folder name."""
+    at = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    s = B.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("l"))
+    s.select("nation", F.array_join(F.transform("l", lambda x: x["s_name"]), "\n").alias("value")).write.partitionBy("nation").text(at)
+    return L.read_tree(spark, at, "*.txt").select("id", F.rtrim(F.col("source"), F.lit("\n")).alias("source"))
+
+
+@query("select c_custkey as id, case when c_custkey % 3 = 0 then null else c_acctbal end as mutation_score, c_custkey % 5 = 0 as false_accept, case when c_custkey % 7 <> 0 then c_mktsegment end as tier from customer")
+def scan_observations(spark, sf):
+    """Observation files, each one JSON array, with absent fields; a file a nation."""
+    at = f"{shared_dir(spark)}/observations-{uuid.uuid4().hex}"
+    k = F.col("c_custkey")
+    row = F.struct(k.cast("string").alias("id"), F.when(k % 7 != 0, F.col("c_mktsegment")).alias("tier"), F.when(k % 3 != 0, F.col("c_acctbal")).alias("mutation_score"), (k % 5 == 0).alias("false_accept"))
+    B.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.to_json(F.collect_list(row)).alias("value")).write.partitionBy("c_nationkey").text(at)
+    return L.read_array(spark, at, L.ESTIMATOR_FILE).select(F.col("id").cast("long").alias("id"), "mutation_score", "false_accept", "tier")
+
+
+@query(f"select valid, method, alpha, [tau0, tau1] as thresholds, empirical_risk, n_calibration from ({S.certificate(0.25, 0.1)})")
+def cert_roundtrip(spark, sf):
+    """A certificate saved and loaded again."""
+    at = f"{shared_dir(spark)}/certificate-{uuid.uuid4().hex}"
+    c = P.calibrate(B.records(spark, sf), 0.25, 0.1)
+    L.save_certificate(c.select("valid", "method", "alpha", "delta", F.array("tau0", "tau1").alias("thresholds"), "empirical_risk", "n_calibration"), at)
+    return L.load_certificate(spark, at).select("valid", "method", "alpha", "thresholds", "empirical_risk", "n_calibration")
+
+
+@query("with t as (select o_orderpriority as tier, count(*) as n from orders group by 1) select 'orders by tier' as note, 7 as seed, cast(count(*) as bigint) as n_rows, string_agg(tier || ':' || n, ',' order by tier) as rows from t")
+def provenance(spark, sf):
+    """A report's rows under its note and seed, in their own order."""
+    t = B.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    w = L.with_provenance(t, "orders by tier", seed=7)
+    return w.select("note", "seed", F.size("rows").cast("long").alias("n_rows"), F.array_join(F.transform("rows", lambda r: F.concat(r["tier"], F.lit(":"), r["n"].cast("string"))), ",").alias("rows"))
+
+
 @query("select o_orderkey as id, 'orders' as source from orders union all select c_custkey, 'customer' from customer")
 def scan_parquet(spark, sf):
     o = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("orders").alias("source"))
@@ -290,6 +326,12 @@ def sig_groups(spark, sf):
     return s.where("n > 1").withColumn("transfers", F.col("n") * (F.col("n") - 1))
 
 
+@query("select p_brand || '/' || p_size || '/' || p_type as sig, count(*) as members, count(*) * (count(*) - 1) as transfers, min(p_partkey) as first from part group by p_brand, p_size, p_type having count(*) > 1")
+def transfer_groups(spark, sf):
+    """Signatures that donors and recipients share, with how many transfers each allows: what same_sig_transfers expands, in a row a signature."""
+    return C.transfer_groups(B.table(spark, sf, "part").select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), "p_type").alias("sig")), "sig", "p_partkey")
+
+
 @query("select a.p_partkey as donor, b.p_partkey as recipient from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_type = b.p_type and a.p_partkey <> b.p_partkey")
 def same_sig_transfers(spark, sf):
     """Donor and recipient of equal signature: the pairs are the result, so signatures must be narrow."""

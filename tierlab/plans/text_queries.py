@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import ingest as I
 from ..operators import similarity as M
 from ..operators import studies as D
 from ..sources import bindings as B
@@ -248,3 +249,28 @@ def ingest_gates(spark, sf):
     """A shape gate, then the first fifty by id (the limit is the feature)."""
     p = B.table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.col("html").rlike("<h1>[^<]*</h1>").alias("has"))
     return p.where("has and title <> ''").orderBy("page_id").limit(50).select("page_id", "title")
+
+
+_PART = "select p_partkey as k, 'name_' || (p_partkey % 7) || '_OF_' || p_partkey as snake, p_name from part"
+_SIG = "'func Name' || (k % 7) || 'Of' || k || '(xs []int, y int)' || case k % 3 when 0 then '' when 1 then ' bool' else ' []interface{}' end"
+
+
+@query(f"""with p as ({_PART}), o as (
+    select *, {_SIG} as sig, 'Name' || (k % 7) || 'Of' || k as fn, case when k % 11 = 0 or k % 13 = 0 or k % 17 = 0 then 'shape' when k % 5 = 0 then 'contradictory' else 'ingested' end as outcome from p)
+select case when k % 2 = 0 then 'he_' || snake else 'mbpp_' || snake end as id, outcome, case when outcome <> 'shape' then fn end as fn, case when outcome <> 'shape' then sig end as sig,
+       case when outcome <> 'shape' then case k % 3 when 0 then '' when 1 then 'bool' else '[]interface{{}}' end end as ret,
+       case when outcome <> 'shape' then sha256('Write ' || p_name || '.' || chr(10) || '>>> ' || fn || '([1], 2)' || chr(10) || snake || '_x' || chr(10) || chr(10) || 'Implement this as an exported Go function with exactly this signature:' || chr(10) || '    ' || sig || chr(10) || 'Use only the standard library.') end as problem,
+       case when outcome <> 'shape' then sha256('package solution' || chr(10) || chr(10) || 'import (' || chr(10) || chr(9) || '"fmt"' || chr(10) || chr(9) || '"testing"' || chr(10) || ')' || chr(10) || chr(10) || 'func TestCanonical(t *testing.T) {{' || chr(10) || 'candidate := ' || fn || chr(10)
+           || '{{actual: candidate(3, ' || (k % 4) || '.0), expected: 1}},' || chr(10) || '{{actual: candidate(3.0, ' || (k % 4) || '), expected: ' || case when k % 5 = 0 then 2 else 1 end || '}},' || chr(10) || '}}' || chr(10)) end as suite from o""")
+def ingest_rows(spark, sf):
+    """Rows of a published corpus: prompts and suites of the expected shape or not, contradictory suites, names to rename."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    snake = F.concat(F.lit("name_"), (k % 7).cast("string"), F.lit("_OF_"), k.cast("string"))
+    ret = F.when(k % 3 == 0, "").when(k % 3 == 1, "bool").otherwise("[]interface{}")
+    comment = F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("// Write "), name, F.lit(".\n//   >>> "), snake, F.lit("([1], 2)\n// "), snake, F.lit("_x\n")))
+    prompt = F.concat(F.lit("package main\n\n"), comment, F.lit("func "), snake, F.lit("( xs []int, y int ) "), ret, F.when(k % 13 == 0, "\n").otherwise(" {\n"))
+    head = F.when(k % 17 == 0, "func Check() {\n").otherwise(F.concat(F.lit("func Test_"), snake, F.lit("(t *testing.T) {\n")))
+    fourth = (k % 4).cast("string")
+    tests = F.concat(F.lit("\n"), head, F.lit("candidate := "), snake, F.lit("\n{actual: candidate(3, "), fourth, F.lit(".0), expected: 1},\n{actual: candidate(3.0, "), fourth, F.lit("), expected: "), F.when(k % 5 == 0, "2").otherwise("1"), F.lit("},\n}\n"))
+    rows = B.table(spark, sf, "part").select(F.concat(F.when(k % 2 == 0, "HumanEval_").otherwise("mbpp_"), snake).alias("name"), prompt.alias("prompt"), tests.alias("tests"))
+    return I.gated(rows).select("id", "outcome", "fn", "sig", "ret", F.sha2("problem", 256).alias("problem"), F.sha2("suite", 256).alias("suite"))
