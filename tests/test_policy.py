@@ -18,7 +18,7 @@ def make(spark, rows):
     data = []
     for i, (tiers, flags) in enumerate(rows):
         f = {"contaminated": False, "oracle_unsound": False, "oracle_inconclusive": False, "shadow": False, "cache_hit": False, "cache_correct": False, "cache_cost": 0.0} | flags
-        data.append((i, [(f"t{k}", float(s), c, None, float(x), False) for k, (s, c, x) in enumerate(tiers)], *f.values()))
+        data.append((i, [(f"t{k}", None if s is None else float(s), c, None, float(x), False) for k, (s, c, x) in enumerate(tiers)], *f.values()))
     return spark.createDataFrame(data, SCHEMA)
 
 
