@@ -29,9 +29,9 @@ _STEP = np.uint64(0x2545F4914F6CDD1D)
 _GAP = np.iinfo(np.uint16).max
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words with A-Z lower-cased; the end of each piece is a token of its own."""
-    return text.encode("utf-8", "replace").translate(_CLASSES).replace(b"\n", b" \xff ").split()
+def marked(text: str) -> bytes:
+    """The text in UTF-8 with A-Z lower-cased, blanks as spaces, and a token of its own at the end of each piece and of the text."""
+    return text.encode("utf-8", "replace").translate(_CLASSES).replace(b"\n", b" \xff ") + b" \xff "
 
 
 class Grams:
@@ -78,31 +78,32 @@ def counters(h: np.ndarray, row: int, width_bits: int) -> np.ndarray:
 
 
 def runs(batches: Iterator[pa.RecordBatch], longest: int, words: int = 1 << 18) -> Iterator[tuple[str, Grams]]:
-    """(lang, n-grams) over batches of (lang, text): about `words` words at a time, whole texts and of all lengths."""
-    pending: dict[str, list[bytes]] = {}
+    """(lang, n-grams) over batches of (lang, text): about `words` words at a time, of whole texts of any length.
 
-    def full(lang: str, least: int) -> Iterator[tuple[str, Grams]]:
-        have = pending[lang]
-        at = 0
-        while len(have) - at > least:
+    Texts wait as bytes and become words when there are enough of them, so a task holds the words of one run only.
+    """
+    waiting: dict[str, list[bytes]] = {}
+    size: dict[str, int] = {}
+
+    def grams(lang: str) -> Iterator[tuple[str, Grams]]:
+        have = b"".join(waiting.pop(lang)).split()
+        del size[lang]
+        for at in range(0, len(have), words):  # a run sees the first words of the next, so n-grams across their border count once
             yield lang, Grams(have[at : at + words + longest - 1], lang, longest, words)
-            at += words
-        pending[lang] = have[at:]
 
     for batch in batches:
-        for piece in text_slices(batch):
+        for piece in text_slices(batch, 4 << 20):
             for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                have = pending.setdefault(lang, [])
-                have += tokens(text)
-                have.append(_END)
-                if len(have) >= words + longest:
-                    yield from full(lang, words + longest - 1)
-            if len(pending) > 64 and sum(map(len, pending.values())) > words:  # very many languages: none is kept for long
-                for lang in list(pending):
-                    yield from full(lang, 0)
-                    del pending[lang]
-    for lang in list(pending):
-        yield from full(lang, 0)
+                whole = marked(text)
+                waiting.setdefault(lang, []).append(whole)
+                size[lang] = size.get(lang, 0) + len(whole)
+                if size[lang] >= 5 * words:
+                    yield from grams(lang)
+            if len(waiting) > 64 and sum(size.values()) > 5 * words:  # very many languages: none waits for long
+                for lang in list(waiting):
+                    yield from grams(lang)
+    for lang in list(waiting):
+        yield from grams(lang)
 
 
 def pack(at: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
@@ -194,7 +195,7 @@ def frequent_ngrams(df: DataFrame, longest: int = 3, least: int = 10, depth: int
     texts = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
     width_bits = min(most_width_bits, max(16, (int(size) // 8).bit_length()))
-    range_bits = max(12, min(20, width_bits - 6))
+    range_bits = max(12, min(20, width_bits - 8))
     sketch = stage(merged_sketch(texts, longest, least, width_bits, depth, range_bits), "phrase-sketch")
     rows = [(r["row"], r["range"], bytes(r["bits"])) for r in sketch.collect()]  # compressed bits: 2**width_bits / 8 bytes a row at most
     shared = df.sparkSession.sparkContext.broadcast(rows)
