@@ -102,7 +102,11 @@ def residuals(records: DataFrame, patterns: list[str], rhos: list[float], seeds:
     the same for all seeds and come once, with the first."""
     if not all(0 <= r < 1 for r in rhos) or not set(patterns) <= set(PATTERNS):
         raise ValueError("rho has to be in [0, 1), patterns are easy-first, cheap-accept and uniform")
-    base = stage(P.coded(tier0(records), arity, step, ["rec_idx", "t0_right", "t0_score"]), "sweep-records")
+    narrow = P.coded(tier0(records), arity, step, ["rec_idx", "t0_right", "t0_score"])
+    tasks = records.sparkSession.sparkContext.defaultParallelism
+    if narrow.rdd.getNumPartitions() < tasks:  # each row is drawn in every cell, so few small files are dealt over all cores
+        narrow = narrow.repartition(tasks)
+    base = stage(narrow, "sweep-records")
     n = base.count()
     cells, plain = ["pattern", "rho", "seed"], [c for c in base.columns if c != "t0_score"]
     left = None
