@@ -286,3 +286,24 @@ def test_smallest_draws_match_a_sort(spark):
             wanted = spark.createDataFrame([(0, k), (1, k), (2, min(k, len(by[2])))], "cell long, k long")
             got = {r["cell"]: (r["bound_draw"], r["bound_tie"]) for r in O.smallest(rows, ["cell"], "d", "id", wanted, total).collect()}
             assert got == {c: sorted(by[c])[min(k, len(by[c])) - 1] for c in by}
+
+
+def test_first_drawn_matches_a_sort_for_even_and_uneven_draws(spark):
+    import random
+
+    rng = random.Random(5)
+    for spread in (lambda: rng.randrange(1 << 48), lambda: rng.randrange(4), lambda: 7):
+        data = [(c, i, spread()) for c, size in (("a", 900), ("b", 40), ("c", 1)) for i in range(size)]
+        rows = spark.createDataFrame(data, "cell string, id long, d long")
+        for ks in ({"a": 1, "b": 40, "c": 1}, {"a": 450, "b": 3}, {"a": 899}):
+            sizes = {"a": 900, "b": 40, "c": 1}
+            wanted = spark.createDataFrame([(c, k, sizes[c]) for c, k in ks.items()], "cell string, k long, n long")
+            by = {c: sorted((d, i) for x, i, d in data if x == c) for c in ks}
+            got = sorted((r["cell"], r["d"], r["id"]) for r in O.first_drawn(rows, ["cell"], "d", "id", wanted).collect())
+            assert got == sorted((c, *at) for c, k in ks.items() for at in by[c][:k])
+            bounds = {r["cell"]: (r["bound_draw"], r["bound_tie"]) for r in O.draw_bounds(rows, ["cell"], "d", "id", wanted).collect()}
+            assert bounds == {c: by[c][k - 1] for c, k in ks.items()}
+
+
+def test_sweep_of_no_records_has_no_rows(spark):
+    assert W.absorption_sweep(B.records(spark, SF).limit(0), ["easy-first", "uniform"], [0.0, 0.5], 0.2, 0.1, [0.4, 0.3], [0.0, 0.5]).collect() == []

@@ -92,6 +92,58 @@ def smallest(rows: DataFrame, cells: list[str], draw: str, tie: str, wanted: Dat
     return stage(kth.select(*cells, F.col(draw).alias("bound_draw"), F.col(tie).alias("bound_tie")), "bounds")
 
 
+def _expected(wanted: DataFrame, bits: int) -> DataFrame:
+    """wanted (cells, k, n) with _low and _high: draws between which the k-th of n even ones lies, with eight standard deviations to spare."""
+    share, span = F.col("k") / F.col("n"), float(1 << bits)
+    spare = (8 * F.sqrt(F.col("k") * (1 - share)) + 64) / F.col("n")
+    return wanted.select("*", F.floor(F.greatest(F.lit(0.0), share - spare) * span).alias("_low"), F.ceil(F.least(F.lit(1.0), share + spare) * span).alias("_high"))
+
+
+def _under(draw: str) -> Column:
+    """draw < _high; from the plain comparison a test of draw for null would follow, and the draw would be computed for it too."""
+    return F.coalesce(F.col(draw) < F.col("_high"), F.lit(False))
+
+
+def draw_bounds(rows: DataFrame, cells: list[str], draw: str, tie: str, wanted: DataFrame, bits: int = 48) -> DataFrame:
+    """As smallest, for draws that should be spread evenly; wanted is a small table (cells, k, n) with the rows of each cell.
+
+    The k-th draw lies in a narrow range then: rows below it are counted and those in it (some 16 times the root of k a cell)
+    ranked, so rows is computed once. Where a cell's bound isn't there after all, the histograms of `smallest` find all of them.
+    """
+    met = rows.select(*cells, draw, tie).join(F.broadcast(_expected(wanted, bits)), cells).where(_under(draw))
+    inside = F.col(draw) >= F.col("_low")
+    counted = met.groupBy(*cells, "k", F.when(inside, F.col(draw)).alias("_d"), F.when(inside, F.col(tie)).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy(*cells).orderBy(F.asc_nulls_first("_d"), "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counted.withColumn("_upto", F.sum("_n").over(run))
+    bounds = stage(upto.where((F.col("_upto") == F.col("k")) & F.col("_d").isNotNull()).select(*cells, F.col("_d").alias("bound_draw"), F.col("_t").alias("bound_tie")), "bounds")
+    if bounds.count() == wanted.count():
+        return bounds
+    most = wanted.agg(F.max("n").alias("n")).first()["n"] or 0
+    return smallest(rows, cells, draw, tie, wanted.select(*cells, "k"), most, bits)
+
+
+def upto_bound(draw: str, tie: str) -> Column:
+    """Whether a row joined with its cell's bound is one of its first k; false without a bound."""
+    at = (F.col(draw) < F.col("bound_draw")) | ((F.col(draw) == F.col("bound_draw")) & (F.col(tie) <= F.col("bound_tie")))
+    return F.coalesce(at, F.lit(False))
+
+
+def first_drawn(rows: DataFrame, cells: list[str], draw: str, tie: str, wanted: DataFrame, bits: int = 48) -> DataFrame:
+    """The k rows of each cell of wanted (cells, k, n) with the least (draw, tie).
+
+    Rows that an even draw can't put among them are left out at once, and the others staged; if a cell then holds fewer than
+    k, all rows of the cells are staged instead.
+    """
+    near = F.broadcast(_expected(wanted, bits).select(*cells, "_high"))
+    held = stage(rows.join(near, cells).where(_under(draw)).drop("_high"), "drawn")
+    sizes = held.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
+    short = wanted.join(sizes, cells, "left").where(F.coalesce("_n", F.lit(0)) < F.col("k"))
+    if not short.isEmpty():
+        held = stage(rows.join(F.broadcast(wanted.select(*cells)), cells), "drawn")
+    bounds = draw_bounds(held, cells, draw, tie, wanted, bits)
+    return held.join(F.broadcast(bounds), cells).where(upto_bound(draw, tie)).drop("bound_draw", "bound_tie")
+
+
 def seeded_permutation(df: DataFrame, seed: Column, order: list[Column], by: list[str] | None = None, name: str = "place") -> DataFrame:
     """df's rows with `name`: the 0-based place that a seeded shuffle gives each row of its group; `source`: its place before.
 

@@ -7,19 +7,22 @@ the draw off what is left. Either is then deployed on what is left.
 
 A record enters as a narrow row: its id, what a grid of thresholds can tell of it (policy.coded), and its tier-0 order. The two
 sorted patterns are sorted once, whatever the shares; a drawn cell keeps the rows beyond one bound, the k-th draw,
-which histograms find. So per cell only sums over the lattice of thresholds are shuffled.
+found among the few rows near the place where it is expected. So per cell only sums over the lattice of thresholds are
+shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import ROUND_HALF_UP, Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import double_bits, hash_of, signed
 from ..functions.stats import min_calibration_size
 from ..staging import stage
 from . import policy as P
-from .ordering import placed, seeded_permutation, smallest, stable_rank
+from .ordering import draw_bounds, first_drawn, placed, seeded_permutation, stable_rank, upto_bound
 
 PATTERNS = ("easy-first", "cheap-accept", "uniform")
 
@@ -89,40 +92,59 @@ def seeded_shadow(residual: DataFrame, epsilon: float, seed: int, pattern: str,
     return shuffled.crossJoin(F.broadcast(n)).where(F.col("_place") < F.greatest(F.lit(1), F.round(epsilon * F.col("_n")))).drop("_n", "_place", "source")
 
 
-def _with_bound(rows: DataFrame, cells: list[str], bounds: DataFrame, inside: bool) -> DataFrame:
-    """The rows up to their cell's bound (inside) or beyond it; cells without a bound have no row inside."""
-    met = rows.join(F.broadcast(bounds), cells, "left")
-    upto = (F.col("_draw") < F.col("bound_draw")) | ((F.col("_draw") == F.col("bound_draw")) & (F.col("rec_idx") <= F.col("bound_tie")))
-    upto = F.coalesce(upto, F.lit(False))
-    return met.where(upto if inside else ~upto).drop("_draw", "bound_draw", "bound_tie")
+def _nearest(x: float) -> int:
+    """round as Spark's: of the shortest decimal form, halves up."""
+    return int(Decimal(repr(x)).to_integral_value(ROUND_HALF_UP))
 
 
-def residuals(records: DataFrame, patterns: list[str], rhos: list[float], seeds: list[int], tau0: float, arity: int, step: float = 0.1) -> DataFrame:
-    """Narrow rows (pattern, rho, seed, rec_idx, t0_right, policy.coded) of the records left in every cell. Sorted patterns are
-    the same for all seeds and come once, with the first."""
-    if not all(0 <= r < 1 for r in rhos) or not set(patterns) <= set(PATTERNS):
-        raise ValueError("rho has to be in [0, 1), patterns are easy-first, cheap-accept and uniform")
+def _absorbed(rho: float, n: int) -> int:
+    """dropped, of known numbers; 0 of none."""
+    return max(0, min(_nearest(rho * n), n - 1))
+
+
+def _rows(spark: SparkSession, rows: list[tuple], **types: str) -> DataFrame:
+    """A small table of literals."""
+    each = [F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(row, types.items())]) for row in rows]
+    schema = ", ".join(f"{c}: {t}" for c, t in types.items())
+    return spark.range(1).select(F.inline(F.array(*each).cast(f"array<struct<{schema}>>")))
+
+
+def coded_base(records: DataFrame, arity: int, step: float = 0.1) -> DataFrame:
+    """Staged narrow rows of records: rec_idx, the tier-0 order, and what a grid tells of them (policy.coded)."""
     narrow = P.coded(tier0(records), arity, step, ["rec_idx", "t0_right", "t0_score"])
     tasks = records.sparkSession.sparkContext.defaultParallelism
     if narrow.rdd.getNumPartitions() < tasks:  # each row is drawn in every cell, so few small files are dealt over all cores
         narrow = narrow.repartition(tasks)
-    base = stage(narrow, "sweep-records")
-    n = base.count()
-    cells, plain = ["pattern", "rho", "seed"], [c for c in base.columns if c != "t0_score"]
+    return stage(narrow, "sweep-records")
+
+
+def residuals(base: DataFrame, patterns: list[str], rhos: list[float], seeds: list[int], tau0: float, n: int) -> DataFrame:
+    """Narrow rows (pattern, rho, seed, rec_idx, t0_right, policy.coded) of the n records of coded_base left in every cell.
+    Sorted patterns are the same for all seeds and come once, with the first."""
+    if not all(0 <= r < 1 for r in rhos) or not set(patterns) <= set(PATTERNS):
+        raise ValueError("rho has to be in [0, 1), patterns are easy-first, cheap-accept and uniform")
+    spark, cells, plain = base.sparkSession, ["pattern", "rho", "seed"], [c for c in base.columns if c != "t0_score"]
     left = None
     for p in (p for p in patterns if p != "uniform"):
         first = F.col("t0_right") if p == "easy-first" else F.col("t0_score") >= tau0
         ranked = placed(base.withColumn("_first", first), [F.desc("_first"), F.desc("t0_score"), F.asc("rec_idx")], "_place")
-        shares = ranked.withColumn("rho", F.explode(F.array(*[F.lit(float(r)) for r in rhos])))
-        kept = shares.where(F.col("_place") >= dropped(F.col("rho"), F.lit(n))).select(F.lit(p).alias("pattern"), "rho", F.lit(seeds[0]).cast("long").alias("seed"), *plain)
+        shares = F.array(*[F.struct(F.lit(float(r)).alias("rho"), F.lit(_absorbed(r, n)).cast("long").alias("after")) for r in rhos])
+        kept = ranked.withColumn("c", F.explode(F.filter(shares, lambda c: F.col("_place") >= c["after"])))
+        kept = kept.select(F.lit(p).alias("pattern"), "c.rho", F.lit(seeds[0]).cast("long").alias("seed"), *plain)
         left = kept if left is None else left.unionByName(kept)
     if "uniform" in patterns:
         cell = lambda r, s: F.struct(F.lit(float(r)).alias("rho"), F.lit(s).cast("long").alias("seed"), F.lit(f"draw-{s}-{r}-").alias("label"))
         rows = base.select(F.lit("uniform").alias("pattern"), F.explode(F.array(*[cell(r, s) for r in rhos for s in seeds])).alias("c"), *plain)
-        rows = rows.select("pattern", "c.rho", "c.seed", *plain, draw(F.col("c.label")).alias("_draw"))
-        spark = base.sparkSession
-        wanted = spark.createDataFrame([("uniform", float(r), s) for r in rhos for s in seeds], "pattern string, rho double, seed long").withColumn("k", dropped(F.col("rho"), F.lit(n))).where("k > 0")
-        kept = _with_bound(rows, cells, smallest(rows, cells, "_draw", "rec_idx", wanted, n), inside=False).select(*cells, *plain)
+        whole = [r for r in rhos if not _absorbed(r, n)]  # nothing is drawn in these
+        is_whole = F.col("c.rho").isin([float(r) for r in whole])
+        kept = rows.where(is_whole).select("pattern", "c.rho", "c.seed", *plain)
+        drawn = [("uniform", float(r), s, _absorbed(r, n), n) for r in rhos for s in seeds if r not in whole]
+        if drawn:
+            rows = rows.where(~is_whole).select("pattern", "c.rho", "c.seed", *plain, draw(F.col("c.label")).alias("_draw"))
+            wanted = _rows(spark, drawn, pattern="string", rho="double", seed="bigint", k="bigint", n="bigint")
+            bounds = draw_bounds(rows, cells, "_draw", "rec_idx", wanted)
+            beyond = rows.join(F.broadcast(bounds), cells, "left").where(~upto_bound("_draw", "rec_idx")).select(*cells, *plain)
+            kept = kept.unionByName(beyond) if whole else beyond
         left = kept if left is None else left.unionByName(kept)
     return left
 
@@ -136,27 +158,27 @@ def absorption_sweep(records: DataFrame, patterns: list[str], rhos: list[float],
     """
     epsilons, seeds, arity = epsilons or [0.0], seeds or [0], len(tau)
     cell, shadow_cell = ["pattern", "rho", "seed"], ["pattern", "rho", "seed", "epsilon"]
-    use = P.usable(records)
-    left = residuals(use, patterns, rhos, seeds, tau[0], arity, step)
+    spark, base = records.sparkSession, coded_base(P.usable(records), arity, step)
+    n = base.count()
+    left = residuals(base, patterns, rhos, seeds, tau[0], n)
     sums = [F.sum(c).alias(c) for c in P.outcomes(arity)]
     profiles = stage(left.groupBy(*cell, *P.codes(arity)).agg(*sums, F.count_if("t0_right").alias("right")), "residual-profiles")
-    facts = stage(profiles.groupBy(*cell).agg(F.sum("_n").alias("n_residual"), (F.sum("right") / F.sum("_n")).alias("accuracy")), "cells")
-    whole = tier0(use).agg(F.count(F.lit(1)).alias("n_use"), F.avg(F.col("t0_right").cast("int")).alias("accuracy_d"))
+    facts = profiles.groupBy(*cell).agg(F.sum("_n").alias("n_residual"), (F.sum("right") / F.sum("_n")).alias("accuracy"))
+    whole = base.agg(F.count(F.lit(1)).alias("n_use"), F.avg(F.col("t0_right").cast("int")).alias("accuracy_d"))
     deployed = P.grid_risk(profiles.drop("right"), arity, step, cell).select(*cell, "grid_idx", (F.col("bad_true") / F.col("n")).alias("deployed"))
     figures = ["valid", "n_certified", "grid_idx", "tau", F.col("n").alias("n_calibration"), F.col("risk").alias("calibrated")]
     certificates = None
-    if 0.0 in epsilons:
-        full = P.select_threshold(P.fixed_sequence(P.grid_risk(P.score_profiles(use, arity, step), arity, step), alpha, delta)).select(*figures)
+    if 0.0 in epsilons or not n:  # of no records there is nothing to draw, and facts holds no cell
+        full = P.select_threshold(P.fixed_sequence(P.grid_risk(P.score_profiles(base, arity, step), arity, step), alpha, delta)).select(*figures)
         certificates = facts.select(*cell, F.lit(0.0).alias("epsilon")).crossJoin(F.broadcast(full))
     rates = [float(e) for e in epsilons if e > 0]
-    if rates:
+    if rates and n:
         rows = left.withColumn("epsilon", F.explode(F.array(*map(F.lit, rates))))
         label = F.concat(F.lit("shadow-"), F.col("seed").cast("string"), F.lit("-"), F.col("rho").cast("string"), F.lit("-"), F.col("epsilon").cast("string"), F.lit("-"), F.col("pattern"), F.lit("-"))
-        rows = rows.withColumn("_draw", draw(label))
-        size = F.when(F.col("epsilon") >= 1, F.col("n_residual")).otherwise(F.greatest(F.lit(1), F.round(F.col("epsilon") * F.col("n_residual")))).cast("long")
-        wanted = facts.select("*", F.explode(F.array(*map(F.lit, rates))).alias("epsilon")).select(*shadow_cell, size.alias("k"))
-        most = facts.agg(F.max("n_residual").alias("n")).first()["n"] or 0
-        drawn = _with_bound(rows, shadow_cell, smallest(rows, shadow_cell, "_draw", "rec_idx", wanted, most), inside=True)
+        made = [(p, float(r), s, n - _absorbed(r, n)) for p in patterns for r in rhos for s in (seeds if p == "uniform" else seeds[:1])]
+        wanted = [(*c, e, m if e >= 1 else max(1, _nearest(e * m)), m) for *c, m in made for e in rates]
+        wanted = _rows(spark, wanted, pattern="string", rho="double", seed="bigint", epsilon="double", k="bigint", n="bigint")
+        drawn = first_drawn(rows.withColumn("_draw", draw(label)), shadow_cell, "_draw", "rec_idx", wanted)
         tested = P.fixed_sequence(P.grid_risk(P.score_profiles(drawn, arity, step, shadow_cell), arity, step, shadow_cell), alpha, delta, shadow_cell)
         shadow = P.select_threshold(tested, shadow_cell).select(*shadow_cell, *figures)
         certificates = shadow if certificates is None else certificates.unionByName(shadow)
