@@ -307,3 +307,30 @@ def test_first_drawn_matches_a_sort_for_even_and_uneven_draws(spark):
 
 def test_sweep_of_no_records_has_no_rows(spark):
     assert W.absorption_sweep(B.records(spark, SF).limit(0), ["easy-first", "uniform"], [0.0, 0.5], 0.2, 0.1, [0.4, 0.3], [0.0, 0.5]).collect() == []
+
+
+def test_adaptive_level_follows_a_plain_loop_and_drops_late_rows(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(3), datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(minutes=rng.randrange(60 * part, 60 * part + 90)), part * 1000 + i, rng.choice([None, *(x / 20 for x in range(21))]), rng.choice([True, False, False, None])) for part in range(3) for i in range(60) for k in (1, 2)]
+    late = (1, start - timedelta(hours=3), 9001, 1.0, True)
+    dull = [(1, None, 9002, 0.9, False), (1, start, None, 0.9, False)]  # no time, no number
+    end = (7, start + timedelta(days=9), 9003, 1.0, False)  # lets the watermark pass all others; waits itself
+    schema, inside, at = "key long, ts timestamp, seq long, score double, wrong boolean", str(tmp_path / "in"), f"file://{tmp_path}/out"
+    batches = [[r for r in rows if r[2] // 1000 == part] for part in range(3)]
+    for batch in (batches[0], batches[1] + dull, [*batches[2], late], [end]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(inside)
+        stream = spark.readStream.schema(schema).parquet(inside)
+        got = V.to_table(V.adaptive_level(stream, 0.5, 0.2, 0.05, "2 hours"), "level", at=at).collect()
+    want = []
+    for k in (1, 2):
+        tau = 0.5
+        for _, _, seq, score, wrong in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            accepted = 1 - (score or 0.0) <= tau
+            err = accepted and wrong is not False
+            want.append((k, seq, tau, accepted, err))
+            tau += 0.05 * (0.2 - err)
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert any(r[4] for r in want) and any(not r[3] for r in want)

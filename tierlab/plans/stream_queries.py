@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import policy as P
 from ..sources import bindings as B
 from ..staging import shared_dir
 from ..streaming import observe as V
@@ -73,3 +74,24 @@ def stream_resume(spark, sf):
         part.write.mode("append").parquet(f"{at}/in")
         found = V.to_table(V.shadow_stream(spark.readStream.schema(o.schema).parquet(f"{at}/in"), 0.5, "id"), "resumed", at=f"{at}/out")
     return found
+
+
+_EVENTS = f"""{S.OBS}, e as (
+    select o_custkey as key, o_orderkey as seq, 1 - coalesce(score, 0) as oddity, not coalesce(truth, false) as wrong, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n
+    from obs join orders on rec_idx = o_orderkey where k = 0 and o_orderdate < (select max(o_orderdate) from orders) - interval 732 hour
+)"""
+
+
+@query(_EVENTS.replace("with ", "with recursive ", 1) + """, st(key, n, seq, tau, accepted, err) as (
+    select key, n, seq, 0.5::double, oddity <= 0.5::double, oddity <= 0.5::double and wrong from e where n = 1
+    union all
+    select key, n, seq, t, oddity <= t, oddity <= t and wrong from (
+        select e.*, st.tau + 0.05::double * (0.2::double - cast(cast(st.err as int) as double)) as t from st join e on e.key = st.key and e.n = st.n + 1)
+)
+select key, seq, round(tau, 9) as tau, accepted, err from st""")
+def stream_adaptive(spark, sf):
+    """The level of tolerated oddity of each customer, led by its errors; answers of the last 30 and a half days still wait for the watermark."""
+    o = B.stream(spark, sf, "orders")
+    first = B.tier_obs(F.col("o_orderkey"), 0)
+    answers = o.select(F.col("o_custkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("seq"), first["score"].alias("score"), (~F.coalesce(P.truth(first), F.lit(False))).alias("wrong"))
+    return V.to_table(V.adaptive_level(answers, 0.5, 0.2, 0.05, "732 hours"), "stream-adaptive").withColumn("tau", F.round("tau", 9))

@@ -103,6 +103,67 @@ class GramIndex(StatefulProcessor):
         pass
 
 
+class AdaptiveLevel(StatefulProcessor):
+    """Each key's level, and its rows that the watermark hasn't passed yet; those it passes are taken in order of time and seq."""
+
+    def __init__(self, start: float, alpha: float, eta: float):
+        self.start, self.alpha, self.eta = start, alpha, eta
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.level = handle.getValueState("level", "tau double")
+        self.waiting = handle.getListState("waiting", "at long, seq long, oddity double, wrong boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        came = [(int(a), int(s), float(o), bool(w)) for part in rows for a, s, o, w in zip(part["at"], part["seq"], part["oddity"], part["wrong"])]
+        self.waiting.appendList(came)
+        for at in {r[0] for r in came}:
+            self.handle.registerTimer(at)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(r) for r in self.waiting.get())
+        due = [r for r in held if r[0] <= passed]
+        if not due:  # another timer of the same batch took them
+            return
+        tau = self.level.get()[0] if self.level.exists() else self.start
+        out = []
+        for _, seq, oddity, wrong in due:
+            accepted = oddity <= tau
+            err = accepted and wrong
+            out.append((key[0], seq, tau, accepted, err))
+            tau = tau + self.eta * (self.alpha - (1.0 if err else 0.0))
+        self.level.update((tau,))
+        rest = held[len(due) :]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(out, columns=["key", "seq", "tau", "accepted", "err"])
+
+    def close(self) -> None:
+        pass
+
+
+def adaptive_level(answers: DataFrame, start: float, alpha: float, eta: float, late: str = "1 hour") -> DataFrame:
+    """key, seq, tau, accepted, err of a stream of answers (key, ts, seq, score, wrong): the level of tolerated oddity that each
+    answer meets in its key, tau <- tau + eta * (alpha - err) after it, from `start` on.
+
+    An answer's oddity is 1 - score; it is accepted up to the level, and an accepted wrong answer is an error, so the rate
+    of errors of a key goes to alpha whatever its answers do. Answers are taken in order of ts and seq: each waits in the
+    state until the watermark (the latest ts less `late`) has passed it, so files may come in any order; one that comes
+    after that is late and takes no part. A null score is the oddest, a null wrong counts as wrong, a null ts or seq takes no part.
+    """
+    with_state_store(answers.sparkSession)
+    timed = answers.where(F.col("ts").isNotNull() & F.col("seq").isNotNull()).withWatermark("ts", late)
+    rows = timed.select(
+        F.col("key").cast("long").alias("key"), "ts", F.unix_millis("ts").alias("at"), F.col("seq").cast("long").alias("seq"),
+        (1 - F.coalesce(F.col("score").cast("double"), F.lit(0.0))).alias("oddity"), F.coalesce("wrong", F.lit(True)).alias("wrong"),
+    )
+    return rows.groupBy("key").transformWithStateInPandas(AdaptiveLevel(start, alpha, eta), "key long, seq long, tau double, accepted boolean, err boolean", "append", "eventTime")
+
+
 _SELF, _MET = "item ", ["id", "size", "other", "other_size"]
 
 
