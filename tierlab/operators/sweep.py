@@ -110,16 +110,17 @@ def _rows(spark: SparkSession, rows: list[tuple], **types: str) -> DataFrame:
 
 
 def coded_base(records: DataFrame, arity: int, step: float = 0.1) -> DataFrame:
-    """Staged narrow rows of records: rec_idx, the tier-0 order, and what a grid tells of them (policy.coded)."""
+    """Staged narrow rows of records: rec_idx, the tier-0 order, and _x: what a grid tells of them (policy.coded)."""
     narrow = P.coded(tier0(records), arity, step, ["rec_idx", "t0_right", "t0_score"])
     tasks = records.sparkSession.sparkContext.defaultParallelism
     if narrow.rdd.getNumPartitions() < tasks:  # each row is drawn in every cell, so few small files are dealt over all cores
         narrow = narrow.repartition(tasks)
-    return stage(narrow, "sweep-records")
+    packed = F.struct(*P.codes(arity), *P.outcomes(arity)).alias("_x")  # a column of its own, as rows are copied for each cell
+    return stage(narrow.select("rec_idx", "t0_right", "t0_score", packed), "sweep-records")
 
 
 def residuals(base: DataFrame, patterns: list[str], rhos: list[float], seeds: list[int], tau0: float, n: int) -> DataFrame:
-    """Narrow rows (pattern, rho, seed, rec_idx, t0_right, policy.coded) of the n records of coded_base left in every cell.
+    """Narrow rows (pattern, rho, seed, rec_idx, t0_right, _x) of the n records of coded_base left in every cell.
     Sorted patterns are the same for all seeds and come once, with the first."""
     if not all(0 <= r < 1 for r in rhos) or not set(patterns) <= set(PATTERNS):
         raise ValueError("rho has to be in [0, 1), patterns are easy-first, cheap-accept and uniform")
@@ -162,24 +163,24 @@ def absorption_sweep(records: DataFrame, patterns: list[str], rhos: list[float],
     n = base.count()
     left = residuals(base, patterns, rhos, seeds, tau[0], n)
     sums = [F.sum(c).alias(c) for c in P.outcomes(arity)]
-    profiles = stage(left.groupBy(*cell, *P.codes(arity)).agg(*sums, F.count_if("t0_right").alias("right")), "residual-profiles")
+    profiles = stage(left.select(*cell, "t0_right", "_x.*").groupBy(*cell, *P.codes(arity)).agg(*sums, F.count_if("t0_right").alias("right")), "residual-profiles")
     facts = profiles.groupBy(*cell).agg(F.sum("_n").alias("n_residual"), (F.sum("right") / F.sum("_n")).alias("accuracy"))
     whole = base.agg(F.count(F.lit(1)).alias("n_use"), F.avg(F.col("t0_right").cast("int")).alias("accuracy_d"))
     deployed = P.grid_risk(profiles.drop("right"), arity, step, cell).select(*cell, "grid_idx", (F.col("bad_true") / F.col("n")).alias("deployed"))
     figures = ["valid", "n_certified", "grid_idx", "tau", F.col("n").alias("n_calibration"), F.col("risk").alias("calibrated")]
     certificates = None
     if 0.0 in epsilons or not n:  # of no records there is nothing to draw, and facts holds no cell
-        full = P.select_threshold(P.fixed_sequence(P.grid_risk(P.score_profiles(base, arity, step), arity, step), alpha, delta)).select(*figures)
+        full = P.select_threshold(P.fixed_sequence(P.grid_risk(P.score_profiles(base.select("_x.*"), arity, step), arity, step), alpha, delta)).select(*figures)
         certificates = facts.select(*cell, F.lit(0.0).alias("epsilon")).crossJoin(F.broadcast(full))
     rates = [float(e) for e in epsilons if e > 0]
     if rates and n:
-        rows = left.withColumn("epsilon", F.explode(F.array(*map(F.lit, rates))))
+        rows = left.drop("t0_right").withColumn("epsilon", F.explode(F.array(*map(F.lit, rates))))
         label = F.concat(F.lit("shadow-"), F.col("seed").cast("string"), F.lit("-"), F.col("rho").cast("string"), F.lit("-"), F.col("epsilon").cast("string"), F.lit("-"), F.col("pattern"), F.lit("-"))
         made = [(p, float(r), s, n - _absorbed(r, n)) for p in patterns for r in rhos for s in (seeds if p == "uniform" else seeds[:1])]
         wanted = [(*c, e, m if e >= 1 else max(1, _nearest(e * m)), m) for *c, m in made for e in rates]
         wanted = _rows(spark, wanted, pattern="string", rho="double", seed="bigint", epsilon="double", k="bigint", n="bigint")
         drawn = first_drawn(rows.withColumn("_draw", draw(label)), shadow_cell, "_draw", "rec_idx", wanted)
-        tested = P.fixed_sequence(P.grid_risk(P.score_profiles(drawn, arity, step, shadow_cell), arity, step, shadow_cell), alpha, delta, shadow_cell)
+        tested = P.fixed_sequence(P.grid_risk(P.score_profiles(drawn.select(*shadow_cell, "_x.*"), arity, step, shadow_cell), arity, step, shadow_cell), alpha, delta, shadow_cell)
         shadow = P.select_threshold(tested, shadow_cell).select(*shadow_cell, *figures)
         certificates = shadow if certificates is None else certificates.unionByName(shadow)
     needed = min_calibration_size(alpha, delta)
