@@ -73,3 +73,20 @@ def test_signals_pool_and_deduplicate(spark):
     assert got["pooled"]["u"] == plain(a, b)[0]
     once = {i: sum(h for j, _, h, _ in draws if j == i) >= 2 for i in range(12)}
     assert got["deduplicated"]["u"] == plain([i for i in once if once[i]], [i for i in once if not once[i]])[0]
+
+
+def test_fisher_steps_grow_with_the_root_of_the_counts(spark):
+    """Tables of 40 million: walking all of them would take minutes; small ones agree with whole sums."""
+    small = [(3, 1, 1, 3), (0, 5, 7, 2), (8, 2, 1, 5), (0, 0, 0, 0), (4, 0, 0, 4), (10, 90, 40, 300), (0, 3, 4, 0), (700, 20, 30, 900)]
+    large = [(10_000_000, 10_000_000, 10_000_000, 10_000_000), (10_004_000, 9_996_000, 9_996_000, 10_004_000), (12_000_000, 8_000_000, 8_000_000, 12_000_000)]
+    rows = spark.createDataFrame(small + large + [(None, 1, 1, 1)], "a long, b long, c long, e long")
+    got = {tuple(r)[:4]: r["p"] for r in rows.select("*", T.fisher(*map(F.col, "abce")).alias("p")).collect()}
+    for a, b, c, e in small:
+        ways = {x: math.comb(a + b, x) * math.comb(c + e, a + c - x) for x in range(max(0, a - e), min(a + b, a + c) + 1)}
+        whole = sum(ways.values())
+        assert got[a, b, c, e]["one_sided"] == pytest.approx(sum(w for x, w in ways.items() if x >= a) / whole, rel=1e-11)
+        assert got[a, b, c, e]["two_sided"] == pytest.approx(sum(w for w in ways.values() if w <= ways[a]) / whole, rel=1e-11)
+    even, leaning, dependent = (got[x] for x in large)
+    assert even["two_sided"] == 1 and even["one_sided"] == pytest.approx(0.5 + 0.5 / (2 * math.pi * 2_500_000) ** 0.5, rel=1e-6)
+    assert leaning["one_sided"] == pytest.approx(0.00571, rel=0.01) and leaning["two_sided"] == pytest.approx(2 * leaning["one_sided"], rel=1e-9)
+    assert dependent["two_sided"] == 0 and got[None, 1, 1, 1] is None

@@ -155,21 +155,62 @@ def hypergeometric(a, b, c, dd) -> Column:
     return F.exp(log_choose(a + b, a) + log_choose(c + dd, c) - log_choose(a + b + c + dd, a + c))
 
 
-def _tables(a, b, c, dd, keep) -> Column:
-    low, high = F.greatest(F.lit(0), a - dd), F.least(a + b, a + c)
-    p = lambda x: hypergeometric(x, a + b - x, a + c - x, dd - a + x)
-    return F.aggregate(F.sequence(low.cast("long"), high.cast("long")), F.lit(0.0), lambda s, x: s + F.when(keep(x, p(x)), p(x)).otherwise(0.0))
+def fisher(a, b, c, dd) -> Column:
+    """one_sided and two_sided: P(first cell >= a), and the sum over the tables that are no likelier than the one seen.
+
+    Tables are weighed against the likeliest one, each by its ratio to its neighbour, so nothing is lost to logarithms of
+    large factorials. By Hoeffding's bound a table farther than sqrt(375 k) from the mean, k the least margin, has less than
+    exp(-750), which is 0 as a double; so steps grow with the root of the counts, not with them.
+    """
+    given = F.struct(d(a).alias("a"), d(b).alias("b"), d(c).alias("c"), d(dd).alias("e"))
+
+    def margins(v: Column) -> Column:
+        r, s = v["a"] + v["b"], v["a"] + v["c"]
+        n = r + v["c"] + v["e"]
+        least = F.least(r, s, v["c"] + v["e"], v["b"] + v["e"])
+        low, high = F.greatest(F.lit(0.0), v["a"] - v["e"]), F.least(r, s)
+        mean = r * s / F.greatest(n, F.lit(1.0))
+        reach = F.sqrt(375 * least) + 2
+        whole = lambda x: x.cast("long")
+        mode = F.least(high, F.greatest(low, F.floor((r + 1) * (s + 1) / (n + 2)).cast("double")))
+        return F.struct(
+            r.alias("r"), s.alias("s"), (v["e"] - v["a"]).alias("off"), whole(v["a"]).alias("seen"), whole(mode).alias("mode"),
+            whole(F.greatest(low, F.floor(mean - reach).cast("double"))).alias("low"), whole(F.least(high, F.ceil(mean + reach).cast("double"))).alias("high"),
+        )
+
+    up = lambda t, w, x: w * (t["r"] - x) * (t["s"] - x) / ((x + 1.0) * (t["off"] + x + 1.0))  # noqa: E731  of x + 1, from that of x
+    down = lambda t, w, x: w * x * (t["off"] + x) / ((t["r"] - x + 1.0) * (t["s"] - x + 1.0))  # noqa: E731  of x - 1
+    none = F.array().cast("array<long>")
+    over = lambda t, to: F.when(to > t["mode"], F.sequence(t["mode"], to - 1)).otherwise(none)
+    under = lambda t, to: F.when(to < t["mode"], F.sequence(t["mode"], to + 1, F.lit(-1).cast("long"))).otherwise(none)
+
+    def weight(t: Column) -> Column:
+        inside = (t["seen"] >= t["low"]) & (t["seen"] <= t["high"])
+        above = F.aggregate(over(t, t["seen"]), F.lit(1.0), lambda w, x: up(t, w, x))
+        return F.when(~inside, 0.0).when(t["seen"] >= t["mode"], above).otherwise(F.aggregate(under(t, t["seen"]), F.lit(1.0), lambda w, x: down(t, w, x)))
+
+    def sums(t: Column, seen: Column) -> Column:
+        def add(s: Column, w: Column, x: Column) -> Column:
+            return F.struct(w.alias("w"), (s["all"] + w).alias("all"), (s["tail"] + F.when(x >= t["seen"], w).otherwise(0.0)).alias("tail"), (s["two"] + F.when(w <= seen * (1 + 1e-7), w).otherwise(0.0)).alias("two"))
+
+        zero = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("all"), F.lit(0.0).alias("tail"), F.lit(0.0).alias("two"))
+        back = lambda s: F.struct(F.lit(1.0).alias("w"), s["all"].alias("all"), s["tail"].alias("tail"), s["two"].alias("two"))
+        above = F.aggregate(over(t, t["high"]), add(zero, F.lit(1.0), t["mode"]), lambda s, x: let(up(t, s["w"], x), lambda w: add(s, w, x + 1)))
+        return F.aggregate(under(t, t["low"]), back(above), lambda s, x: let(down(t, s["w"], x), lambda w: add(s, w, x - 1)))
+
+    share = lambda s: F.struct(F.least(F.lit(1.0), s["tail"] / s["all"]).alias("one_sided"), F.least(F.lit(1.0), s["two"] / s["all"]).alias("two_sided"))
+    found = let(given, lambda v: let(margins(v), lambda t: let(weight(t), lambda w: let(sums(t, w), share))))
+    return F.when(d(a).isNotNull() & d(b).isNotNull() & d(c).isNotNull() & d(dd).isNotNull(), found)
 
 
 def fisher_one_sided(a: Column, b: Column, c: Column, dd: Column) -> Column:
     """P(first cell >= a)."""
-    return F.least(F.lit(1.0), _tables(a, b, c, dd, lambda x, p: x >= a))
+    return fisher(a, b, c, dd)["one_sided"]
 
 
 def fisher_two_sided(a: Column, b: Column, c: Column, dd: Column) -> Column:
     """Sum over the tables that are no likelier than the one seen."""
-    seen = hypergeometric(a, b, c, dd)
-    return F.least(F.lit(1.0), _tables(a, b, c, dd, lambda x, p: p <= seen * (1 + 1e-7)))
+    return fisher(a, b, c, dd)["two_sided"]
 
 
 def normal_two_sided(z) -> Column:
