@@ -36,3 +36,15 @@ def test_names(spark):
 def test_transfers_are_counted(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 5), ("b", 3), (None, 4)], "sig string, k int")
     assert [tuple(r) for r in C.transfer_groups(df, "sig", "k").collect()] == [("a", 3, 6, 1)]
+
+
+def test_transfers_are_dealt_by_pairs(spark):
+    """One signature of 300 rows among small ones: its pairs lie in many tasks, and all of them come once."""
+    rows = [("hot", k) for k in range(300)] + [("a", 1000), ("a", 1001), ("b", 1002), (None, 1003), (None, 1004), ("c", None), ("c", 1005)]
+    df = spark.createDataFrame(rows, "sig string, k long")
+    found = C.transfers(df, "sig", "k", side=50).selectExpr("*", "spark_partition_id() as part").collect()
+    assert sorted((r["donor"], r["recipient"]) for r in found) == sorted((x, y) for s, x in rows for t, y in rows if s == t and s is not None and None not in (x, y) and x != y)
+    sizes = {}
+    for r in found:
+        sizes[r["part"]] = sizes.get(r["part"], 0) + 1
+    assert len(sizes) > 8 and max(sizes.values()) < len(found) // 3

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import wilson_lcb
+from ..staging import stage
 
 #: Fixed value: the size of a candidate without static figures.
 UNKNOWN_SIZE = 1 << 29
@@ -46,3 +47,21 @@ def transfer_groups(rows: DataFrame, signature: str, key: str) -> DataFrame:
     """signature, members, transfers (ordered pairs), first of each signature that at least two rows share; the pairs aren't made."""
     g = rows.groupBy(signature).agg(F.count(F.lit(1)).alias("members"), F.min(key).alias("first")).where("members > 1")
     return g.select(signature, "members", (F.col("members") * (F.col("members") - 1)).alias("transfers"), "first")
+
+
+def transfers(rows: DataFrame, signature: str, key: str, side: int = 1000) -> DataFrame:
+    """donor, recipient: all ordered pairs of different keys with one signature; keys and signatures that are null make none.
+
+    The work is the pairs, not the rows, so they are dealt: a signature's donors and recipients lie in blocks of about `side`
+    rows, each two blocks meet in a cell of their own, and there is a task for about side ** 2 pairs, whatever the bytes of its input.
+    """
+    spark, r = rows.sparkSession, rows.select(F.col(signature).alias("_sig"), F.col(key).alias("_key")).where("_sig is not null and _key is not null")
+    sizes = stage(r.groupBy("_sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "signature-sizes")
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("_n") * F.col("_n")), F.lit(0)).alias("n")).first()["n"]
+    tasks = min(max(spark.sparkContext.defaultParallelism, -(-pairs // side**2)), 20_000)
+    blocks = F.ceil(F.col("_n") / side).cast("int")
+    own, each = F.pmod(F.xxhash64("_key"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    shared = r.join(sizes, "_sig")
+    donors = shared.select("_sig", F.col("_key").alias("donor"), own.alias("_i"), each.alias("_j")).repartition(tasks, "_sig", "_i", "_j")
+    recipients = shared.select("_sig", F.col("_key").alias("recipient"), each.alias("_i"), own.alias("_j")).repartition(tasks, "_sig", "_i", "_j")
+    return donors.join(recipients, ["_sig", "_i", "_j"]).where("donor <> recipient").select("donor", "recipient")
