@@ -205,6 +205,17 @@ def test_topk_over_many_blocks(spark):
         assert got[q] == [(int(i), int(s[i])) for i in np.lexsort((np.arange(900), -s)) if i != q][:5]
 
 
+def test_topk_scores_runs_by_products():
+    """One product scores a run for all queries; what is asked keeps its ties, and floors beyond doubles' whole numbers let nothing by."""
+    rng = np.random.default_rng(3)
+    rows, q = rng.integers(-90, 90, (300, 16)).astype(float), rng.integers(-90, 90, (40, 16)).astype(float)
+    exact = q.astype(np.int64) @ rows.astype(np.int64).T
+    least = np.sort(exact, 1)[:, -9]
+    least[0], least[1] = 2**62 + 1, -(2**63)
+    at, ids, scores = topk.scores_from(rows, np.abs(rows).max(1), q, np.arange(300), np.arange(40), least)
+    assert sorted(zip(at.tolist(), ids.tolist(), scores.tolist())) == [(i, j, int(exact[i, j])) for i in range(40) for j in range(300) if exact[i, j] >= least[i] and i != j]
+
+
 def test_quality_held_out():
     import pyarrow.parquet as pq
 

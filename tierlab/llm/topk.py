@@ -4,7 +4,8 @@ Vectors are lifted by one coordinate so that the largest inner product is the sm
 norm, |q' - x'|**2 = |q|**2 + M**2 - 2 q.x for x' = (x, sqrt(M**2 - |x|**2)) and q' = (q, 0). Distances from every
 candidate to the pivots are computed once; for a query, the largest |d(q, p) - d(x, p)| over the pivots is a lower bound
 of the distance, so an upper bound of the score. Candidates of a block are taken in bound order until no bound reaches
-the k-th best score; bounds carry a margin over rounding, and scores are exact integers. Bounds are doubles; vectors too
+the k-th best score, in runs that lie about as far from all pivots: a run has one bound for each query and is scored by a
+matrix product for all queries that still ask it. Bounds carry a margin over rounding, and scores are exact integers. Bounds are doubles; vectors too
 long for them (a square norm over 1e200) have none and are always tried. A score that a long doesn't hold counts as the
 nearest long.
 """
@@ -69,6 +70,18 @@ def inner_products(rows: np.ndarray, largest: np.ndarray, q: np.ndarray) -> np.n
     return out
 
 
+def scores_from(rows: np.ndarray, largest: np.ndarray, q: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, ids and exact scores of the rows that score `least` of a query or more and don't bear its id."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = np.nan_to_num(largest.max(initial=0) * np.abs(q).max(initial=0) * max(q.shape[1], 1), nan=0.0, posinf=np.inf)
+    if bound < WHOLE:
+        scores = q @ rows.T  # whole doubles below 2**52 are exact, and rounding `least` doesn't carry it past one of them
+    else:
+        scores = np.stack([inner_products(rows, largest, x) for x in q]) if len(q) else np.empty((0, len(rows)), np.int64)
+    at, row = np.nonzero((scores >= least[:, None].astype(scores.dtype)) & (ids != q_ids[:, None]))
+    return at, ids[row], np.rint(scores[at, row]).astype(np.int64) if scores.dtype.kind == "f" else scores[at, row]
+
+
 def _lift(x: np.ndarray, top: float) -> np.ndarray:
     x = x.astype(np.float64)
     return np.c_[x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))]
@@ -84,7 +97,7 @@ def _far_apart(x: np.ndarray, n: int) -> np.ndarray:
     return x[at]
 
 
-def top_k(df: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64, pivots: int = 16, pivot_sample: int = 512, block: int = 4096, query_block: int = 2048, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k(df: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64, pivots: int = 16, pivot_sample: int = 512, block: int = 4096, query_block: int = 2048, run: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of all other rows for each row whose key is divisible by query_step.
 
     Ties go to the smaller vec_id. A query never meets rows of its own vec_id; a repeated vec_id asks once (with its
@@ -120,35 +133,40 @@ def top_k(df: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64, piv
         with np.errstate(over="ignore", invalid="ignore"):
             squares = (c * c).sum(1)
             free = ~(squares <= LONGEST)  # candidates without a bound
-            d_c = to_pivots(_lift(np.where(free[:, None], 0, c), top)).T.copy()
+            d_c = to_pivots(_lift(np.where(free[:, None], 0, c), top))
             q_squares = (q * q).sum(1)
             d_q = to_pivots(np.c_[np.where((q_squares <= LONGEST)[:, None], q, 0), np.zeros(len(q))])
         largest = np.abs(c).max(1, initial=0)
-        out = []
-        for i in range(len(q)):
-            low = np.zeros(len(c))
-            for p in range(len(points)):
-                np.maximum(low, np.abs(d_c[p] - d_q[i, p]), out=low)
-            low = np.maximum(low - MARGIN * (1 + d_q[i].max()), 0)
-            bound = (q_squares[i] + top - low * low) / 2 + MARGIN * (1 + top + q_squares[i])
-            bound[free | ~(q_squares[i] <= LONGEST)] = np.inf
-            order = np.flatnonzero(bound >= floors[i])
-            order = order[np.argsort(-bound[order])]
-            ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-            at, step = 0, 4 * k
-            while at < len(order):
-                if len(scores) >= k and scores.min() > bound[order[at]]:
-                    break
-                take = order[at : at + step]
-                at += step
-                step *= 2
-                new = inner_products(c[take], largest[take], q[i])
-                other = (c_id[take] != q_id[i]) & (new >= floors[i])
-                ids, scores = np.r_[ids, c_id[take][other]], np.r_[scores, new[other]]
-                best = np.lexsort((ids, ~scores))[:k]  # ~ turns the order without overflow
-                ids, scores = ids[best], scores[best]
-            out.append((np.full(len(ids), q_id[i]), ids, scores))
-        return pa.Table.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], schema=schema)
+        near = d_c.argmin(1)
+        deal = np.lexsort((d_c[np.arange(len(c)), near], near))  # runs of candidates about as far from all pivots
+        runs = [deal[i : i + run] for i in range(0, len(deal), run)]
+        gaps = np.stack([np.maximum(d_c[r].min(0) - d_q, d_q - d_c[r].max(0)).max(1) for r in runs], 1)
+        low = np.maximum(gaps - MARGIN * (1 + d_q.max(1))[:, None], 0)
+        bound = (q_squares[:, None] + top - low * low) / 2 + MARGIN * (1 + top + q_squares)[:, None]
+        bound[:, [free[r].any() for r in runs]] = np.inf
+        bound[~(q_squares <= LONGEST)] = np.inf
+        kth = floors.copy()  # of each query: the least score that is still asked
+        held, waiting, due = [np.empty(0, np.int64)] * 3, [], 0  # places of queries, candidates, scores
+
+        def merge() -> list[np.ndarray]:
+            at, ids, scores = (np.concatenate([h, *(w[j] for w in waiting)]) for j, h in enumerate(held))
+            best = np.lexsort((ids, ~scores, at))  # ~ turns the order without overflow
+            at, ids, scores = at[best], ids[best], scores[best]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            full = place == k - 1
+            kth[at[full]] = np.maximum(kth[at[full]], scores[full])
+            return [x[place < k] for x in (at, ids, scores)]
+
+        for j in np.argsort(-np.nan_to_num(bound.max(0), posinf=np.inf), kind="stable"):
+            live, rows = np.flatnonzero(bound[:, j] >= kth), runs[j]
+            for part in np.array_split(live, max(1, -(-len(live) // 512))):
+                found = scores_from(c[rows], largest[rows], q[part], c_id[rows], q_id[part], kth[part])
+                waiting.append((part[found[0]], *found[1:]))
+                due += len(found[0])
+            if due > 4 * k * len(q) or not len(held[0]):
+                held, waiting, due = merge(), [], 0
+        at, ids, scores = merge()
+        return pa.Table.from_arrays([pa.array(q_id[at]), pa.array(ids), pa.array(scores)], schema=schema)
 
     home = F.col("qb") % blocks  # the block that a block of queries meets first
 
