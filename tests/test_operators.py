@@ -334,3 +334,54 @@ def test_adaptive_level_follows_a_plain_loop_and_drops_late_rows(spark, tmp_path
             tau += 0.05 * (0.2 - err)
     assert sorted(map(tuple, got)) == sorted(want)
     assert any(r[4] for r in want) and any(not r[3] for r in want)
+
+
+def test_adaptive_level_calls_the_store_by_lanes_not_by_rows():
+    """A lane of 1,000 rows and 100 keys, one of them null: a few messages, and the levels of a plain loop."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def appendValue(self, value):  # noqa: N802
+            calls.append("append")
+            self.held = [*(self.held or []), value]
+
+        put = update
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        getValueState = getListState = lambda self, *a: State()
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append("timer")
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 899
+
+    lane = V.AdaptiveLevel(0.5, 0.2, 0.05)
+    lane.init(Handle())
+    rows = pd.DataFrame({"at": range(999, -1, -1), "seq": range(1000), "key": [i % 100 for i in range(1000)], "none": [i % 100 == 0 for i in range(1000)], "oddity": [i * 7 % 10 / 10 for i in range(1000)], "wrong": [i % 3 == 0 for i in range(1000)]})
+    assert list(lane.handleInputRows((0,), iter([rows]), Now())) == []
+    (out,) = lane.handleExpiredTimer((0,), Now(), None)
+    assert len(calls) < 12 and len(out) == 900 and out["key"].isna().sum() == 9 and list(lane.handleExpiredTimer((0,), Now(), None)) == []
+    level, want = {}, []
+    for r in rows[rows["at"] <= 899].sort_values("at").itertuples():
+        tau = level.get(r.key, 0.5)
+        err = r.oddity <= tau and r.wrong
+        want.append((r.seq, tau, r.oddity <= tau, err))
+        level[r.key] = tau + 0.05 * (0.2 - err)
+    assert list(out[["seq", "tau", "accepted", "err"]].itertuples(index=False, name=None)) == want

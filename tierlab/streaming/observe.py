@@ -6,6 +6,7 @@ import uuid
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,50 +104,74 @@ class GramIndex(StatefulProcessor):
         pass
 
 
+ANSWER = np.dtype([("at", "i8"), ("seq", "i8"), ("key", "i8"), ("none", "?"), ("oddity", "f8"), ("wrong", "?")])
+LEVEL = np.dtype([("key", "i8"), ("none", "?"), ("tau", "f8")])
+
+
 class AdaptiveLevel(StatefulProcessor):
-    """Each key's level, and its rows that the watermark hasn't passed yet; those it passes are taken in order of time and seq."""
+    """The levels of a lane's keys, and its rows that the watermark hasn't passed yet; those it passes are taken in order of time and seq.
+
+    Every call of the state store is a message, so a lane has one timer, at the earliest time that waits in it, one packed
+    value for a batch of rows, and one for its levels: calls go with lanes and batches, not with rows or keys.
+    """
 
     def __init__(self, start: float, alpha: float, eta: float):
         self.start, self.alpha, self.eta = start, alpha, eta
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.level = handle.getValueState("level", "tau double")
-        self.waiting = handle.getListState("waiting", "at long, seq long, oddity double, wrong boolean")
+        self.levels = handle.getValueState("levels", "packed binary")
+        self.waiting = handle.getListState("waiting", "packed binary")
+        self.earliest = handle.getValueState("earliest", "at long")
+
+    def _wake(self, at: int) -> None:
+        self.earliest.update((at,))
+        self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came = [(int(a), int(s), float(o), bool(w)) for part in rows for a, s, o, w in zip(part["at"], part["seq"], part["oddity"], part["wrong"])]
-        self.waiting.appendList(came)
-        for at in {r[0] for r in came}:
-            self.handle.registerTimer(at)
+        first = None
+        for part in rows:
+            came = np.empty(len(part), ANSWER)
+            for c in ANSWER.names:
+                came[c] = part[c].to_numpy()
+            self.waiting.appendValue((came.tobytes(),))
+            first = int(came["at"].min()) if first is None else min(first, int(came["at"].min()))
+        known = self.earliest.get()
+        if first is not None and (known is None or first < known[0]):
+            self._wake(first)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(r) for r in self.waiting.get())
-        due = [r for r in held if r[0] <= passed]
-        if not due:  # another timer of the same batch took them
+        passed, known = timerValues.getCurrentWatermarkInMs(), self.earliest.get()
+        if known is None or known[0] > passed:  # an older timer of the same batch took them
             return
-        tau = self.level.get()[0] if self.level.exists() else self.start
+        held = np.concatenate([np.frombuffer(bytes(r[0]), ANSWER) for r in self.waiting.get()])
+        held = held[np.lexsort((held["wrong"], held["oddity"], held["seq"], held["at"]))]
+        n = int(np.searchsorted(held["at"], passed, "right"))
+        packed = self.levels.get()
+        levels = {} if packed is None else {(k, none): tau for k, none, tau in np.frombuffer(bytes(packed[0]), LEVEL).tolist()}
         out = []
-        for _, seq, oddity, wrong in due:
+        for _, seq, number, none, oddity, wrong in held[:n].tolist():
+            tau = levels.get((number, none), self.start)
             accepted = oddity <= tau
             err = accepted and wrong
-            out.append((key[0], seq, tau, accepted, err))
-            tau = tau + self.eta * (self.alpha - (1.0 if err else 0.0))
-        self.level.update((tau,))
-        rest = held[len(due) :]
-        if rest:
-            self.waiting.put(rest)
+            out.append((seq, tau, accepted, err))
+            levels[number, none] = tau + self.eta * (self.alpha - (1.0 if err else 0.0))
+        self.levels.update((np.array([(*k, tau) for k, tau in levels.items()], LEVEL).tobytes(),))
+        if n < len(held):
+            self.waiting.put([(held[n:].tobytes(),)])
+            self._wake(int(held["at"][n]))
         else:
             self.waiting.clear()
-        yield pd.DataFrame(out, columns=["key", "seq", "tau", "accepted", "err"])
+            self.earliest.clear()
+        keys = pd.Series(pd.arrays.IntegerArray(held["key"][:n].copy(), held["none"][:n].copy()))  # a null key is a key
+        yield pd.DataFrame(out, columns=["seq", "tau", "accepted", "err"]).assign(key=keys)[["key", "seq", "tau", "accepted", "err"]]
 
     def close(self) -> None:
         pass
 
 
-def adaptive_level(answers: DataFrame, start: float, alpha: float, eta: float, late: str = "1 hour") -> DataFrame:
+def adaptive_level(answers: DataFrame, start: float, alpha: float, eta: float, late: str = "1 hour", lanes: int = 256) -> DataFrame:
     """key, seq, tau, accepted, err of a stream of answers (key, ts, seq, score, wrong): the level of tolerated oddity that each
     answer meets in its key, tau <- tau + eta * (alpha - err) after it, from `start` on.
 
@@ -154,14 +179,15 @@ def adaptive_level(answers: DataFrame, start: float, alpha: float, eta: float, l
     of errors of a key goes to alpha whatever its answers do. Answers are taken in order of ts and seq: each waits in the
     state until the watermark (the latest ts less `late`) has passed it, so files may come in any order; one that comes
     after that is late and takes no part. A null score is the oddest, a null wrong counts as wrong, a null ts or seq takes no part.
+    Keys share `lanes` of state by their hash (a stream that goes on keeps the number it began with).
     """
     with_state_store(answers.sparkSession)
     timed = answers.where(F.col("ts").isNotNull() & F.col("seq").isNotNull()).withWatermark("ts", late)
     rows = timed.select(
-        F.col("key").cast("long").alias("key"), "ts", F.unix_millis("ts").alias("at"), F.col("seq").cast("long").alias("seq"),
+        F.pmod(F.xxhash64(F.col("key").cast("long")), F.lit(lanes)).alias("lane"), F.coalesce(F.col("key").cast("long"), F.lit(0)).cast("long").alias("key"), F.col("key").isNull().alias("none"), "ts", F.unix_millis("ts").alias("at"), F.col("seq").cast("long").alias("seq"),
         (1 - F.coalesce(F.col("score").cast("double"), F.lit(0.0))).alias("oddity"), F.coalesce("wrong", F.lit(True)).alias("wrong"),
     )
-    return rows.groupBy("key").transformWithStateInPandas(AdaptiveLevel(start, alpha, eta), "key long, seq long, tau double, accepted boolean, err boolean", "append", "eventTime")
+    return rows.groupBy("lane").transformWithStateInPandas(AdaptiveLevel(start, alpha, eta), "key long, seq long, tau double, accepted boolean, err boolean", "append", "eventTime")
 
 
 _SELF, _MET = "item ", ["id", "size", "other", "other_size"]
