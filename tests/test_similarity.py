@@ -78,3 +78,16 @@ def test_a_hot_text_costs_one_set(spark):
     sets = M.text_sets(df)[0]
     assert sets.count() == 2 and M.candidates(sets, sets, 0.5).count() == 4
     assert [(r["a"], r["b"], r["sim"]) for r in M.top_pairs(df, 2).collect()] == [(2998, 2999, 1.0), (2997, 2999, 1.0)]
+
+
+def test_retrieval_explodes_no_grams(spark, texts, monkeypatch):
+    monkeypatch.setattr(M, "candidates", lambda *_: pytest.fail("retrieval joined prefixes"))
+    monkeypatch.setattr(M, "CHUNK", 7, raising=False)  # several chunks and blocks
+    monkeypatch.setattr(M, "QUERIES", 9, raising=False)
+    monkeypatch.setattr(M, "CELLS", 300, raising=False)
+    df = spark.createDataFrame([(i, t, float(i % 4)) for i, t in texts], "id int, text string, score double")
+    got = {(r["a"], r["b"]): r["sim"] for r in M.retrieve(df.where("id % 5 = 0").select("id", "text"), df, k=0, floor=0.2).collect()}
+    same = lambda x, t: " ".join(x.split()).lower() == " ".join(t.split()).lower()
+    pairs = [(i, j, 1.0 if same(t, u) else plain_sim(t, u)) for i, t in texts if i % 5 == 0 and t is not None for j, u in texts if u is not None]
+    assert got == pytest.approx({(i, j): s for i, j, s in pairs if s >= 0.2}) and len(got) > 100
+    assert M.retrieve(df.limit(0).select("id", "text"), df).count() == M.retrieve(df.select("id", "text"), df.limit(0)).count() == 0

@@ -6,12 +6,17 @@ the key), and a match counts only if the grams that are left after it can still
 from the whole sets. Any order of grams gives the same pairs; rarity is taken from
 counts of hashed grams, a byte for each of 65,536 buckets, so what every task gets doesn't grow with the texts. Equal texts are one
 set, however many rows hold them.
+
+At low thresholds, such as those of retrieval, prefixes hold most of a set and keep little apart. There queries and texts
+meet in blocks, and common grams are counted for all pairs of a block by a product of 0/1 matrices.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ from ..functions.text import normalize, problem_hash, trigrams
 from ..staging import stage
 
 BUCKETS = 1 << 16  # of the table of rarity
+QUERIES, CHUNK = 1024, 512  # texts of a block and of a chunk that meet in retrieval
+CELLS = 1 << 23  # of a matrix in retrieval
 
 
 def grams(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -107,21 +114,86 @@ def similar(left: DataFrame, right: DataFrame, t: float, keep: Column | None = N
     return exact.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim")).where(F.col("sim") >= t)
 
 
+def _codes(text: str) -> np.ndarray:
+    """As gram_codes, sorted, of a text that is normalised."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    return np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])
+
+
+def _by_size(texts: pa.ChunkedArray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Places, sets and sizes of the texts, smallest set first; texts without a gram are left out."""
+    sets = [_codes(t) for t in texts.to_pylist()]
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    return order, [sets[i] for i in order], sizes[order]
+
+
+def _incidence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+    """1 where a set (row) holds a gram of the sorted vocabulary (column), else 0. Sums are exact: 32 bits hold counts below 2**24."""
+    grams = np.concatenate(sets)
+    row, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.minimum(np.searchsorted(vocabulary, grams), len(vocabulary) - 1)
+    known = vocabulary[at] == grams
+    out = np.zeros((len(sets), len(vocabulary)), dtype=np.float32 if len(vocabulary) < 1 << 24 else np.float64)
+    out[row[known], at[known]] = 1
+    return out
+
+
+def _near(asked: pa.Table, held: pa.Table, t: float) -> tuple[list, list, list]:
+    """Places in asked and held, and similarity, of the pairs that reach t, and of equal texts under three code points.
+    Sets whose sizes forbid it don't meet; no matrix has over CELLS cells (or one row)."""
+    margin = 1e-9
+    place_a, sets_a, n_a = _by_size(asked["t"])
+    place_b, sets_b, n_b = _by_size(held["t"])
+    at_a, at_b, sims, i = [], [], [], 0
+    while i < len(sets_a):
+        grams, j = 0, i
+        while j < len(sets_a) and (j == i or (grams + n_a[j]) * (j + 1 - i) <= CELLS):
+            grams, j = grams + n_a[j], j + 1
+        vocabulary = np.unique(np.concatenate(sets_a[i:j]))
+        x = _incidence(sets_a[i:j], vocabulary)
+        low, high = np.searchsorted(n_b, n_a[i] * t - margin), np.searchsorted(n_b, n_a[j - 1] / t + margin, "right")
+        step = max(1, CELLS // len(vocabulary))
+        for k in range(low, high, step):
+            m = min(k + step, high)
+            both = (_incidence(sets_b[k:m], vocabulary) @ x.T).astype(np.float64)
+            sim = both / (n_b[k:m, None] + n_a[None, i:j] - both)
+            b, a = np.nonzero(sim >= t)
+            at_a.append(place_a[i + a]), at_b.append(place_b[k + b]), sims.append(sim[b, a])
+        i = j
+    short = {x: i for i, x in enumerate(asked["t"].to_pylist()) if len(x) < 3}
+    same = [(short[x], i) for i, x in enumerate(held["t"].to_pylist()) if len(x) < 3 and x in short]
+    at_a.append([a for a, _ in same]), at_b.append([b for _, b in same]), sims.append(np.ones(len(same)))
+    return at_a, at_b, sims
+
+
 def retrieve(queries: DataFrame, stored: DataFrame, k: int = 5, floor: float = 0.35) -> DataFrame:
     """The k stored texts most like each query, over the floor (> 0): queries (id, text), stored (id, text, score): a, b, sim, score, place.
 
     Equal normalised texts count 1, also those under three code points; ties go to the higher score, then the smaller id.
-    Of a stored text's copies only the k that can be among the best are carried on. k = 0: all.
+    Chunks of stored rows meet blocks of distinct queries, each pair of them in one group; stored rows are shuffled once for
+    each block of QUERIES queries. k = 0: all.
     """
-    left, right = text_sets(queries, stored)
-    hashed = lambda d, *more: d.where("text is not null").select(problem_hash(F.col("text")).alias("h"), "id", *more)
-    near = similar(left, right, floor).where("a <> b")
-    same = left.select(F.col("h").alias("a")).join(right.select(F.col("h").alias("b")), F.col("a") == F.col("b")).withColumn("sim", F.lit(1.0))
-    copies = hashed(stored, "score")
-    if k > 0:
-        copies = copies.withColumn("_n", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("score"), "id"))).where(F.col("_n") <= k).drop("_n")
-    asked = hashed(queries).select(F.col("h").alias("a"), F.col("id").alias("_query"))
-    scored = near.unionByName(same).join(copies.select(F.col("h").alias("b"), F.col("id").alias("_stored"), "score"), "b").join(asked, "a").select(F.col("_query").alias("a"), F.col("_stored").alias("b"), "sim", "score")
+    t = normalize(F.col("text"))
+    asked = queries.where("text is not null").select(problem_hash(F.col("text")).alias("h"), "id", t.alias("t"))
+    held = stored.where("text is not null").select("id", "score", t.alias("t"))
+    distinct = stage(asked.groupBy("h").agg(F.first("t").alias("t")), "asked")
+    blocks, chunks = -(-distinct.count() // QUERIES), max(1, -(-stored.count() // CHUNK))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))
+    left = distinct.select("h", "t", deal("h", max(1, blocks)).alias("block"), each(chunks).alias("chunk"))
+    right = held.select("id", "score", "t", deal("id", chunks).alias("chunk"), each(blocks).alias("block"))
+    fields = right.select("id", "score").schema
+    schema = f"h string, id {fields['id'].dataType.simpleString()}, score {fields['score'].dataType.simpleString()}, sim double"
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        at_a, at_b, sims = _near(a, b, floor)
+        at_a, at_b = (np.concatenate(x).astype(np.int64) for x in (at_a, at_b))
+        return pa.table({"h": a["h"].take(at_a), "id": b["id"].take(at_b), "score": b["score"].take(at_b), "sim": np.concatenate(sims)})
+
+    near = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(search, schema)
+    found = near.select("h", F.col("id").alias("_stored"), "score", "sim")
+    scored = found.join(asked.select("h", F.col("id").alias("_query")), "h").select(F.col("_query").alias("a"), F.col("_stored").alias("b"), "sim", "score")
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), F.desc("score"), "b"))
     out = scored.withColumn("place", place)
     return out.where(F.col("place") <= k) if k > 0 else out
