@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tierlab.functions import text as X
 from tierlab.operators import clusters as C
 from tierlab.operators import ordering as O
+from tierlab.operators import policy as P
 from tierlab.operators import similarity as M
 from tierlab.operators import sweep as W
 from tierlab.plans.registry import ORACLES, QUERIES
@@ -385,3 +386,20 @@ def test_adaptive_level_calls_the_store_by_lanes_not_by_rows():
         want.append((r.seq, tau, r.oddity <= tau, err))
         level[r.key] = tau + 0.05 * (0.2 - err)
     assert list(out[["seq", "tau", "accepted", "err"]].itertuples(index=False, name=None)) == want
+
+
+def test_drawn_cells_are_summed_in_the_pass_that_finds_their_bounds(spark, monkeypatch):
+    base = W.coded_base(P.usable(B.records(spark, SF)), 2)
+    n, cells = base.count(), ["pattern", "rho", "seed"]
+    want = {}
+    for rho, seed in ((0.2, 1), (0.2, 2), (0.6, 1), (0.6, 2)):
+        rows = sorted(base.withColumn("d", W.draw(f"draw-{seed}-{rho}-")).collect(), key=lambda r: (r["d"], r["rec_idx"]))[round(rho * n) :]
+        want["uniform", rho, seed] = (len(rows), sum(r["t0_right"] for r in rows), sum(r["_x"]["_w0"] or 0 for r in rows))
+    summed = lambda p: {tuple(r[:3]): tuple(r[3:]) for r in p.groupBy(*cells).agg(F.sum("_n"), F.sum("right"), F.sum("_w0")).collect()}
+    uneven = lambda wanted, bits: O.expected(wanted, bits).withColumn("_low", F.lit(0).cast("long")).withColumn("_high", F.lit(0).cast("long"))
+    with monkeypatch.context() as m:
+        m.setattr(W, "draw_bounds", lambda *_: pytest.fail("rows were drawn twice"))
+        assert summed(W.drawn_profiles(base, [0.2, 0.6], [1, 2], n, 2)[0]) == want
+    monkeypatch.setattr(W, "expected", uneven)  # bounds aren't where they should be
+    profiles, bounds = W.drawn_profiles(base, [0.2, 0.6], [1, 2], n, 2)
+    assert summed(profiles) == want and W.drawn_left(base, [0.2, 0.6], [1, 2], bounds).count() == sum(x[0] for x in want.values())

@@ -92,7 +92,7 @@ def smallest(rows: DataFrame, cells: list[str], draw: str, tie: str, wanted: Dat
     return stage(kth.select(*cells, F.col(draw).alias("bound_draw"), F.col(tie).alias("bound_tie")), "bounds")
 
 
-def _expected(wanted: DataFrame, bits: int) -> DataFrame:
+def expected(wanted: DataFrame, bits: int) -> DataFrame:
     """wanted (cells, k, n) with _low and _high: draws between which the k-th of n even ones lies, with eight standard deviations to spare."""
     share, span = F.col("k") / F.col("n"), float(1 << bits)
     spare = (8 * F.sqrt(F.col("k") * (1 - share)) + 64) / F.col("n")
@@ -110,7 +110,7 @@ def draw_bounds(rows: DataFrame, cells: list[str], draw: str, tie: str, wanted:
     The k-th draw lies in a narrow range then: rows below it are counted and those in it (some 16 times the root of k a cell)
     ranked, so rows is computed once. Where a cell's bound isn't there after all, the histograms of `smallest` find all of them.
     """
-    met = rows.select(*cells, draw, tie).join(F.broadcast(_expected(wanted, bits)), cells).where(_under(draw))
+    met = rows.select(*cells, draw, tie).join(F.broadcast(expected(wanted, bits)), cells).where(_under(draw))
     inside = F.col(draw) >= F.col("_low")
     counted = met.groupBy(*cells, "k", F.when(inside, F.col(draw)).alias("_d"), F.when(inside, F.col(tie)).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*cells).orderBy(F.asc_nulls_first("_d"), "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -128,13 +128,18 @@ def upto_bound(draw: str, tie: str) -> Column:
     return F.coalesce(at, F.lit(False))
 
 
+def digits_of(number: Column) -> Column:
+    """A number from 0 to 2**48 as twelve lower-case hexadecimal digits, which sort as numbers do; 2**48 sorts after all others."""
+    return F.when(number < 1 << 48, F.lpad(F.lower(F.hex(number)), 12, "0")).otherwise("g")
+
+
 def first_drawn(rows: DataFrame, cells: list[str], draw: str, tie: str, wanted: DataFrame, bits: int = 48) -> DataFrame:
     """The k rows of each cell of wanted (cells, k, n) with the least (draw, tie).
 
     Rows that an even draw can't put among them are left out at once, and the others staged; if a cell then holds fewer than
     k, all rows of the cells are staged instead.
     """
-    near = F.broadcast(_expected(wanted, bits).select(*cells, "_high"))
+    near = F.broadcast(expected(wanted, bits).select(*cells, "_high"))
     held = stage(rows.join(near, cells).where(_under(draw)).drop("_high"), "drawn")
     sizes = held.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
     short = wanted.join(sizes, cells, "left").where(F.coalesce("_n", F.lit(0)) < F.col("k"))

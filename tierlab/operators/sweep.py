@@ -7,22 +7,22 @@ the draw off what is left. Either is then deployed on what is left.
 
 A record enters as a narrow row: its id, what a grid of thresholds can tell of it (policy.coded), and its tier-0 order. The two
 sorted patterns are sorted once, whatever the shares; a drawn cell keeps the rows beyond one bound, the k-th draw,
-found among the few rows near the place where it is expected. So per cell only sums over the lattice of thresholds are
-shuffled.
+found among the few rows near the place where it is expected. The pass that finds it also sums the rows beyond that
+place, so a row is drawn once. Per cell only sums over the lattice of thresholds are shuffled.
 """
 
 from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import double_bits, hash_of, signed
 from ..functions.stats import min_calibration_size
 from ..staging import stage
 from . import policy as P
-from .ordering import draw_bounds, first_drawn, placed, seeded_permutation, stable_rank, upto_bound
+from .ordering import digits_of, draw_bounds, expected, first_drawn, placed, seeded_permutation, stable_rank, upto_bound
 
 PATTERNS = ("easy-first", "cheap-accept", "uniform")
 
@@ -34,8 +34,13 @@ def tier0(records: DataFrame) -> DataFrame:
 
 def draw(label: Column | str, id_col: str = "rec_idx", digits: int = 12) -> Column:
     """A number drawn for an id by a hash; each label is a draw of its own."""
+    return F.conv(drawn_digits(label, id_col, digits), 16, 10).cast("long")
+
+
+def drawn_digits(label: Column | str, id_col: str = "rec_idx", digits: int = 12) -> Column:
+    """draw in hexadecimal digits: of one length, so they compare as their numbers, and cost less to make."""
     label = F.lit(label) if isinstance(label, str) else label
-    return F.conv(F.substring(F.sha2(F.concat(label, F.col(id_col).cast("string")), 256), 1, digits), 16, 10).cast("long")
+    return F.substring(F.sha2(F.concat(label, F.col(id_col).cast("string")), 256), 1, digits)
 
 
 def with_place(records: DataFrame, pattern: str, tau0: float, label: str = "draw-", digits: int = 3) -> DataFrame:
@@ -119,12 +124,12 @@ def coded_base(records: DataFrame, arity: int, step: float = 0.1) -> DataFrame:
     return stage(narrow.select("rec_idx", "t0_right", "t0_score", packed), "sweep-records")
 
 
-def residuals(base: DataFrame, patterns: list[str], rhos: list[float], seeds: list[int], tau0: float, n: int) -> DataFrame:
-    """Narrow rows (pattern, rho, seed, rec_idx, t0_right, _x) of the n records of coded_base left in every cell.
+def residuals(base: DataFrame, patterns: list[str], rhos: list[float], seeds: list[int], tau0: float, n: int) -> DataFrame | None:
+    """Narrow rows (pattern, rho, seed, rec_idx, t0_right, _x) of the n records of coded_base left in every cell that isn't drawn; None without one.
     Sorted patterns are the same for all seeds and come once, with the first."""
     if not all(0 <= r < 1 for r in rhos) or not set(patterns) <= set(PATTERNS):
         raise ValueError("rho has to be in [0, 1), patterns are easy-first, cheap-accept and uniform")
-    spark, cells, plain = base.sparkSession, ["pattern", "rho", "seed"], [c for c in base.columns if c != "t0_score"]
+    plain = [c for c in base.columns if c != "t0_score"]
     left = None
     for p in (p for p in patterns if p != "uniform"):
         first = F.col("t0_right") if p == "easy-first" else F.col("t0_score") >= tau0
@@ -133,23 +138,53 @@ def residuals(base: DataFrame, patterns: list[str], rhos: list[float], seeds: li
         kept = ranked.withColumn("c", F.explode(F.filter(shares, lambda c: F.col("_place") >= c["after"])))
         kept = kept.select(F.lit(p).alias("pattern"), "c.rho", F.lit(seeds[0]).cast("long").alias("seed"), *plain)
         left = kept if left is None else left.unionByName(kept)
-    if "uniform" in patterns:
-        cell = lambda r, s: F.struct(F.lit(float(r)).alias("rho"), F.lit(s).cast("long").alias("seed"), F.lit(f"draw-{s}-{r}-").alias("label"))
-        rows = base.select(F.lit("uniform").alias("pattern"), F.explode(F.array(*[cell(r, s) for r in rhos for s in seeds])).alias("c"), *plain)
-        whole = [r for r in rhos if not _absorbed(r, n)]  # nothing is drawn in these
-        is_whole = F.col("c.rho").isin([float(r) for r in whole])
-        kept = rows.where(is_whole).select("pattern", "c.rho", "c.seed", *plain)
-        drawn = [("uniform", float(r), s, _absorbed(r, n), n) for r in rhos for s in seeds if r not in whole]
-        if drawn:
-            rows = rows.where(~is_whole).select("pattern", "c.rho", "c.seed", *plain, draw(F.col("c.label")).alias("_draw"))
-            wanted = _rows(spark, drawn, pattern="string", rho="double", seed="bigint", k="bigint", n="bigint")
-            bounds = draw_bounds(rows, cells, "_draw", "rec_idx", wanted)
-            beyond = rows.join(F.broadcast(bounds), cells, "left").where(~upto_bound("_draw", "rec_idx")).select(*cells, *plain)
-            kept = kept.unionByName(beyond) if whole else beyond
+    whole = [r for r in rhos if not _absorbed(r, n)]  # nothing is drawn in these
+    if "uniform" in patterns and whole:
+        kept = _uniform(base, whole, seeds).drop("label")
         left = kept if left is None else left.unionByName(kept)
     return left
 
 
+def _uniform(base: DataFrame, rhos: list[float], seeds: list[int]) -> DataFrame:
+    """All rows of base in each cell of the uniform pattern, with the label of its draw."""
+    cell = lambda r, s: F.struct(F.lit(float(r)).alias("rho"), F.lit(s).cast("long").alias("seed"), F.lit(f"draw-{s}-{r}-").alias("label"))
+    rows = base.select(F.lit("uniform").alias("pattern"), F.explode(F.array(*[cell(r, s) for r in rhos for s in seeds])).alias("c"), *[c for c in base.columns if c != "t0_score"])
+    return rows.select("pattern", "c.rho", "c.seed", "c.label", *[c for c in base.columns if c != "t0_score"])
+
+
+def drawn_profiles(base: DataFrame, rhos: list[float], seeds: list[int], n: int, arity: int) -> tuple[DataFrame, DataFrame]:
+    """Sums over codes of what the drawn cells (shares that absorb a record) leave, and bounds: cells, bound_draw (digits), bound_tie.
+
+    In one pass rows that are surely absorbed are counted, those surely left summed by codes, and the few near the bound kept
+    with their draws. Where a cell's bound isn't among these, the histograms of draw_bounds find all of them, and a second pass sums.
+    """
+    cells, codes = ["pattern", "rho", "seed"], P.codes(arity)
+    sums = [F.sum(c).alias(c) for c in P.outcomes(arity)]
+    rows = _uniform(base, rhos, seeds)
+    wanted = _rows(base.sparkSession, [("uniform", float(r), s, _absorbed(r, n), n) for r in rhos for s in seeds], pattern="string", rho="double", seed="bigint", k="bigint", n="bigint")
+    near = expected(wanted, 48).select(*cells, "k", digits_of(F.col("_low")).alias("_low"), digits_of(F.col("_high")).alias("_high"))
+    zone = F.when(F.col("_h") < F.col("_low"), 0).when(F.col("_h") < F.col("_high"), 1).otherwise(2)
+    met = rows.withColumn("_h", drawn_digits(F.col("label"))).join(F.broadcast(near), cells).select(*cells, "k", zone.alias("_z"), "_h", "rec_idx", "t0_right", "_x.*")
+    close = lambda c, name: F.when(F.col("_z") == 1, F.col(c)).alias(name)
+    kept_codes = [F.when(F.col("_z") > 0, F.col(c)).alias(c) for c in codes]
+    held = stage(met.groupBy(*cells, "k", "_z", *kept_codes, close("_h", "_d"), close("rec_idx", "_t")).agg(*sums, F.count_if("t0_right").alias("right")), "drawn-profiles")
+    run = Window.partitionBy(*cells).orderBy(F.asc_nulls_first("_d"), "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = held.where("_z < 2").withColumn("_upto", F.sum("_n").over(run)).where("_z = 1 and _upto = k")
+    bounds = stage(upto.select(*cells, F.col("_d").alias("bound_draw"), F.col("_t").alias("bound_tie")), "bounds")
+    if bounds.count() == len(rhos) * len(seeds):
+        beyond = held.join(F.broadcast(bounds), cells).where((F.col("_z") == 2) | ((F.col("_z") == 1) & ~upto_bound("_d", "_t")))
+        return beyond.groupBy(*cells, *codes).agg(*sums, F.sum("right").alias("right")), bounds
+    found = draw_bounds(rows.withColumn("_draw", draw(F.col("label"))), cells, "_draw", "rec_idx", wanted)
+    bounds = found.withColumn("bound_draw", digits_of(F.col("bound_draw")))
+    return drawn_left(base, rhos, seeds, bounds).select(*cells, "t0_right", "_x.*").groupBy(*cells, *codes).agg(*sums, F.count_if("t0_right").alias("right")), bounds
+
+
+def drawn_left(base: DataFrame, rhos: list[float], seeds: list[int], bounds: DataFrame) -> DataFrame:
+    """The rows of residuals for the drawn cells, beyond their bounds."""
+    rows = _uniform(base, rhos, seeds).withColumn("_h", drawn_digits(F.col("label"))).join(F.broadcast(bounds), ["pattern", "rho", "seed"], "left")  # every cell has a bound; a left join computes _h once
+    return rows.where(~upto_bound("_h", "rec_idx")).drop("_h", "label", "bound_draw", "bound_tie")
+
+
 def absorption_sweep(records: DataFrame, patterns: list[str], rhos: list[float], alpha: float, delta: float, tau: list[float], epsilons: list[float] | None = None, seeds: list[int] | None = None, step: float = 0.1) -> DataFrame:
     """A row for each pattern, rho, epsilon and seed: sizes, tier-0 accuracy before and after, certificate, deployed risk and its gap.
 
@@ -161,9 +196,13 @@ def absorption_sweep(records: DataFrame, patterns: list[str], rhos: list[float],
     cell, shadow_cell = ["pattern", "rho", "seed"], ["pattern", "rho", "seed", "epsilon"]
     spark, base = records.sparkSession, coded_base(P.usable(records), arity, step)
     n = base.count()
-    left = residuals(base, patterns, rhos, seeds, tau[0], n)
+    left, drawn = residuals(base, patterns, rhos, seeds, tau[0], n), [r for r in rhos if "uniform" in patterns and _absorbed(r, n)]
     sums = [F.sum(c).alias(c) for c in P.outcomes(arity)]
-    profiles = stage(left.select(*cell, "t0_right", "_x.*").groupBy(*cell, *P.codes(arity)).agg(*sums, F.count_if("t0_right").alias("right")), "residual-profiles")
+    profiles = None if left is None else left.select(*cell, "t0_right", "_x.*").groupBy(*cell, *P.codes(arity)).agg(*sums, F.count_if("t0_right").alias("right"))
+    if drawn:
+        summed, bounds = drawn_profiles(base, drawn, seeds, n, arity)
+        profiles = summed if profiles is None else profiles.unionByName(summed)
+    profiles = stage(profiles, "residual-profiles")
     facts = profiles.groupBy(*cell).agg(F.sum("_n").alias("n_residual"), (F.sum("right") / F.sum("_n")).alias("accuracy"))
     whole = base.agg(F.count(F.lit(1)).alias("n_use"), F.avg(F.col("t0_right").cast("int")).alias("accuracy_d"))
     deployed = P.grid_risk(profiles.drop("right"), arity, step, cell).select(*cell, "grid_idx", (F.col("bad_true") / F.col("n")).alias("deployed"))
@@ -174,13 +213,16 @@ def absorption_sweep(records: DataFrame, patterns: list[str], rhos: list[float],
         certificates = facts.select(*cell, F.lit(0.0).alias("epsilon")).crossJoin(F.broadcast(full))
     rates = [float(e) for e in epsilons if e > 0]
     if rates and n:
+        if drawn:
+            beyond = drawn_left(base, drawn, seeds, bounds)
+            left = beyond if left is None else left.unionByName(beyond)
         rows = left.drop("t0_right").withColumn("epsilon", F.explode(F.array(*map(F.lit, rates))))
         label = F.concat(F.lit("shadow-"), F.col("seed").cast("string"), F.lit("-"), F.col("rho").cast("string"), F.lit("-"), F.col("epsilon").cast("string"), F.lit("-"), F.col("pattern"), F.lit("-"))
         made = [(p, float(r), s, n - _absorbed(r, n)) for p in patterns for r in rhos for s in (seeds if p == "uniform" else seeds[:1])]
         wanted = [(*c, e, m if e >= 1 else max(1, _nearest(e * m)), m) for *c, m in made for e in rates]
         wanted = _rows(spark, wanted, pattern="string", rho="double", seed="bigint", epsilon="double", k="bigint", n="bigint")
-        drawn = first_drawn(rows.withColumn("_draw", draw(label)), shadow_cell, "_draw", "rec_idx", wanted)
-        tested = P.fixed_sequence(P.grid_risk(P.score_profiles(drawn.select(*shadow_cell, "_x.*"), arity, step, shadow_cell), arity, step, shadow_cell), alpha, delta, shadow_cell)
+        shadows = first_drawn(rows.withColumn("_draw", draw(label)), shadow_cell, "_draw", "rec_idx", wanted)
+        tested = P.fixed_sequence(P.grid_risk(P.score_profiles(shadows.select(*shadow_cell, "_x.*"), arity, step, shadow_cell), arity, step, shadow_cell), alpha, delta, shadow_cell)
         shadow = P.select_threshold(tested, shadow_cell).select(*shadow_cell, *figures)
         certificates = shadow if certificates is None else certificates.unionByName(shadow)
     needed = min_calibration_size(alpha, delta)
