@@ -84,3 +84,69 @@ def test_seeded_draws_of_a_sweep(spark):
         assert [r["rec_idx"] for r in got.orderBy("place").collect()] == left
         want = [left[i] for i in shuffled(len(left), seed ^ bits(eps) ^ bits(rho) ^ fnv("uniform"))[: max(1, int(eps * len(left) + 0.5))]]
         assert {r["rec_idx"] for r in W.seeded_shadow(got, eps, seed, "uniform", rho, order="place").collect()} == set(want)
+
+
+def stepped(n, drawn, first=0):
+    idx = list(range(n))
+    for i in range(n - 1, first - 1, -1):
+        idx[i], idx[drawn[i]] = idx[drawn[i]], idx[i]
+    return idx
+
+
+def test_settled_steps_of_any_kind(spark):
+    draw = random.Random(4)
+    kinds = {
+        "one long path": [max(k - 1, 0) for k in range(150)], "all draw one place": [0] * 60, "all draw themselves": list(range(60)),
+        "near": [max(k - draw.randrange(3), 0) for k in range(300)], "far": [draw.randrange(k // 9 + 1) for k in range(300)],
+    }
+    for kind, drawn in kinds.items():
+        n = len(drawn)
+        for first, upto in ((0, None), (n // 3, None), (0, n // 4)):
+            steps = spark.createDataFrame([(k, drawn[k]) for k in range(first, n)], "step long, drawn long")
+            got = [(r["_place"], r["_source"]) for r in O.settled(steps, first, upto).collect()]
+            assert sorted(got) == list(enumerate(stepped(n, drawn, first)))[first:upto], (kind, first, upto)
+
+
+def test_first_places_of_a_shuffle(spark):
+    for n, k, seed in ((0, 1, 3), (1, 1, 3), (5, 9, 3), (400, 1, 2**63 + 5), (400, 120, 7), (400, 399, 7)):
+        got = [r["source"] for r in O.seeded_prefix(spark, N.signed(seed), n, k).collect()]
+        assert sorted(got) == sorted(shuffled(n, seed)[:k]), (n, k)
+    df = spark.range(400).withColumnRenamed("id", "x")
+    got = O.seeded_permutation(df, F.lit(7).cast("long"), [F.asc("x")], first=150).orderBy("place").collect()
+    assert [(r["place"], r["x"], r["source"]) for r in got] == [(p, x, x) for p, x in enumerate(shuffled(400, 7))][150:]
+
+
+def test_seeded_cell_of_a_sweep(spark):
+    import struct
+
+    from tierlab.operators import sweep as W
+
+    bits = lambda x: struct.unpack("<Q", struct.pack("<d", x))[0]
+    records = spark.range(307).withColumnRenamed("id", "rec_idx")
+    for rho, eps, seed in ((0.4, 0.2, 7), (0.0, 0.001, 3), (0.999, 0.5, 3), (0.3, 1.0, 2)):
+        left = shuffled(307, seed ^ bits(rho))[min(int(rho * 307 + 0.5), 306) :]
+        want = [left[i] for i in shuffled(len(left), seed ^ bits(eps) ^ bits(rho) ^ fnv("uniform"))[: max(1, int(eps * len(left) + 0.5))]]
+        got = W.seeded_cell(records, rho, eps, seed).orderBy("place").collect()
+        assert [(r["rec_idx"], r["shadow"]) for r in got] == [(x, x in set(want)) for x in left]
+        assert [r["place"] for r in got] == list(range(307 - len(left), 307))
+    assert W.seeded_cell(records.limit(0), 0.4, 0.2, 7).count() == 0
+
+
+def test_seeded_draws_stage_few_rows(spark, monkeypatch):
+    """A step's row leaves once it is settled: whole tables aren't staged anew in every round, nor is what is left made twice."""
+    from tierlab.plans.registry import QUERIES
+
+    staged, real = [], O.stage
+
+    def counted(df, name, *args):
+        out = real(df, name, *args)
+        staged.append(out.count())
+        return out
+
+    monkeypatch.setattr(O, "stage", counted)
+    n = 3000
+    assert O.seeded_permutation(spark.range(n).withColumnRenamed("id", "x"), F.lit(7).cast("long"), [F.asc("x")]).count() == n
+    assert sum(staged) < 4 * n
+    staged.clear()
+    assert QUERIES["absorb_seeded"](spark, "/root/testdata/sf0.001").count() > 0
+    assert sum(staged) < 4 * 1500

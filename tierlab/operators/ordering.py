@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
@@ -149,46 +149,87 @@ def first_drawn(rows: DataFrame, cells: list[str], draw: str, tie: str, wanted:
     return held.join(F.broadcast(bounds), cells).where(upto_bound(draw, tie)).drop("bound_draw", "bound_tie")
 
 
-def seeded_permutation(df: DataFrame, seed: Column, order: list[Column], by: list[str] | None = None, name: str = "place") -> DataFrame:
+#: Rounds in which paths of steps go on by one link; about half of them end in each. What is left after them jumps.
+HOPS = 6
+
+
+def settled(steps: DataFrame, first: int = 0, upto: int | None = None) -> DataFrame:
+    """_place and _source: what lies at a step's place after it, as its place before all steps.
+
+    steps (step, drawn): from the largest down each step swaps what lies at its own place and at `drawn`, a place at or below
+    it. No step is below `first`; only places below `upto` are wanted.
+
+    What a step finds at the place it drew was put there by the next larger step that drew it; else it lay there from the start.
+    What lies at a step's own place was put there by the smallest larger step that drew that. So a step is linked from one
+    place or one asking step and links lie on disjoint paths upwards, whose ends are wanted. Each link is used by one path, once: in a
+    round paths go on by a link, and those that ended and the links used leave, so all rounds together move a few rows a step.
+    Long paths, rare in a shuffle, are resolved by pointer jumping in a logarithm of rounds.
+    """
+    run, step, drawn = Window.partitionBy("drawn").orderBy("step"), F.col("step"), F.col("drawn")
+    before = F.lag("step").over(run)
+    asked = F.when(before.isNotNull(), F.bitwise_not(before)).when(step != drawn, drawn)  # an asking step as its complement, below 0
+    linked = stage(steps.select("step", asked.alias("from"), F.when(F.lead("step").over(run).isNull(), drawn).alias("end")), "permutation-steps")
+    wanted = lambda place: F.lit(True) if upto is None else place < upto
+    found = linked.where(F.col("end").isNotNull() & wanted(step)).select(step.alias("_place"), F.col("end").alias("_source"))
+    ended = lambda paths: paths.select(F.bitwise_not("head").alias("_place"), F.col("at").alias("_source"))
+    head = F.when((F.col("from") < 0) & wanted(F.bitwise_not("from")), F.col("from"))  # null: nobody asks for this path
+    paths = linked.where(F.col("from") < first).select(head.alias("head"), step.alias("tail"))
+    links = linked.where(F.col("from") >= first).select("from", step.alias("to"))
+    for _ in range(HOPS):
+        state = F.when(F.col("tail").isNull(), "link").when(F.col("from").isNull(), "ended").otherwise("path")
+        met = paths.join(links, F.col("tail") == F.col("from"), "full").select(F.coalesce("head", F.when(F.col("tail").isNull(), F.col("from"))).alias("head"), F.coalesce("to", "tail").alias("at"), state.alias("state"))
+        met = stage(met.where("head is not null or state = 'path'"), "permutation-paths")
+        found = found.unionByName(ended(met.where("state = 'ended'")))
+        paths = met.where("state = 'path'").select("head", F.col("at").alias("tail"))
+        links = met.where("state = 'link'").select(F.col("head").alias("from"), F.col("at").alias("to"))
+        if paths.isEmpty():
+            return found
+    at = paths.where("head is not null").select("head", F.col("tail").alias("at")).unionByName(links.select(F.col("from").alias("head"), F.col("to").alias("at")))
+    while True:
+        jump = at.where("head >= 0").select(F.col("head").alias("at"), F.col("at").alias("further"))
+        after = stage(at.join(jump, "at", "left").select("head", F.coalesce("further", "at").alias("at"), F.col("further").isNotNull().alias("moved")), "permutation-paths")
+        at = after.drop("moved")
+        if after.where("moved").isEmpty():
+            return found.unionByName(ended(at.where("head < 0")))
+
+
+def seeded_permutation(df: DataFrame, seed: Column, order: list[Column], by: list[str] | None = None, name: str = "place", first: int = 0) -> DataFrame:
     """df's rows with `name`: the 0-based place that a seeded shuffle gives each row of its group; `source`: its place before.
 
     The shuffle is the sequential one (from the last place down to the second, each swaps with a place drawn below or at it)
     with splitmix64 numbers, to the last row, but no task goes through it in sequence. Step i swaps places i and j(i); all
-    numbers j(i) are known at once, as the generator counts. What lies at a place when a step looks at it was put there by
-    the last step before that drew this place, so steps form chains, which pointer jumping resolves in a logarithm of rounds.
+    numbers j(i) are known at once, as the generator counts, and `settled` resolves them.
 
-    seed: a long by group (its bits count as unsigned); order: decides all ties. Null groups are a group.
+    seed: a long by group (its bits count as unsigned); order: decides all ties. Null groups are a group. first (without
+    groups): only rows that get this place or a later one are returned, and steps below it aren't taken.
     """
     from ..functions.bits import remainder, seeded_number
 
     by = by or []
+    if by and first:
+        raise ValueError("first holds for a single group")
     cells = [f"_by{i}" for i in range(len(by))]
     keyed = df.withColumns({c: F.coalesce(F.concat(F.lit("="), F.col(b).cast("string")), F.lit("")) for c, b in zip(cells, by)}).withColumn("_seed", seed)
     ranked = placed(keyed, [*[F.asc(c) for c in cells], *order], "_ordinal")
-    sizes = stage(ranked.groupBy(*cells).agg(F.min("_ordinal").alias("_first"), F.count(F.lit(1)).alias("_n")), "group-sizes")
-    ranked = ranked.join(sizes, cells) if cells else ranked.crossJoin(F.broadcast(sizes))
-    ranked = stage(ranked.withColumn("source", F.col("_ordinal") - F.col("_first")), "permutation-rows")
-    i, n = F.col("source"), F.col("_n")
+    if cells:
+        sizes = stage(ranked.groupBy(*cells).agg(F.min("_ordinal").alias("_first"), F.count(F.lit(1)).alias("_n")), "group-sizes")
+        ranked = stage(ranked.join(sizes, cells), "permutation-rows")
+    else:
+        ranked = ranked.withColumns({"_first": F.lit(0).cast("long"), "_n": F.lit(ranked.count()).cast("long")})
+    i, n = F.col("_ordinal") - F.col("_first"), F.col("_n")
     drawn = F.when(i > 0, remainder(seeded_number(F.col("_seed"), n - i), i + 1)).otherwise(0).cast("long")  # the first step is at place n - 1
-    steps = stage(ranked.select("_first", i.alias("i"), drawn.alias("j")), "permutation-steps")
-    from pyspark.sql import Window
+    steps = ranked.where(F.col("_ordinal") >= first).select(F.col("_ordinal").alias("step"), (F.col("_first") + drawn).alias("drawn"))  # groups lie one after the other
+    out = ranked.join(settled(steps, first).withColumnRenamed("_source", "_ordinal"), "_ordinal")
+    return out.withColumns({"source": i, name: F.col("_place") - F.col("_first")}).drop(*cells, "_seed", "_ordinal", "_first", "_n", "_place")
 
-    # steps run from the largest i down: what step i finds at place p was put there by the next larger step that drew p
-    of_place = Window.partitionBy("_first", "j").orderBy("i")
-    known = steps.where("i > 0").withColumn("before", F.lead("i").over(of_place))
-    known = stage(known.select("_first", "i", "j", "before"), "permutation-draws")
-    # at place i itself: the smallest step over i that drew i (every step that drew i is i or larger)
-    last = known.where("i > j").groupBy("_first", F.col("j").alias("i")).agg(F.min("i").alias("next"))
-    at = stage(steps.select("_first", "i").join(last, ["_first", "i"], "left").select("_first", "i", F.coalesce("next", "i").alias("next")), "permutation-chains")
-    while True:
-        jump = at.select("_first", F.col("i").alias("next"), F.col("next").alias("further"))
-        after = stage(at.join(jump, ["_first", "next"]).select("_first", "i", F.col("further").alias("next"), (F.col("further") != F.col("next")).alias("moved")), "permutation-chains")
-        done = not after.where("moved").limit(1).count()
-        at = after.drop("moved")
-        if done:
-            break
-    # the value that step i leaves at place i: what lay at place j before it
-    value = known.select("_first", "i", "j", "before").join(at.select("_first", F.col("i").alias("before"), F.col("next").alias("moved_in")), ["_first", "before"], "left")
-    value = value.select("_first", F.col("i").alias(name), F.coalesce("moved_in", "j").alias("source"))
-    zero = at.where("i = 0").select("_first", F.col("i").alias(name), F.col("next").alias("source"))
-    return ranked.join(value.unionByName(zero), ["_first", "source"]).drop(*cells, "_seed", "_ordinal", "_first", "_n")
+
+def seeded_prefix(spark: SparkSession, seed: int, n: int, k: int) -> DataFrame:
+    """source: which of n places (0-based) the seeded shuffle puts in the first k, in any order; all for k from n on.
+
+    Steps below k only swap these among each other, so they aren't taken.
+    """
+    from ..functions.bits import remainder, seeded_number
+
+    step = F.col("id")
+    drawn = F.when(step >= k, remainder(seeded_number(F.lit(seed), F.lit(n).cast("long") - step), step + 1)).otherwise(step)
+    return settled(spark.range(n).select(step.alias("step"), drawn.alias("drawn")), upto=k).select(F.col("_source").alias("source"))

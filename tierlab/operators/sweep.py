@@ -22,7 +22,7 @@ from ..functions.bits import double_bits, hash_of, signed
 from ..functions.stats import min_calibration_size
 from ..staging import stage
 from . import policy as P
-from .ordering import digits_of, draw_bounds, expected, first_drawn, placed, seeded_permutation, stable_rank, upto_bound
+from .ordering import digits_of, draw_bounds, expected, first_drawn, placed, seeded_permutation, seeded_prefix, stable_rank, upto_bound
 
 PATTERNS = ("easy-first", "cheap-accept", "uniform")
 
@@ -79,22 +79,43 @@ def seeded_residual(records: DataFrame, rho: float, seed: int) -> DataFrame:
     The shuffle is that of bits.splitmix64 with the share's bits in the seed, in order of rec_idx, so a published seed gives
     the published records. place: the record's place in the shuffle.
     """
+    return _seeded_left(records, rho, seed, records.count())
+
+
+def _seeded_left(records: DataFrame, rho: float, seed: int, n: int) -> DataFrame:
     if not 0 <= rho < 1:
         raise ValueError("rho has to be in [0, 1)")
     key = F.lit(signed(seed ^ double_bits(rho))).cast("long")
-    shuffled = seeded_permutation(records, key, [F.asc("rec_idx")])
-    n = records.agg(F.count(F.lit(1)).alias("_n"))
-    return shuffled.crossJoin(F.broadcast(n)).where(F.col("place") >= dropped(F.lit(float(rho)), F.col("_n"))).drop("_n", "source")
+    return seeded_permutation(records, key, [F.asc("rec_idx")], first=_absorbed(rho, n)).drop("source")
+
+
+def _shadow_places(spark: SparkSession, n: int, epsilon: float, seed: int, pattern: str, rho: float) -> DataFrame:
+    """source: the places of n rows that the seed's shadow draw takes."""
+    key = signed(seed ^ double_bits(epsilon) ^ double_bits(rho) ^ hash_of(pattern))
+    return seeded_prefix(spark, key, n, max(1, _nearest(epsilon * n)))
 
 
 def seeded_shadow(residual: DataFrame, epsilon: float, seed: int, pattern: str, rho: float, order: str = "rec_idx") -> DataFrame:
     """The shadow draw off what is left, under a seed: a prefix of the seeded shuffle of the rows in `order`, one row at least; all rows from epsilon 1 on."""
     if epsilon >= 1:
         return residual
-    key = signed(seed ^ double_bits(epsilon) ^ double_bits(rho) ^ hash_of(pattern))
-    shuffled = seeded_permutation(residual, F.lit(key).cast("long"), [F.asc(order)], name="_place")
-    n = residual.agg(F.count(F.lit(1)).alias("_n"))
-    return shuffled.crossJoin(F.broadcast(n)).where(F.col("_place") < F.greatest(F.lit(1), F.round(epsilon * F.col("_n")))).drop("_n", "_place", "source")
+    rows = placed(residual, [F.asc(order)], "_ordinal")
+    taken = _shadow_places(residual.sparkSession, rows.count(), epsilon, seed, pattern, rho)
+    return rows.join(taken.withColumnRenamed("source", "_ordinal"), "_ordinal", "left_semi").drop("_ordinal")
+
+
+def seeded_cell(records: DataFrame, rho: float, epsilon: float, seed: int) -> DataFrame:
+    """seeded_residual with shadow: whether the seed's shadow draw off it, in order of place, takes the record.
+
+    Places that are left have no gaps, so the shadow draw is made of their number alone and no record is sorted for it.
+    """
+    n = records.count()
+    left, first = _seeded_left(records, rho, seed, n), _absorbed(rho, n)
+    if epsilon >= 1:
+        return left.withColumn("shadow", F.lit(True))
+    taken = _shadow_places(records.sparkSession, n - first, epsilon, seed, "uniform", rho)
+    taken = taken.select((F.col("source") + first).alias("place"), F.lit(True).alias("_taken"))
+    return left.join(taken, "place", "left").withColumn("shadow", F.coalesce("_taken", F.lit(False))).drop("_taken")
 
 
 def _nearest(x: float) -> int:
